@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.llm import chat
+from statuta.llm import chat, mixing
 from statuta.llm.common import read
 
 
@@ -15,7 +15,11 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(turns.unionByName(probe)))
 
 
-QUERIES = {f.__name__: f for f in (op7_chat_format,)}
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+QUERIES = {f.__name__: f for f in (op7_chat_format, op8_mix_sources)}
 ORACLE: dict[str, str] = {}
 ORACLE["op7_chat_format"] = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
