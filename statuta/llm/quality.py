@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the average of learned vectors of its hashed features (words, byte n-grams of 3 and 4), followed by
+A document is the average of learned vectors of its hashed features (words, byte n-grams of 3 and 4, whether a word repeats the one before), followed by
 a softmax over the two labels; numpy stochastic gradient descent learns both layers. Fitting uses at most
 ``max_train`` labelled documents (those of smallest hash among the rows allowed), whole texts; scoring covers every
 document. As the output is linear in the average, a fitted model scores with one learned number per feature, which
@@ -25,6 +25,8 @@ from statuta.llm.common import fold
 from statuta.llm.words import Texts, pieces, words
 
 BUCKETS = 1 << 16
+#: Buckets of the pattern "the word before again" and of its absence.
+REPEAT = BUCKETS - 2
 
 
 def _grams(buf: np.ndarray, n: int) -> np.ndarray:
@@ -39,6 +41,10 @@ def features(t: Texts) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
     hashed, _, _, first = words(t)
     out.append(((hashed >> np.uint64(48)).astype(np.uint32), first))
+    again = np.zeros(len(hashed), bool)
+    again[1:] = hashed[1:] == hashed[:-1]
+    again[first[:-1][np.diff(first) > 0]] = False
+    out.append((np.where(again, REPEAT, REPEAT + 1).astype(np.uint32), first))
     length = np.diff(t.ends)
     for n in (3, 4):
         grams = _grams(t.buf, n)
@@ -71,7 +77,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + self.bias, -30, 30)))
 
 
-def fit_sgd(docs: list[tuple[np.ndarray, np.ndarray, int]], *, dim: int = 16, epochs: int = 8, rate: float = 2.0, seed: int = 1) -> Model:
+def fit_sgd(docs: list[tuple[np.ndarray, np.ndarray, int]], *, dim: int = 16, epochs: int = 5, rate: float = 2.0, seed: int = 1) -> Model:
     """docs: unique buckets, their shares of the document's features, label."""
     labels = np.array([y for _, _, y in docs], float)
     prior = (labels.sum() + 1) / (len(labels) + 2)
@@ -92,7 +98,7 @@ def fit_sgd(docs: list[tuple[np.ndarray, np.ndarray, int]], *, dim: int = 16, ep
         back = out @ p
         out -= lr * np.outer(hidden, p)
         bias -= 0.1 * lr * p
-        vectors[at] = rows - (lr * 20 * share)[:, None] * back
+        vectors[at] = rows - np.minimum(lr * 20 * share, 0.5)[:, None] * back
     return Model((vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
