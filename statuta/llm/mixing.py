@@ -92,7 +92,7 @@ def temperature(counts: Mapping[str, int], alpha: float) -> dict[str, float]:
     return {k: n**alpha / total for k, n in counts.items()}
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, *, key: str = "doc_id", source: str = "source", alpha: float = 0.5, block_docs: int = 16, resolution: int = 1000, bucket_docs: int = 20_000, max_sources: int = 500) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, *, key: str = "doc_id", source: str = "source", alpha: float = 0.5, block_docs: int = 16, resolution: int = 1000, bucket_docs: int = 2_000, max_sources: int = 500) -> DataFrame:
     """docs with stream, phase_slot columns added: block (of its stream), slot, pos (place in its slot), target (weight in force).
 
     weights: by source; None takes counts ** alpha. Sort by (slot, pos) for the mixed order.

@@ -77,7 +77,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + self.bias, -30, 30)))
 
 
-def fit_sgd(docs: list[tuple[np.ndarray, np.ndarray, int]], *, dim: int = 16, epochs: int = 5, rate: float = 2.0, seed: int = 1) -> Model:
+def fit_sgd(docs: list[tuple[np.ndarray, np.ndarray, int]], *, dim: int = 16, epochs: int = 5, rate: float = 1.0, seed: int = 1) -> Model:
     """docs: unique buckets, their shares of the document's features, label."""
     labels = np.array([y for _, _, y in docs], float)
     prior = (labels.sum() + 1) / (len(labels) + 2)
