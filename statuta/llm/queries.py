@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.llm import chat, mixing, quality
+from statuta.llm import chat, mixing, pii, quality
 from statuta.llm.common import read
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda i: lambda b: b["k"] == i
+    counts = [F.size(F.filter("base", of(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.digest(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), ~quality.held_out())
     return out.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
@@ -24,7 +31,7 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_classifier, op7_chat_format, op8_mix_sources)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_quality_classifier, op7_chat_format, op8_mix_sources)}
 ORACLE: dict[str, str] = {}
 ORACLE["op7_chat_format"] = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
