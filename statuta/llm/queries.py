@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.llm import chat, mixing, pii, quality
+from statuta.llm import chat, decontam, mixing, pii, quality
 from statuta.llm.common import read
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(read(spark, sf_dir, "documents").select("doc_id", "text"))
     of = lambda i: lambda b: b["k"] == i
@@ -31,7 +35,7 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_quality_classifier, op7_chat_format, op8_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_quality_classifier, op7_chat_format, op8_mix_sources)}
 ORACLE: dict[str, str] = {}
 ORACLE["op7_chat_format"] = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -47,3 +51,12 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
 SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, CAST(length(trained) AS BIGINT) AS loss_chars, sha256(trained) AS loss_sha256, formatted_chars,
   bad_turn IS NULL AND last = 'assistant' AS valid, bad_turn FROM g
 """
+
+_WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_SHINGLES = "list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)"
+ORACLE["op1_decontaminate"] = f"""
+WITH d AS (SELECT doc_id, unnest(s) AS s FROM (SELECT doc_id, {_SHINGLES} AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents))),
+b AS (SELECT item_id, len(s) AS n_item, unnest(s) AS s FROM (SELECT item_id, {_SHINGLES} AS s FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)))
+SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item AS containment
+FROM d JOIN b USING (s) GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 75 * n_item
+"""
