@@ -26,7 +26,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def planned_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of df's size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def parts_for(df: DataFrame, bytes_each: int, least: int = 24) -> int:
