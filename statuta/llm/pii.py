@@ -29,7 +29,7 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 #: Whole runs of digits with single separators, of 12 to 19 digits: other runs fail the check anyway.
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-TOKENS = r"[^ \t-\r]*+(?<=[0-9@][^ \t-\r]{0,256})(?:[ ][^ \t-\r]*+(?<=[0-9@][^ \t-\r]{0,256}))*+"
+TOKENS = r"(?<![^ \t-\r])[^ \t-\r0-9@]*+[0-9@][^ \t-\r]*+(?: [^ \t-\r0-9@]*+[0-9@][^ \t-\r]*+)*+"
 #: What a learned instance of a kind must look like.
 SHAPES = {
     "email": r"^[A-Za-z0-9._%+-]{2,64} ?(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]{2,63}){1,4}$",
