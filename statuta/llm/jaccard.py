@@ -21,7 +21,7 @@ ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -159,10 +159,10 @@ def _multiply(hundredths: int):
     """Overlap counts of a block pair's rows, accumulated by columns; a spanning forest of the links."""
 
     def run(table: pa.Table) -> pa.Table:
-        by = {r: (side, s) for r, side, s in zip(table.column("a").to_pylist(), table.column("side").to_pylist(), (np.frombuffer(x.as_py(), np.uint64) for x in table.column("set")))}
+        by = {r: np.frombuffer(x.as_py(), np.uint64) for r, x in zip(table.column("a").to_pylist(), table.column("set"))}
         rows = sorted(by)
-        sizes = np.array([len(by[r][1]) for r in rows], np.int64)
-        token = np.concatenate([by[r][1] for r in rows])
+        sizes = np.array([len(by[r]) for r in rows], np.int64)
+        token = np.concatenate([by[r] for r in rows])
         owner = np.repeat(np.arange(len(rows)), sizes)
         order = np.argsort(token, kind="stable")
         token, owner = token[order], owner[order]
@@ -185,6 +185,28 @@ def _multiply(hundredths: int):
     return run
 
 
+def resolve(met: DataFrame, sets_for: Callable[[DataFrame], DataFrame], hundredths: int) -> DataFrame:
+    """node, root of all links among the candidates of ``_meet``; sets_for gives (c, set) of a table of classes c."""
+    pairs = cut(met.where("b IS NOT NULL").select("a", "b").distinct())
+    groups = met.where("g IS NOT NULL").select("g", "a").distinct()
+    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).union(groups.select("a")).distinct()
+    sets = cut(sets_for(wanted))
+    left, right = sets.withColumnsRenamed({"c": "a", "set": "x"}), sets.withColumnsRenamed({"c": "b", "set": "y"})
+    links = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(hundredths), "a long, b long"))
+    roots = cut(components(links))
+
+    # groups that hold several components still: blocks of rows by component, all pairs of blocks
+    labelled = groups.join(roots.withColumnRenamed("node", "a"), "a", "left").select("g", "a", F.coalesce("root", "a").alias("root"))
+    mixed = labelled.groupBy("g").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("g", F.ceil(F.col("m") / BLOCK).cast("int").alias("k"))
+    spread = cut(labelled.join(mixed, "g").withColumn("blk", F.pmod(F.xxhash64("a"), "k").cast("int")))
+    if not spread.limit(1).count():
+        return roots
+    every = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = every.select("g", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "a")
+    more = dealt.join(left, "a").select("g", "i", "j", "a", F.col("x").alias("set")).groupBy("g", "i", "j").applyInArrow(_multiply(hundredths), "a long, b long")
+    return cut(components(links.unionByName(more)))
+
+
 def join(docs: DataFrame, *, hundredths: int = 75, n: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
     spark = docs.sparkSession
@@ -220,13 +242,6 @@ def join(docs: DataFrame, *, hundredths: int = 75, n: int = 5) -> DataFrame:
 
     dealt = source.mapInArrow(entries, "bucket int, token binary, row binary, size binary")
     met = cut(dealt.groupBy("bucket").applyInArrow(lambda table: _meet(table, hundredths), "a long, b long, g long, n int"))
-    pairs = cut(met.where("b IS NOT NULL").select("a", "b").distinct())
-    groups = met.where("g IS NOT NULL").select("g", "a").distinct()
-
-    # sets of the classes that may link, each from its smallest document
-    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).union(groups.select("a")).distinct()
-    chosen = cut(wanted.join(rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id")), "c").where("doc_id IS NOT NULL").select("doc_id", F.col("c").alias("_c")))
-    few = chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, t in pieces(batches, "text"):
@@ -234,20 +249,13 @@ def join(docs: DataFrame, *, hundredths: int = 75, n: int = 5) -> DataFrame:
             own = [(c, s.tobytes()) for c, s in zip(want, found) if class_of(s) == c]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in own], pa.int64()), pa.array([s for _, s in own], pa.binary())], ["c", "set"])
 
-    sets = cut(source.join(F.broadcast(chosen) if few else chosen, "doc_id").mapInArrow(extract, "c long, set binary"))
-    left, right = sets.withColumnsRenamed({"c": "a", "set": "x"}), sets.withColumnsRenamed({"c": "b", "set": "y"})
-    links = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(hundredths), "a long, b long"))
-    roots = cut(components(links))
+    def sets_for(wanted: DataFrame) -> DataFrame:
+        """Sets of the wanted classes, each from its smallest document."""
+        chosen = cut(wanted.join(rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id")), "c").where("doc_id IS NOT NULL").select("doc_id", F.col("c").alias("_c")))
+        few = chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        return source.join(F.broadcast(chosen) if few else chosen, "doc_id").mapInArrow(extract, "c long, set binary")
 
-    # groups that hold several components still: blocks of rows in the order of components, all pairs of blocks but those of one component
-    labelled = groups.join(roots.withColumnRenamed("node", "a"), "a", "left").select("g", "a", F.coalesce("root", "a").alias("root"))
-    mixed = labelled.groupBy("g").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("g", F.ceil(F.col("m") / BLOCK).cast("int").alias("k"))
-    spread = cut(labelled.join(mixed, "g").withColumn("blk", F.pmod(F.xxhash64("root"), "k").cast("int")))
-    if spread.limit(1).count():
-        every = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        dealt_rows = every.select("g", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "a", F.lit(0).alias("side")).distinct()
-        more = dealt_rows.join(left, "a").select("g", "i", "j", "a", "side", F.col("x").alias("set")).groupBy("g", "i", "j").applyInArrow(_multiply(hundredths), "a long, b long")
-        roots = cut(components(links.unionByName(more)))
+    roots = resolve(met, sets_for, hundredths)
     placed = rows.join(roots.withColumnsRenamed({"node": "c", "root": "_root"}), "c", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("_root", "c").alias("_root"))
     placed = cut(placed)
     smallest = placed.where("n_shingles > 0").groupBy("_root").agg(F.min("doc_id").alias("_least"))
