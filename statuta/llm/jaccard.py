@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import BROADCAST_ROWS, cut, parts_for
+from statuta.llm.common import BROADCAST_ROWS, cut, parts_for, semi_by_ids
 from statuta.llm.components import components
 from statuta.llm.packets import Dealer, gathered, runs
 from statuta.llm.words import mix64, pieces, shingles, words
@@ -264,8 +264,10 @@ def join(docs: DataFrame, *, hundredths: int = 75, n: int = 5) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document (the smallest doc_id) of each component."""
-    from statuta.llm.common import semi_by_ids
-
-    later = join(docs, **options).where("component_id <> doc_id").select("doc_id")
-    return semi_by_ids(docs, later, "doc_id", keep=False)
+    """docs with one document (the smallest doc_id) of each component. Rows of one doc_id go or stay together, equal texts among them once."""
+    found = cut(join(docs, **options).select("doc_id", "component_id"))
+    out = semi_by_ids(docs, found.where("component_id <> doc_id"), "doc_id", keep=False)
+    repeated = cut(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1"))
+    if not repeated.limit(1).count():
+        return out
+    return semi_by_ids(out, repeated, "doc_id", keep=False).unionByName(semi_by_ids(out, repeated, "doc_id").dropDuplicates(["doc_id", "text"]))

@@ -138,3 +138,14 @@ def classify(docs: DataFrame, labels: DataFrame, allowed: Column | None = None,
 
 def held_out(doc_id: str = "doc_id") -> Column:
     return fold(doc_id) == 0
+
+
+def accept(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, *, threshold: float = 0.3, max_train: int = 4000) -> DataFrame:
+    """The rows of docs scored at threshold or more, in the same pass that scores them."""
+    model = fit(docs, labels, allowed, max_train=max_train)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, t in pieces(batches, "text"):
+            yield batch.filter(pa.array(model.scores(t) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
