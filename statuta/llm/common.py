@@ -25,8 +25,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def planned_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of df's size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's estimate of df's size; measured where it has none."""
+    planned = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if planned < 1 << 50:
+        return planned
+    widths = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    return df.agg(F.sum(sum(widths, F.lit(16)))).first()[0] or 0
 
 
 def parts_for(df: DataFrame, bytes_each: int, least: int = 24) -> int:

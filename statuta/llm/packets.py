@@ -49,3 +49,13 @@ def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of runs of equal values."""
     starts = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
     return starts, np.append(starts[1:], len(sorted_keys))
+
+
+def planes(a: np.ndarray) -> bytes:
+    """The elements' first bytes, then their second bytes, and so on: high bytes of small numbers compress away in shuffles."""
+    return np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+
+
+def unplanes(data: bytes, dtype: type) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, len(data) // size).T).reshape(-1).view(dtype)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.llm import chat, decontam, jaccard, mixing, paragraphs, pii, quality
+from statuta.llm import chat, decontam, earlier, jaccard, mixing, paragraphs, pii, quality
 from statuta.llm.common import read
 
 
@@ -39,11 +39,16 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = earlier.remove(read(spark, sf_dir, "documents"), width=50)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.find(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_quality_classifier, op4_ngram_jaccard, op7_chat_format, op8_mix_sources, op10_paragraph_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_quality_classifier, op4_ngram_jaccard, op7_chat_format, op8_mix_sources, op9_suffix_array_dedup, op10_paragraph_dedup)}
 ORACLE: dict[str, str] = {}
 ORACLE["op7_chat_format"] = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
