@@ -8,9 +8,10 @@ the matrix (a class). Work goes in these steps:
    first |x| - ceil(0.75 |x|) + 1 columns of each; only these entries are dealt to column blocks;
 3. each block of columns finds the rows that meet in a column. Few rows give all pairs within the size bound 0.75 * max <= min; many rows give a
    star around the row of smallest hash, and the group itself is kept;
-4. pairs are verified by exact overlap counts, links give components. Groups that still hold several components are multiplied out in blocks of
-   rows (a block pair accumulates the overlap counts of its rows column by column and keeps a spanning forest of the links found), so no pair is lost and no
-   group is held or listed whole;
+4. pairs whose overlap the sets' histograms bound below what the sizes ask for are discarded, the others verified by exact overlap
+   counts; links give components. Groups that still hold several components are multiplied out in blocks of rows: histograms first, then the rows
+   that have a possible partner; a block pair accumulates their overlap counts column by column and keeps a spanning forest of the
+   links found, so no pair is lost and no group is held or listed whole;
 5. components of all links give each document the smallest doc_id it reaches.
 
 Defined cases: a text of fewer than five words is one shingle; no text, or none but white space, links with nothing; equal rows are
@@ -35,9 +36,11 @@ from statuta.llm.words import mix64, pieces, shingles, words
 
 SKETCH_BITS, SLICE_BITS = 22, 18
 #: Rows that meet in a column and are paired at once; groups of more get a star, and blocks if need be.
-SMALL = 16
+SMALL = 32
 #: Rows of a block of a large group.
 BLOCK = 256
+#: Bins of a set's histogram, by hash: the sum of the smaller counts of two sets bounds their overlap from above.
+BINS = 64
 
 
 def sets_of(t, n: int = 5) -> Iterator[np.ndarray]:
@@ -53,26 +56,32 @@ def class_of(s: np.ndarray) -> int:
     return int(mix64(np.array([mix64(s).sum() + np.uint64(len(s))], np.uint64))[0].view(np.int64)) if len(s) else 0
 
 
+def histogram(s: np.ndarray) -> bytes:
+    """Counts of the set's hashes in BINS bins; counts over 65535 stay there, which then bounds less only for sets that large."""
+    return np.minimum(np.bincount((s >> np.uint64(16)).astype(np.int64) % BINS, minlength=BINS), 65535).astype(np.uint16).tobytes()
+
+
 def _slot(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n", "c", "slice", "counts"]
+    names = ["doc_id", "n", "c", "hist", "slice", "counts"]
     sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
     for batch, t in pieces(batches, "text"):
-        sizes, classes, seen = [], [], []
+        sizes, classes, seen, hists = [], [], [], []
         for s in sets_of(t):
             sizes.append(len(s))
             classes.append(class_of(s))
             seen.append(_slot(s))
+            hists.append(histogram(s))
         np.add.at(sketch, np.concatenate(seen), 1)
         k = len(sizes)
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(sizes, pa.int32()), pa.array(classes, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(sizes, pa.int32()), pa.array(classes, pa.int64()), pa.array(hists, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
     for i in range(1 << (SKETCH_BITS - SLICE_BITS)):
         part = sketch[i << SLICE_BITS : (i + 1) << SLICE_BITS]
         if part.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([i], pa.int32()), pa.array([zlib.compress(part.astype(np.uint32).tobytes(), 1)], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([i], pa.int32()), pa.array([zlib.compress(part.astype(np.uint32).tobytes(), 1)], pa.binary())], names)
 
 
 def _levels(table: pa.Table) -> pa.Table:
@@ -137,6 +146,40 @@ def _verify(hundredths: int):
     return run
 
 
+def _possible(overlap: np.ndarray, n: np.ndarray, m: np.ndarray, hundredths: int) -> np.ndarray:
+    """Whether an overlap of no more than this can make a link of sets of n and m."""
+    return 100 * overlap >= hundredths * (n + m - overlap)
+
+
+def _bounded(hundredths: int):
+    """Pairs that the histograms x and y leave possible."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, BINS).astype(np.int64) for k in (2, 3))
+                full = (x == 65535).any(1) | (y == 65535).any(1)
+                keep = full | _possible(np.minimum(x, y).sum(1), x.sum(1), y.sum(1), hundredths)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def _partners(hundredths: int):
+    """Of a block pair the rows that have a possible partner of another component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x = np.frombuffer(b"".join(table.column("hist").to_pylist()), np.uint16).reshape(-1, BINS).astype(np.int32)
+        root, n, some = table.column("root").to_numpy(), x.sum(1), np.zeros(len(x), bool)
+        full = (x == 65535).any(1)
+        for i in range(len(x)):
+            other = root != root[i]
+            some[i] = (other & (full | full[i] | _possible(np.minimum(x, x[i]).sum(1), n, n[i], hundredths))).any()
+        return table.select(["g", "i", "j", "a"]).filter(pa.array(some))
+
+    return run
+
+
 class Forest:
     """Which rows are joined already."""
 
@@ -185,25 +228,33 @@ def _multiply(hundredths: int):
     return run
 
 
-def resolve(met: DataFrame, sets_for: Callable[[DataFrame], DataFrame], hundredths: int) -> DataFrame:
-    """node, root of all links among the candidates of ``_meet``; sets_for gives (c, set) of a table of classes c."""
+def resolve(met: DataFrame, sets_for: Callable[[DataFrame], DataFrame], hundredths: int, hists: DataFrame | None = None) -> DataFrame:
+    """node, root of all links among the candidates of ``_meet``; sets_for gives (c, set) of a table of classes c, hists (c, hist) of all classes."""
     pairs = cut(met.where("b IS NOT NULL").select("a", "b").distinct())
-    groups = met.where("g IS NOT NULL").select("g", "a").distinct()
-    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).union(groups.select("a")).distinct()
-    sets = cut(sets_for(wanted))
+    groups = cut(met.where("g IS NOT NULL").select("g", "a").distinct())
+    if hists is not None:
+        wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).union(groups.select("a")).distinct()
+        hists = cut(hists.join(wanted, "c").groupBy("c").agg(F.first("hist").alias("hist")))
+        left, right = hists.withColumnsRenamed({"c": "a", "hist": "x"}), hists.withColumnsRenamed({"c": "b", "hist": "y"})
+        pairs = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_bounded(hundredths), "a long, b long"))
+    sets = cut(sets_for(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()))
     left, right = sets.withColumnsRenamed({"c": "a", "set": "x"}), sets.withColumnsRenamed({"c": "b", "set": "y"})
     links = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(hundredths), "a long, b long"))
     roots = cut(components(links))
 
-    # groups that hold several components still: blocks of rows by component, all pairs of blocks
+    # groups that hold several components still, in blocks of rows, all pairs of blocks
     labelled = groups.join(roots.withColumnRenamed("node", "a"), "a", "left").select("g", "a", F.coalesce("root", "a").alias("root"))
     mixed = labelled.groupBy("g").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("g", F.ceil(F.col("m") / BLOCK).cast("int").alias("k"))
     spread = cut(labelled.join(mixed, "g").withColumn("blk", F.pmod(F.xxhash64("a"), "k").cast("int")))
     if not spread.limit(1).count():
         return roots
     every = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = every.select("g", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "a")
-    more = dealt.join(left, "a").select("g", "i", "j", "a", F.col("x").alias("set")).groupBy("g", "i", "j").applyInArrow(_multiply(hundredths), "a long, b long")
+    dealt = every.select("g", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "a", "root")
+    if hists is not None:
+        dealt = dealt.join(hists.withColumnRenamed("c", "a"), "a").groupBy("g", "i", "j").applyInArrow(_partners(hundredths), "g long, i int, j int, a long")
+    dealt = cut(dealt.select("g", "i", "j", "a"))
+    open_sets = sets_for(dealt.select(F.col("a").alias("c")).distinct()).withColumnRenamed("c", "a")
+    more = dealt.join(open_sets, "a").groupBy("g", "i", "j").applyInArrow(_multiply(hundredths), "a long, b long")
     return cut(components(links.unionByName(more)))
 
 
@@ -211,7 +262,7 @@ def join(docs: DataFrame, *, hundredths: int = 75, n: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
     spark = docs.sparkSession
     source = docs.select("doc_id", "text")
-    first = cut(source.mapInArrow(_first_pass, "doc_id long, n int, c long, slice int, counts binary"))
+    first = cut(source.mapInArrow(_first_pass, "doc_id long, n int, c long, hist binary, slice int, counts binary"))
     rows = first.where("slice IS NULL").select("doc_id", "n", "c")
     sliced = first.where("slice IS NOT NULL").select("slice", "counts").groupBy("slice").applyInArrow(_levels, "slice int, level binary")
     level = np.zeros(1 << SKETCH_BITS, np.uint8)
@@ -255,7 +306,8 @@ def join(docs: DataFrame, *, hundredths: int = 75, n: int = 5) -> DataFrame:
         few = chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
         return source.join(F.broadcast(chosen) if few else chosen, "doc_id").mapInArrow(extract, "c long, set binary")
 
-    roots = resolve(met, sets_for, hundredths)
+    hists = first.where("slice IS NULL AND n > 0").select("c", "hist")
+    roots = resolve(met, sets_for, hundredths, hists)
     placed = rows.join(roots.withColumnsRenamed({"node": "c", "root": "_root"}), "c", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("_root", "c").alias("_root"))
     placed = cut(placed)
     smallest = placed.where("n_shingles > 0").groupBy("_root").agg(F.min("doc_id").alias("_least"))

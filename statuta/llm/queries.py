@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.llm import chat, decontam, earlier, jaccard, mixing, paragraphs, pii, quality
-from statuta.llm.common import read
+from statuta.llm import chat, decontam, earlier, jaccard, mixing, mixture, neighbours, paragraphs, pii, quality
+from statuta.llm.common import fold, read
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,14 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.score(read(spark, sf_dir, "documents"), fold("doc_id") == 1)
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
@@ -48,7 +56,7 @@ def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.find(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_quality_classifier, op4_ngram_jaccard, op7_chat_format, op8_mix_sources, op9_suffix_array_dedup, op10_paragraph_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_quality_classifier, op4_ngram_jaccard, op5_nearest_neighbours, op6_lm_score, op7_chat_format, op8_mix_sources, op9_suffix_array_dedup, op10_paragraph_dedup)}
 ORACLE: dict[str, str] = {}
 ORACLE["op7_chat_format"] = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
