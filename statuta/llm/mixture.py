@@ -220,11 +220,11 @@ def _reply(table: pa.Table) -> pa.Table:
     parts = [(c.as_py(), *_halves(d.as_py(), np.uint64, np.uint32)) for c, d in zip(table.column("chunk"), table.column("data"))]
     every, at = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
     total = np.bincount(at, weights=np.concatenate([p[2] for p in parts]).astype(np.float64), minlength=len(every)).astype(np.int64)
-    out, start = [(key, -1, np.array([total.sum(), (total > 0).sum()], np.int64).tobytes())], 0
+    out, start = [(key, -1, None, int(total.sum()), int((total > 0).sum()))], 0
     for chunk, h, _ in parts:
-        out.append((key, chunk, planes(total[at[start : start + len(h)]].astype(np.uint32))))
+        out.append((key, chunk, planes(total[at[start : start + len(h)]].astype(np.uint32)), 0, 0))
         start += len(h)
-    return pa.table({"key": pa.array([o[0] for o in out], pa.int64()), "chunk": pa.array([o[1] for o in out], pa.int64()), "data": pa.array([o[2] for o in out], pa.binary())})
+    return pa.table({"key": pa.array([o[0] for o in out], pa.int64()), "chunk": pa.array([o[1] for o in out], pa.int64()), "data": pa.array([o[2] for o in out], pa.binary()), "n": pa.array([o[3] for o in out], pa.int64()), "v": pa.array([o[4] for o in out], pa.int64())})
 
 
 def _sum_documents(n_all: int, n_distinct: int):
@@ -334,8 +334,8 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     source = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.xxhash64("text", F.isnull("doc_id")).alias("h"))
     buckets = parts_for(source.select("text"), 4 << 20)
     scanned = cut(source.mapInArrow(_scan(buckets), "kind tinyint, key long, chunk long, data binary"))
-    replies = cut(scanned.where("kind = 0").groupBy("key").applyInArrow(_reply, "key long, chunk long, data binary"))
-    totals = replies.where("chunk = -1").select(F.sum(F.conv(F.hex(F.reverse(F.substring("data", 1, 8))), 16, 10).cast("long")).alias("n"), F.sum(F.conv(F.hex(F.reverse(F.substring("data", 9, 8))), 16, 10).cast("long")).alias("v")).first()
+    replies = cut(scanned.where("kind = 0").groupBy("key").applyInArrow(_reply, "key long, chunk long, data binary, n long, v long"))
+    totals = replies.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n_all, n_distinct = totals["n"] or 0, totals["v"] or 0
     both = replies.where("chunk >= 0").select(F.lit(0).cast("tinyint").alias("kind"), "key", "chunk", "data").unionByName(scanned.where("kind = 1"))
     base = both.groupBy("chunk").applyInArrow(_sum_documents(n_all, n_distinct), "doc_id long, h long, n_tokens long, n_known long, base_score double")
