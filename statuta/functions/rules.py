@@ -6,6 +6,8 @@ first) before the lines that end a block, so every pattern is linear.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,7 +65,8 @@ def clauses(text: Column, longer_than: int = 20) -> Column:
     """Clause texts: up to a numbered line, or up to the next article heading."""
     t = _plain(text)
     numbered = _marked(t, rf"{DIGITS}\.")
-    article = _marked(t, rf"{WHITE}*제{DIGITS}조")
+    # the first newline of the white space before an article heading, tried once per run of white space
+    article = F.regexp_replace(t, rf"(?<!{WHITE})((?:(?!\n){WHITE})*+)\n({WHITE}*+)(?=제{DIGITS}조)", "$1\x01$2")
     back = lambda found: F.transform(found, lambda x: F.replace(x, F.lit("\x01"), F.lit("\n")))
     one = _all(numbered, rf"피심인의_약관_제{DIGITS}조[^\x01]*")
     two = _all(numbered, rf"약관_제{DIGITS}조(?:[가-힣]|{WHITE})*+\([^)]*\)[^\x01]*")
@@ -88,29 +91,39 @@ def legal_bases(text: Column) -> Column:
     return _listed(*[_all(t, rf"{law}제{DIGITS}조{paragraph}{item if items else ''}") for law, items in STATUTES])
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, also where use has it inside a loop over an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _blocks(t: Column, heading: str) -> Column:
     """The block after each heading line: the lines up to a blank one, where that ends the text or a numbered line follows; else up to
     the last line that a numbered one follows. A heading within a block taken starts none."""
-    lines = F.split(t, "\n", -1)
-    n = F.size(lines)
     is_heading = rf"{heading}[^\n]*\z".replace("_", f"{WHITE}*")
     number = rf"^{WHITE}*{DIGITS}\."
 
-    def at(i: Column) -> Column:
-        rest = F.slice(lines, i + 2, F.greatest(n - i - 1, F.lit(0)))
-        size = F.coalesce(F.nullif(F.array_position(rest, ""), F.lit(0)) - 1, F.size(rest).cast("long")).cast("int")
-        after = F.array_join(F.slice(rest, size + 1, F.greatest(F.size(rest) - size, F.lit(0))), "\n")
-        ended = (size == F.size(rest) - 2) & (F.get(rest, F.size(rest) - 1) == "")
-        whole = (size >= F.size(rest) - 1) | ended | after.rlike(number)
-        numbered = F.filter(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda j: (j < size) & F.coalesce(F.get(rest, j), F.lit("")).rlike(number))
-        taken = F.when(whole, size).otherwise(F.coalesce(F.array_max(numbered), F.lit(0)))
-        return F.struct(i.alias("i"), taken.alias("n"), F.array_join(F.slice(rest, 1, taken), "\n").alias("text"))
-
-    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(lines, i).rlike(is_heading))
-    tried = F.filter(F.transform(starts, at), lambda b: b["n"] > 0)
+    def within(lines: Column) -> Column:
+        n = F.size(lines)
+        blanks = F.filter(F.sequence(F.lit(0), n), lambda i: (i == n) | (F.get(lines, i) == ""))
+        numbered = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(lines, i).rlike(number))
+        return _let(blanks, lambda b: _let(numbered, lambda c: taken(lines, n, b, c)))
+
+    def taken(lines: Column, n: Column, blanks: Column, numbered: Column) -> Column:
+        def at(i: Column) -> Column:
+            stop = F.array_min(F.filter(blanks, lambda b: b > i))
+            rest = n - 1 - stop
+            after = F.array_join(F.slice(lines, stop + 1, F.greatest(n - stop, F.lit(0))), "\n")
+            whole = (rest <= 0) | ((rest == 1) & (F.get(lines, n - 1) == "")) | F.coalesce(after.rlike(number), F.lit(False))
+            last = F.array_max(F.filter(numbered, lambda c: (c > i + 1) & (c < stop)))
+            end = F.when(whole, stop).otherwise(F.coalesce(last, i + 1))
+            return F.struct(i.alias("i"), (end - i - 1).alias("n"), F.array_join(F.slice(lines, i + 2, F.greatest(end - i - 1, F.lit(0))), "\n").alias("text"))
+
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(lines, i).rlike(is_heading) & (i < n - 1))
+        return F.filter(F.transform(starts, at), lambda b: b["n"] > 0)
+
     begin = F.struct(F.lit(-1).alias("free"), F.array().cast("array<string>").alias("out"))
-    walked = F.aggregate(tried, begin, lambda s, b: F.when(b["i"] <= s["free"], s).otherwise(F.struct((b["i"] + b["n"]).alias("free"), F.array_append(s["out"], b["text"]).alias("out"))))
-    return walked["out"]
+    step = lambda s, b: F.when(b["i"] <= s["free"], s).otherwise(F.struct((b["i"] + b["n"]).alias("free"), F.array_append(s["out"], b["text"]).alias("out")))
+    return F.aggregate(_let(F.split(t, "\n", -1), within), begin, step)["out"]
 
 
 def corrections(text: Column, longer_than: int = 10) -> Column:

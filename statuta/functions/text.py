@@ -23,7 +23,7 @@ def normalize(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """No white space at the ends."""
-    return F.regexp_replace(c, rf"^{WHITE}+|{WHITE}+\z", "")
+    return F.regexp_replace(c, rf"^{WHITE}++|(?<!{WHITE}){WHITE}++\z", "")
 
 
 def composite_key(*parts: Column) -> Column:
