@@ -118,14 +118,14 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, *, k
     buckets = max(1, -(-rest // bucket_docs))
     hashed = F.xxhash64(F.col(key), F.lit(8))
     at = F.pmod(F.shiftrightunsigned(hashed, 20), F.lit(buckets))
-    rows = docs.withColumns({"stream": stream, "_hash": hashed, "_bucket": at})
+    rows = docs.select(F.struct("*").alias("r"), stream.alias("stream"), hashed.alias("_hash"), at.alias("_bucket"), whole.alias("_whole"))
     sums = rows.groupBy("stream", "_bucket").agg(F.count("*").alias("n"))
     before = cut(sums.withColumn("_before", F.sum("n").over(Window.partitionBy("stream").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).select("stream", "_bucket", F.coalesce("_before", F.lit(0)).alias("_before")))
-    rank = F.row_number().over(Window.partitionBy("stream", "_bucket").orderBy("_hash", key, whole)) - 1
+    rank = F.row_number().over(Window.partitionBy("stream", "_bucket").orderBy("_hash", F.col(f"r.`{key}`"), "_whole")) - 1
     ranked = rows.withColumn("_row", rank).join(F.broadcast(before) if buckets * len(top) <= 500_000 else before, ["stream", "_bucket"]).withColumn("_rank", F.col("_row") + F.col("_before"))
     block = F.floor(F.col("_rank") / block_docs)
     placed = ranked.withColumn("block", block).join(F.broadcast(planned.withColumnRenamed("stream", "_of")), (F.col("stream") == F.col("_of")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("end")))
     local = F.col("block") - F.col("first")
     size: Column = F.size("places").cast("long")
     slot = F.col("start") + F.floor(local / size) * F.col("length") + F.get("places", (local % size).cast("int"))
-    return placed.select(*docs.columns, "stream", "block", slot.alias("slot"), (F.col("_rank") % block_docs).cast("int").alias("pos"), "target")
+    return placed.select("r.*", "stream", "block", slot.alias("slot"), (F.col("_rank") % block_docs).cast("int").alias("pos"), "target")

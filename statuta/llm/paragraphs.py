@@ -117,6 +117,7 @@ def find(docs: DataFrame, *, min_words: int = 20, hundredths: int = 75, recall:
 def clean(docs: DataFrame, **options) -> DataFrame:
     """docs without the paragraphs to remove."""
     gone = find(docs, **options).where("removed").groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set("place").alias("_gone"))
-    joined = docs.join(gone, F.col("doc_id") == F.col("_d"), "left")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    return joined.withColumn("text", F.when(F.col("_gone").isNotNull(), left).otherwise(F.col("text"))).select(*docs.columns)
+    joined = docs.select(F.struct("*").alias("r")).join(gone, F.col("r.doc_id") == F.col("_d"), "left")
+    left = F.array_join(F.filter(F.split("r.text", "\n", -1), lambda _, i: ~F.array_contains("_gone", i)), "\n")
+    text = F.when(F.col("_gone").isNotNull(), left).otherwise(F.col("r.text"))
+    return joined.select(*[(text if c == "text" else F.col(f"r.`{c}`")).alias(c) for c in docs.columns])

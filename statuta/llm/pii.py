@@ -137,18 +137,21 @@ def find(docs: DataFrame, **options) -> DataFrame:
 
 def redact(docs: DataFrame, **options) -> DataFrame:
     """docs with each span of ``text`` replaced by its kind in brackets, and n_chars, where there is one, counted anew."""
-    spans = find(docs, **options).where(F.size("spans") > 0).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "spans").dropDuplicates(["_d", "_h"])
-    joined = docs.withColumn("_x", F.xxhash64("text")).join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_x") == F.col("_h")), "left")
+    spans = find(docs, **options).where(F.size("spans") > 0).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("spans").alias("_spans")).dropDuplicates(["_d", "_h"])
+    rows = docs.select(F.struct("*").alias("r"))  # in a struct, no column of docs clashes with those added
+    joined = rows.join(spans, F.col("r.doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("r.text") == F.col("_h")), "left")
     empty = F.array().cast("array<struct<s:int,k:int,e:int>>")
 
     def merge(state: Column, x: Column) -> Column:
         return F.struct(F.greatest(state["at"], x["e"]).alias("at"), F.when(x["s"] < state["at"], state["out"]).otherwise(F.array_append(state["out"], F.struct(state["at"].alias("from"), x["s"].alias("to"), x["k"].alias("k")))).alias("out"))
 
-    walked = F.aggregate(F.coalesce("spans", empty), F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<from:int,to:int,k:int>>").alias("out")), merge)
+    walked = F.aggregate(F.coalesce("_spans", empty), F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<from:int,to:int,k:int>>").alias("out")), merge)
     name = lambda x: F.element_at(F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), x["k"] + 1)
-    pieces = F.transform(F.col("_w.out"), lambda x: F.concat(F.substring("text", x["from"] + 1, x["to"] - x["from"]), name(x)))
-    text = F.when(F.size("_w.out") > 0, F.concat(F.array_join(pieces, ""), F.substring("text", F.col("_w.at") + 1, F.length("text")))).otherwise(F.col("text"))
-    out = joined.withColumn("_w", walked).withColumn("text", text)
+    pieces = F.transform(F.col("_w.out"), lambda x: F.concat(F.substring("r.text", x["from"] + 1, x["to"] - x["from"]), name(x)))
+    some = F.size("_w.out") > 0
+    text = F.when(some, F.concat(F.array_join(pieces, ""), F.substring("r.text", F.col("_w.at") + 1, F.length("r.text")))).otherwise(F.col("r.text"))
+    out = joined.withColumn("_w", walked).withColumn("_t", text)
+    new = {"text": F.col("_t")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_w.out") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(some, F.length("_t").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("r.n_chars"))
+    return out.select(*[new.get(c, F.col(f"r.`{c}`")).alias(c) for c in docs.columns])
