@@ -29,35 +29,37 @@ from statuta.llm.common import cut, parts_for
 from statuta.llm.packets import planes, runs, unplanes
 from statuta.llm.words import _LOWER, Texts, mix64, pieces, words
 
-#: log2 of the tables' sizes for orders 1 to 4, and of a slice.
-TABLE_BITS, SLICE_BITS = (16, 20, 22, 22), 16
+#: Orders of the contexts, log2 of their tables' sizes and of a slice, and bytes of a context kept at most.
+ORDERS, TABLE_BITS, SLICE_BITS = (1, 2, 3, 4), (16, 20, 22, 22), 16
+BACK = max(ORDERS)
 GATES, LEVELS = 512, 33
-_SEED = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
+_SEED = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 END = np.array([0xE0D0C0B0A0908071], np.uint64)
 
 
 def strings(t: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Each byte of the texts, and each end, with the four bytes before it: 40 bits; bounds per text."""
+    """Each byte of the texts, and each end, with the BACK bytes before it: 40 bits; bounds per text."""
     n = len(t.ends) - 1
-    out = np.zeros(len(t.buf) + 5 * n, np.uint64)
+    out = np.zeros(len(t.buf) + (BACK + 1) * n, np.uint64)
     text = np.repeat(np.arange(n), np.diff(t.ends))
-    out[np.arange(len(t.buf)) + 5 * text + 4] = _LOWER[t.buf]
-    grams = out[4:].copy()
-    for k in range(1, 5):
-        grams |= out[4 - k : len(out) - k] << np.uint64(8 * k)
+    out[np.arange(len(t.buf)) + (BACK + 1) * text + BACK] = _LOWER[t.buf]
+    grams = out[BACK:].copy()
+    for k in range(1, BACK + 1):
+        grams |= out[BACK - k : len(out) - k] << np.uint64(8 * k)
     inner = np.ones(len(grams), bool)
-    edges = t.ends[1:] + 5 * np.arange(1, n + 1) - 4  # the four pads after each end
-    for k in range(4):
+    edges = t.ends[1:] + (BACK + 1) * np.arange(1, n + 1) - BACK  # the pads after each end
+    for k in range(BACK):
         at = edges + k
         inner[at[at < len(grams)]] = False
     return grams[inner], t.ends + np.arange(n + 1)
 
 
-def slots(grams: np.ndarray, order: int, node: np.ndarray) -> np.ndarray:
-    context = (grams >> np.uint64(8)) & np.uint64((1 << (8 * order)) - 1)
-    if order == 1:
+def slots(grams: np.ndarray, which: int, node: np.ndarray) -> np.ndarray:
+    """Places in the table of ORDERS[which]."""
+    context = (grams >> np.uint64(8)) & np.uint64((1 << (8 * ORDERS[which])) - 1)
+    if which == 0:
         return ((context << np.uint64(8)) | node.astype(np.uint64)).astype(np.int64)
-    return (((context * _SEED[order - 1] + node.astype(np.uint64) * _SEED[0]) * _SEED[1]) >> np.uint64(64 - TABLE_BITS[order - 1])).astype(np.int64)
+    return (mix64(context * _SEED[which] + node.astype(np.uint64) * _SEED[0]) >> np.uint64(64 - TABLE_BITS[which])).astype(np.int64)
 
 
 def bits(grams: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -77,14 +79,14 @@ class Mixer:
 
     def votes(self, grams: np.ndarray, node: np.ndarray, bit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Log odds by order and a constant; with bit, the event itself is taken out of the counts."""
-        x = np.empty((len(grams), 5), np.float32)
-        x[:, 4] = 0.3
-        for order in range(1, 5):
-            n = self.tables[order - 1][slots(grams, order, node)].astype(np.float32)
+        x = np.empty((len(grams), len(ORDERS) + 1), np.float32)
+        x[:, -1] = 0.3
+        for which in range(len(ORDERS)):
+            n = self.tables[which][slots(grams, which, node)].astype(np.float32)
             if bit is not None:
                 at = np.arange(len(n))
                 n[at, bit] = np.maximum(n[at, bit] - 1, 0)
-            x[:, order - 1] = np.log((n[:, 1] + 0.02) / (n[:, 0] + 0.02))
+            x[:, which] = np.log((n[:, 1] + 0.02) / (n[:, 0] + 0.02))
         gate = (node & 255) + 256 * (n.sum(1) > 0)
         return x, gate
 
@@ -102,11 +104,12 @@ class Mixer:
         return 0.5 * p + 0.5 * (self.map[gate, low] * (1 - part) + self.map[gate, low + 1] * part)
 
     def learn(self, grams: np.ndarray, counts: np.ndarray, rate: float = 0.02, batch: int = 2048) -> None:
-        """Online steps over batches of strings in a mixed order, each weighted by the log of its count."""
+        """Online steps over batches of strings in a mixed order, each weighted by its count up to 1000."""
         order = np.argsort(mix64(grams), kind="stable")
         for at in range(0, len(order), batch):
             part = order[at : at + batch]
-            g, w = grams[part], np.log1p(counts[part]).astype(np.float32)
+            g, w = grams[part], np.minimum(counts[part], 1000).astype(np.float32)
+            w /= w.mean()
             for _, node, bit in bits(g):
                 x, gate = self.votes(g, node, bit)
                 error = (bit - 1 / (1 + np.exp(-self.mixed(x, gate)))) * w
@@ -261,17 +264,17 @@ def _table_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for data in batch.column(batch.schema.get_field_index("data")):
             grams, counts = _halves(data.as_py(), np.uint64, np.uint64)
-            slot: list[list] = [[], [], [], []]
+            slot: list[list] = [[] for _ in ORDERS]
             for _, node, bit in bits(grams):
-                for order in range(1, 5):
-                    slot[order - 1].append(2 * slots(grams, order, node) + bit)
+                for which in range(len(ORDERS)):
+                    slot[which].append(2 * slots(grams, which, node) + bit)
             rows = []
-            for order in range(1, 5):
-                every, at = np.unique(np.concatenate(slot[order - 1]), return_inverse=True)
+            for which in range(len(ORDERS)):
+                every, at = np.unique(np.concatenate(slot[which]), return_inverse=True)
                 n = np.bincount(at, weights=np.tile(counts.astype(np.float64), 8), minlength=len(every)).astype(np.float32)
                 part = every >> SLICE_BITS
                 starts, ends = runs(part)
-                rows += [(int(order * 1000 + part[s]), planes((every[s:e] & ((1 << SLICE_BITS) - 1)).astype(np.uint16)) + planes(n[s:e])) for s, e in zip(starts, ends)]
+                rows += [(int(which * 1000 + part[s]), planes((every[s:e] & ((1 << SLICE_BITS) - 1)).astype(np.uint16)) + planes(n[s:e])) for s, e in zip(starts, ends)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["key", "data"])
 
 
@@ -281,8 +284,8 @@ def _table_slice(table: pa.Table) -> pa.Table:
         at, n = _halves(d.as_py(), np.uint16, np.float32)
         total[at] += n
     key = table.column("key")[0].as_py()
-    # orders 3 and 4 need no more than half precision
-    small = np.minimum(total, 60000).astype(np.float16) if key >= 3000 else total.astype(np.float32)
+    # tables of high orders need no more than half precision
+    small = np.minimum(total, 60000).astype(np.float16) if key >= 2000 else total.astype(np.float32)
     return pa.table({"key": pa.array([key], pa.int64()), "data": pa.array([small.tobytes()], pa.binary())})
 
 
@@ -291,8 +294,8 @@ def train(grams: DataFrame) -> Mixer:
     spark = grams.sparkSession
     tables = [np.zeros((1 << (b + 1)), np.float32 if i < 2 else np.float16) for i, b in enumerate(TABLE_BITS)]
     for row in grams.mapInArrow(_table_parts, "key long, data binary").groupBy("key").applyInArrow(_table_slice, "key long, data binary").toLocalIterator():
-        order, part = divmod(row["key"], 1000)
-        own = tables[order - 1]
+        which, part = divmod(row["key"], 1000)
+        own = tables[which]
         own[part << SLICE_BITS : (part + 1) << SLICE_BITS] = np.frombuffer(row["data"], own.dtype)
     model = Mixer([t.reshape(-1, 2) for t in tables])
     shared = spark.sparkContext.broadcast(model)
@@ -306,7 +309,7 @@ def train(grams: DataFrame) -> Mixer:
                 yield pa.RecordBatch.from_arrays([pa.array([float(n.sum())]), pa.array([own.weights.astype(np.float64).ravel().tolist()])], ["n", "w"])
 
     learned = grams.mapInArrow(mixers, "n double, w array<double>").select("n", F.posexplode("w").alias("i", "w")).groupBy("i").agg((F.sum(F.col("n") * F.col("w")) / F.sum("n")).alias("w"))
-    for row in learned.collect():  # GATES * 5 numbers
+    for row in learned.collect():  # GATES * (len(ORDERS) + 1) numbers
         model.weights.ravel()[row["i"]] = row["w"]
     weights = model.weights
 
