@@ -11,7 +11,6 @@ from statuta.llm.common import cut
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root (the smallest node reachable) for every node of links. Hot nodes are only ever one side of a join or a group that is summed partially."""
     edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    was = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -19,8 +18,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(below, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = cut(small.unionByName(below.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
-        if now == was:
+        # stars are final: every u has one v, and no v is a u
+        if not edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() and not edges.select(F.col("v").alias("u")).distinct().join(edges, "u", "left_semi").limit(1).count():
             break
-        was = now
     return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node").unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

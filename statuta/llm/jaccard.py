@@ -36,7 +36,7 @@ from statuta.llm.words import mix64, pieces, shingles, words
 
 SKETCH_BITS, SLICE_BITS = 22, 18
 #: Rows that meet in a column and are paired at once; groups of more get a star, and blocks if need be.
-SMALL = 32
+SMALL = 8
 #: Rows of a block of a large group.
 BLOCK = 256
 #: Bins of a set's histogram, by hash: the sum of the smaller counts of two sets bounds their overlap from above.
@@ -242,12 +242,16 @@ def resolve(met: DataFrame, sets_for: Callable[[DataFrame], DataFrame], hundredt
     links = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(hundredths), "a long, b long"))
     roots = cut(components(links))
 
-    # groups that hold several components still, in blocks of rows, all pairs of blocks
+    # groups that hold several components still: in blocks of rows, all pairs of blocks
     labelled = groups.join(roots.withColumnRenamed("node", "a"), "a", "left").select("g", "a", F.coalesce("root", "a").alias("root"))
-    mixed = labelled.groupBy("g").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("g", F.ceil(F.col("m") / BLOCK).cast("int").alias("k"))
-    spread = cut(labelled.join(mixed, "g").withColumn("blk", F.pmod(F.xxhash64("a"), "k").cast("int")))
-    if not spread.limit(1).count():
+    mixed = labelled.groupBy("g").agg(F.min("a").alias("b"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("g", "b")
+    open_rows = cut(labelled.join(mixed, "g").select("a", "b", "root"))
+    if not open_rows.limit(1).count():
         return roots
+    # groups that share rows make one cluster, so each row is dealt once per block of its cluster
+    clusters = cut(components(open_rows.select("a", "b")).withColumnsRenamed({"node": "a", "root": "g"}))
+    sizes = clusters.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    spread = cut(open_rows.select("a", "root").distinct().join(clusters, "a").join(sizes, "g").withColumn("blk", F.pmod(F.xxhash64("a"), "k").cast("int")))
     every = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     dealt = every.select("g", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "a", "root")
     if hists is not None:

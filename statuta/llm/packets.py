@@ -29,7 +29,7 @@ def gathered(table: pa.Table, name: str, dtype: type) -> np.ndarray:
 class Dealer:
     """Collects elements and gives them out as rows once there are ``most`` of them."""
 
-    def __init__(self, names: Sequence[str], most: int = 500_000):
+    def __init__(self, names: Sequence[str], most: int = 250_000):
         self.names, self.most, self.held, self.n = names, most, [], 0
 
     def add(self, bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[pa.RecordBatch]:
