@@ -7,7 +7,7 @@ learned online by gradient steps in which each training event is first taken out
 mixed odds, by gate, refines the probability. The score sums log10 of the probabilities of all bytes.
 
 Spark does the counting: tasks send distinct 5-byte strings with counts to buckets, buckets send their bit counts to table slices, and
-only the tables (of fixed size), weights and map reach the driver and, by broadcast, the tasks. The word statistics of the base score are exact: tasks send
+only the tables (float counts, two slots or more for each distinct context as sampled), weights and map reach the driver and, by broadcast, the tasks. The word statistics of the base score are exact: tasks send
 their distinct words to buckets and get each word's count over the training documents back, for any number of words.
 
 Defined cases: a null or empty text is its end alone; a null doc_id counts as held in; repeated rows count as often as they occur and are scored alike; without training
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +29,14 @@ from statuta.llm.common import cut, parts_for
 from statuta.llm.packets import planes, runs, unplanes
 from statuta.llm.words import _LOWER, Texts, mix64, pieces, words
 
-#: Orders of the contexts, log2 of their tables' sizes and of a slice, and bytes of a context kept at most.
+#: Orders of the contexts, log2 of their tables' usual sizes (see table_sizes) and of a slice, and bytes of a context kept at most.
 ORDERS, TABLE_BITS, SLICE_BITS = (1, 2, 3, 4), (16, 20, 22, 22), 16
 BACK = max(ORDERS)
 GATES, LEVELS = 512, 33
+#: Slices of a table are numbered below SLICES.
+SLICES = 1 << 32
+#: One context in so many is counted to size the tables.
+SAMPLE = 256
 _SEED = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 END = np.array([0xE0D0C0B0A0908071], np.uint64)
 
@@ -54,12 +58,17 @@ def strings(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     return grams[inner], t.ends + np.arange(n + 1)
 
 
-def slots(grams: np.ndarray, which: int, node: np.ndarray) -> np.ndarray:
-    """Places in the table of ORDERS[which]."""
+def hashed(grams: np.ndarray, which: int, node: np.ndarray) -> np.ndarray:
+    """64-bit keys of the contexts of ORDERS[which] with the bits so far."""
     context = (grams >> np.uint64(8)) & np.uint64((1 << (8 * ORDERS[which])) - 1)
+    return mix64(context * _SEED[which] + node.astype(np.uint64) * _SEED[0])
+
+
+def slots(grams: np.ndarray, which: int, node: np.ndarray, table_bits: int) -> np.ndarray:
+    """Places in the table of ORDERS[which], of 2 ** table_bits slots."""
     if which == 0:
-        return ((context << np.uint64(8)) | node.astype(np.uint64)).astype(np.int64)
-    return (mix64(context * _SEED[which] + node.astype(np.uint64) * _SEED[0]) >> np.uint64(64 - TABLE_BITS[which])).astype(np.int64)
+        return (grams & np.uint64(0xFF00) | node.astype(np.uint64)).astype(np.int64)
+    return (hashed(grams, which, node) >> np.uint64(64 - table_bits)).astype(np.int64)
 
 
 def bits(grams: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -74,15 +83,23 @@ class Mixer:
 
     def __init__(self, tables: list[np.ndarray]):
         self.tables = tables
+        self.table_bits = [len(t).bit_length() - 1 for t in tables]
         self.weights = np.tile(np.array([0.15, 0.2, 0.3, 0.4, 0.0], np.float32), (GATES, 1))
         self.map: np.ndarray | None = None
 
+    def __getstate__(self) -> dict:
+        # most slots are empty or hold small counts: the broadcast is a fraction of the tables
+        return self.__dict__ | {"tables": [zlib.compress(planes(t.ravel()), 1) for t in self.tables]}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state | {"tables": [unplanes(zlib.decompress(t), np.float32).reshape(-1, 2) for t in state["tables"]]}
+
     def votes(self, grams: np.ndarray, node: np.ndarray, bit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Log odds by order and a constant; with bit, the event itself is taken out of the counts."""
         x = np.empty((len(grams), len(ORDERS) + 1), np.float32)
         x[:, -1] = 0.3
         for which in range(len(ORDERS)):
-            n = self.tables[which][slots(grams, which, node)].astype(np.float32)
+            n = self.tables[which][slots(grams, which, node, self.table_bits[which])].astype(np.float32)
             if bit is not None:
                 at = np.arange(len(n))
                 n[at, bit] = np.maximum(n[at, bit] - 1, 0)
@@ -104,11 +121,11 @@ class Mixer:
         return 0.5 * p + 0.5 * (self.map[gate, low] * (1 - part) + self.map[gate, low + 1] * part)
 
     def learn(self, grams: np.ndarray, counts: np.ndarray, rate: float = 0.02, batch: int = 2048) -> None:
-        """Online steps over batches of strings in a mixed order, each weighted by its count up to 1000."""
+        """Online steps over batches of strings in a mixed order, each weighted by its count."""
         order = np.argsort(mix64(grams), kind="stable")
         for at in range(0, len(order), batch):
             part = order[at : at + batch]
-            g, w = grams[part], np.minimum(counts[part], 1000).astype(np.float32)
+            g, w = grams[part], counts[part].astype(np.float32)
             w /= w.mean()
             for _, node, bit in bits(g):
                 x, gate = self.votes(g, node, bit)
@@ -259,23 +276,45 @@ def _join_strings(table: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array([table.column("key")[0].as_py()], pa.int64()), "data": pa.array([planes(every) + planes(total)], pa.binary())})
 
 
-def _table_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bit counts of a bucket's strings by table slice."""
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct keys of a bucket, one in SAMPLE, by hashed order."""
     for batch in batches:
         for data in batch.column(batch.schema.get_field_index("data")):
-            grams, counts = _halves(data.as_py(), np.uint64, np.uint64)
-            slot: list[list] = [[] for _ in ORDERS]
-            for _, node, bit in bits(grams):
+            grams, _ = _halves(data.as_py(), np.uint64, np.uint64)
+            for which in range(1, len(ORDERS)):
+                keys = [k[k % np.uint64(SAMPLE) == 0] for k in (hashed(grams, which, node) for _, node, _ in bits(grams))]
+                every = np.unique(np.concatenate(keys)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(every), which, np.int32)), pa.array(every)], ["which", "k"])
+
+
+def table_sizes(grams: DataFrame) -> list[int]:
+    """log2 of the tables' sizes: at least two slots for each distinct context, as sampled; up to TABLE_BITS, 32 to 64 slots."""
+    seen = {r["which"]: r["n"] * SAMPLE for r in grams.mapInArrow(_sampled, "which int, k long").distinct().groupBy("which").agg(F.count("*").alias("n")).collect()}
+    roomy = [TABLE_BITS[0]] + [min(most, max(SLICE_BITS, (32 * seen.get(which, 0)).bit_length())) for which, most in enumerate(TABLE_BITS) if which]
+    return [max(size, (2 * seen.get(which, 0)).bit_length()) for which, size in enumerate(roomy)]
+
+
+def _table_parts(sizes: list[int]):
+    """Bit counts of a bucket's strings by table slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(batch.schema.get_field_index("data")):
+                grams, counts = _halves(data.as_py(), np.uint64, np.uint64)
+                slot: list[list] = [[] for _ in ORDERS]
+                for _, node, bit in bits(grams):
+                    for which in range(len(ORDERS)):
+                        slot[which].append(2 * slots(grams, which, node, sizes[which]) + bit)
+                rows = []
                 for which in range(len(ORDERS)):
-                    slot[which].append(2 * slots(grams, which, node) + bit)
-            rows = []
-            for which in range(len(ORDERS)):
-                every, at = np.unique(np.concatenate(slot[which]), return_inverse=True)
-                n = np.bincount(at, weights=np.tile(counts.astype(np.float64), 8), minlength=len(every)).astype(np.float32)
-                part = every >> SLICE_BITS
-                starts, ends = runs(part)
-                rows += [(int(which * 1000 + part[s]), planes((every[s:e] & ((1 << SLICE_BITS) - 1)).astype(np.uint16)) + planes(n[s:e])) for s, e in zip(starts, ends)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["key", "data"])
+                    every, at = np.unique(np.concatenate(slot[which]), return_inverse=True)
+                    n = np.bincount(at, weights=np.tile(counts.astype(np.float64), 8), minlength=len(every)).astype(np.float32)
+                    part = every >> SLICE_BITS
+                    starts, ends = runs(part)
+                    rows += [(int(which * SLICES + part[s]), planes((every[s:e] & ((1 << SLICE_BITS) - 1)).astype(np.uint16)) + planes(n[s:e])) for s, e in zip(starts, ends)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["key", "data"])
+
+    return run
 
 
 def _table_slice(table: pa.Table) -> pa.Table:
@@ -284,17 +323,16 @@ def _table_slice(table: pa.Table) -> pa.Table:
         at, n = _halves(d.as_py(), np.uint16, np.float32)
         total[at] += n
     key = table.column("key")[0].as_py()
-    # tables of high orders need no more than half precision
-    small = np.minimum(total, 60000).astype(np.float16) if key >= 2000 else total.astype(np.float32)
-    return pa.table({"key": pa.array([key], pa.int64()), "data": pa.array([small.tobytes()], pa.binary())})
+    return pa.table({"key": pa.array([key], pa.int64()), "data": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
-def train(grams: DataFrame) -> Mixer:
-    """The model from (key, data) buckets of distinct strings."""
+def train(grams: DataFrame) -> tuple[Mixer, Broadcast]:
+    """The model from (key, data) buckets of distinct strings, and the broadcast of its tables."""
     spark = grams.sparkSession
-    tables = [np.zeros((1 << (b + 1)), np.float32 if i < 2 else np.float16) for i, b in enumerate(TABLE_BITS)]
-    for row in grams.mapInArrow(_table_parts, "key long, data binary").groupBy("key").applyInArrow(_table_slice, "key long, data binary").toLocalIterator():
-        which, part = divmod(row["key"], 1000)
+    sizes = table_sizes(grams)
+    tables = [np.zeros(1 << (b + 1), np.float32) for b in sizes]
+    for row in grams.mapInArrow(_table_parts(sizes), "key long, data binary").groupBy("key").applyInArrow(_table_slice, "key long, data binary").toLocalIterator():
+        which, part = divmod(row["key"], SLICES)
         own = tables[which]
         own[part << SLICE_BITS : (part + 1) << SLICE_BITS] = np.frombuffer(row["data"], own.dtype)
     model = Mixer([t.reshape(-1, 2) for t in tables])
@@ -328,12 +366,11 @@ def train(grams: DataFrame) -> Mixer:
     seen = seen.reshape(GATES, LEVELS, 2)
     centre = 1 / (1 + np.exp(-(np.arange(LEVELS) * 24 / (LEVELS - 1) - 12)))
     model.map = (seen[:, :, 1] + 20 * centre) / (seen.sum(2) + 20)
-    return model
+    return model, shared
 
 
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes and bits_per_byte of every row; learns where held_out is false."""
-    spark = docs.sparkSession
     source = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.xxhash64("text", F.isnull("doc_id")).alias("h"))
     buckets = parts_for(source.select("text"), 4 << 20)
     scanned = cut(source.mapInArrow(_scan(buckets), "kind tinyint, key long, chunk long, data binary"))
@@ -344,10 +381,12 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     base = both.groupBy("chunk").applyInArrow(_sum_documents(n_all, n_distinct), "doc_id long, h long, n_tokens long, n_known long, base_score double")
     base = base.groupBy("doc_id", "h").agg(*[F.first(c).alias(c) for c in ("n_tokens", "n_known", "base_score")]).withColumnsRenamed({"doc_id": "_d", "h": "_h"})
     grams = cut(scanned.where("kind = 2").groupBy("key").applyInArrow(_join_strings, "key long, data binary"))
-    shared = spark.sparkContext.broadcast(train(grams))
+    trained, shared = train(grams)
+    weights, refine = trained.weights, trained.map
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Mixer(shared.value.tables)
+        model.weights, model.map = weights, refine
         for batch, t in pieces(batches, "text", 2 << 20):
             found, bounds = strings(t)
             every, at = np.unique(found, return_inverse=True)

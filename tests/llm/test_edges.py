@@ -251,6 +251,33 @@ def test_bits_sum_to_one():
     assert abs((10 ** model.log10(np.array(t, np.uint64))).sum() - 1) < 1e-9
 
 
+def test_frequent_contexts_keep_their_ratio(spark, monkeypatch):
+    import numpy as np
+
+    def bucket(grams, counts):
+        data = mixture.planes(np.array(grams, np.uint64)) + mixture.planes(np.array(counts, np.uint64))
+        return spark.createDataFrame([(0, bytearray(data))], "key long, data binary")
+
+    # after "aaaa" 2,000,000 times b, 30,000 times c: they differ in the last bit alone
+    b, c = (int.from_bytes(b"aaaa" + x, "big") for x in (b"b", b"c"))
+    model, _ = mixture.train(bucket([b, c], [2_000_000, 30_000]))
+    votes, _ = model.votes(np.array([b], np.uint64), np.array([256 + 98 >> 1 | 128]))
+    assert abs(votes[0, :4] - math.log(30_000 / 2_000_000)).max() < 0.01
+    counts = [10, 1000, 100_000]
+    learned = mixture.Mixer(model.tables), mixture.Mixer(model.tables)
+    for m, most in zip(learned, (10**6, 1000)):
+        m.learn(np.array([b, c, c ^ 1 << 8], np.uint64), np.minimum(counts, most))
+    assert abs(learned[0].weights - learned[1].weights).max() > 1e-4
+    # tables have at least two slots for each distinct context, as sampled
+    monkeypatch.setattr(mixture, "TABLE_BITS", (16, 4, 4, 4))
+    monkeypatch.setattr(mixture, "SLICE_BITS", 4)
+    grams = np.unique(np.random.default_rng(5).integers(0, 1 << 40, 60_000, np.uint64))
+    sizes = mixture.table_sizes(bucket(grams, np.ones(len(grams))))
+    for which, size in list(enumerate(sizes))[1:]:
+        n = len({(int(g) >> 8 & (1 << 8 * which + 8) - 1, int(k)) for _, node, _ in mixture.bits(grams) for g, k in zip(grams, node)})
+        assert sizes[0] == 16 and 1.6 * n < 1 << size < 5 * n
+
+
 def test_neighbours(spark):
     rng = random.Random(9)
     vec = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(300)]
