@@ -8,7 +8,7 @@ are clusters. Within a cluster the first paragraph by (doc_id, place) stays, lat
 A band bucket of many paragraphs gives a star around its member of smallest hash first. Members that the star leaves outside its
 component are paired in blocks, not listed: see ``jaccard``, whose verification and block products this module shares.
 
-Defined cases: null and empty texts have no paragraph; paragraphs of fewer words are kept; a paragraph repeated within a document counts like one
+Defined cases: null and empty texts have no paragraph; paragraphs of fewer words, and lines without words, are kept; a paragraph repeated within a document counts like one
 in another; repeated rows are copies, the first of equal (doc_id, place) stays; empty tables give no row; extra columns are ignored.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from statuta.llm.common import BROADCAST_ROWS, cut, parts_for
 from statuta.llm.decontam import permuted
-from statuta.llm.jaccard import _meet, class_of, resolve
+from statuta.llm.jaccard import _meet, resolve
 from statuta.llm.packets import Dealer
 from statuta.llm.words import Texts, mix64, pieces, shingles, words
 
@@ -43,14 +43,20 @@ class Lines:
         doc = np.searchsorted(t.ends, begin, "right") - 1
         hashed, start, _, _ = words(t)
         edges = np.append(np.searchsorted(start, begin), len(hashed))
-        self.found, bounds = shingles(hashed, edges)
-        kept = np.flatnonzero(np.diff(edges) >= min_words)
+        found, bounds = shingles(hashed, edges)
+        kept = np.flatnonzero(np.diff(edges) >= max(min_words, 1))
         self.doc, self.place = doc[kept], (np.arange(len(begin)) - np.searchsorted(begin, t.ends[:-1])[doc])[kept]
-        self.words, self.begin, self.end = np.diff(edges)[kept], bounds[kept], bounds[kept + 1]
-
-    def sets(self) -> Iterator[np.ndarray]:
-        for s, e in zip(self.begin, self.end):
-            yield np.unique(self.found[s:e])
+        self.words, size = np.diff(edges)[kept], np.diff(bounds)[kept]
+        line = np.repeat(np.arange(len(kept)), size)
+        found = found[np.arange(len(line)) + np.repeat(bounds[kept] - np.cumsum(size) + size, size)]
+        found = found[np.lexsort((found, line))]
+        new = np.ones(len(found), bool)
+        new[1:] = (found[1:] != found[:-1]) | (line[1:] != line[:-1])
+        # the distinct shingles line by line, where each line's begin, how many they are, and their class_of
+        self.found, self.sizes = found[new], np.bincount(line[new], minlength=len(kept))
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        sums = np.add.reduceat(mix64(self.found), self.begin) if len(kept) else np.zeros(0, np.uint64)
+        self.classes = mix64(sums + self.sizes.astype(np.uint64)).view(np.int64)
 
 
 def find(docs: DataFrame, *, min_words: int = 20, hundredths: int = 75, recall: float = 0.9999) -> DataFrame:
@@ -62,32 +68,33 @@ def find(docs: DataFrame, *, min_words: int = 20, hundredths: int = 75, recall:
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, t in pieces(batches, "text"):
             lines = Lines(t, min_words)
-            c = [class_of(s) for s in lines.sets()]
             ids = batch.column(batch.schema.get_field_index("doc_id")).take(pa.array(lines.doc))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(lines.place.astype(np.int32)), pa.array(lines.words.astype(np.int32)), pa.array(c, pa.int64())], ["doc_id", "place", "n_words", "c"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(lines.place.astype(np.int32)), pa.array(lines.words.astype(np.int32)), pa.array(lines.classes)], ["doc_id", "place", "n_words", "c"])
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealer, done = Dealer(["token", "row", "size"]), set()
         for _, t in pieces(batches, "text"):
             lines = Lines(t, min_words)
-            classes, sizes, picked = [], [], []
-            for s in lines.sets():
-                c = class_of(s)
+            # a set of k differs from any other by one of k + 1 at least: smaller ones are alike only if equal, which classes tell
+            linked, picked = 100 * lines.sizes >= hundredths * (lines.sizes + 1), []
+            for i in np.flatnonzero(linked).tolist():
+                c = int(lines.classes[i])
                 if c in done:
                     continue
                 if len(done) < 500_000:
                     done.add(c)
-                classes.append(c)
-                sizes.append(len(s))
-                picked.append(s)
+                picked.append(i)
             if not picked:
                 continue
-            at, every = np.cumsum([0, *sizes[:-1]]), np.concatenate(picked)
+            chosen = np.zeros(len(lines.sizes), bool)
+            chosen[picked] = True
+            classes, sizes = lines.classes[chosen], lines.sizes[chosen]
+            at, every = np.cumsum(sizes) - sizes, lines.found[np.repeat(chosen, lines.sizes)]
             for b in range(bands):
                 key = np.full(len(at), b + 1, np.uint64)
                 for r in range(rows):
                     key = mix64(key * np.uint64(31) + np.minimum.reduceat(permuted(every, b * rows + r), at))
-                yield from dealer.add((key % np.uint64(blocks)).astype(np.int32), key, np.array(classes, np.int64), np.array(sizes, np.int32))
+                yield from dealer.add((key % np.uint64(blocks)).astype(np.int32), key, classes, sizes.astype(np.int32))
         yield from dealer.flush()
 
     table = cut(source.mapInArrow(listed, "doc_id long, place int, n_words int, c long"))
@@ -96,7 +103,7 @@ def find(docs: DataFrame, *, min_words: int = 20, hundredths: int = 75, recall:
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, t in pieces(batches, "text"):
             lines, want = Lines(t, min_words), [set(x) for x in batch.column(batch.schema.get_field_index("_cs")).to_pylist()]
-            own = [(c, s.tobytes()) for i, s in zip(lines.doc, lines.sets()) if (c := class_of(s)) in want[i]]
+            own = [(c, lines.found[s : s + n].tobytes()) for i, c, s, n in zip(lines.doc, lines.classes.tolist(), lines.begin, lines.sizes) if c in want[i]]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in own], pa.int64()), pa.array([s for _, s in own], pa.binary())], ["c", "set"])
 
     def sets_for(wanted: DataFrame) -> DataFrame:

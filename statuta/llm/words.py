@@ -116,7 +116,7 @@ def shingles(hashed: np.ndarray, first: np.ndarray, n: int = 5) -> tuple[np.ndar
         at = np.arange(len(out)) - bounds[text] + first[text]
         full = count[text] >= n
         out[full] = mix64(total[at[full]])
-    for i in np.flatnonzero((count > 0) & (count < n)):
-        w = hashed[first[i] : first[i + 1]]
-        out[bounds[i]] = mix64((w * _WORD[: len(w)]).sum(keepdims=True) + np.uint64(1000 + len(w)))[0]
+    for k in range(1, n):
+        i = np.flatnonzero(count == k)
+        out[bounds[i]] = mix64((hashed[first[i][:, None] + np.arange(k)] * _WORD[:k]).sum(1) + np.uint64(1000 + k))
     return out, bounds

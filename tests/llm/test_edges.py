@@ -141,6 +141,23 @@ def test_paragraphs(spark, docs, empty):
     assert paragraphs.clean(plain).where("doc_id = 67").first()["text"].count("\n") < 1
 
 
+def test_short_paragraphs(spark, tmp_path):
+    from statuta.llm import queries
+
+    rng = random.Random(8)
+    long = [random_text(rng, n) for n in (5, 6, 7, 8, 12, 15, 19, 24)]
+    rows = [(i, "\n".join(["Home page", "", " \t", long[i % 8], " ".join(random_text(rng, 9).split() + ["end"]), long[(i + 3) % 8] + f" more{i % 4}", f"{i % 5}"])) for i in range(24)]
+    lines = [(d, k, x) for d, t in rows for k, x in enumerate(t.split("\n")) if words(x)]
+    sets = [shingles(x) for *_, x in lines]
+    roots = groups(lines, lambda i, j: 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]))
+    size = Counter(roots)
+    first = {r: min((d, k) for (d, k, _), q in zip(lines, roots) if q == r) for r in size}
+    want = {(d, k, len(words(x)), *first[r], size[r], (d, k) != first[r]) for (d, k, x), r in zip(lines, roots) if size[r] > 1}
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in queries.op10_paragraph_dedup(spark, str(tmp_path)).collect()}
+    assert got == want and {1, 2, 8} <= {w[2] for w in want}
+
+
 def test_earlier_strings(spark, docs, empty):
     rows = [(r[0], r[1]) for r in make_rows()]
     first, far = {}, 2**63
