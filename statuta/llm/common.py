@@ -16,12 +16,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the shared folder of spark.checkpoint.dir (own folder only where that is unset, as in tests)."""
-    spark = df.sparkSession
+    """df checkpointed in the shared folder that spark.checkpoint.dir names."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; in local mode, as in tests, a new one where that is unset. A cluster must name one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
 
 
 def planned_bytes(df: DataFrame) -> int:
@@ -38,11 +46,13 @@ def parts_for(df: DataFrame, bytes_each: int, least: int = 24) -> int:
     return max(least, -(-planned_bytes(df) // bytes_each))
 
 
-def semi_by_ids(df: DataFrame, ids: DataFrame, key: str, keep: bool = True) -> DataFrame:
-    """Rows of df whose key is (keep) or isn't (not keep) in ids. The ids are broadcast only below BROADCAST_ROWS."""
-    ids = cut(ids.select(key).distinct())
-    small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(ids) if small else ids, key, "left_semi" if keep else "left_anti")
+def without(docs: DataFrame, keys: DataFrame, keep: bool = False) -> DataFrame:
+    """Rows of docs whose doc_id (null-safe) and text hash are not (keep: are) among keys (doc_id, h). The keys are broadcast only below BROADCAST_ROWS."""
+    keys = cut(keys.select(F.col("doc_id").alias("_key"), F.col("h").alias("_hash")).distinct())
+    small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = docs.select(F.struct("*").alias("_row"))  # in a struct, no column of docs clashes
+    on = F.col("_row.doc_id").eqNullSafe(F.col("_key")) & (F.xxhash64("_row.text") == F.col("_hash"))
+    return rows.join(F.broadcast(keys) if small else keys, on, "left_semi" if keep else "left_anti").select("_row.*")
 
 
 def fold(doc_id: Column | str, n: int = 5) -> Column:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statuta.llm.common import without
 from statuta.llm.words import mix64, pieces, shingles, texts_of, words
 
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -93,12 +94,12 @@ def search(found: np.ndarray, bounds: np.ndarray, items: Items) -> set[tuple[int
     return hits
 
 
-def find(docs: DataFrame, items: DataFrame, *, threshold: float = 0.75, bands: int = 40, block_items: int = 20_000, block_chars: int = 40_000_000) -> DataFrame:
-    """A row for each document and item it contains: doc_id, item_id, n_item (its shingles), n_shared, containment."""
+def hits(docs: DataFrame, items: DataFrame, *, threshold: float = 0.75, bands: int = 40, block_items: int = 100_000, block_chars: int = 40_000_000) -> DataFrame:
+    """A row for each document and item it contains: doc_id, h (the text's hash), item_id, n_item (its shingles), n_shared, containment."""
     spark = docs.sparkSession
-    schema = "doc_id long, item_id long, n_item long, n_shared long, containment double"
+    schema = "doc_id long, h long, item_id long, n_item long, n_shared long, containment double"
     out = None
-    source = docs.select("doc_id", "text")
+    source = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     hundredths = round(threshold * 100)
     for ids, texts in _blocks(items, block_items, block_chars):
         shared = spark.sparkContext.broadcast(Items(ids, texts, bands))
@@ -113,9 +114,9 @@ def find(docs: DataFrame, items: DataFrame, *, threshold: float = 0.75, bands: i
                     want = block.sets[j]
                     n = int(np.isin(want, found[bounds[i] : bounds[i + 1]]).sum())
                     if 100 * n >= hundredths * len(want):
-                        rows.append((batch.column(0)[i].as_py(), block.ids[j], len(want), n, n / len(want)))
+                        rows.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), block.ids[j], len(want), n, n / len(want)))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "n_item", "n_shared", "containment"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "h", "item_id", "n_item", "n_shared", "containment"])
 
         part = source.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
@@ -136,8 +137,11 @@ def _blocks(items: DataFrame, most: int, chars: int) -> Iterator[tuple[list, lis
         yield ids, texts
 
 
-def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs without those that contain an item."""
-    from statuta.llm.common import semi_by_ids
+def find(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """A row for each document and item it contains: doc_id, item_id, n_item (its shingles), n_shared, containment."""
+    return hits(docs, items, **options).drop("h")
 
-    return semi_by_ids(docs, find(docs, items, **options), "doc_id", keep=False)
+
+def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """docs without those that contain an item; rows of a null doc_id are told apart by their texts."""
+    return without(docs, hits(docs, items, **options))

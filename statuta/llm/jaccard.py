@@ -8,15 +8,16 @@ the matrix (a class). Work goes in these steps:
    first |x| - ceil(0.75 |x|) + 1 columns of each; only these entries are dealt to column blocks;
 3. each block of columns finds the rows that meet in a column. Few rows give all pairs within the size bound 0.75 * max <= min; many rows give a
    star around the row of smallest hash, and the group itself is kept;
-4. pairs whose overlap the sets' histograms bound below what the sizes ask for are discarded, the others verified by exact overlap
-   counts; links give components. Groups that still hold several components are multiplied out in blocks of rows: histograms first, then the rows
-   that have a possible partner; a block pair accumulates their overlap counts column by column and keeps a spanning forest of the
-   links found, so no pair is lost and no group is held or listed whole;
+4. pairs whose overlap the sets' histograms bound below what the sizes ask for are discarded. Each set left is dealt once to every block it is
+   needed in, straight from its text: the block of a star holds the star's centre and its members in a row, and their overlap counts accumulate
+   over the centre's columns, so memory is a batch; links give components. Groups that still hold several components are multiplied out in
+   blocks of rows: histograms first, then the rows that have a possible partner; a block pair accumulates overlap counts column by
+   column and keeps a spanning forest of the links found, so no pair is lost and no group is held or listed whole;
 5. components of all links give each document the smallest doc_id it reaches.
 
 Defined cases: a text of fewer than five words is one shingle; no text, or none but white space, links with nothing; equal rows are
-copies of one another; rows with a null doc_id take part and get the smallest known doc_id of their component; an empty table gives no row; extra columns are
-ignored.
+copies of one another; rows with a null doc_id take part (a row is known by its doc_id and its text's hash) and get the smallest known doc_id of their component,
+null where there is none; an empty table gives no row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,18 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statuta.llm.common import BROADCAST_ROWS, cut, parts_for, semi_by_ids
+from statuta.llm.common import BROADCAST_ROWS, cut, parts_for, without
 from statuta.llm.components import components
 from statuta.llm.packets import Dealer, gathered, runs
-from statuta.llm.words import mix64, pieces, shingles, words
+from statuta.llm.words import Texts, mix64, pieces, shingles, words
 
 SKETCH_BITS, SLICE_BITS = 22, 18
 #: Rows that meet in a column and are paired at once; groups of more get a star, and blocks if need be.
 SMALL = 8
-#: Rows of a block of a large group.
-BLOCK = 256
-#: Bins of a set's histogram, by hash: the sum of the smaller counts of two sets bounds their overlap from above.
-BINS = 64
+#: Rows and shingles of a block of a large group, and shingles of a star's block.
+BLOCK, BLOCK_SHINGLES, STAR_SHINGLES = 256, 1 << 19, 1 << 22
 
 
 def sets_of(t, n: int = 5) -> Iterator[np.ndarray]:
@@ -57,8 +56,17 @@ def class_of(s: np.ndarray) -> int:
 
 
 def histogram(s: np.ndarray) -> bytes:
-    """Counts of the set's hashes in BINS bins; counts over 65535 stay there, which then bounds less only for sets that large."""
-    return np.minimum(np.bincount((s >> np.uint64(16)).astype(np.int64) % BINS, minlength=BINS), 65535).astype(np.uint16).tobytes()
+    """Counts of the set's hashes in bins by their first bits, two to four hashes to a bin; a count of 255 stands for any larger one, too.
+
+    The sum of the smaller counts of two sets bounds their overlap from above; neighbouring bins add up to half as many.
+    """
+    bits = max(3, (len(s) // 4).bit_length())
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def _halved(x: np.ndarray) -> np.ndarray:
+    """Histograms with half the bins; a bin that gets full may stand for any larger count."""
+    return np.minimum(x[:, ::2].astype(np.int32) + x[:, 1::2], 255)
 
 
 def _slot(s: np.ndarray) -> np.ndarray:
@@ -66,7 +74,7 @@ def _slot(s: np.ndarray) -> np.ndarray:
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n", "c", "hist", "slice", "counts"]
+    names = ["doc_id", "h", "n", "c", "hist", "slice", "counts"]
     sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
     for batch, t in pieces(batches, "text"):
         sizes, classes, seen, hists = [], [], [], []
@@ -77,11 +85,11 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hists.append(histogram(s))
         np.add.at(sketch, np.concatenate(seen), 1)
         k = len(sizes)
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(sizes, pa.int32()), pa.array(classes, pa.int64()), pa.array(hists, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), batch.column(batch.schema.get_field_index("h")), pa.array(sizes, pa.int32()), pa.array(classes, pa.int64()), pa.array(hists, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
     for i in range(1 << (SKETCH_BITS - SLICE_BITS)):
         part = sketch[i << SLICE_BITS : (i + 1) << SLICE_BITS]
         if part.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([i], pa.int32()), pa.array([zlib.compress(part.astype(np.uint32).tobytes(), 1)], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([i], pa.int32()), pa.array([zlib.compress(part.astype(np.uint32).tobytes(), 1)], pa.binary())], names)
 
 
 def _levels(table: pa.Table) -> pa.Table:
@@ -98,7 +106,7 @@ def _needed(n: int, hundredths: int) -> int:
 
 
 def _meet(table: pa.Table, hundredths: int) -> pa.Table:
-    """Pairs and large groups of the rows that meet in a column of this block. Group rows have b null, pairs g null."""
+    """Pairs (a of the smaller hash, a star's centre) and large groups of the rows that meet in a column of this block. Group rows have b null, pairs g null."""
     token, row, size = gathered(table, "token", np.uint64), gathered(table, "row", np.int64), gathered(table, "size", np.int32)
     order = np.lexsort((row, token))
     token, row, size = token[order], row[order], size[order]
@@ -116,6 +124,8 @@ def _meet(table: pa.Table, hundredths: int) -> pa.Table:
         seen.add(key)
         if len(r) <= SMALL:
             i, j = np.triu_indices(len(r), 1)
+            h = mix64(r.view(np.uint64))
+            i, j = np.where(h[i] <= h[j], i, j), np.where(h[i] <= h[j], j, i)
         else:
             lead = np.argmin(mix64(r.view(np.uint64)))
             j = np.delete(np.arange(len(r)), lead)
@@ -123,7 +133,7 @@ def _meet(table: pa.Table, hundredths: int) -> pa.Table:
             g = int(np.bitwise_xor.reduce(mix64(r.view(np.uint64))).view(np.int64))
             groups.append((np.full(len(r), g), r, n))
         ok = 100 * np.minimum(n[i], n[j]) >= hundredths * np.maximum(n[i], n[j])
-        pairs.append(np.stack([np.minimum(r[i], r[j]), np.maximum(r[i], r[j])], 1)[ok])
+        pairs.append(np.stack([r[i], r[j]], 1)[ok])
     pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
     g, r, n = (np.concatenate(x) for x in zip(*groups)) if groups else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
     k = len(pairs)
@@ -131,36 +141,68 @@ def _meet(table: pa.Table, hundredths: int) -> pa.Table:
 
 
 def _verify(hundredths: int):
+    """Links between the centre and the members of stars, whose rows come one after another with the centre first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        star, centre = None, np.zeros(0, np.uint64)
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            x, y = batch.column(2), batch.column(3)
-            for i in range(batch.num_rows):
-                s, t = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
-                both = np.concatenate([s, t])
-                both.sort(kind="stable")
-                n = int((both[1:] == both[:-1]).sum())
-                keep[i] = 100 * n >= hundredths * (len(s) + len(t) - n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+            p, q, c, first = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            sets = batch.column(4)
+            links: list[np.ndarray] = []
+            new = np.ones(len(p), bool)
+            new[1:] = (p[1:] != p[:-1]) | (q[1:] != q[:-1])
+            starts = np.flatnonzero(new)
+            for s, e in zip(starts, np.append(starts[1:], len(p))):
+                while s < e and first[s]:  # a centre may come from several equal rows
+                    star, centre = (p[s], q[s]), np.frombuffer(sets[s].as_buffer(), np.uint64)
+                    s += 1
+                if s == e or star != (p[s], q[s]):
+                    continue
+                rows = [np.frombuffer(sets[i].as_buffer(), np.uint64) for i in range(s, e)]
+                sizes = np.array([len(x) for x in rows])
+                token = np.concatenate(rows)
+                place = np.minimum(np.searchsorted(centre, token), len(centre) - 1)
+                overlap = np.add.reduceat((centre[place] == token).astype(np.int64), np.cumsum(sizes) - sizes)
+                linked = c[s:e][_possible(overlap, sizes, len(centre), hundredths)]
+                links.append(np.stack([np.full(len(linked), p[s]), linked], 1))
+            if links:
+                a, b = np.concatenate(links).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b))], ["a", "b"])
 
     return run
 
 
-def _possible(overlap: np.ndarray, n: np.ndarray, m: np.ndarray, hundredths: int) -> np.ndarray:
-    """Whether an overlap of no more than this can make a link of sets of n and m."""
+def _possible(overlap: np.ndarray, n: np.ndarray, m: np.ndarray | int, hundredths: int) -> np.ndarray:
+    """Whether sets of n and m with this overlap link."""
     return 100 * overlap >= hundredths * (n + m - overlap)
 
 
+def _alike(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, hundredths: int) -> np.ndarray:
+    """Whether histograms of as many bins leave a link possible."""
+    full = (x == 255).any(-1) | (y == 255).any(-1)
+    return full | _possible(np.minimum(x, y).sum(-1, dtype=np.int64), n, m, hundredths)
+
+
 def _bounded(hundredths: int):
-    """Pairs that the histograms x and y leave possible."""
+    """Pairs that the histograms x and y (of sets of n and m) leave possible."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, BINS).astype(np.int64) for k in (2, 3))
-                full = (x == 65535).any(1) | (y == 65535).any(1)
-                keep = full | _possible(np.minimum(x, y).sum(1), x.sum(1), y.sum(1), hundredths)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+            if not batch.num_rows:
+                continue
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            n, m = batch.column(4).to_numpy().astype(np.int64), batch.column(5).to_numpy().astype(np.int64)
+            keep = np.zeros(len(n), bool)
+            kinds = np.array([len(v) for v in x]) * (1 << 32) + np.array([len(v) for v in y])
+            for kind in np.unique(kinds).tolist():
+                at = np.flatnonzero(kinds == kind)
+                u, v = (np.frombuffer(b"".join(side[i] for i in at), np.uint8).reshape(len(at), -1) for side in (x, y))
+                while u.shape[1] > v.shape[1]:
+                    u = _halved(u)
+                while v.shape[1] > u.shape[1]:
+                    v = _halved(v)
+                keep[at] = _alike(u, v, n[at], m[at], hundredths)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
     return run
 
@@ -169,12 +211,19 @@ def _partners(hundredths: int):
     """Of a block pair the rows that have a possible partner of another component."""
 
     def run(table: pa.Table) -> pa.Table:
-        x = np.frombuffer(b"".join(table.column("hist").to_pylist()), np.uint16).reshape(-1, BINS).astype(np.int32)
-        root, n, some = table.column("root").to_numpy(), x.sum(1), np.zeros(len(x), bool)
-        full = (x == 65535).any(1)
-        for i in range(len(x)):
-            other = root != root[i]
-            some[i] = (other & (full | full[i] | _possible(np.minimum(x, x[i]).sum(1), n, n[i], hundredths))).any()
+        hists, root, n = table.column("hist").to_pylist(), table.column("root").to_numpy(), table.column("n").to_numpy().astype(np.int64)
+        bins, some = np.array([len(h) for h in hists]), np.zeros(len(hists), bool)
+        for size in np.unique(bins).tolist():
+            # linked sets differ by a third in size at most, so their bins by a factor of two
+            own, above = np.flatnonzero(bins == size), np.flatnonzero(bins == 2 * size)
+            at = np.concatenate([own, above])
+            x = np.frombuffer(b"".join(hists[i] for i in own), np.uint8).reshape(len(own), size).astype(np.int32)
+            if len(above):
+                x = np.concatenate([x, _halved(np.frombuffer(b"".join(hists[i] for i in above), np.uint8).reshape(len(above), 2 * size))])
+            for k, i in enumerate(own):
+                ok = (root[at] != root[i]) & _alike(x, x[k], n[at], n[i], hundredths)
+                some[i] |= ok.any()
+                some[at[ok]] = True
         return table.select(["g", "i", "j", "a"]).filter(pa.array(some))
 
     return run
@@ -202,7 +251,7 @@ def _multiply(hundredths: int):
     """Overlap counts of a block pair's rows, accumulated by columns; a spanning forest of the links."""
 
     def run(table: pa.Table) -> pa.Table:
-        by = {r: np.frombuffer(x.as_py(), np.uint64) for r, x in zip(table.column("a").to_pylist(), table.column("set"))}
+        by = {r: np.frombuffer(x.as_py(), np.uint64) for r, x in zip(table.column("c").to_pylist(), table.column("set"))}
         rows = sorted(by)
         sizes = np.array([len(by[r]) for r in rows], np.int64)
         token = np.concatenate([by[r] for r in rows])
@@ -228,18 +277,60 @@ def _multiply(hundredths: int):
     return run
 
 
-def resolve(met: DataFrame, sets_for: Callable[[DataFrame], DataFrame], hundredths: int, hists: DataFrame | None = None) -> DataFrame:
-    """node, root of all links among the candidates of ``_meet``; sets_for gives (c, set) of a table of classes c, hists (c, hist) of all classes."""
+def extracted(sets: Callable[[Texts], list[dict[int, np.ndarray]]]):
+    """For mapInArrow over (text, _want): each class wanted of a row, to each of its places. sets gives a text's classes and sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()  # rows that are known by the same id and text come once a task
+        for batch, t in pieces(batches, "text"):
+            want, out = batch.column(batch.schema.get_field_index("_want")).to_pylist(), []
+            for known, asked in zip(sets(t), want):
+                for x in asked:
+                    if x["c"] in known and x["c"] not in done:
+                        if len(done) < 500_000:
+                            done.add(x["c"])
+                        data = known[x["c"]].tobytes()
+                        out += [(to["p"], to["q"], x["c"], to["first"], data) for to in x["to"]]
+            for at in range(0, len(out), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out[at : at + 1000]), (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], ["p", "q", "c", "first", "set"])
+
+    return run
+
+
+PLACED = "p long, q long, c long, first boolean, set binary"
+
+
+def dealing(source: DataFrame, owners: DataFrame, sets: Callable[[Texts], list[dict[int, np.ndarray]]]) -> Callable[[DataFrame], DataFrame]:
+    """A function that takes (c, p, q, first) and gives the rows of PLACED. source: doc_id, h, text; owners: c, doc_id, h of rows that have c."""
+    owner = owners.groupBy("c").agg(F.min(F.struct(F.isnull("doc_id").alias("u"), "doc_id", "h")).alias("o")).select("c", F.col("o.doc_id").alias("_d"), F.col("o.h").alias("_h"))
+
+    def deal(places: DataFrame) -> DataFrame:
+        to = places.groupBy("c").agg(F.collect_list(F.struct("p", "q", "first")).alias("to"))
+        chosen = cut(to.join(owner, "c").groupBy("_d", "_h").agg(F.collect_list(F.struct("c", "to")).alias("_want")))
+        n = chosen.agg(F.coalesce(F.sum(F.aggregate("_want", F.lit(1), lambda k, x: k + 1 + F.size(x["to"]))), F.lit(0))).first()[0]
+        on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))
+        return source.join(F.broadcast(chosen) if n <= BROADCAST_ROWS else chosen, on).select("text", "_want").mapInArrow(extracted(sets), PLACED)
+
+    return deal
+
+
+def resolve(met: DataFrame, classes: DataFrame, deal: Callable[[DataFrame], DataFrame], hundredths: int) -> DataFrame:
+    """node, root of all links among the candidates of ``_meet``; classes: c, n (its shingles) and hist (null: none kept)."""
     pairs = cut(met.where("b IS NOT NULL").select("a", "b").distinct())
     groups = cut(met.where("g IS NOT NULL").select("g", "a").distinct())
-    if hists is not None:
-        wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).union(groups.select("a")).distinct()
-        hists = cut(hists.join(wanted, "c").groupBy("c").agg(F.first("hist").alias("hist")))
-        left, right = hists.withColumnsRenamed({"c": "a", "hist": "x"}), hists.withColumnsRenamed({"c": "b", "hist": "y"})
-        pairs = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_bounded(hundredths), "a long, b long"))
-    sets = cut(sets_for(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()))
-    left, right = sets.withColumnsRenamed({"c": "a", "set": "x"}), sets.withColumnsRenamed({"c": "b", "set": "y"})
-    links = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(hundredths), "a long, b long"))
+    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).union(groups.select("a")).distinct()
+    classes = cut(classes.join(wanted, "c").groupBy("c").agg(F.first("n").alias("n"), F.first("hist").alias("hist")))
+    left, right = classes.withColumnsRenamed({"c": "a", "n": "n", "hist": "x"}), classes.withColumnsRenamed({"c": "b", "n": "m", "hist": "y"})
+    pairs = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "n", "m")
+    bounded = pairs.where("x IS NOT NULL AND y IS NOT NULL").mapInArrow(_bounded(hundredths), "a long, b long")
+    pairs = cut(bounded.unionByName(pairs.where("x IS NULL OR y IS NULL").select("a", "b")))
+
+    # a star's members by blocks of about STAR_SHINGLES
+    stars = pairs.join(right, "b").groupBy("a").agg(F.ceil(F.sum("m") / STAR_SHINGLES).cast("long").alias("k"))
+    members = pairs.join(stars, "a").select(F.col("b").alias("c"), F.col("a").alias("p"), F.pmod(F.xxhash64("b", F.lit(6)), "k").alias("q"), F.lit(False).alias("first"))
+    centres = members.select(F.col("p").alias("c"), "p", "q", F.lit(True).alias("first")).distinct()
+    placed = deal(cut(members.unionByName(centres))).repartition("p", "q").sortWithinPartitions("p", "q", F.desc("first"))
+    links = cut(placed.mapInArrow(_verify(hundredths), "a long, b long"))
     roots = cut(components(links))
 
     # groups that hold several components still: in blocks of rows, all pairs of blocks
@@ -249,25 +340,25 @@ def resolve(met: DataFrame, sets_for: Callable[[DataFrame], DataFrame], hundredt
     if not open_rows.limit(1).count():
         return roots
     # groups that share rows make one cluster, so each row is dealt once per block of its cluster
-    clusters = cut(components(open_rows.select("a", "b")).withColumnsRenamed({"node": "a", "root": "g"}))
-    sizes = clusters.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
-    spread = cut(open_rows.select("a", "root").distinct().join(clusters, "a").join(sizes, "g").withColumn("blk", F.pmod(F.xxhash64("a"), "k").cast("int")))
+    clusters = components(open_rows.select("a", "b")).withColumnsRenamed({"node": "a", "root": "g"})
+    clusters = cut(clusters.join(classes.withColumnRenamed("c", "a"), "a"))
+    sizes = clusters.groupBy("g").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("k"))
+    spread = open_rows.select("a", "root").distinct().join(clusters, "a").join(sizes, "g").withColumn("blk", F.pmod(F.xxhash64("a"), "k").cast("int"))
     every = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = every.select("g", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "a", "root")
-    if hists is not None:
-        dealt = dealt.join(hists.withColumnRenamed("c", "a"), "a").groupBy("g", "i", "j").applyInArrow(_partners(hundredths), "g long, i int, j int, a long")
-    dealt = cut(dealt.select("g", "i", "j", "a"))
-    open_sets = sets_for(dealt.select(F.col("a").alias("c")).distinct()).withColumnRenamed("c", "a")
-    more = dealt.join(open_sets, "a").groupBy("g", "i", "j").applyInArrow(_multiply(hundredths), "a long, b long")
+    dealt = every.select("g", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "a", "root", "n", "hist", "k")
+    possible = dealt.where("hist IS NOT NULL").groupBy("g", "i", "j").applyInArrow(_partners(hundredths), "g long, i int, j int, a long")
+    dealt = cut(possible.unionByName(dealt.where("hist IS NULL").select("g", "i", "j", "a")))
+    places = dealt.select(F.col("a").alias("c"), F.col("g").alias("p"), (F.col("i").cast("long") * (1 << 31) + F.col("j")).alias("q"), F.lit(False).alias("first"))
+    more = deal(places).groupBy("p", "q").applyInArrow(_multiply(hundredths), "a long, b long")
     return cut(components(links.unionByName(more)))
 
 
-def join(docs: DataFrame, *, hundredths: int = 75, n: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs."""
+def classified(docs: DataFrame, hundredths: int = 75, n: int = 5) -> DataFrame:
+    """doc_id, h (the text's hash), n_shingles and root (equal in a component) of every row of docs."""
     spark = docs.sparkSession
-    source = docs.select("doc_id", "text")
-    first = cut(source.mapInArrow(_first_pass, "doc_id long, n int, c long, hist binary, slice int, counts binary"))
-    rows = first.where("slice IS NULL").select("doc_id", "n", "c")
+    source = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    first = cut(source.mapInArrow(_first_pass, "doc_id long, h long, n int, c long, hist binary, slice int, counts binary"))
+    rows = first.where("slice IS NULL").select("doc_id", "h", "n", "c")
     sliced = first.where("slice IS NOT NULL").select("slice", "counts").groupBy("slice").applyInArrow(_levels, "slice int, level binary")
     level = np.zeros(1 << SKETCH_BITS, np.uint8)
     for r in sliced.collect():  # 2 ** SKETCH_BITS bytes, whatever the input
@@ -298,32 +389,31 @@ def join(docs: DataFrame, *, hundredths: int = 75, n: int = 5) -> DataFrame:
     dealt = source.mapInArrow(entries, "bucket int, token binary, row binary, size binary")
     met = cut(dealt.groupBy("bucket").applyInArrow(lambda table: _meet(table, hundredths), "a long, b long, g long, n int"))
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, t in pieces(batches, "text"):
-            want, found = batch.column(batch.schema.get_field_index("_c")).to_pylist(), list(sets_of(t, n))
-            own = [(c, s.tobytes()) for c, s in zip(want, found) if class_of(s) == c]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in own], pa.int64()), pa.array([s for _, s in own], pa.binary())], ["c", "set"])
-
-    def sets_for(wanted: DataFrame) -> DataFrame:
-        """Sets of the wanted classes, each from its smallest document."""
-        chosen = cut(wanted.join(rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id")), "c").where("doc_id IS NOT NULL").select("doc_id", F.col("c").alias("_c")))
-        few = chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        return source.join(F.broadcast(chosen) if few else chosen, "doc_id").mapInArrow(extract, "c long, set binary")
-
-    hists = first.where("slice IS NULL AND n > 0").select("c", "hist")
-    roots = resolve(met, sets_for, hundredths, hists)
-    placed = rows.join(roots.withColumnsRenamed({"node": "c", "root": "_root"}), "c", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("_root", "c").alias("_root"))
-    placed = cut(placed)
-    smallest = placed.where("n_shingles > 0").groupBy("_root").agg(F.min("doc_id").alias("_least"))
+    deal = dealing(source, rows.where("n > 0"), lambda t: [{class_of(s): s} for s in sets_of(t, n)])
+    roots = resolve(met, first.where("slice IS NULL AND n > 0").select("c", "n", "hist"), deal, hundredths)
+    placed = rows.join(roots.withColumnsRenamed({"node": "c", "root": "_root"}), "c", "left")
+    return cut(placed.select("doc_id", "h", F.col("n").cast("long").alias("n_shingles"), F.coalesce("_root", "c").alias("root")))
+
+
+def join(docs: DataFrame, *, hundredths: int = 75, n: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs."""
+    placed = classified(docs, hundredths, n).select("doc_id", "n_shingles", "root")
+    smallest = placed.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("_least"))
     alone = placed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return placed.where("n_shingles > 0").join(smallest, "_root").select("doc_id", "n_shingles", F.col("_least").alias("component_id")).unionByName(alone)
+    return placed.where("n_shingles > 0").join(smallest, "root").select("doc_id", "n_shingles", F.col("_least").alias("component_id")).unionByName(alone)
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document (the smallest doc_id) of each component. Rows of one doc_id go or stay together, equal texts among them once."""
-    found = cut(join(docs, **options).select("doc_id", "component_id"))
-    out = semi_by_ids(docs, found.where("component_id <> doc_id"), "doc_id", keep=False)
-    repeated = cut(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1"))
+    """docs with one document of each component, the one of smallest doc_id (null last), then of smallest text hash; of equal rows one stays. Documents without words stay."""
+    keys = classified(docs, **options).where("n_shingles > 0")
+    key = F.struct(F.isnull("doc_id").alias("u"), "doc_id", "h")
+    first = keys.groupBy("root").agg(F.min(key).alias("o"), F.count("*").alias("k")).where("k > 1")
+    shared = cut(keys.join(first, "root").select("doc_id", "h", (key == F.col("o")).alias("stays")).distinct())
+    out = without(docs, shared.where("NOT stays"))
+    # copies of one doc_id and text among the rows that stay
+    repeated = keys.groupBy("doc_id", "h").count().where("count > 1").join(shared.where("stays"), ["doc_id", "h"], "left_semi")
+    nulls = keys.where("doc_id IS NULL").groupBy("h").count().where("count > 1").join(shared.where("stays AND doc_id IS NULL"), "h", "left_semi").select(F.lit(None).cast("long").alias("doc_id"), "h")
+    repeated = cut(repeated.select("doc_id", "h").unionByName(nulls))
     if not repeated.limit(1).count():
         return out
-    return semi_by_ids(out, repeated, "doc_id", keep=False).unionByName(semi_by_ids(out, repeated, "doc_id").dropDuplicates(["doc_id", "text"]))
+    return without(out, repeated).unionByName(without(out, repeated, keep=True).dropDuplicates(["doc_id", "text"]))
