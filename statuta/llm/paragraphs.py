@@ -1,15 +1,22 @@
 """Substring dedup by paragraph MinHash banding.
 
-A paragraph is a line of a text. Distinct paragraphs (by their words) of at least ``min_words`` words get MinHash signatures of
-their 5-word shingles; bands and rows are tuned so that a pair at the threshold collides with at least ``recall``; colliding
-paragraphs join on their band; pairs are verified by exact Jaccard similarity of shingle sets; components of the links
-are clusters. Within a cluster the first paragraph by (doc_id, place) stays, later ones are removed.
+Paragraphs of a text are of two kinds:
 
-A band bucket of many paragraphs gives a star around its member of smallest hash first. Members that the star leaves outside its
+* lines: each line with at least ``min_words`` words. Distinct lines (by their sets of 5-word shingles) get MinHash signatures; bands and
+  rows are tuned so that a pair at the threshold collides with at least ``recall``; colliding lines join on their band; pairs are
+  verified by exact Jaccard similarity of shingle sets; components of the links are clusters.
+* passages: ``passage_words`` words in a row, wherever they stand in lines. They begin at each shingle of least hash among ``reach`` shingles in a
+  row, so any repeated run of passage_words + reach + 3 words (50) holds one whole passage that begins alike in all its copies.
+  Passages of equal shingles are a cluster; runs that differ in a word show by the passages beside it.
+
+Within a cluster the first paragraph by (doc_id, start) stays, later ones are removed.
+
+A band bucket of many lines gives a star around its member of smallest hash first. Members that the star leaves outside its
 component are paired in blocks, not listed: see ``jaccard``, whose verification and block products this module shares.
 
-Defined cases: null and empty texts have no paragraph; paragraphs of fewer words, and lines without words, are kept; a paragraph repeated within a document counts like one
-in another; repeated rows are copies, the first of equal (doc_id, place) stays; empty tables give no row; extra columns are ignored.
+Defined cases: null and empty texts have no paragraph; lines of fewer words, and lines without words, are kept; passages of fewer than
+``variety`` changes from shingle to shingle (one word over and over) are no paragraphs; a paragraph repeated within a document counts like one
+in another; rows of equal doc_id and text share their fate; null doc_ids come last and are told apart by their texts; empty tables give no row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,13 +27,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from statuta.llm.common import BROADCAST_ROWS, cut, parts_for
 from statuta.llm.decontam import permuted
-from statuta.llm.jaccard import _meet, resolve
-from statuta.llm.packets import Dealer
+from statuta.llm.jaccard import _meet, dealing, resolve
+from statuta.llm.packets import Dealer, gathered, planes, runs, unplanes
 from statuta.llm.words import Texts, mix64, pieces, shingles, words
 
+LINE, PASSAGE = 0, 1
+#: What a piece of the table tells of each paragraph; row is the row's place in the piece.
+UNIT = {"row": np.uint32, "start": np.uint32, "size": np.uint32, "words": np.uint32, "shingles": np.uint32, "c": np.int64}
+
 
 def tune(threshold: float, recall: float, least_rows: int = 2) -> tuple[int, int]:
     """(bands, rows): how many bands of that many rows let a pair at the threshold collide with the recall asked for."""
@@ -34,55 +46,161 @@ def tune(threshold: float, recall: float, least_rows: int = 2) -> tuple[int, int
 
 
 class Lines:
-    """The paragraphs of some texts: text, place in it, word count and shingles of each that is long enough."""
+    """The lines of some texts that are long enough: text, bytes, word count and shingles of each."""
 
-    def __init__(self, t: Texts, min_words: int):
+    def __init__(self, t: Texts, min_words: int, worded: tuple | None = None):
         breaks = np.flatnonzero(t.buf == 10)
         begin = np.unique(np.concatenate([t.ends[:-1][np.diff(t.ends) > 0], breaks + 1]))
         begin = begin[begin < len(t.buf)]
         doc = np.searchsorted(t.ends, begin, "right") - 1
-        hashed, start, _, _ = words(t)
+        hashed, start, _, _ = worded or words(t)
         edges = np.append(np.searchsorted(start, begin), len(hashed))
         found, bounds = shingles(hashed, edges)
         kept = np.flatnonzero(np.diff(edges) >= max(min_words, 1))
-        self.doc, self.place = doc[kept], (np.arange(len(begin)) - np.searchsorted(begin, t.ends[:-1])[doc])[kept]
+        stop = np.minimum(np.append(begin[1:], len(t.buf)), t.ends[doc + 1])
+        self.doc, self.start, self.stop = doc[kept], begin[kept], stop[kept]
+        self.stop = self.stop - (t.buf[self.stop - 1] == 10)
         self.words, size = np.diff(edges)[kept], np.diff(bounds)[kept]
         line = np.repeat(np.arange(len(kept)), size)
         found = found[np.arange(len(line)) + np.repeat(bounds[kept] - np.cumsum(size) + size, size)]
         found = found[np.lexsort((found, line))]
         new = np.ones(len(found), bool)
         new[1:] = (found[1:] != found[:-1]) | (line[1:] != line[:-1])
-        # the distinct shingles line by line, where each line's begin, how many they are, and their class_of
+        # the distinct shingles line by line, where each line's begin, how many they are, and their class
         self.found, self.sizes = found[new], np.bincount(line[new], minlength=len(kept))
         self.begin = np.cumsum(self.sizes) - self.sizes
         sums = np.add.reduceat(mix64(self.found), self.begin) if len(kept) else np.zeros(0, np.uint64)
         self.classes = mix64(sums + self.sizes.astype(np.uint64)).view(np.int64)
 
 
-def find(docs: DataFrame, *, min_words: int = 20, hundredths: int = 75, recall: float = 0.9999) -> DataFrame:
-    """A row for each paragraph of a cluster of two or more: doc_id, place (line number from 0), n_words, first_doc_id, first_place, n_copies, removed."""
+def passages(t: Texts, worded: tuple, length: int, reach: int, variety: int) -> tuple[np.ndarray, ...]:
+    """Text, first and end byte, and class of each passage."""
+    hashed, start, end, first = worded
+    found, bounds = shingles(hashed, first)
+    span = length - 4
+    none = np.zeros(0, np.int64)
+    if length < 5 or len(found) < max(span, reach):
+        return none, none, none, none
+    # the upper half of the hash, then the later place: equal runs choose alike
+    low = (found & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - np.arange(len(found), dtype=np.uint64))
+    far = 1
+    while 2 * far <= reach:
+        low = np.minimum(low[:-far], low[far:])
+        far *= 2
+    if far < reach:
+        low = np.minimum(low[: len(low) - (reach - far)], low[reach - far :])
+    at = np.unique(np.uint64(0xFFFFFFFF) - (low & np.uint64(0xFFFFFFFF))).astype(np.int64)
+    at = at[at + span <= len(found)]
+    text = np.searchsorted(bounds, at, "right") - 1
+    changes = np.concatenate([[0], np.cumsum(found[1:] != found[:-1])])
+    fine = (at + span <= bounds[text + 1]) & (np.diff(first)[text] >= length) & (changes[at + span - 1] - changes[at] >= variety)
+    at, text = at[fine], text[fine]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(found))])
+    word = first[text] + at - bounds[text]
+    return text, start[word], end[word + length - 1], mix64(sums[at + span] - sums[at] + np.uint64(1) + (np.uint64(1) << np.uint64(40))).view(np.int64)
+
+
+def _listed(ids: pa.Array, hashes: pa.Array, kind: int, columns: dict[str, np.ndarray]) -> tuple:
+    data = np.array([len(ids)], np.int64).tobytes() + np.array([-1 if i is None else i for i in ids.to_pylist()], np.int64).tobytes()
+    data += np.array([i is None for i in ids.to_pylist()], np.uint8).tobytes() + hashes.to_numpy().tobytes()
+    return kind, data + b"".join(planes(columns[k].astype(d)) for k, d in UNIT.items())
+
+
+def _unlisted(kind: int, data: bytes) -> pa.RecordBatch:
+    n = int(np.frombuffer(data[:8], np.int64)[0])
+    at = 8
+    ids, at = np.frombuffer(data[at : at + 8 * n], np.int64), at + 8 * n
+    null, at = np.frombuffer(data[at : at + n], np.uint8).astype(bool), at + n
+    hashes, at = np.frombuffer(data[at : at + 8 * n], np.int64), at + 8 * n
+    k = (len(data) - at) // sum(np.dtype(d).itemsize for d in UNIT.values())
+    x = {}
+    for name, d in UNIT.items():
+        size = k * np.dtype(d).itemsize
+        x[name], at = unplanes(data[at : at + size], d), at + size
+    row = x["row"].astype(np.int64)
+    start = x["start"].astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(ids[row], mask=null[row]), pa.array(hashes[row]), pa.array(np.full(k, kind, np.int8)), pa.array(start), pa.array(start + x["size"]), pa.array(x["words"].astype(np.int32)), pa.array(x["shingles"].astype(np.int32)), pa.array(x["c"])],
+                                      ["doc_id", "h", "kind", "start", "end", "n_words", "n", "c"])
+
+
+UNITS = "doc_id long, h long, kind tinyint, start long, end long, n_words int, n int, c long"
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for kind, data in zip(batch.column(batch.schema.get_field_index("kind")).to_pylist(), batch.column(batch.schema.get_field_index("data"))):
+            yield _unlisted(kind, data.as_py())
+
+
+def _classes(blocks: int):
+    """The classes of the table's paragraphs with their numbers in the task, dealt to buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer, held, n = Dealer(["c", "many"]), [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            c, k = np.unique(np.concatenate(held), return_counts=True)
+            yield from dealer.add((c.view(np.uint64) % np.uint64(blocks)).astype(np.int32), c, (k > 1).astype(np.uint8))
+
+        for batch in batches:
+            for data in batch.column(batch.schema.get_field_index("data")):
+                b = data.as_py()
+                docs = int(np.frombuffer(b[:8], np.int64)[0])
+                k = (len(b) - 8 - 17 * docs) // sum(np.dtype(d).itemsize for d in UNIT.values())
+                held.append(unplanes(b[len(b) - 8 * k :], np.int64))
+                n += k
+            if n >= 1_000_000:
+                yield from flush()
+                held, n = [], 0
+        if held:
+            yield from flush()
+        yield from dealer.flush()
+
+    return run
+
+
+def _repeated(table: pa.Table) -> pa.Table:
+    """Classes that occur more than once."""
+    c, many = gathered(table, "c", np.int64), gathered(table, "many", np.uint8)
+    order = np.argsort(c, kind="stable")
+    c, many = c[order], many[order]
+    starts, ends = runs(c)
+    twice = (ends - starts > 1) | (many[starts] > 0)
+    return pa.table({"c": pa.array(c[starts[twice]])})
+
+
+def find(docs: DataFrame, *, min_words: int = 1, hundredths: int = 75, recall: float = 0.9999, passage_words: int = 25, reach: int = 22, variety: int = 8) -> DataFrame:
+    """A row for each paragraph of a cluster of two or more: doc_id, h (the text's hash), start and end (bytes of the text), n_words, first_doc_id, first_start, n_copies, removed. passage_words=0 leaves passages out."""
     bands, rows = tune(hundredths / 100, recall)
-    source = docs.select("doc_id", "text")
+    source = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     blocks = parts_for(source, 4 << 20)
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of paragraphs by pieces (kind and data) and the bands of distinct lines (bucket, token, row, size)."""
+        names = ["kind", "data", "bucket", "token", "row", "size"]
+        dealer, done = Dealer(names[3:]), set()
+
+        def dealt(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in found:
+                yield pa.RecordBatch.from_arrays([pa.nulls(x.num_rows, pa.int8()), pa.nulls(x.num_rows, pa.binary()), *x.columns], names)
+
         for batch, t in pieces(batches, "text"):
-            lines = Lines(t, min_words)
-            ids = batch.column(batch.schema.get_field_index("doc_id")).take(pa.array(lines.doc))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(lines.place.astype(np.int32)), pa.array(lines.words.astype(np.int32)), pa.array(lines.classes)], ["doc_id", "place", "n_words", "c"])
-
-    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealer, done = Dealer(["token", "row", "size"]), set()
-        for _, t in pieces(batches, "text"):
-            lines = Lines(t, min_words)
+            worded = words(t)
+            lines = Lines(t, min_words, worded)
+            text, start, end, c = passages(t, worded, passage_words, reach, variety)
+            each = {LINE: {"row": lines.doc, "start": lines.start - t.ends[lines.doc], "size": lines.stop - lines.start, "words": lines.words, "shingles": lines.sizes, "c": lines.classes},
+                    PASSAGE: {"row": text, "start": start - t.ends[text], "size": end - start, "words": np.full(len(c), passage_words), "shingles": np.full(len(c), passage_words - 4), "c": c}}
+            listed = [_listed(batch.column(0), batch.column(1), kind, x) for kind, x in each.items() if len(x["c"])]
+            if listed:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in listed], pa.int8()), pa.array([d for _, d in listed], pa.binary()), *(pa.nulls(len(listed), k) for k in (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names)
             # a set of k differs from any other by one of k + 1 at least: smaller ones are alike only if equal, which classes tell
             linked, picked = 100 * lines.sizes >= hundredths * (lines.sizes + 1), []
             for i in np.flatnonzero(linked).tolist():
-                c = int(lines.classes[i])
-                if c in done:
+                own = int(lines.classes[i])
+                if own in done:
                     continue
                 if len(done) < 500_000:
-                    done.add(c)
+                    done.add(own)
                 picked.append(i)
             if not picked:
                 continue
@@ -94,37 +212,63 @@ def find(docs: DataFrame, *, min_words: int = 20, hundredths: int = 75, recall:
                 key = np.full(len(at), b + 1, np.uint64)
                 for r in range(rows):
                     key = mix64(key * np.uint64(31) + np.minimum.reduceat(permuted(every, b * rows + r), at))
-                yield from dealer.add((key % np.uint64(blocks)).astype(np.int32), key, classes, sizes.astype(np.int32))
-        yield from dealer.flush()
-
-    table = cut(source.mapInArrow(listed, "doc_id long, place int, n_words int, c long"))
-    met = cut(source.mapInArrow(banded, "bucket int, token binary, row binary, size binary").groupBy("bucket").applyInArrow(lambda x: _meet(x, hundredths), "a long, b long, g long, n int"))
+                yield from dealt(dealer.add((key % np.uint64(blocks)).astype(np.int32), key, classes, sizes.astype(np.int32)))
+        yield from dealt(dealer.flush())
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, t in pieces(batches, "text"):
-            lines, want = Lines(t, min_words), [set(x) for x in batch.column(batch.schema.get_field_index("_cs")).to_pylist()]
-            own = [(c, lines.found[s : s + n].tobytes()) for i, c, s, n in zip(lines.doc, lines.classes.tolist(), lines.begin, lines.sizes) if c in want[i]]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in own], pa.int64()), pa.array([s for _, s in own], pa.binary())], ["c", "set"])
+    scanned = cut(source.mapInArrow(scan, "kind tinyint, data binary, bucket int, token binary, row binary, size binary"))
+    met = cut(scanned.where("bucket IS NOT NULL").select("bucket", "token", "row", "size").groupBy("bucket").applyInArrow(lambda x: _meet(x, hundredths), "a long, b long, g long, n int"))
+    table = scanned.where("kind IS NOT NULL").select("kind", "data")
+    lines = table.where(F.col("kind") == LINE).mapInArrow(_rows, UNITS)
+    deal = dealing(source, lines, lambda t: _line_sets(t, min_words))
+    roots = resolve(met, lines.select("c", "n", F.lit(None).cast("binary").alias("hist")), deal, hundredths)
+    twice = table.mapInArrow(_classes(blocks), "bucket int, c binary, many binary").groupBy("bucket").applyInArrow(_repeated, "c long")
+    clustered = cut(twice.join(roots.withColumnRenamed("node", "c"), "c", "full").select("c", F.coalesce("root", "c").alias("root")))
+    few = clustered.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    placed = table.mapInArrow(_rows, UNITS).join(F.broadcast(clustered) if few else clustered, "c").select("root", "doc_id", "h", "start", "end", "n_words")
+    order = F.struct(F.isnull("doc_id").alias("u"), "doc_id", "h", "start")
+    clusters = placed.groupBy("root").agg(F.count("*").alias("n_copies"), F.min(order).alias("first")).where("n_copies > 1")
+    out = placed.join(clusters, "root")
+    return out.select("doc_id", "h", "start", "end", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), "n_copies", (order != F.col("first")).alias("removed"))
 
-    def sets_for(wanted: DataFrame) -> DataFrame:
-        chosen = wanted.join(table.groupBy("c").agg(F.min("doc_id").alias("doc_id")), "c").where("doc_id IS NOT NULL")
-        chosen = cut(chosen.groupBy("doc_id").agg(F.collect_set("c").alias("_cs")))
-        few = chosen.agg(F.coalesce(F.sum(F.size("_cs")), F.lit(0))).first()[0] <= BROADCAST_ROWS
-        return source.join(F.broadcast(chosen) if few else chosen, "doc_id").mapInArrow(extract, "c long, set binary").dropDuplicates(["c"])
 
-    roots = resolve(met, sets_for, hundredths)
-    placed = table.join(roots.withColumnsRenamed({"node": "c", "root": "_root"}), "c", "left").select("doc_id", "place", "n_words", F.coalesce("_root", "c").alias("_root"))
-    first = F.min(F.struct("doc_id", "place"))
-    clusters = placed.groupBy("_root").agg(F.count("*").alias("n_copies"), first.alias("_first")).where("n_copies > 1")
-    out = placed.join(clusters, "_root")
-    stays = F.col("doc_id").eqNullSafe(F.col("_first.doc_id")) & (F.col("place") == F.col("_first.place"))
-    return out.select("doc_id", "place", "n_words", F.col("_first.doc_id").alias("first_doc_id"), F.col("_first.place").alias("first_place"), "n_copies", (~stays).alias("removed"))
+def _line_sets(t: Texts, min_words: int) -> list[dict[int, np.ndarray]]:
+    lines = Lines(t, min_words)
+    out: list[dict[int, np.ndarray]] = [{} for _ in range(len(t.ends) - 1)]
+    for doc, c, s, n in zip(lines.doc.tolist(), lines.classes.tolist(), lines.begin.tolist(), lines.sizes.tolist()):
+        out[doc][c] = lines.found[s : s + n]
+    return out
 
 
 def clean(docs: DataFrame, **options) -> DataFrame:
-    """docs without the paragraphs to remove."""
-    gone = find(docs, **options).where("removed").groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set("place").alias("_gone"))
-    joined = docs.select(F.struct("*").alias("r")).join(gone, F.col("r.doc_id") == F.col("_d"), "left")
-    left = F.array_join(F.filter(F.split("r.text", "\n", -1), lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.col("_gone").isNotNull(), left).otherwise(F.col("r.text"))
-    return joined.select(*[(text if c == "text" else F.col(f"r.`{c}`")).alias(c) for c in docs.columns])
+    """docs without the paragraphs to remove; a line goes with its line break where nothing of it is left. n_chars, where there is one, is counted anew."""
+    gone = find(docs, **options).where("removed").groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.collect_set(F.struct("start", "end")).alias("_gone"))
+    rows = docs.select(F.struct("*").alias("r"))
+    joined = rows.join(gone, F.col("r.doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("r.text") == F.col("_h")), "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                texts.append(text if not spans else remaining(text, [(x["start"], x["end"]) for x in spans]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["r", "t"])
+
+    cleaned = joined.select("r", F.col("r.text").alias("t"), "_gone").mapInArrow(run, StructType([StructField("r", docs.schema), StructField("t", StringType())]))
+    new = {"text": F.col("t")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("t") != F.col("r.text"), F.length("t").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("r.n_chars"))
+    return cleaned.select(*[new.get(c, F.col(f"r.`{c}`")).alias(c) for c in docs.columns])
+
+
+def remaining(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without these spans of its UTF-8 bytes, and without the lines of which they leave nothing."""
+    data = text.encode()
+    keep = np.ones(len(data), bool)
+    for s, e in spans:
+        keep[s:e] = False
+    out, at = [], 0
+    for line in data.split(b"\n"):
+        own = keep[at : at + len(line)]
+        if not len(line) or own.any():
+            out.append(np.frombuffer(line, np.uint8)[own].tobytes())
+        at += len(line) + 1
+    return b"\n".join(out).decode("utf-8", "ignore")

@@ -53,7 +53,7 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.find(read(spark, sf_dir, "documents"), min_words=1)
+    return paragraphs.find(read(spark, sf_dir, "documents")).drop("h")
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_quality_classifier, op4_ngram_jaccard, op5_nearest_neighbours, op6_lm_score, op7_chat_format, op8_mix_sources, op9_suffix_array_dedup, op10_paragraph_dedup)}

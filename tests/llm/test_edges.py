@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,36 +127,81 @@ def test_decontamination(spark, docs, empty):
     assert decontam.clean(docs, frame).columns == docs.columns
 
 
-def test_paragraphs(spark, docs, empty):
-    rows = [(r[0], r[1]) for r in make_rows() if r[0] is not None and r[0] != 1]
-    lines = [(d, k, x) for d, t in rows for k, x in enumerate((t or "").split("\n")) if len(words(x)) >= 20]
+def line_rows(rows, min_words):
+    """What find should give for lines: (doc_id, start, end, n_words, first_doc_id, first_start, n_copies, removed)."""
+    lines = []
+    for d, t in rows:
+        at = 0
+        for x in (t or "").split("\n"):
+            if len(words(x)) >= min_words:
+                lines.append((d, at, at + len(x.encode()), x))
+            at += len(x.encode()) + 1
     sets = [shingles(x) for *_, x in lines]
     roots = groups(lines, lambda i, j: 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]))
     size = Counter(roots)
-    first = {r: min((d, k) for (d, k, _), q in zip(lines, roots) if q == r) for r in size}
-    want = {(d, k, first[r], size[r], (d, k) != first[r]) for (d, k, _), r in zip(lines, roots) if size[r] > 1}
+    first = {r: min((d, s) for (d, s, _, _), q in zip(lines, roots) if q == r) for r in size}
+    return {(d, s, e, len(words(x)), *first[r], size[r], (d, s) != first[r]) for (d, s, e, x), r in zip(lines, roots) if size[r] > 1}
+
+
+def test_paragraphs(spark, docs, empty):
+    rows = [(r[0], r[1]) for r in make_rows() if r[0] is not None and r[0] != 1]
     plain = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {(r["doc_id"], r["place"], (r["first_doc_id"], r["first_place"]), r["n_copies"], r["removed"]) for r in paragraphs.find(plain).collect()}
-    assert got == want
-    assert paragraphs.find(empty).count() == 0 and paragraphs.find(docs).count() > 0
+    got = {tuple(r) for r in paragraphs.find(plain, min_words=20, passage_words=0).drop("h").collect()}
+    assert got == line_rows(rows, 20)
+    assert paragraphs.find(empty).count() == 0
     assert paragraphs.clean(plain).where("doc_id = 67").first()["text"].count("\n") < 1
+    cleaned = paragraphs.clean(docs)
+    assert cleaned.columns == docs.columns and cleaned.count() == docs.count()
+    assert cleaned.drop("text").exceptAll(docs.drop("text")).count() == 0
+    texts = [r["text"] for r in cleaned.where("doc_id IS NULL").collect()]
+    assert sorted("none" if x is None else x for x in texts) == ["", "none"]  # the null row's text is a copy of document 3's
 
 
-def test_short_paragraphs(spark, tmp_path):
-    from statuta.llm import queries
-
+def test_null_ids_link(spark):
+    rng = random.Random(4)
+    base = random_text(rng, 60).split()
+    near = [" ".join(base[:k] + ["other"] + base[k + 1 :]) for k in (0, 20, 59)]
+    rows = [(1, near[0]), (None, near[1]), (None, near[2]), (5, near[2]), (None, "quite alone here"), (None, "quite alone here")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(r["component_id"] for r in jaccard.join(frame).collect()) == {1: 4, None: 2}
+    assert sorted((r[0] or 0, r[1]) for r in jaccard.keep_first(frame).collect()) == [(0, "quite alone here"), (1, near[0])]
+    # linked only through a row without an id
+    far = [" ".join(base[:-5] + [f"v{i}" for i in range(5)]), " ".join(base), " ".join([f"v{i}" for i in range(5)] + base[5:])]
+    sets = [shingles(t) for t in far]
+    assert 100 * len(sets[0] & sets[2]) < 75 * len(sets[0] | sets[2])
+    frame = spark.createDataFrame([(1, far[0]), (None, far[1]), (2, far[2])], "doc_id long, text string")
+    assert {r["component_id"] for r in jaccard.join(frame).collect()} == {1}
+    item = spark.createDataFrame([(1, " ".join(base[5:40]))], "item_id long, text string")
+    assert [r["doc_id"] for r in decontam.clean(spark.createDataFrame([(None, " ".join(base)), (None, "fine"), (3, None)], "doc_id long, text string"), item).collect()] in ([None, 3], [3, None])
+
+
+def test_short_paragraphs(spark):
     rng = random.Random(8)
     long = [random_text(rng, n) for n in (5, 6, 7, 8, 12, 15, 19, 24)]
     rows = [(i, "\n".join(["Home page", "", " \t", long[i % 8], " ".join(random_text(rng, 9).split() + ["end"]), long[(i + 3) % 8] + f" more{i % 4}", f"{i % 5}"])) for i in range(24)]
-    lines = [(d, k, x) for d, t in rows for k, x in enumerate(t.split("\n")) if words(x)]
-    sets = [shingles(x) for *_, x in lines]
-    roots = groups(lines, lambda i, j: 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]))
-    size = Counter(roots)
-    first = {r: min((d, k) for (d, k, _), q in zip(lines, roots) if q == r) for r in size}
-    want = {(d, k, len(words(x)), *first[r], size[r], (d, k) != first[r]) for (d, k, x), r in zip(lines, roots) if size[r] > 1}
+    want = line_rows(rows, 1)
+    got = {tuple(r) for r in paragraphs.find(spark.createDataFrame(rows, "doc_id long, text string"), passage_words=0).drop("h").collect()}
+    assert got == want and {1, 2, 8} <= {w[3] for w in want}
+
+
+def test_passages_in_long_lines(spark, tmp_path):
+    from statuta.llm import queries
+
+    rng = random.Random(9)
+    own = lambda n: " ".join(f"u{rng.randint(0, 10**9)}" for _ in range(n))
+    shared = [own(51) for _ in range(20)]
+    rows = [(i, own(rng.randint(0, 90)) + rng.choice([" ", "\n"]) + shared[i % 20] + " " + own(rng.randint(0, 90))) for i in range(40)] + [(90, own(300)), (91, "the " * 200), (92, "The " * 90)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {tuple(r) for r in queries.op10_paragraph_dedup(spark, str(tmp_path)).collect()}
-    assert got == want and {1, 2, 8} <= {w[2] for w in want}
+    found = queries.op10_paragraph_dedup(spark, str(tmp_path)).where("n_words = 25").collect()
+    texts = {d: t.encode() for d, t in rows}
+    assert {r["doc_id"] for r in found} == set(range(40))
+    for r in found:
+        assert r["removed"] == (r["doc_id"] >= 20) and r["first_doc_id"] == r["doc_id"] % 20 and r["n_copies"] == 2
+        here = words(texts[r["doc_id"]][r["start"] : r["end"]].decode())
+        there = words(texts[r["first_doc_id"]][r["first_start"] :].decode())[:25]
+        assert here == there and " ".join(here) in shared[r["doc_id"] % 20]
+    cleaned = {r["doc_id"]: r["text"] for r in paragraphs.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(cleaned[d] == t for d, t in rows if d < 20 or d == 90) and all(len(words(cleaned[d])) < len(words(t)) - 24 for d, t in rows if 20 <= d < 40)
 
 
 def test_earlier_strings(spark, docs, empty):
@@ -219,18 +265,53 @@ def test_chat(spark):
     assert chat.format_turns(frame.limit(0)).count() == 0
 
 
-def test_mixing(docs, empty):
-    out = mixing.mix(docs, block_docs=4, bucket_docs=10)
+def plain_schedule(blocks, weights):
+    """Every slot goes to the released block of earliest deadline, with fractions."""
+    left, used, start, out = {k: n for k, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, {}
+    while left:
+        w = {k: Fraction(weights.get(k, 0.0)) for k in left if weights.get(k, 0.0) > 0} or {k: Fraction(1) for k in left}
+        w = {k: x / sum(w.values()) for k, x in w.items()}
+        done, slot = dict.fromkeys(w, 0), 0
+        while all(left[k] for k in w):
+            k = min((k for k in w if math.floor(done[k] / w[k]) <= slot), key=lambda k: (math.ceil((done[k] + 1) / w[k]), k))
+            out[k, used[k]] = (start + slot, start, float(w[k]))
+            done[k], used[k], left[k], slot = done[k] + 1, used[k] + 1, left[k] - 1, slot + 1
+        left = {k: n for k, n in left.items() if n}
+        start += slot
+    return out
+
+
+def test_mixing(spark, docs, empty):
+    out = mixing.mix(docs, blocks=18, bucket_docs=10)
     rows = out.orderBy("slot", "pos").collect()
     assert len(rows) == docs.count() and len({(r["slot"], r["pos"]) for r in rows}) == len(rows)
-    shares = mixing.apportion({"a": 0.5, "b": 0.3, "c": 0.2}, 100)
-    slots = mixing.pfair_round(shares)
-    for k, n in shares.items():
-        for t in range(101):
-            assert abs(sum(s < t for s in slots[k]) - n * t / 100) < 1
-    plan = mixing.phases({"a": 50, "b": 9, "c": 0}, {"a": 0.5, "b": 0.5}, 100)
-    assert sum(e - f for _, f, e, *_ in plan) == 59
-    assert mixing.mix(empty).count() == 0 and mixing.mix(docs, {"a": 1.0, None: 1.0}, max_sources=1).count() == docs.count()
+    # against a plain version: documents by bucket and hash within their source, blocks, slots by plain earliest deadline first
+    own = docs.select("doc_id", "text", F.coalesce("source", F.lit(mixing.NULL)).alias("s"), F.xxhash64("doc_id", F.lit(8)).alias("o")).collect()
+    by = {}
+    for r in sorted(own, key=lambda r: ((r["o"] % 2**64 >> 20) % -(-len(own) // 10), r["o"], r["doc_id"] or 0)):
+        by.setdefault(r["s"], []).append(r["doc_id"])
+    size = -(-len(own) // 18)
+    slots = plain_schedule({k: -(-len(v) // size) for k, v in by.items()}, mixing.temperature({k: len(v) for k, v in by.items()}, 0.5))
+    want = Counter((d, k, n // size, slots[k, n // size][0], n % size, slots[k, n // size][1], round(slots[k, n // size][2], 12)) for k, v in by.items() for n, d in enumerate(v))
+    assert Counter((r["doc_id"], r["stream"], r["block"], r["slot"], r["pos"], r["phase"], round(r["target"], 12)) for r in rows) == want
+    assert mixing.mix(empty).count() == 0 and mixing.mix(docs, {"a": 1.0, None: 1.0}).where("stream = 'b' AND slot < 10").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["thirds", "tiny", "many"])
+def test_mixing_keeps_to_the_weights(kind):
+    rng = random.Random(kind)
+    weights = {"thirds": {"a": 1 / 3, "b": 2 / 3}, "tiny": {"a": 0.6666, "b": 0.33325, "c": 0.00015}, "many": {f"s{i}": rng.random() ** 4 + 1e-6 for i in range(1000)}}[kind]
+    total = sum(Fraction(w) for w in weights.values())
+    blocks = {k: int(100_000 * Fraction(w) / total) + 2 for k, w in weights.items()}
+    plan = list(mixing.schedule(blocks, weights))
+    assert [slot for _, _, slot, _, _ in plan] == list(range(sum(blocks.values()))) and {k: n for k, n in Counter(p[0] for p in plan).items()} == blocks
+    end = next((i for i, p in enumerate(plan) if p[3] > 0), len(plan))
+    assert end > 50_000
+    w, n = {k: Fraction(x) / total for k, x in weights.items()}, dict.fromkeys(weights, 0)
+    for k, block, slot, _, target in plan[:end]:
+        assert n[k] == block and w[k] * slot - n[k] < 1 and n[k] + 1 - w[k] * (slot + 1) < 1 and abs(target - weights[k] / float(total)) < 1e-12
+        n[k] += 1
+    assert all(abs(w[k] * end - n[k]) < 1 for k in w)
 
 
 def test_quality(spark, docs, empty):
