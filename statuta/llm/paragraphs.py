@@ -36,6 +36,8 @@ from statuta.llm.packets import Dealer, gathered, planes, runs, unplanes
 from statuta.llm.words import Texts, mix64, pieces, shingles, words
 
 LINE, PASSAGE = 0, 1
+#: Paragraphs of a cluster that counts as large.
+LARGE = 100_000
 #: What a piece of the table tells of each paragraph; row is the row's place in the piece.
 UNIT = {"row": np.uint32, "start": np.uint32, "size": np.uint32, "words": np.uint32, "shingles": np.uint32, "c": np.int64}
 
@@ -226,8 +228,13 @@ def find(docs: DataFrame, *, min_words: int = 1, hundredths: int = 75, recall: f
     few = clustered.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     placed = table.mapInArrow(_rows, UNITS).join(F.broadcast(clustered) if few else clustered, "c").select("root", "doc_id", "h", "start", "end", "n_words")
     order = F.struct(F.isnull("doc_id").alias("u"), "doc_id", "h", "start")
-    clusters = placed.groupBy("root").agg(F.count("*").alias("n_copies"), F.min(order).alias("first")).where("n_copies > 1")
-    out = placed.join(clusters, "root")
+    clusters = cut(placed.groupBy("root").agg(F.count("*").alias("n_copies"), F.min(order).alias("first")).where("n_copies > 1"))
+    if clusters.limit(BROADCAST_ROWS // 4 + 1).count() <= BROADCAST_ROWS // 4:
+        out = placed.join(F.broadcast(clusters), "root")
+    else:  # large clusters are few: their rows stay where they are, those of the others shuffle
+        large = clusters.where(F.col("n_copies") > LARGE)
+        rest = placed.join(F.broadcast(large.select("root")), "root", "left_anti").join(clusters.where(F.col("n_copies") <= LARGE), "root")
+        out = placed.join(F.broadcast(large), "root").unionByName(rest)
     return out.select("doc_id", "h", "start", "end", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), "n_copies", (order != F.col("first")).alias("removed"))
 
 
