@@ -11,58 +11,132 @@ from pyspark.sql import types as T
 
 from statuta.functions.text import first_match, normalize, or_empty
 
-ROWS = T.ArrayType(T.StructType([T.StructField("header", T.BooleanType()), T.StructField("cells", T.ArrayType(T.StringType())), T.StructField("link", T.StringType()), T.StructField("html", T.StringType())]))
+# Where boards keep their table, in the order in which places are tried: (element, class) or the id of an element around it.
+DECISIONS = (("#", "contents"), ("table", "boardList"), ("table", "list"), ("table", ""))
+CONTRACTS = (("table", "p-table"), ("table", ""))
+#: The last column of a contract row that is text; links of the next one are attachments.
+ATTACHMENTS = 4
 
+_STRING = T.StringType()
+_ELEMENT = T.StructType([T.StructField(n, _STRING) for n in ("onclick", "doc_id", "doc_sn")])
+_ROW = T.StructType([T.StructField("cells", T.ArrayType(_STRING)), T.StructField("link", _STRING), T.StructField("title_link", _STRING), T.StructField("hrefs", T.ArrayType(_STRING)),
+                     T.StructField("elements", T.ArrayType(_ELEMENT)), T.StructField("hidden", T.ArrayType(_STRING)), T.StructField("html", _STRING)])
+TABLE = T.StructType([T.StructField("header", T.ArrayType(_STRING)), T.StructField("rows", T.ArrayType(_ROW))])
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+
+
+class _Tables(html.parser.HTMLParser):
+    """The tables of a page in order: where they stand, headings, and the rows of their bodies."""
 
-class _Rows(html.parser.HTMLParser):
     def __init__(self) -> None:
         super().__init__()
-        self.rows: list[dict] = []
-        self.depth = 0
+        self.tables: list[dict] = []
+        self.open: list[tuple[str, object]] = []  # elements, with what their text goes to
+
+    def _nearest(self, tag: str) -> object | None:
+        """What the innermost open element of that tag stands for, within the innermost table."""
+        for name, what in reversed(self.open):
+            if name == tag:
+                return what
+            if name == "table":
+                return None
+        return None
+
+    def _table(self) -> dict | None:
+        return next((what for name, what in reversed(self.open) if name == "table"), None)
 
     def handle_starttag(self, tag, attrs):
-        if tag == "tr":
-            self.rows.append({"header": False, "cells": [], "link": None, "html": ""})
-            self.depth = 1
-        elif self.depth and tag in ("td", "th"):
-            self.rows[-1]["cells"].append("")
-            self.rows[-1]["header"] |= tag == "th"
-            self.depth = 2
-        elif self.depth and tag == "a" and self.rows[-1]["link"] is None:
-            self.rows[-1]["link"] = ""
-            self.depth = 3
-        if self.depth:
-            self.rows[-1]["html"] += self.get_starttag_text()
+        a, table, row = {k: v or "" for k, v in attrs}, self._table(), self._nearest("tr")
+        what: object | None = a.get("id", "")
+        if row is not None and tag != "tr":
+            row["html"] += self.get_starttag_text()
+        if tag == "table":
+            what = {"around": {x for _, x in self.open if isinstance(x, str)}, "class": a.get("class", "").split(), "header": [], "rows": [], "firsts": set()}
+            self.tables.append(what)
+        elif tag in ("thead", "tbody", "tfoot"):
+            what = {"rows": 0}
+        elif tag == "tr" and table is not None:
+            section = next((x for n in ("thead", "tbody", "tfoot") if (x := self._nearest(n)) is not None), table)
+            first = (section["rows"] == 0) if section is not table else not table["rows"]
+            body = self._nearest("thead") is None and self._nearest("tfoot") is None
+            what = {"cells": [], "link": None, "title_link": None, "hrefs": [], "elements": [], "hidden": [], "html": "", "first": first}
+            if section is not table:
+                section["rows"] += 1
+            if body:
+                table["rows"].append(what)
+        elif tag == "td" and row is not None:
+            row["cells"].append("")
+            what = ("cell", row)
+        elif tag == "th" and table is not None:
+            if self._nearest("thead") is not None or (row is not None and row["first"]):
+                table["header"].append("")
+                what = ("head", table)
+        elif row is not None and tag in ("a", "button") or row is not None and tag == "input" and a.get("type") == "hidden":
+            row["elements"].append({"onclick": a.get("onclick", ""), "doc_id": a.get("data-doc-id") or a.get("docid", ""), "doc_sn": a.get("data-doc-sn") or a.get("docsn", "")})
+            if tag == "input":
+                row["hidden"].append(a.get("value", ""))
+            elif tag == "a":
+                at = len(row["cells"]) - 1
+                what = ("link", row, row["link"] is None, at == 1 and row["title_link"] is None)
+                row["link"] = row["link"] or ""
+                row["title_link"] = (row["title_link"] or "") if at == 1 else row["title_link"]
+                if at == ATTACHMENTS and "href" in a:
+                    row["hrefs"].append(a["href"])
+        if tag not in _VOID:
+            self.open.append((tag, what))
 
     def handle_endtag(self, tag):
-        if self.depth:
-            self.rows[-1]["html"] += f"</{tag}>"
-        if tag == "a" and self.depth == 3:
-            self.depth = 2
-        elif tag in ("td", "th") and self.depth > 1:
-            self.depth = 1
-        elif tag == "tr":
-            self.depth = 0
+        row = self._nearest("tr")
+        if row is not None and tag != "tr":
+            row["html"] += f"</{tag}>"
+        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
+        if at is not None:
+            del self.open[at:]
 
     def handle_data(self, data):
-        if self.depth:
-            self.rows[-1]["html"] += data
-        if self.depth > 1:
-            self.rows[-1]["cells"][-1] += data
-        if self.depth == 3:
-            self.rows[-1]["link"] += data
-
+        row = self._nearest("tr")
+        if row is not None:
+            row["html"] += data
+        for _, what in reversed(self.open):
+            if not isinstance(what, tuple):
+                continue
+            if what[0] == "cell":
+                what[1]["cells"][-1] += data
+            elif what[0] == "head":
+                what[1]["header"][-1] += data
+            else:
+                if what[2]:
+                    what[1]["link"] += data
+                if what[3]:
+                    what[1]["title_link"] += data
+
+
+def board_table(selectors: tuple[tuple[str, str], ...]):
+    """page -> struct<header, rows>: the table of the first place that has one with body rows; of each place only its first table is tried.
+
+    No table gives null. A row has the texts of its cells, of its first link and of the first link in its second cell, the links of its fifth cell,
+    its links, buttons and hidden inputs, and its markup.
+    """
 
-@F.pandas_udf(ROWS)
-def table_rows(pages: pd.Series) -> pd.Series:
-    """All table rows of a page in order: cells' texts, first link's text, markup."""
+    def at(table: dict, kind: str, name: str) -> bool:
+        return name in table["around"] if kind == "#" else not name or name in table["class"]
 
-    def parse(page: str | None) -> list[dict]:
-        reader = _Rows()
+    def parse(page: str | None) -> dict | None:
+        reader = _Tables()
         reader.feed(page or "")
-        return reader.rows
-
-    return pages.map(parse)
+        reader.close()
+        for kind, name in selectors:
+            table = next((t for t in reader.tables if at(t, kind, name)), None)
+            if table is not None and table["rows"]:
+                return {"header": [" ".join(h.split()) for h in table["header"]], "rows": [{k: r[k] for k in _ROW.names} for r in table["rows"]]}
+        return None
+
+    @F.pandas_udf(TABLE)
+    def read(pages: pd.Series) -> pd.DataFrame:
+        found = [parse(p) or {"header": None, "rows": None} for p in pages]
+        return pd.DataFrame(found, columns=["header", "rows"])
+
+    return read
 
 
 def named_cells(header: Column, cells: Column) -> Column:

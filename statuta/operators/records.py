@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from statuta.functions.text import or_empty
+from pyspark.sql import types as T
 
 FAR_PAGE = 10**9
 
@@ -13,13 +12,15 @@ FAR_PAGE = 10**9
 def dedup_lowest_page(rows: DataFrame, key: Column, page: str = "page", order: list[str] | None = None) -> DataFrame:
     """One row per non-empty key: the one of the lowest page, earlier rows first on ties; ord is the key's first place (A4, F8).
 
-    min_by aggregates partially before the shuffle, so a frequent key costs one row per task.
+    min_by aggregates partially before the shuffle, so a frequent key costs one row per task. Rows without a key go after it: a filter on the
+    key before it would work out the key's expression twice.
     """
     place = F.struct(*(order or ["page", "pos"]))
-    ranked = rows.withColumns({"_key": key, "_place": place}).where(or_empty(F.col("_key")) != "")
+    ranked = rows.withColumns({"_key": key, "_place": place})
     record = F.struct(*rows.columns)
     best = F.min_by(record, F.struct(F.coalesce(F.col(page), F.lit(FAR_PAGE)).alias("p"), F.col("_place").alias("o")))
-    return ranked.groupBy("_key").agg(best.alias("_r"), F.min("_place").alias("_first")).select(F.col("_key").alias("dedup_key"), "_r.*", F.col("_first").alias("first_place"))
+    grouped = ranked.groupBy("_key").agg(best.alias("_r"), F.min("_place").alias("_first"), F.max(F.length("_key")).alias("_size"))
+    return grouped.where("_size > 0").select(F.col("_key").alias("dedup_key"), "_r.*", F.col("_first").alias("first_place"))
 
 
 def dedup_report(rows: DataFrame, key: Column) -> DataFrame:
@@ -78,6 +79,25 @@ def envelope_chunks(rows: DataFrame, order: Column, size: int, **metadata: Colum
     return grouped.select("chunk", "n", F.to_json(body).alias("body"))
 
 
+def load_envelope(spark: SparkSession, path: str, record: str) -> DataFrame:
+    """The records of enveloped JSON files (S14, S15): one row each; a file without 사례 gives none. record: the records' fields as DDL."""
+    fields = T.StructType([T.StructField("총_건수", T.LongType()), T.StructField("사례", T.ArrayType(T.StructType.fromDDL(record)))])
+    files = spark.read.schema(fields).option("multiLine", True).json(path)
+    return files.select(F.explode("사례").alias("r")).select("r.*")
+
+
+def upsert(rows: DataFrame, there: DataFrame | None, key: str, order: str) -> DataFrame:
+    """A store with one row per key (K3): the rows of smallest order, those there already before new ones."""
+    every = rows.withColumn("_new", F.lit(1)) if there is None else there.withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)))
+    best = every.groupBy(key).agg(F.min_by(F.struct(*rows.columns), F.struct("_new", order)).alias("_r"))
+    return best.where(F.col(key).isNotNull()).select("_r.*")
+
+
+def metrics(rows: DataFrame, step: str, outcome: Column) -> DataFrame:
+    """step, outcome, n of a run, to be appended to a table of metrics."""
+    return outcomes(rows, outcome).select(F.lit(step).alias("step"), "outcome", "n")
+
+
 def save(rows: DataFrame, path: str, partition_by: str | None = None) -> None:
     """JSON lines, one folder per category if asked for (K1, K4)."""
     writer = rows.write.mode("overwrite")

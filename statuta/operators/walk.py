@@ -16,7 +16,7 @@ def _before_first(pages: DataFrame, stop: Column, by: list[str], including: bool
 
 def signatures(rows: DataFrame, by: list[str], text: str, pos: str = "pos", prefix: int = 50) -> DataFrame:
     """by, page, n, signature: the first and last rows' starts and the count of a page."""
-    edge = lambda f: F.substring(f(text, pos), 1, prefix)
+    edge = lambda f: f(F.substring(text, 1, prefix), pos)  # noqa: E731  only the starts are shuffled
     page = rows.groupBy(*by, "page").agg(F.count("*").alias("n"), edge(F.min_by).alias("first"), edge(F.max_by).alias("last"))
     return page.select(*by, "page", "n", F.concat_ws("||", "first", "last", F.col("n").cast("string")).alias("signature"))
 

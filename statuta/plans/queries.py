@@ -8,26 +8,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from statuta.functions import html, json_, rules, text
-from statuta.operators import records, walk
-from statuta.sources import decode, paged
+from statuta.operators import builders, records, walk
+from statuta.sources import boards, decode, paged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 W = text.WHITE
-#: Columns of a decision list and of legal texts, from a document.
+#: Columns of a decision list and of legal texts, from a whole document.
 DERIVED = {
     "page": "CAST(floor(doc_id / 10.0) AS BIGINT)",
     "pos": "doc_id % 10",
     "case_no": "CASE WHEN doc_id % 7 = 0 THEN '' ELSE concat('제', doc_id % 50, '호 ') END",
     "decision_no": "CASE WHEN doc_id % 5 = 0 THEN '' ELSE concat(' 의결 ', doc_id % 40) END",
-    "title": "CASE WHEN doc_id % 35 = 0 THEN '' ELSE substr(replace(text, chr(10), ' '), 1, 20) END",
+    "title": "CASE WHEN doc_id % 35 = 0 THEN '' ELSE replace(text, chr(10), ' ') END",
     "first_cell": "CASE WHEN doc_id % 13 = 0 THEN concat('조회된 데이터가 없습니다 ', doc_id) ELSE CAST(doc_id AS VARCHAR(20)) END",
-    "line": "substr(replace(replace(text, chr(10), ' '), '.', ''), 1, 40)",
-    "legal": "concat('의결서 ', doc_id, chr(10), '피심인의 약관 제', doc_id % 20 + 1, '조 (', substr(replace(replace(text, chr(10), ' '), ')', ''), 1, 12), ')는 ', substr(replace(text, chr(10), ' '), 1, 30), chr(10), ' 2. ', lang, chr(10), CASE WHEN doc_id % 2 = 0 THEN '3. ' ELSE '- ' END, source, chr(10), '고객에게 부당하게 불리한 조항으로서 상당한 이유 없이 ', source, ' 불리한 조항. 약관규제법 제', doc_id % 20, '조 제', doc_id % 4, '항 제1호, 국가배상법 제', doc_id % 9, '조, 민법  제', doc_id % 700, '조 제2항', chr(10), '시정내용', chr(10), substr(replace(text, chr(10), ' '), 1, doc_id % 60), chr(10), CASE WHEN doc_id % 3 = 0 THEN chr(10) ELSE '' END, '4. 삭제하여야 한다 ', source)",
+    "legal": "concat('의결서 ', doc_id, chr(10), '피심인의 약관 제', doc_id % 20 + 1, '조 (', lang, ')는 ', text, chr(10), ' 2. ', lang, chr(10), CASE WHEN doc_id % 2 = 0 THEN '3. ' ELSE '- ' END, source, chr(10), '고객에게 부당하게 불리한 조항으로서 상당한 이유 없이 ', source, ' 불리한 조항. 약관규제법 제', doc_id % 20, '조 제', doc_id % 4, '항 제1호, 국가배상법 제', doc_id % 9, '조, 민법  제', doc_id % 700, '조 제2항', chr(10), '시정내용', chr(10), text, chr(10), CASE WHEN doc_id % 3 = 0 THEN chr(10) ELSE '' END, '4. 삭제하여야 한다 ', source)",
 }
 
 
@@ -180,15 +179,15 @@ def ordinals(spark, sf_dir):
 
 
 @query("""SELECT page, (row_number() OVER (PARTITION BY page ORDER BY doc_id) - 1) AS pos, id, name, (page + 1) * 10 >= 500 AS is_last FROM
-(SELECT CAST(floor(doc_id / 10.0) AS BIGINT) AS page, doc_id, CASE WHEN doc_id % 9 <> 0 THEN concat('P', doc_id) WHEN doc_id % 2 = 0 THEN concat('M', doc_id) ELSE '' END AS id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE lang END AS name FROM documents WHERE CAST(floor(doc_id / 10.0) AS BIGINT) % 3 <> 1 OR doc_id % 10 = 0)
+(SELECT CASE WHEN CAST(floor(doc_id / 10.0) AS BIGINT) % 3 = 1 THEN 1000000000000 + doc_id ELSE CAST(floor(doc_id / 10.0) AS BIGINT) END AS page, doc_id, CASE WHEN doc_id % 9 <> 0 THEN concat('P', doc_id) WHEN doc_id % 2 = 0 THEN concat('M', doc_id) ELSE '' END AS id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE lang END AS name FROM documents)
 QUALIFY id <> ''""")
 def list_envelope_explode(spark, sf_dir):
-    """Envelopes of ten entries, of one object, as a service would send them; parsed back."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.floor(F.col("doc_id") / 10.0).cast("long").alias("page"))
+    """Envelopes of ten entries, and of one object for every third ten, as a service would send them; parsed back."""
+    ten = F.floor(F.col("doc_id") / 10.0).cast("long")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.when(ten % 3 == 1, 1000000000000 + F.col("doc_id")).otherwise(ten).alias("page"))
     entry = F.struct(F.when(F.col("doc_id") % 9 == 0, "").otherwise(F.concat(F.lit("P"), "doc_id")).alias("판례일련번호"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("M"), "doc_id")).otherwise("").alias("ID"), F.when(F.col("doc_id") % 4 == 0, None).otherwise(F.col("lang")).alias("사건명"))
-    single = docs.withColumn("e", entry).where((F.col("page") % 3 != 1) | (F.col("doc_id") % 10 == 0))
-    pages = single.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("doc_id", "e"))).alias("e"))
-    inner = F.when(F.col("page") % 3 == 1, F.to_json(F.get("e", F.lit(0))["e"])).otherwise(F.to_json(F.transform("e", lambda x: x["e"])))
+    pages = docs.withColumn("e", entry).groupBy("page").agg(F.sort_array(F.collect_list(F.struct("doc_id", "e"))).alias("e"))
+    inner = F.when(F.col("page") >= 1000000000000, F.to_json(F.get("e", F.lit(0))["e"])).otherwise(F.to_json(F.transform("e", lambda x: x["e"])))
     body = F.concat(F.lit('{"PrecSearch":{"prec":'), inner, F.lit(',"totalCnt":"500","numOfRows":"10"}}'))
     sent = pages.select("page", body.alias("body"))
     total, rows = json_.counts(F.col("body"), json_.PRECEDENT)
@@ -229,11 +228,11 @@ def link_extract(spark, sf_dir):
     return found.withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("SELECT l_orderkey, l_linenumber, o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber % 3 <> 0")
+@query("SELECT l_orderkey, l_linenumber, o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber BETWEEN 1 AND 7")
 def attachment_explode_join(spark, sf_dir):
     """Orders hold attachments (their line numbers), joined with the files that exist."""
     files = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
-    items = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("n")).where("n % 3 <> 0")
+    items = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("n"))
     return items.join(files, (F.col("o_orderkey") == F.col("l_orderkey")) & (F.col("n") == F.col("l_linenumber"))).select("l_orderkey", "l_linenumber", "o_orderstatus")
 
 
@@ -294,18 +293,20 @@ def outcome_tally(spark, sf_dir):
     return records.outcomes(rows, F.expr(_OUTCOME))
 
 
-@query(f"""SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct, sha256(array_to_string(list_filter(w[1:200], lambda x, i: list_position(w, x) = i), ' ')) AS digest FROM (SELECT doc_id, string_split({norm('text')}, ' ') AS w FROM documents)""")
+@query(f"""WITH w AS (SELECT doc_id, string_split({norm('text')}, ' ') AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w), f AS (SELECT doc_id, x, min(i) AS i, count(*) AS n FROM u GROUP BY doc_id, x)
+SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_words, count(*) AS n_distinct, sha256(string_agg(x, ' ' ORDER BY i)) AS digest FROM f GROUP BY doc_id""")
 def array_stats(spark, sf_dir):
-    """Words, distinct words, and the first 200 words without repeats joined in order."""
+    """Words, distinct words, and the words without repeats joined in order."""
     w = table(spark, sf_dir, "documents").select("doc_id", F.split(text.normalize(F.col("text")), " ").alias("w"))
-    return w.select("doc_id", F.size("w").cast("long").alias("n_words"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"), F.sha2(F.array_join(text.distinct_in_order(F.slice("w", 1, 200)), " "), 256).alias("digest"))
+    return w.select("doc_id", F.size("w").cast("long").alias("n_words"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"), F.sha2(F.array_join(text.distinct_in_order(F.col("w")), " "), 256).alias("digest"))
 
 
-@query("SELECT doc_id, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 ELSE 2 END AS part FROM documents WHERE lang IN ('en', 'fr', 'de')")
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END AS part FROM documents")
 def union_categories(spark, sf_dir):
     """U1."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return records.concatenated([docs.where(F.col("lang") == k) for k in ("en", "fr", "de")]).select("doc_id", "part")
+    named = ("en", "fr", "de")
+    return records.concatenated([*[docs.where(F.col("lang") == k) for k in named], docs.where(~F.coalesce(F.col("lang").isin(*named), F.lit(False)))]).select("doc_id", "part")
 
 
 @query(f"SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, length({strip('text')}) > 20 AS long_enough FROM documents")
@@ -342,7 +343,10 @@ _ARTICLE = rf"regexp_replace(t, '\n({W}*제{_N}조)', chr(1) || '\1', 'g')"
 _BACK = "list_transform({}, lambda x: replace(x, chr(1), chr(10)))"
 
 
-@query(_listed_sql([_BACK.format(_re(rf"피심인의_약관_제{_N}조[^\x01]*", t=_NUMBERED)), _BACK.format(_re(rf"약관_제{_N}조(?:[가-힣]|{W})*\([^)]*\)[^\x01]*", t=_NUMBERED)), _BACK.format(_re(rf"제{_N}조_[(（][^)）]*[)）][^\x01]*", t=_ARTICLE))], 20))
+CLAUSES_SQL = [_BACK.format(_re(rf"피심인의_약관_제{_N}조[^\x01]*", t=_NUMBERED)), _BACK.format(_re(rf"약관_제{_N}조(?:[가-힣]|{W})*\([^)]*\)[^\x01]*", t=_NUMBERED)), _BACK.format(_re(rf"제{_N}조_[(（][^)）]*[)）][^\x01]*", t=_ARTICLE))]
+
+
+@query(_listed_sql(CLAUSES_SQL, 20))
 def clauses_extract(spark, sf_dir):
     """E1."""
     return _listed(spark, sf_dir, rules.clauses)
@@ -351,13 +355,19 @@ def clauses_extract(spark, sf_dir):
 _LABELS = "MAP {" + ", ".join(f"'{k}': '약관규제법 제{k}조 - {v}'" for k, v in rules.ARTICLES.items()) + "}"
 
 
-@query(_listed_sql([*[_re(p.replace("..", r"[^\n.]*")) for p in rules.PHRASES], f"list_filter(list_transform({_re(rules.TERMS_ACT + f'제({_N})조', 1)}, lambda n: {_LABELS}[n]), lambda x: x IS NOT NULL)"], -1))
+VIOLATIONS_SQL = [*[_re(p.replace("..", r"[^\n.]*")) for p in rules.PHRASES], f"list_filter(list_transform({_re(rules.TERMS_ACT + f'제({_N})조', 1)}, lambda n: {_LABELS}[n]), lambda x: x IS NOT NULL)"]
+
+
+@query(_listed_sql(VIOLATIONS_SQL, -1))
 def violations_extract(spark, sf_dir):
     """E2."""
     return _listed(spark, sf_dir, rules.violations)
 
 
-@query(_listed_sql([_re(rf"{law}제{_N}조(?:_제{_N}항)?" + (rf"(?:_제{_N}호)?" if items else "")) for law, items in rules.STATUTES], -1))
+BASES_SQL = [_re(rf"{law}제{_N}조(?:_제{_N}항)?" + (rf"(?:_제{_N}호)?" if items else "")) for law, items in rules.STATUTES]
+
+
+@query(_listed_sql(BASES_SQL, -1))
 def legal_basis_extract(spark, sf_dir):
     """E3."""
     return _listed(spark, sf_dir, rules.legal_bases)
@@ -393,7 +403,7 @@ def json_envelope(spark, sf_dir):
     return sent.select("chunk", back.alias("b")).select("chunk", F.col("b.`총_건수`").alias("n"), F.array_min(F.col("b.`사례`.doc_id")).alias("first_id"), F.array_max(F.col("b.`사례`.doc_id")).alias("last_id"))
 
 
-@query(f"SELECT doc_id, sha256({strip('replace(text, chr(9), chr(32))')}) AS digest FROM documents WHERE text <> ''")
+@query(f"SELECT doc_id, sha256({strip('regexp_replace(replace(text, chr(9), chr(32)), chr(91) || chr(65536) || chr(45) || chr(1114111) || chr(93), chr(63) || chr(63), chr(103))')}) AS digest FROM documents WHERE text <> ''")
 def hwp_decode(spark, sf_dir):
     """Each document as a compressed stream of paragraph records, decoded again."""
     docs = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", decode.to_records(F.translate("text", "\t", " ")).alias("stream"))
@@ -413,7 +423,115 @@ def binary_listing(spark, sf_dir):
     return decode.listing(spark, f"{sf_dir}/documents.parquet", "*.parquet").select(F.regexp_extract("path", r"([^/]+)\z", 1).alias("name"), "length")
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS id, lang AS name FROM documents WHERE doc_id % 3 <> 0")
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, lang AS name, sha256(text) AS digest FROM documents WHERE doc_id <> 0 AND doc_id NOT IN (SELECT doc_id FROM labels)")
 def paged_source(spark, sf_dir):
-    """Pages of a list served from the documents, read through the envelope parser, details joined, skipped ones left out."""
-    return paged.collect(paged.serve(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("name"), "doc_id")), json_.PRECEDENT).where(F.col("id").cast("long") % 3 != 0).select("id", "name")
+    """A list in pages as a service sends them, parsed; entries that are there already (labels) and the id 0 (no id to the service) left out, detail bodies joined to the others."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "lang", "text", "doc_id")
+    entries = paged.collect(paged.serve(docs.select("id", F.col("lang").alias("name"), "doc_id")), json_.PRECEDENT)
+    there = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"))
+    return records.missing(entries, there, "id").join(docs.select("id", F.sha2("text", 256).alias("digest")), "id").select("id", "name", "digest")
+
+
+_CATEGORY = "CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(builders.CATEGORIES)) + " END"
+_ESCAPED = "replace(replace({}, '&', '&amp;'), '<', '&lt;')"
+_TITLE = "replace(text, chr(10), ' ')"
+
+
+@query(f"""WITH r AS (SELECT doc_id, {_CATEGORY} AS category, CAST(floor(doc_id / 60.0) AS BIGINT) + 1 AS page, {DERIVED['first_cell']} AS number, {strip(_TITLE)} AS title, source, lang, doc_id % 3 AS k FROM documents),
+p AS (SELECT category, page, string_agg(concat(number, title), chr(10) ORDER BY doc_id) AS body FROM r GROUP BY category, page),
+w AS (SELECT category, page FROM p QUALIFY row_number() OVER (PARTITION BY category ORDER BY page) = page),
+h AS (SELECT *, max(CAST(contains(number, '데이터') OR contains(number, '없습니다') AS INT)) OVER (PARTITION BY category, page ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS hit, row_number() OVER (PARTITION BY category, page ORDER BY doc_id) - 1 AS pos FROM r JOIN w USING (category, page))
+SELECT category, page, pos, number, sha256(title) AS title, source AS department, lang AS registered, CAST(CASE k WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS INT) AS n_files,
+CASE k WHEN 0 THEN NULL ELSE concat('{builders.DOWNLOAD_URL}?atchmnflNo=', doc_id) END AS url FROM h WHERE hit = 0""")
+def contract_items(spark, sf_dir):
+    """Boards of six categories as pages of HTML, ten rows to a page, read back to items."""
+    cell = lambda c: f"concat('<td>', {c}, '</td>')"
+    link = "concat('<a href=\"/download/downloadBbsFile.do?atchmnflNo=', {}, '&x=1\">file</a>')"
+    files = f"concat('<td><a href=\"/other\">no</a>', CASE WHEN doc_id % 3 > 0 THEN {link.format('doc_id')} ELSE '' END, CASE WHEN doc_id % 3 = 2 THEN {link.format('doc_id + 1')} ELSE '' END, '</td>')"
+    row = f"concat('<tr>', {cell('first_cell')}, '<td><a href=\"v\"> ', {_ESCAPED.format(_TITLE)}, '</a> new</td>', {cell('source')}, {cell('lang')}, {files}, '</tr>')"
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_CATEGORY} AS category", "CAST(floor(doc_id / 60.0) AS BIGINT) + 1 AS page", f"{DERIVED['first_cell']} AS first_cell", "text", "source", "lang")
+    rows = docs.select("category", "page", F.struct("doc_id", F.expr(row).alias("r")).alias("r")).groupBy("category", "page").agg(F.sort_array(F.collect_list("r")).alias("r"))
+    pages = rows.select("category", "page", F.concat(F.lit("<table><tr><td>menu</td></tr></table><table class='x p-table'><thead><tr><th>no</th></tr></thead><tbody>"), F.array_join(F.transform("r", lambda x: x["r"]), "\n"), F.lit("</tbody></table>")).alias("html"))
+    found = boards.contract_items(pages.join(F.broadcast(builders.chosen(spark).select("category")), "category"), most=1 << 30)
+    url = F.get(F.transform("첨부파일", lambda f: f["download_url"]), F.lit(0))
+    return found.select(F.col("카테고리").alias("category"), "page", F.col("pos").cast("long").alias("pos"), F.col("번호").alias("number"), F.sha2("제목", 256).alias("title"), F.col("담당부서").alias("department"), F.col("등록일").alias("registered"), F.size("첨부파일").alias("n_files"), url.alias("url"))
+
+
+_CASE = "SELECT doc_id, source AS board, CAST(floor(doc_id / 200.0) AS BIGINT) AS page, {first_cell} AS number, {case_no} AS case_no, {decision_no} AS decision_no, {title} AS title FROM documents"
+
+
+@query(f"""WITH r AS ({_CASE.format(**DERIVED)}), v AS (SELECT *, {norm('title')} AS t FROM r WHERE NOT contains(number, '데이터') AND NOT contains(number, '없습니다')),
+p AS (SELECT board, page, row_number() OVER (PARTITION BY board ORDER BY page) AS n, concat_ws('||', arg_min(t, doc_id), arg_max(t, doc_id), CAST(count(*) AS VARCHAR)) AS signature FROM v GROUP BY board, page),
+s AS (SELECT *, CAST(signature = lag(signature, 1, '') OVER (PARTITION BY board ORDER BY n) AS INT) AS rep FROM p),
+w AS (SELECT board, page, n FROM s QUALIFY sum(rep) OVER (PARTITION BY board ORDER BY n ROWS UNBOUNDED PRECEDING) = 0)
+SELECT v.board, w.n AS page, CASE WHEN t = '' THEN '' ELSE sha256(t) END AS name, {norm('number')} AS number, {norm('case_no')} AS case_no, {norm('decision_no')} AS decision_no, CASE doc_id % 3 WHEN 0 THEN concat('D', doc_id) WHEN 1 THEN concat('A', doc_id) ELSE concat('H', doc_id) END AS doc, CASE doc_id % 3 WHEN 0 THEN '1' WHEN 1 THEN '' ELSE '2' END AS sn
+FROM v JOIN w USING (board, page)""")
+def case_records(spark, sf_dir):
+    """Decision lists as pages of HTML, read back to case records. Boards are sources; their filled pages are numbered in a row."""
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", "source AS board", "CAST(floor(doc_id / 200.0) AS BIGINT) AS page", *[f"{DERIVED[n]} AS {n}" for n in ("first_cell", "case_no", "decision_no", "title")])
+    info = "CASE doc_id % 3 WHEN 0 THEN concat('<button onclick=\"fn_downloadFile(''D', doc_id, ''', ''1'')\">pdf</button>') WHEN 1 THEN concat('<button data-doc-id=A', doc_id, '>pdf</button>') ELSE concat('<input type=hidden value=H', doc_id, '><input type=hidden value=2>') END"
+    title = f"CASE WHEN title = '' THEN '' ELSE concat('<a href=v>', {_ESCAPED.format('title')}, '</a>') END"
+    cells = f"concat('<tr><td>', first_cell, '</td><td>', case_no, '</td><td>', decision_no, '</td><td>', {title}, '</td><td>', {info}, '</td></tr>')"
+    filled = rows.select("board", "page").where(~F.expr("contains(first_cell, '데이터') OR contains(first_cell, '없습니다')")).distinct()
+    numbered = filled.withColumn("n", F.row_number().over(Window.partitionBy("board").orderBy("page")).cast("long"))
+    listed = rows.select("board", "page", F.struct("doc_id", F.expr(cells).alias("r")).alias("r")).groupBy("board", "page").agg(F.sort_array(F.collect_list("r")).alias("r")).join(numbered, ["board", "page"])
+    head = "<div id=contents><table class=list><thead><tr><th>번호</th><th>사건번호</th><th>의결번호</th><th>사건명</th></tr></thead><tbody>"
+    pages = listed.select("board", F.col("n").alias("page"), F.concat(F.lit(head), F.array_join(F.transform("r", lambda x: x["r"]), ""), F.lit("</tbody></table></div>")).alias("html"))
+    found = boards.case_records(pages, most=1 << 30)
+    value = lambda k: F.col("셀_데이터")[k]
+    return found.select("board", F.col("수집_페이지").alias("page"), F.when(F.col("사건명") == "", "").otherwise(F.sha2("사건명", 256)).alias("name"), value("번호").alias("number"), value("사건번호").alias("case_no"), value("의결번호").alias("decision_no"), F.col("pdf_info.docId").alias("doc"), F.col("pdf_info.docSn").alias("sn"))
+
+
+_CONTRACT = f"SELECT doc_id, {_CATEGORY} AS category, source, lang, {strip(_TITLE)} AS title, text FROM documents"
+
+
+def _contracts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_CATEGORY} AS category", "source", "lang", f"{_TITLE} AS title", "text")
+    link = lambda n: F.concat(F.lit(f"/x/{builders.FILE_LINK}.do?atchmnflNo="), n.cast("string"))
+    rows = docs.select("category", F.array(F.col("doc_id").cast("string"), "title", "source", "lang", F.lit("")).alias("cells"), F.lit(None).cast("string").alias("title_link"), F.array(link(F.col("doc_id")), link(F.col("doc_id") + 1), F.lit("/none")).alias("hrefs"))
+    texts = docs.select(F.col("doc_id").cast("string").alias("file_id"), F.concat(builders.file_name(F.col("category"), text.strip(F.col("title")), F.col("doc_id").cast("string")), F.lit(".hwp")).alias("name"), "text")
+    return builders.parsed_contracts(builders.items(rows), texts)
+
+
+@query(f"""WITH c AS ({_CONTRACT}) SELECT t.doc_id AS file_id, c.doc_id AS item_id, c.category, sha256(c.title) AS title, {safe("concat_ws('_', t.category, t.title, CAST(t.doc_id AS VARCHAR))")} || '.hwp' AS name, CAST(length(t.text) AS INT) AS n_chars
+FROM c JOIN c t ON t.doc_id IN (c.doc_id, c.doc_id + 1) WHERE t.text <> ''""".replace("SELECT t.doc_id AS file_id, c.doc_id AS item_id,", "SELECT t.doc_id AS file_id,").replace("t.doc_id IN (c.doc_id, c.doc_id + 1)", "(t.doc_id = c.doc_id OR t.doc_id = c.doc_id + 1)"))
+def parsed_contracts(spark, sf_dir):
+    """Records of the attachments whose file gave a text; two files to an item."""
+    return _contracts(spark, sf_dir).select(F.col("파일ID").cast("long").alias("file_id"), F.col("카테고리").alias("category"), F.sha2("제목", 256).alias("title"), F.col("원본_파일명").alias("name"), F.col("텍스트_길이").alias("n_chars"))
+
+
+@query(f"""WITH c AS ({_CONTRACT}), r AS (SELECT c.category, t.doc_id AS f FROM c JOIN c t ON (t.doc_id = c.doc_id OR t.doc_id = c.doc_id + 1) WHERE t.text <> '')
+SELECT category, f AS file_id, CAST(count(*) OVER (PARTITION BY category) AS BIGINT) AS total FROM r""")
+def contracts_by_category(spark, sf_dir):
+    """A2, K4: enveloped records by category in parts of bounded size, read back row by row."""
+    parts = builders.categorised(_contracts(spark, sf_dir), size=500)
+    return parts.select("category", F.explode("사례").alias("r"), F.col("총_건수").alias("total")).select("category", F.col("r.파일ID").cast("long").alias("file_id"), "total")
+
+
+def _counted(lists: list[str], longer_than: int, name: str) -> str:
+    return f"SELECT doc_id, count(*) AS {name} FROM ({_listed_sql(lists, longer_than)}) GROUP BY doc_id"
+
+
+@query(f"""SELECT d.doc_id, concat(d.doc_id, '.pdf') AS file, CAST(length({DERIVED['legal']}) AS INT) AS n_chars, coalesce(a.n, 0) AS n_clauses, coalesce(b.n, 0) AS n_violations, coalesce(c.n, 0) AS n_bases, 'High' AS risk_level
+FROM documents d LEFT JOIN ({_counted(CLAUSES_SQL, 20, 'n')}) a USING (doc_id) LEFT JOIN ({_counted(VIOLATIONS_SQL, -1, 'n')}) b USING (doc_id) LEFT JOIN ({_counted(BASES_SQL, -1, 'n')}) c USING (doc_id)""")
+def parsed_cases(spark, sf_dir):
+    """Records of decisions from their whole texts; corrections (E4) have no SQL and are counted in corrective_extract."""
+    docs = derived(spark, sf_dir, "legal")
+    cells = F.create_map(F.lit("번호"), F.col("doc_id").cast("string"))
+    found = builders.parsed_cases(docs.select("doc_id", F.lit("").alias("사건명"), cells.alias("셀_데이터"), F.concat("doc_id", F.lit(".pdf")).alias("name"), F.col("legal").alias("text")))
+    return found.select("doc_id", F.col("pdf_파일").alias("file"), F.col("전체_텍스트_길이").alias("n_chars"), *[F.size(c).cast("long").alias(n) for c, n in (("조항_원문", "n_clauses"), ("위반_유형", "n_violations"), ("근거_법령", "n_bases"))], "risk_level")
+
+
+@query("""SELECT doc_id, min(page) AS page, arg_min(source, page * 1000000000 + k) AS source FROM (SELECT doc_id, doc_id % 7 AS page, 0 AS k, source FROM documents UNION ALL SELECT doc_id, quality AS page, 1 AS k, 'label' FROM labels) GROUP BY doc_id""".replace("page * 1000000000 + k", "k * 1000000000 + page").replace("min(page) AS page", "arg_min(page, k * 1000000000 + page) AS page"))
+def keyed_store(spark, sf_dir):
+    """A store of one row per id; what it holds stays, new ids are added."""
+    there = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 7).alias("page"), "source")
+    new = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("long").alias("page"), F.lit("label").alias("source"))
+    return records.upsert(new, there, "doc_id", "page")
+
+
+@query(f"SELECT 'collect' AS step, {_OUTCOME} AS outcome, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 2")
+def run_metrics(spark, sf_dir):
+    """Outcomes of a step as rows of a metrics table."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return records.metrics(rows, "collect", F.expr(_OUTCOME))

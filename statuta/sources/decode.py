@@ -12,6 +12,7 @@ import zipfile
 import zlib
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,24 +33,25 @@ def listing(spark: SparkSession, path: str, glob: str = "*", least: int = LEAST_
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).where(F.col("length") >= least).select("path", "length")
 
 
-def paragraph(data: bytes) -> str:
-    """UTF-16 units with control units left out."""
-    units = struct.unpack(f"<{len(data) // 2}H", data[: len(data) // 2 * 2])
-    out, skip = [], 0
-    for unit in units:
-        if skip:
-            skip -= 1
-        elif unit >= 32:
-            out.append(chr(unit))
-        elif unit in UNIT_TEXT:
-            out.append(UNIT_TEXT[unit])
-        elif unit in WITH_DATA:
-            skip = 6
-    # pairs of surrogates become their character, single ones a question mark
-    return "".join(out).encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace").replace("�", "?")
-
-
-def stream_text(data: bytes) -> str:
+def paragraph(data: bytes, compat: bool = True) -> str:
+    """UTF-16 units with control units left out (X20); compat: each half of a surrogate pair is a question mark, else pairs are characters."""
+    units = np.frombuffer(data, "<u2", len(data) // 2)
+    kept = (units >= 32) | np.isin(units, list(UNIT_TEXT))
+    free = 0
+    for at in np.flatnonzero(np.isin(units, list(WITH_DATA))).tolist():
+        if at >= free:  # not itself data of the one before
+            kept[at : at + 7] = False
+            free = at + 7
+    units = units[kept].copy()
+    for unit, text in UNIT_TEXT.items():
+        units[units == unit] = ord(text)
+    if compat:
+        units[(units >= 0xD800) & (units < 0xE000)] = ord("?")
+    # single surrogates become a question mark
+    return units.tobytes().decode("utf-16-le", "replace").replace("\ufffd", "?")
+
+
+def stream_text(data: bytes, compat: bool = True) -> str:
     """Stripped paragraphs of a record stream; a truncated record ends it."""
     at, out = 0, []
     while at + 4 < len(data):
@@ -62,7 +64,7 @@ def stream_text(data: bytes) -> str:
             at += 4
         if at + size > len(data):
             break
-        if head & 0x3FF == PARAGRAPH_TAG and (text := paragraph(data[at : at + size]).strip()):
+        if head & 0x3FF == PARAGRAPH_TAG and (text := paragraph(data[at : at + size], compat).strip()):
             out.append(text)
         at += size
     return "\n".join(out)
@@ -89,8 +91,11 @@ def sections_text(data: bytes) -> str:
     return "\n".join(out)
 
 
-def container_text(data: bytes) -> str:
-    """A document by its first bytes: archive, PDF, or OLE container; the latter two need their optional libraries."""
+def container_text(data: bytes, compat: bool = True) -> str:
+    """A document by its first bytes: archive, PDF, or OLE container; the latter two need their optional libraries.
+
+    compat: the sections of a container in the order of its directory, else by number (Q13).
+    """
     if data[:2] == b"PK":
         return sections_text(data)
     if data[:4] == b"%PDF":
@@ -103,8 +108,9 @@ def container_text(data: bytes) -> str:
 
         with olefile.OleFileIO(io.BytesIO(data)) as ole:
             packed = bool(ole.openstream("FileHeader").read()[36] & 1)
-            names = sorted((n for n in ole.listdir() if n[0] == "BodyText"), key=lambda n: (len(n[-1]), n[-1]))
-            found = [stream_text(inflated(s) if packed else s) for s in (ole.openstream(n).read() for n in names)]
+            names = [n for n in ole.listdir() if n[0] == "BodyText"]  # F11
+            names = names if compat else sorted(names, key=lambda n: (len(n[-1]), n[-1]))
+            found = [stream_text(inflated(s) if packed else s, compat) for s in (ole.openstream(n).read() for n in names)]
         return "\n".join(x for x in found if x)
     raise ValueError("unsupported")
 

@@ -1,8 +1,8 @@
 """Paged JSON services: a Python data source with one partition per page, and the same pages made from a table.
 
-Options of the format ``paged_json``: url, pages (how many), query (JSON object of fixed parameters), page_param, timeout, delay (pause after each
-call), attempts. Failed calls are repeated with growing pauses; what still fails is a row with its error. Pages of one host
-should stay few at a time: coalesce the frame to the concurrency that the host allows.
+Options of the format ``paged_json``: url, first and pages (the pages read), query (JSON object of fixed parameters), page_param, timeout, delay (pause
+after each call), attempts, concurrency (how many calls may run at once: the partitions, one unless said otherwise). Failed
+calls are repeated with growing pauses; what still fails is a row with its error.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from statuta.functions.json_ import Envelope, list_entries
+from statuta.functions.json_ import Envelope, counts, items, list_entries
+from statuta.operators.walk import until_count
 
 # Timeout in seconds, attempts, and pause between calls.
 TIMEOUT, ATTEMPTS, DELAY = 30.0, 3, 1.0
@@ -56,19 +57,22 @@ class _Reader(DataSourceReader):
         self.options = dict(options)
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(page) for page in range(1, int(self.options.get("pages", 1)) + 1)]
+        pages = list(range(int(self.options.get("first", 1)), int(self.options.get("pages", 1)) + 1))
+        side = min(int(self.options.get("concurrency", 1)), len(pages))
+        return [InputPartition(pages[i::side]) for i in range(side)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         o = self.options
-        query = json.loads(o.get("query", "{}")) | {o.get("page_param", "page"): partition.value}
         delay = float(o.get("delay", DELAY))
-        body, error = fetch(f"{o['url']}?{urllib.parse.urlencode(query)}", timeout=float(o.get("timeout", TIMEOUT)), attempts=int(o.get("attempts", ATTEMPTS)), delay=delay)
-        time.sleep(delay)
-        yield partition.value, body, error
+        for page in partition.value:
+            query = json.loads(o.get("query", "{}")) | {o.get("page_param", "page"): page}
+            body, error = fetch(f"{o['url']}?{urllib.parse.urlencode(query)}", timeout=float(o.get("timeout", TIMEOUT)), attempts=int(o.get("attempts", ATTEMPTS)), delay=delay)
+            time.sleep(delay)
+            yield page, body, error
 
 
-def details(ids: DataFrame, url: str, *, param: str = "ID", delay: float = DELAY, attempts: int = ATTEMPTS, timeout: float = TIMEOUT) -> DataFrame:
-    """id, body, error of each id's detail document."""
+def details(ids: DataFrame, url: str, *, param: str = "ID", delay: float = DELAY, attempts: int = ATTEMPTS, timeout: float = TIMEOUT, concurrency: int = 1) -> DataFrame:
+    """id, body, error of each id's detail document (S3, S6, S9); at most ``concurrency`` calls at once (R2)."""
 
     def run(batches):
         for pdf in batches:
@@ -78,7 +82,7 @@ def details(ids: DataFrame, url: str, *, param: str = "ID", delay: float = DELAY
                 time.sleep(delay)
             yield pdf[["id"]].assign(body=[b for b, _ in got], error=[e for _, e in got])
 
-    return ids.select("id").mapInPandas(run, "id string, body string, error string")
+    return ids.select("id").repartition(concurrency).mapInPandas(run, "id string, body string, error string")
 
 
 def read(spark: SparkSession, url: str, pages: int, **options: object) -> DataFrame:
@@ -86,10 +90,23 @@ def read(spark: SparkSession, url: str, pages: int, **options: object) -> DataFr
     return spark.read.format("paged_json").options(url=url, pages=pages, **{k: str(v) for k, v in options.items()}).load()
 
 
-def serve(items: DataFrame, size: int = 100, root: str = "PrecSearch", name: str = "prec") -> DataFrame:
-    """page and body as a service would send items (id, name, doc_id in order); a page of one item is an object."""
+def walk(spark: SparkSession, url: str, envelope: Envelope, **options: object) -> DataFrame:
+    """Entries (page, pos, id, name) of a whole list (S2, S5, S8): the first page tells how many there are, the others are planned from it, and the
+    walk ends before the first empty page (W5)."""
+    first = read(spark, url, 1, **options).first()
+    one = spark.createDataFrame([(1, first["body"], first["error"])], "page long, body string, error string")
+    total, rows = one.select(*counts(F.col("body"), envelope)).first()
+    last = -(-total // max(rows, 1))
+    fetched = one.unionByName(read(spark, url, last, first=2, **options)) if last > 1 else one
+    fetched = fetched.persist()  # pages are asked for once
+    sized = fetched.select("page", F.coalesce(F.size(items(F.col("body"), envelope)), F.lit(0)).alias("n"), F.lit(rows).alias("rows"), F.lit(total).alias("total"), F.lit(url).alias("service"))
+    return list_entries(fetched.join(until_count(sized, ["service"]).select("page"), "page"), envelope)
+
+
+def serve(listed: DataFrame, size: int = 100, root: str = "PrecSearch", name: str = "prec") -> DataFrame:
+    """page and body as a service would send records (id, name, doc_id in order); a page of one item is an object."""
     entry = F.to_json(F.struct(F.col("id").alias("판례일련번호"), F.col("name").alias("사건명")))
-    paged = items.select(F.floor(F.col("doc_id") / size).alias("page"), F.struct("doc_id", entry.alias("e")).alias("e")).groupBy("page").agg(F.sort_array(F.collect_list("e")).alias("e"))
+    paged = listed.select(F.floor(F.col("doc_id") / size).alias("page"), F.struct("doc_id", entry.alias("e")).alias("e")).groupBy("page").agg(F.sort_array(F.collect_list("e")).alias("e"))
     listed = F.array_join(F.transform("e", lambda x: x["e"]), ",")
     inner = F.when(F.size("e") == 1, listed).otherwise(F.concat(F.lit("["), listed, F.lit("]")))
     return paged.select("page", F.concat(F.lit(f'{{"{root}":{{"{name}":'), inner, F.lit("}}")).alias("body"))

@@ -1,4 +1,4 @@
-"""New files and records as a stream: the skip-existing rule with state kept by the stream's checkpoint."""
+"""New files and records as a stream: the skip-existing rule, held against the store itself."""
 
 from __future__ import annotations
 
@@ -7,11 +7,23 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 
-def new_records(spark: SparkSession, folder: str, schema: StructType | str, key: str, file_format: str = "parquet") -> DataFrame:
-    """Records of files that arrive in folder, each key once."""
-    return spark.readStream.schema(schema).format(file_format).load(folder).dropDuplicates([key])
+def new_records(spark: SparkSession, folder: str, schema: StructType | str, file_format: str = "parquet") -> DataFrame:
+    """Records of files that arrive in folder."""
+    return spark.readStream.schema(schema).format(file_format).load(folder)
 
 
-def store(records: DataFrame, target: str, state: str) -> StreamingQuery:
-    """Appends what is new to target and stops."""
-    return records.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(target)
+def store(records: DataFrame, target: str, state: str, key: str) -> StreamingQuery:
+    """Appends the records whose key the target does not hold yet, each key once, and stops.
+
+    The stream keeps no keys: each batch meets the target's keys in an anti join, so a batch that runs again adds nothing twice.
+    """
+
+    def append(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(target)
+        fresh = batch.where(batch[key].isNotNull()).dropDuplicates([key])
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            fresh = fresh.join(spark.read.schema(batch.schema).parquet(target).select(key), key, "left_anti")
+        fresh.write.mode("append").parquet(target)
+
+    return records.writeStream.foreachBatch(append).option("checkpointLocation", state).trigger(availableNow=True).start()

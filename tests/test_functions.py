@@ -5,8 +5,10 @@ import re
 import struct
 import threading
 import time
+import urllib.parse
 import zipfile
 import zlib
+from collections import Counter
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
@@ -15,8 +17,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from statuta.functions import html, json_, rules, text
-from statuta.operators import records
-from statuta.sources import decode, paged
+from statuta.operators import builders, records
+from statuta.sources import boards, decode, paged
 
 
 def one(spark, column, **values):
@@ -60,10 +62,104 @@ def test_envelope_of_array_object_or_nothing(spark, law, want):
     assert pages.select(*json_.counts(F.col("body"), json_.LAW)).first()[:] == (3, 100)
 
 
-def test_table_rows(spark):
-    page = "<table><thead><tr><th>번호</th><th>제목</th></tr></thead><tr><td>1</td><td><a href='x'>가 나</a></td></tr></table>"
-    head, row = one(spark, html.table_rows(F.col("t")), t=page)
-    assert (head["header"], head["cells"], row["cells"], row["link"]) == (True, ["번호", "제목"], ["1", "가 나"], "가 나")
+def test_board_table(spark):
+    page = "<table><thead><tr><th>번호</th><th>제목</th></tr></thead><tr><td>1</td><td><a href='x'>가 나</a> new</td></tr></table>"
+    table = one(spark, html.board_table(html.DECISIONS)(F.col("t")), t=page)
+    assert table["header"] == ["번호", "제목"] and [(r["cells"], r["link"], r["title_link"]) for r in table["rows"]] == [(["1", "가 나 new"], "가 나", "가 나")]
+
+
+ROW = "<tr><td>{}</td><td>b</td></tr>"
+
+
+@pytest.mark.parametrize("page, cells", [
+    ("<table><tr><th>a</th></tr>" + ROW.format("plain") + "</table><table class='wide list'>" + ROW.format("list") + "</table>", "list"),
+    ("<table class=list></table><table class=list>" + ROW.format("second list") + "</table><table class=boardList>" + ROW.format("board") + "</table>", "board"),
+    ("<table class=boardList><thead>" + ROW.format("head") + "</thead></table><p id=contents><div><table>" + ROW.format("inside") + "</table></div></p>", "inside"),
+    ("<table class=list><tfoot></tfoot></table><table>" + ROW.format("never tried") + "</table>", None),
+    ("<p>no table", None), (None, None)])
+def test_table_cascade(spark, page, cells):
+    """The first place whose first table has body rows."""
+    table = one(spark, html.board_table(html.DECISIONS)(F.col("t")), t=page)
+    assert (table and table["rows"] and table["rows"][-1]["cells"][0]) == cells
+
+
+def test_board_rows_hold_files_and_elements(spark):
+    row = "<tr><td>1</td><td>t</td><td>d</td><td>2024</td><td><a href='/downloadBbsFile.do?atchmnflNo=55&amp;x=1'>f</a><a href='/downloadBbsFile.do'>none</a><a href='/view?atchmnflNo=9'>v</a></td></tr>"
+    pages = spark.createDataFrame([("표준약관", 1, f"<table class=p-table><tbody>{row}</tbody></table>"), ("표준약관", 2, f"<table class=p-table><tbody>{row}</tbody></table>")], "category string, page long, html string")
+    items = boards.contract_items(pages).collect()
+    assert [(i["제목"], i["등록일"], [f["file_id"] for f in i["첨부파일"]]) for i in items] == [("t", "2024", ["55"])]  # page 2 repeats page 1
+    assert items[0]["첨부파일"][0]["download_url"] == builders.DOWNLOAD_URL + "?atchmnflNo=55"
+    assert [r["bordCd"] for r in builders.chosen(spark, "표준약관").collect()] == ["201"] and builders.registry(spark).count() == 6
+    with pytest.raises(ValueError, match="표준비밀유지계약서"):
+        builders.chosen(spark, "없는 분류")
+
+
+def test_parsed_case_is_whole(spark):
+    body = "피심인의 약관 제3조 고객은 언제나 비용을 전부 부담한다고 정한다\n2. 고객에게 부당하게 불리한 조항 약관법 민법 제5조\n시정내용\n이 조항을 모두 삭제하고 새로 정한다\n\n3. 끝"
+    frame = spark.createDataFrame([("가", {"번호": "1"}, "a.pdf", body), (None, None, "b.pdf", ""), (None, None, "c.pdf", None)], "`사건명` string, `셀_데이터` map<string,string>, name string, text string")
+    rows = builders.parsed_cases(frame).collect()
+    assert len(rows) == 1 and rows[0]["pdf_파일"] == "a.pdf" and rows[0]["전체_텍스트_길이"] == len(body)
+    assert rows[0]["조항_원문"] == [body.split("\n")[0]] and rows[0]["위반_유형"] == ["고객에게 부당하게 불리한 조항"] and rows[0]["근거_법령"] == ["민법 제5조"]
+    assert rows[0]["시정_내용"] == ["이 조항을 모두 삭제하고 새로 정한다"] and rows[0]["risk_level"] == "High"
+
+
+def test_envelopes_are_loaded(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"총_건수": 2,\n "사례": [{"사건명": "가"}, {"사건명": "나"}]}', encoding="utf-8")
+    (tmp_path / "b.json").write_text('{"총_건수": 0}', encoding="utf-8")
+    assert sorted(r[0] for r in records.load_envelope(spark, str(tmp_path), "`사건명` string").collect()) == ["가", "나"]
+
+
+class Service(BaseHTTPRequestHandler):
+    """A list of 25 entries in pages of ten, and files."""
+
+    asked: list = []
+
+    def do_GET(self):
+        query = dict(urllib.parse.parse_qsl(urllib.parse.urlsplit(self.path).query))
+        Service.asked.append(self.path)
+        self.send_response(200)
+        if self.path.startswith("/file"):
+            if query["n"] == "2":
+                self.send_header("Content-Disposition", 'attachment; filename="x.PDF"')
+            data = b"z" * (50 if query["n"] == "3" else 200)
+        else:
+            page = int(query["page"])
+            entries = [{"법령일련번호": str(i)} for i in range(10 * page - 9, min(10 * page, 25) + 1)]
+            data = json.dumps({"LawSearch": {"law": entries[0] if len(entries) == 1 else entries, "totalCnt": "25", "numOfRows": "10"}}).encode()
+        self.end_headers()
+        self.wfile.write(data)
+
+    def log_message(self, *_):
+        pass
+
+
+@pytest.fixture
+def service():
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    Service.asked.clear()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_walk_is_planned_from_the_first_page(spark, service):
+    got = paged.walk(spark, service + "/list", json_.LAW, delay=0.0)
+    assert sorted(int(r["id"]) for r in got.collect()) == list(range(1, 26))
+    assert Counter(re.search("page=([0-9]+)", x)[1] for x in Service.asked) == {"1": 1, "2": 1, "3": 1}
+    # one page after another unless the source says otherwise
+    assert paged.read(spark, service + "/list", 3, delay=0.0).rdd.getNumPartitions() == 1
+    assert paged.read(spark, service + "/list", 3, delay=0.0, concurrency=2).rdd.getNumPartitions() == 2
+
+
+def test_downloads(spark, service, tmp_path):
+    wanted = spark.createDataFrame([(str(n), f"name{n}", f"{service}/file?n={n}" if n != 4 else None) for n in range(6)], "id string, name string, url string")
+    there = spark.createDataFrame([("name5.hwp",)], "name string")
+    found = boards.downloads(wanted, there, suffix=".hwp", delay=0.0).persist()
+    assert {r["id"]: (r["name"], r["outcome"]) for r in found.collect()} == {
+        "0": ("name0.hwp", "success"), "1": ("name1.hwp", "success"), "2": ("name2.pdf", "success"), "3": ("name3.hwp", "failed"), "4": ("name4.hwp", "no_file"), "5": ("name5.hwp", "skipped")}
+    boards.save_files(found, f"file://{tmp_path}/files")
+    assert sorted(x.name for x in (tmp_path / "files").iterdir()) == ["name0.hwp", "name1.hwp", "name2.pdf"]
+    assert not any("n=5" in x for x in Service.asked)
 
 
 E1 = "피심인의 약관 제3조 고객은 언제나 비용을 전부 부담한다고 정한다\n계속되는 줄\n2. 다음"
@@ -136,7 +232,7 @@ def test_record_scan_is_total(data):
 
 def test_paragraph_units():
     units = [0xAC00, 13, 0x41, 9, *[0] * 6, 0x42, 24, 30, 31, 0xD83D, 0xDE00, 0xD800]
-    assert decode.paragraph(struct.pack(f"<{len(units)}H", *units) + b"x") == "가\nAB ­😀?"
+    assert decode.paragraph(struct.pack(f"<{len(units)}H", *units) + b"x", compat=False) == "가\nAB ­😀?"
     long = "가" * 3000
     assert decode.stream_text(decode.record("a") + decode.record(long) + decode.record("cut")[:-2]) == f"a\n{long}"
     assert decode.inflated(zlib.compress(b"x")) == b"x"

@@ -6,7 +6,7 @@ def test_only_new_keys_are_stored(spark, tmp_path):
     folder, target, state = (str(tmp_path / x) for x in ("in", "out", "state"))
     for ids in ([1, 2], [2, 3]):
         spark.createDataFrame([(i,) for i in ids], "id long").coalesce(1).write.mode("append").parquet(folder)
-        store(new_records(spark, folder, "id long", "id"), target, state).awaitTermination()
+        store(new_records(spark, folder, "id long"), target, state, "id").awaitTermination()
     assert sorted(r[0] for r in spark.read.parquet(target).collect()) == [1, 2, 3]
 
 
