@@ -1,7 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the average of learned vectors of its hashed features (words, byte n-grams of 3 and 4, whether a word repeats the one before), followed by
-a softmax over the two labels; numpy stochastic gradient descent learns both layers. Fitting uses at most
+A document is the average of learned vectors of its hashed features: words, n-grams of 3 and 4 characters (code points) within words and their
+bounds, and pairs of words as far as they are the same word twice (all such pairs share a bucket, as do all others: what repeats tells
+less than that it does). They are followed by a softmax over the two labels; numpy stochastic gradient descent learns both layers. Fitting uses at most
 ``max_train`` labelled documents (those of smallest hash among the rows allowed), whole texts; scoring covers every
 document. As the output is linear in the average, a fitted model scores with one learned number per feature, which
 is what tasks receive (its size is fixed by ``buckets``).
@@ -22,38 +23,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statuta.llm.common import fold
-from statuta.llm.words import Texts, pieces, words
+from statuta.llm.words import Texts, mix64, pieces, words
 
 BUCKETS = 1 << 16
 #: Buckets of the pattern "the word before again" and of its absence.
 REPEAT = BUCKETS - 2
 
 
-def _grams(buf: np.ndarray, n: int) -> np.ndarray:
-    x = np.zeros(max(0, len(buf) - n + 1), np.uint32)
-    for k in range(n):
-        x = (x << np.uint32(8)) | buf[k : len(buf) - n + 1 + k]
-    return (x + np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B) >> np.uint32(16)
+def _characters(t: Texts, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of the words one after another, each word between two marks, as their bytes in one number; and the word of each."""
+    at = np.flatnonzero((t.buf & 0xC0) != 0x80)
+    code, padded = t.buf[at].astype(np.uint32), np.concatenate([t.buf, np.zeros(3, np.uint8)])
+    more = np.ones(len(at), bool)
+    for k in range(1, 4):
+        more &= (padded[at + k] & 0xC0) == 0x80
+        code |= np.where(more, padded[at + k].astype(np.uint32) << np.uint32(8 * k), np.uint32(0))
+    low, high = np.searchsorted(at, start), np.searchsorted(at, end)
+    size = high - low + 2
+    word = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+    out = np.where(place == 0, np.uint32(1), np.uint32(2))
+    inner = (place > 0) & (place < size[word] - 1)
+    out[inner] = code[low[word[inner]] + place[inner] - 1]
+    return out, word
 
 
 def features(t: Texts) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each kind of feature: the buckets, and the bounds of each text in them."""
     out = []
-    hashed, _, _, first = words(t)
+    hashed, start, end, first = words(t)
     out.append(((hashed >> np.uint64(48)).astype(np.uint32), first))
     again = np.zeros(len(hashed), bool)
     again[1:] = hashed[1:] == hashed[:-1]
     again[first[:-1][np.diff(first) > 0]] = False
     out.append((np.where(again, REPEAT, REPEAT + 1).astype(np.uint32), first))
-    length = np.diff(t.ends)
+    code, word = _characters(t, start, end) if len(start) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
     for n in (3, 4):
-        grams = _grams(t.buf, n)
-        keep = np.ones(len(grams), bool)
-        for k in range(1, n):
-            over = t.ends[1:] - k
-            keep[over[(over >= 0) & (over < len(grams))]] = False
-        count = np.maximum(length - n + 1, 0)
-        out.append((grams[keep], np.concatenate([[0], np.cumsum(count)])))
+        m = max(0, len(code) - n + 1)
+        x = np.full(m, n, np.uint64)
+        for k in range(n):
+            x = mix64(x * np.uint64(0x9E3779B97F4A7C15) + code[k : m + k])
+        within = word[:m] == word[n - 1 :] if m else np.zeros(0, bool)
+        out.append(((x[within] >> np.uint64(48)).astype(np.uint32), np.searchsorted(word[:m][within], first)))
     return out
 
 
