@@ -65,10 +65,11 @@ def before(values: Column, zero: Column, both: Callable[[Column, Column], Column
     return let(values, blocked)
 
 
-def matches(text: Column, pattern: str, guard: Column) -> Column:
-    """array<struct<s, e, v, gap>> of the matches, gap the text since the one before: the pieces between them give the places."""
+def matches(text: Column, pattern: str, guard: Column, tail: bool = False) -> Column:
+    """array<struct<s, e, v, gap>> of the matches, gap the text since the one before: the pieces between them give the places. With tail, an empty match ends it."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    paired = F.filter(F.zip_with(F.split(text, pattern, -1), found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"), m.alias("v"), g.alias("gap"))), lambda x: x["v"].isNotNull())
+    every = F.zip_with(F.split(text, pattern, -1), found, lambda g, m: F.struct(F.length(g).alias("g"), F.coalesce(F.length(m), F.lit(0)).alias("m"), F.coalesce(m, F.lit("")).alias("v"), g.alias("gap"), m.isNull().alias("last")))
+    paired = every if tail else F.filter(every, lambda x: ~x["last"])
 
     def placed(x: Column) -> Column:
         at = before(F.transform(x, lambda p: p["g"] + p["m"]), F.lit(0), lambda a, b: a + b)
@@ -114,7 +115,7 @@ def digest(spans: Column) -> Column:
 
 
 def candidates(tokens: Column, base: Column) -> Column:
-    """array<struct<s, e, v, l1, l2, r1, seed>> of a text's tokens, in order."""
+    """array<struct<s, e, v, l1, l2, r1, seed>> of a text's tokens, in order; tokens end with the text's tail."""
     edge = lambda v: F.regexp_replace(v, r"^[^A-Za-z0-9+(\[]+|[^A-Za-z0-9\])]+$", "")
     lead = lambda v: F.length(F.regexp_extract(v, r"^[^A-Za-z0-9+(\[]*", 0))
     shaped = lambda v: v.rlike("|".join(f"(?:{x})" for x in SHAPES.values()))
@@ -127,7 +128,7 @@ def candidates(tokens: Column, base: Column) -> Column:
             """The n tokens from i on, if one space parts each from the next, without marks at the ends."""
             part = F.slice(t, i + 1, n)
             joined = F.array_join(F.transform(part, lambda x: x["v"]), " ")
-            apart = F.exists(F.slice(t, i + 2, n - 1), lambda x: x["gap"] != " ") | (F.size(part) < n)
+            apart = F.exists(F.slice(t, i + 2, n - 1), lambda x: x["gap"] != " ") | (i + n >= F.size(t))
             return F.when(~apart, joined)
 
         def one(i: Column) -> Column:
@@ -152,10 +153,10 @@ def candidates(tokens: Column, base: Column) -> Column:
                             back(F.reverse(prior), r"^[ \t-\r]+([^ \t-\r]+)").alias("l1"), back(F.reverse(prior), r"^[ \t-\r]+([^ \t-\r]+[ \t-\r]+[^ \t-\r]+)").alias("l2"),
                             F.lower(F.regexp_extract(after, r"^[ \t-\r]+([^ \t-\r]+)", 1)).alias("r1"))
 
-        return let(F.transform(F.sequence(F.lit(0), F.size(t) - 1), one), lambda f: let(free(f), lambda y: F.transform(y, told)))
+        return let(F.transform(F.sequence(F.lit(0), F.size(t) - 2), one), lambda f: let(free(f), lambda y: F.transform(y, told)))
 
     none = F.array().cast("array<struct<s:int,e:int,v:string,seed:int,l1:string,l2:string,r1:string>>")
-    return let(tokens, lambda t: let(base, lambda b: F.when(F.size(t) > 0, whole(t, b)).otherwise(none)))
+    return let(tokens, lambda t: let(base, lambda b: F.when(F.size(t) > 1, whole(t, b)).otherwise(none)))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -165,7 +166,7 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "h", "t", *[m.alias(k) for k, m in base_spans(F.col("t")).items()])
     of = lambda i: lambda m: F.struct(m["s"].alias("s"), F.lit(i).alias("k"), m["e"].alias("e"))
     spans = F.concat(*[F.transform(k, of(i)) for i, k in enumerate(KINDS)])
-    rows = rows.select("doc_id", "h", F.array_sort(spans).alias("base"), matches(F.col("t"), TOKENS, F.col("t").rlike(r"[0-9@]|[\[(](?:at|dot)[\])]")).alias("tokens"))
+    rows = rows.select("doc_id", "h", F.array_sort(spans).alias("base"), matches(F.col("t"), TOKENS, F.col("t").rlike(r"[0-9@]|[\[(](?:at|dot)[\])]"), tail=True).alias("tokens"))
     return rows.select("doc_id", "h", "base", candidates(F.col("tokens"), F.col("base")).alias("cand"))
 
 
