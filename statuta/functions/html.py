@@ -14,6 +14,9 @@ from statuta.functions.text import first_match, normalize, or_empty
 # Where boards keep their table, in the order in which places are tried: (element, class) or the id of an element around it.
 DECISIONS = (("#", "contents"), ("table", "boardList"), ("table", "list"), ("table", ""))
 CONTRACTS = (("table", "p-table"), ("table", ""))
+# The call that loads a decision's file, its arguments, and the two together in markup.
+CALL, QUOTED = "fn_downloadFile", "['\"]([^'\"]+)['\"]"
+CALL_MARKUP = rf"{CALL}\(\s*{QUOTED}\s*,\s*{QUOTED}"
 #: The last column of a contract row that is text; links of the next one are attachments.
 ATTACHMENTS = 4
 
@@ -161,15 +164,14 @@ def file_of(elements: Column, hidden: Column, markup: Column) -> Column:
     of = lambda a, b: F.struct(a.alias("docId"), b.alias("docSn"))
 
     def tried(x: Column) -> Column:
-        quoted = F.regexp_extract_all(or_empty(x["onclick"]), F.lit("['\"]([^'\"]+)['\"]"), F.lit(1))
-        call = or_empty(x["onclick"]).contains("fn_downloadFile") & (F.size(quoted) >= 2)
+        quoted = F.regexp_extract_all(or_empty(x["onclick"]), F.lit(QUOTED), F.lit(1))
+        call = or_empty(x["onclick"]).contains(CALL) & (F.size(quoted) >= 2)
         return F.when(call, of(F.get(quoted, F.lit(0)), F.get(quoted, F.lit(1)))).when(or_empty(x["doc_id"]) != "", of(x["doc_id"], or_empty(x["doc_sn"])))
 
     a = F.get(F.filter(F.transform(elements, tried), lambda x: x.isNotNull()), F.lit(0))
     filled = F.filter(hidden, lambda h: or_empty(h) != "")
     b = F.when(F.size(filled) >= 2, of(F.get(filled, F.lit(0)), F.get(filled, F.lit(1))))
-    call = r"fn_downloadFile\(\s*['\"]([^'\"]+)['\"]\s*,\s*['\"]([^'\"]+)['\"]"
-    c = F.when(or_empty(markup).rlike(call), of(first_match(markup, call, 1), first_match(markup, call, 2)))
+    c = F.when(or_empty(markup).rlike(CALL_MARKUP), of(first_match(markup, CALL_MARKUP, 1), first_match(markup, CALL_MARKUP, 2)))
     return F.coalesce(a, b, c)
 
 

@@ -25,17 +25,18 @@ ARTICLES = {
     "13": "대리인 책임 가중 위반",
     "14": "소제기 금지 위반",
 }
-# Patterns of a violation; _ stands for any white space, .. for anything within a sentence.
+# Patterns of a violation; _ stands for any white space.
+WITHIN = r"[^\n.]*"
 PHRASES = [
     "고객에게_부당하게_불리한_조항",
-    "상당한_이유_없이..불리한..",
-    "부당하게..면책..",
-    "손해배상..제한..",
-    f"해제(?:[·,]|{WHITE})*해지..제한..",
-    "의사표시의_의제..",
-    "대리인의_책임..가중..",
-    "소제기의_금지..",
-    "불공정약관..해당..",
+    f"상당한_이유_없이{WITHIN}불리한{WITHIN}",
+    f"부당하게{WITHIN}면책{WITHIN}",
+    f"손해배상{WITHIN}제한{WITHIN}",
+    f"해제(?:[·,]|{WHITE})*해지{WITHIN}제한{WITHIN}",
+    f"의사표시의_의제{WITHIN}",
+    f"대리인의_책임{WITHIN}가중{WITHIN}",
+    f"소제기의_금지{WITHIN}",
+    f"불공정약관{WITHIN}해당{WITHIN}",
 ]
 TERMS_ACT = "약관(?:의)?규제(?:에_관한)?법_"
 # Statutes as cited, and whether item numbers may follow the paragraph.
@@ -77,7 +78,7 @@ def clauses(text: Column, longer_than: int = 20) -> Column:
 def violations(text: Column) -> Column:
     """Phrases that name a kind of violation, then the labels of the Terms Act's articles 6 to 14 as cited."""
     t = _plain(text)
-    found = [_all(t, p.replace("..", r"[^\n.]*")) for p in PHRASES]
+    found = [_all(t, p) for p in PHRASES]
     numbers = _all(t, rf"{TERMS_ACT}제({DIGITS})조", 1)
     labels = F.create_map(*[F.lit(x) for pair in ARTICLES.items() for x in pair])
     named = F.transform(F.filter(numbers, lambda n: n.isin(*ARTICLES)), lambda n: F.concat(F.lit("약관규제법 제"), n, F.lit("조 - "), F.element_at(labels, n)))

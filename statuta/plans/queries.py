@@ -355,7 +355,7 @@ def clauses_extract(spark, sf_dir):
 _LABELS = "MAP {" + ", ".join(f"'{k}': '약관규제법 제{k}조 - {v}'" for k, v in rules.ARTICLES.items()) + "}"
 
 
-VIOLATIONS_SQL = [*[_re(p.replace("..", r"[^\n.]*")) for p in rules.PHRASES], f"list_filter(list_transform({_re(rules.TERMS_ACT + f'제({_N})조', 1)}, lambda n: {_LABELS}[n]), lambda x: x IS NOT NULL)"]
+VIOLATIONS_SQL = [*[_re(p) for p in rules.PHRASES], f"list_filter(list_transform({_re(rules.TERMS_ACT + f'제({_N})조', 1)}, lambda n: {_LABELS}[n]), lambda x: x IS NOT NULL)"]
 
 
 @query(_listed_sql(VIOLATIONS_SQL, -1))
