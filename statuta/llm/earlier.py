@@ -1,22 +1,23 @@
 """Suffix-array dedup by longest-previous-factor arrays.
 
-A byte goes if a string of ``width`` bytes that covers it also starts in a document of smaller doc_id. The suffixes that can matter are found first:
-every string of ``width`` bytes holds the k-gram of least hash among its k-grams (its anchor, the last one on ties), and equal strings hold equal
-anchors at equal places. So:
-
-1. each anchor sends its k-gram hash, the hash of the whole stretch that strings of this anchor can reach (``reach``), and its document to a
-   bucket. A stretch that occurs in an earlier document is removed in full there; a k-gram without an earlier document stays in full. What
-   is left open are anchors whose k-gram, but not stretch, occurs earlier: ends of matches;
-2. for these, the stretches themselves are fetched once per distinct stretch, and all their suffixes of ``width`` bytes are dealt by hash. In
-   each bucket the suffixes are sorted, with the lengths common to neighbours; previous and next smaller doc_ids in suffix order
-   give each suffix its longest earlier match, and those of at least ``width`` bytes are removed;
+A byte goes if a string of ``width`` bytes that covers it also starts in a document of smaller doc_id. Every string of ``width``
+bytes holds the k-gram of least hash among its k-grams (its anchor, the last one on ties), and equal strings hold equal
+anchors at equal places. So the suffixes that can matter are found first, and sorted in groups that hold all their equals:
+
+1. each anchor sends its k-gram hash, fingerprints of the whole stretch that strings of this anchor can reach and of its halves, and its document to a
+   bucket. A stretch that occurs in an earlier document (158 bits agree) is the inside of a copy and goes in full; an anchor whose halves occur in
+   no other document stays. What is left open are the ends of matches. Anchors that a sample shows in very many documents are open at once: their bucket would hold
+   a record for each of the texts around them;
+2. open anchors' stretches are read again, as ``CLASSES`` windows of a few bytes more than ``width``: a window's strings share a core of all but
+   ``STEP`` - 1 of their bytes, and windows meet by the hash of that core. A bucket's distinct windows give their suffixes; these are sorted as bytes, and the
+   previous and next smaller doc_ids in suffix order give each suffix its longest earlier match: those of at least ``width`` bytes are removed;
 3. the strings to remove return to their documents, where covered bytes merge to spans.
 
-Before each shuffle a task keeps only the smallest document of equal stretches or suffixes, so a passage that a third of
-all documents share arrives once per task.
+Before each shuffle a task keeps only the smallest document of equal stretches or windows, so a passage that a third of
+all documents share arrives once per task. All that ends a match is decided by the suffixes' bytes.
 
 Defined cases: null and empty texts have no byte; texts shorter than ``width`` lose nothing; rows of equal doc_id are one document (no removal between them), each treated
-alone otherwise; a null doc_id comes after all others; an empty table gives no row; extra columns are ignored.
+alone otherwise (they are told apart by their texts' hashes); a null doc_id comes after all others; an empty table gives no row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statuta.llm.common import BROADCAST_ROWS, cut, parts_for
@@ -39,9 +40,11 @@ _INVERSE = pow(_BASE, -1, 2**64)
 #: Anchors of k bytes; a side of a match holds at least half of what a string has besides its anchor.
 K = 20
 #: Columns of the records of anchors, and of the ranges of string starts that go back to documents.
-ANCHOR = {"h": np.uint64, "left": np.uint32, "right": np.uint32, "whole": np.uint32, "doc": np.int64, "alt": np.uint16, "lo": np.uint32, "n": np.uint16}
-RANGE = {"doc": np.int64, "alt": np.uint16, "lo": np.uint32, "n": np.uint32, "kind": np.uint8}
-STRING = {"h": np.uint64, "doc": np.int64, "alt": np.uint16, "lo": np.uint32}
+ANCHOR = {"h": np.uint64, "left": np.uint32, "right": np.uint32, "whole": np.uint32, "doc": np.int64, "alt": np.int64, "lo": np.uint32, "n": np.uint16}
+RANGE = {"doc": np.int64, "alt": np.int64, "lo": np.uint32, "n": np.uint32, "kind": np.uint8}
+#: Strings of a window at most, and windows of an anchor's strings; a sample's share of texts, and what makes a k-gram frequent in it.
+STEP, CLASSES = 8, 4
+SAMPLE, FREQUENT, FREQUENT_SHARE = 64, 64, 1 << 20
 GONE, ASKED = 0, 1
 NO_ID = np.iinfo(np.int64).max
 
@@ -105,15 +108,15 @@ def anchors(t: Texts, width: int) -> dict[str, np.ndarray] | None:
     right = hashes.of(at, np.minimum(at + K + rest, end)).astype(np.uint32) | np.uint32(1)
     right[at + K + rest > end] = 0
     whole = (mix64(hashes.of(lo, hi + width) + (at - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
-    return {"text": text, "lo": (lo - begin).astype(np.uint32), "n": (hi - lo + 1).astype(np.uint16), "h": grams[at], "left": left, "right": right, "whole": whole}
+    return {"text": text, "lo": (lo - begin).astype(np.uint32), "n": (hi - lo + 1).astype(np.uint16), "h": grams[at], "left": left, "right": right, "whole": whole, "at": at - begin}
 
 
-def _rows(bucket: np.ndarray, columns: dict[str, np.ndarray], layout: dict[str, type]) -> list[tuple[int, bytes]]:
+def _rows(bucket: np.ndarray, columns: dict[str, np.ndarray], layout: dict[str, type | str]) -> list[tuple[int, bytes]]:
     """(bucket, the columns' planes one after another)."""
     order = np.argsort(bucket, kind="stable")
     starts, ends = runs(bucket[order])
     columns = {k: columns[k][order] for k in layout}
-    return [(int(bucket[order[s]]), b"".join(planes(c[s:e]) for c in columns.values())) for s, e in zip(starts, ends)]
+    return [(int(bucket[order[s]]), b"".join(c[s:e].tobytes() if c.dtype.kind == "V" else planes(c[s:e]) for c in columns.values())) for s, e in zip(starts, ends)]
 
 
 def _columns(values: list[bytes], layout: dict[str, type]) -> dict[str, np.ndarray]:
@@ -123,7 +126,7 @@ def _columns(values: list[bytes], layout: dict[str, type]) -> dict[str, np.ndarr
         n, at = len(v) // width, 0
         for k, d in layout.items():
             size = n * np.dtype(d).itemsize
-            parts[k].append(unplanes(v[at : at + size], d))
+            parts[k].append(np.frombuffer(v[at : at + size], d) if np.dtype(d).kind == "V" else unplanes(v[at : at + size], d))
             at += size
     return {k: np.concatenate(p) if p else np.zeros(0, layout[k]) for k, p in parts.items()}
 
@@ -152,16 +155,23 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int8()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "kind", "data"])
 
 
-def _local(held: dict[str, np.ndarray], keys: tuple[str, ...], layout: dict[str, type], buckets: int) -> pa.RecordBatch:
-    """Of records with equal keys the smallest document's go to the keys' bucket; those of larger documents are gone already."""
-    least, _ = _least(tuple(held[k] for k in keys), held["doc"])
+def _back(x: dict[str, np.ndarray], kind: int, buckets: int) -> list[tuple[int, int, bytes]]:
+    """Rows of ranges of string starts on their way to their documents."""
+    columns = {"doc": x["doc"], "alt": x["alt"], "lo": x["lo"], "n": x["n"].astype(np.uint32), "kind": np.full(len(x["doc"]), kind, np.uint8)}
+    return [(b, 1, data) for b, data in _rows(_bucket(x["doc"], buckets), columns, RANGE)]
+
+
+def _local(held: dict[str, np.ndarray], buckets: int, frequent: np.ndarray) -> pa.RecordBatch:
+    """Anchors of frequent k-grams are open; of other equal stretches the smallest document's go to the k-gram's bucket, those of larger documents are gone."""
+    often = np.isin(held["h"], frequent)
+    rows = _back(_take(held, np.flatnonzero(often)), ASKED, buckets) if often.any() else []
+    held = _take(held, np.flatnonzero(~often))
+    least, _ = _least(tuple(held[k] for k in ("h", "left", "right", "whole")), held["doc"])
     gone = held["doc"] > least
     own = np.flatnonzero(~gone)  # of one document, all starts of equal strings share an answer; each is sent
-    rows = [(b, 0, data) for b, data in _rows((held["h"][own] % np.uint64(buckets)).astype(np.int64), _take(held, own), layout)]
+    rows += [(b, 0, data) for b, data in _rows((held["h"][own] % np.uint64(buckets)).astype(np.int64), _take(held, own), ANCHOR)]
     if gone.any():
-        back = _take(held, np.flatnonzero(gone))
-        back = {"doc": back["doc"], "alt": back["alt"], "lo": back["lo"], "n": back["n"].astype(np.uint32) if "n" in back else np.ones(len(back["doc"]), np.uint32), "kind": np.full(len(back["doc"]), GONE, np.uint8)}
-        rows += [(b, 1, data) for b, data in _rows(_bucket(back["doc"], buckets), back, RANGE)]
+        rows += _back(_take(held, np.flatnonzero(gone)), GONE, buckets)
     return _batch(rows)
 
 
@@ -197,9 +207,7 @@ def _match(buckets: int):
         asked = asked[first] & ~gone
         for mask, kind in ((gone, GONE), (asked, ASKED)):
             if mask.any():
-                x = _take(a, np.flatnonzero(mask))
-                x = {"doc": x["doc"], "alt": x["alt"], "lo": x["lo"], "n": x["n"].astype(np.uint32), "kind": np.full(len(x["doc"]), kind, np.uint8)}
-                out += [(b, 1, d) for b, d in _rows(_bucket(x["doc"], buckets), x, RANGE)]
+                out += _back(_take(a, np.flatnonzero(mask)), kind, buckets)
         return pa.Table.from_batches([_batch(out)])
 
     return run
@@ -229,7 +237,7 @@ def _merge_ranges(width: int):
             alts.append(int(x["alt"][s]))
             kinds.append(int(x["kind"][s]))
             data.append(spans.tobytes())
-        return pa.table({"doc_id": pa.array([None if i == NO_ID else i for i in ids], pa.int64()), "alt": pa.array(alts, pa.int32()), "kind": pa.array(kinds, pa.int32()), "spans": pa.array(data, pa.binary())})
+        return pa.table({"doc_id": pa.array([None if i == NO_ID else i for i in ids], pa.int64()), "alt": pa.array(alts, pa.int64()), "kind": pa.array(kinds, pa.int32()), "spans": pa.array(data, pa.binary())})
 
     return run
 
@@ -265,73 +273,165 @@ def longest_previous(strings: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def _strings(width: int, buckets: int):
-    """The strings of the stretches asked for: longest earlier matches within the task, then a hash of each left one to its bucket."""
+def _layout(width: int) -> dict[str, type | str]:
+    """A window: its core's hash; class, first string and number of strings with its bytes; document, text and place of its first string."""
+    return {"h": np.uint64, "view": f"V{3 + width + STEP - 1}", "doc": np.int64, "alt": np.int64, "lo": np.uint32, "n": np.uint16}
+
+
+def windows(t: Texts, width: int, open_: list[np.ndarray]) -> dict[str, np.ndarray] | None:
+    """The windows of the anchors whose string starts lie in open_ (per text: pairs of first and end)."""
+    found = anchors(t, width)
+    if found is None:
+        return None
+    text, lo = found["text"], found["lo"].astype(np.int64)
+    chosen = np.zeros(len(text), bool)
+    bounds = np.searchsorted(text, np.arange(len(open_) + 1))
+    for i, pairs in enumerate(open_):
+        if len(pairs):
+            own = lo[bounds[i] : bounds[i + 1]]
+            k = np.searchsorted(pairs[:, 0], own, "right") - 1
+            chosen[bounds[i] : bounds[i + 1]] = (k >= 0) & (own < pairs[np.maximum(k, 0), 1])
+    text, lo = text[chosen], lo[chosen]
+    last, at = lo + found["n"][chosen].astype(np.int64) - 1, found["at"][chosen].astype(np.int64)
+    hashes, size = Hashes(t.buf), width + STEP - 1
+    parts: list[dict[str, np.ndarray]] = []
+    for j in range(CLASSES):
+        begin = at - STEP * j - STEP + 1  # where the class's first string would start
+        s, e = np.maximum(lo, begin), np.minimum(last, at - STEP * j)
+        some = np.flatnonzero(s <= e)
+        if not len(some):
+            continue
+        s, e, begin, own = s[some], e[some], begin[some], text[some]
+        base = t.ends[own]
+        place = base[:, None] + begin[:, None] + np.arange(size)
+        inside = (np.arange(size) >= (s - begin)[:, None]) & (np.arange(size) < (e - begin)[:, None] + width)
+        view = np.empty((len(some), 3 + size), np.uint8)
+        view[:, 0], view[:, 1], view[:, 2] = j, s - begin, e - s + 1
+        view[:, 3:] = np.where(inside, t.buf[np.clip(place, 0, len(t.buf) - 1)], 0)
+        core = base + begin + STEP - 1
+        h = mix64(hashes.of(core, core + width - STEP + 1) + np.uint64(j))
+        parts.append({"h": h, "view": view.view(f"V{3 + size}").reshape(-1), "text": own, "lo": s.astype(np.uint32), "n": (e - s + 1).astype(np.uint16)})
+    return {k: np.concatenate([x[k] for x in parts]) for k in parts[0]} if parts else None
+
+
+def _first_of(view: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct windows, which of them each one is, and the smallest document of each distinct one.
+
+    Windows are ordered by a hash and compared by their bytes; should two share a hash, one of them may come up twice, which costs time alone.
+    """
+    n, size = len(view), view.dtype.itemsize
+    letters = np.zeros((n, -(-size // 8) * 8), np.uint8)
+    letters[:, :size] = view.view(np.uint8).reshape(n, size)
+    words = letters.view(np.uint64)
+    key = np.zeros(n, np.uint64)
+    for k in range(words.shape[1]):
+        key = mix64(key * np.uint64(_BASE) + words[:, k])
+    order = np.argsort(key, kind="stable")
+    new = np.ones(n, bool)
+    new[1:] = (words[order[1:]] != words[order[:-1]]).any(1)
+    which = np.empty(n, np.int64)
+    which[order] = np.cumsum(new) - 1
+    distinct = view[order[new]]
+    least = np.full(len(distinct), NO_ID, np.int64)
+    np.minimum.at(least, which, doc)
+    return distinct, which, least
+
+
+def _windows(width: int, buckets: int):
+    """Windows of open anchors by their cores' buckets; those that another document of the task has earlier are gone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "alt", "lo", "h"]
-        held: dict[str, list] = {k: [] for k in names}
-        views: list[np.ndarray] = []
+        layout = _layout(width)
+        held: list[dict[str, np.ndarray]] = []
         n = 0
 
         def flush() -> pa.RecordBatch:
-            x = {k: np.concatenate(v) for k, v in held.items()}
-            strings = np.concatenate(views)
-            gone = longest_previous(strings, x["doc"]) >= width
-            rows = [(b, 0, d) for b, d in _rows((x["h"][~gone] % np.uint64(buckets)).astype(np.int64), _take(x, np.flatnonzero(~gone)), STRING)]
-            if gone.any():
-                g = _take(x, np.flatnonzero(gone))
-                g |= {"n": np.ones(len(g["doc"]), np.uint32), "kind": np.full(len(g["doc"]), GONE, np.uint8)}
-                rows += [(b, 1, d) for b, d in _rows(_bucket(g["doc"], buckets), g, RANGE)]
-            return _batch(rows)
+            x = {k: np.concatenate([h[k] for h in held]) for k in layout}
+            _, which, least = _first_of(x["view"], x["doc"])
+            gone = x["doc"] > least[which]
+            own = np.flatnonzero(~gone)
+            rows = [(b, 0, d) for b, d in _rows((x["h"][own] % np.uint64(buckets)).astype(np.int64), _take(x, own), layout)]
+            return _batch(rows + (_back(_take(x, np.flatnonzero(gone)), GONE, buckets) if gone.any() else []))
 
         for batch, t in pieces(batches, "text"):
-            hashes = Hashes(t.buf)
-            ids, alts, spans = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "alt", "spans"))
-            for i in range(batch.num_rows):
-                for lo, hi in np.frombuffer(spans[i], np.int64).reshape(-1, 2):
-                    at = np.arange(lo, hi) + t.ends[i]
-                    views.append(np.lib.stride_tricks.sliding_window_view(t.buf[at[0] : at[-1] + width], width).copy().view(f"V{width}").reshape(-1))
-                    held["h"].append(hashes.of(at, at + width))
-                    held["lo"].append(np.arange(lo, hi).astype(np.uint32))
-                    held["doc"].append(np.full(len(at), NO_ID if ids[i] is None else ids[i], np.int64))
-                    held["alt"].append(np.full(len(at), alts[i], np.uint16))
-                    n += len(at)
-                if n >= 200_000:
-                    yield flush()
-                    held, views, n = {k: [] for k in names}, [], 0
-        if n:
+            ids, alts, open_ = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "alt", "spans"))
+            found = windows(t, width, [np.frombuffer(x, np.int64).reshape(-1, 2) for x in open_])
+            if found is None:
+                continue
+            text = found.pop("text")
+            found |= {"doc": np.array([NO_ID if i is None else i for i in ids], np.int64)[text], "alt": np.array(alts, np.int64)[text]}
+            held.append(found)
+            n += len(text)
+            if n >= 200_000:
+                yield flush()
+                held, n = [], 0
+        if held:
             yield flush()
 
     return run
 
 
-def _match_strings(buckets: int):
+def _match_windows(width: int, buckets: int):
+    """A bucket of windows: suffixes of the distinct ones in order, and what has a longest earlier match of the width."""
+
     def run(table: pa.Table) -> pa.Table:
         out = _passed(table)
-        a = _columns([d for k, d in zip(table.column("kind").to_pylist(), table.column("data").to_pylist()) if not k], STRING)
-        least, _ = _least((a["h"],), a["doc"])
-        gone = np.flatnonzero(a["doc"] > least)
-        if len(gone):
-            g = _take(a, gone)
-            g |= {"n": np.ones(len(gone), np.uint32), "kind": np.full(len(gone), GONE, np.uint8)}
-            out += [(b, 1, d) for b, d in _rows(_bucket(g["doc"], buckets), g, RANGE)]
+        a = _columns([d for k, d in zip(table.column("kind").to_pylist(), table.column("data").to_pylist()) if not k], _layout(width))
+        if not len(a["h"]):
+            return pa.Table.from_batches([_batch(out)])
+        distinct, which, least = _first_of(a["view"], a["doc"])
+        gone = a["doc"] > least[which]
+        if gone.any():
+            out += _back(_take(a, np.flatnonzero(gone)), GONE, buckets)
+        # suffixes of windows whose core others have, too
+        core = np.zeros(len(distinct), np.uint64)
+        core[which] = a["h"]
+        _, inverse, times = np.unique(core, return_inverse=True, return_counts=True)
+        shared = np.flatnonzero(times[inverse] > 1)
+        if len(shared):
+            letters = distinct[shared].view(np.uint8).reshape(len(shared), -1)
+            count = letters[:, 2].astype(np.int64)
+            owner = np.repeat(np.arange(len(shared)), count)
+            step = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            start = letters[owner, 1] + step
+            suffixes = letters[owner[:, None], 3 + start[:, None] + np.arange(width)]
+            found = longest_previous(np.ascontiguousarray(suffixes).view(f"V{width}").reshape(-1), least[shared][owner]) >= width
+            # each window of the document that has it first loses the strings found
+            hit = np.zeros((len(distinct), STEP), bool)
+            hit[shared[owner[found]], step[found]] = True
+            row, k = np.nonzero(hit[which] & ~gone[:, None])
+            if len(row):
+                x = _take(a, row)
+                x["lo"], x["n"] = (x["lo"] + k).astype(np.uint32), np.ones(len(row), np.uint16)
+                out += _back(x, GONE, buckets)
         return pa.Table.from_batches([_batch(out)])
 
     return run
 
 
+def _frequent(source: DataFrame, width: int) -> np.ndarray:
+    """Hashes of the k-grams that are anchors in very many texts, as a sample shows them: at most FREQUENT_SHARE of them. It decides only which way an anchor goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in pieces(batches, "text"):
+            found = anchors(t, width)
+            if found is not None:
+                every = np.unique(np.stack([found["h"], found["text"].astype(np.uint64)], 1), axis=0)[:, 0].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(every))], ["h"])
+
+    counted = cut(source.where(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(SAMPLE)) == 0).mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    often = counted.where(F.col("n") >= max(FREQUENT, total / FREQUENT_SHARE)).select("h").collect()  # at most FREQUENT_SHARE numbers
+    return np.sort(np.array([r["h"] for r in often], np.int64).view(np.uint64))
+
+
 def spans(docs: DataFrame, width: int = 50) -> tuple[DataFrame, DataFrame]:
-    """docs with alt (which of the texts of its doc_id a row has), and (doc_id, alt, spans): int64 pairs of merged byte ranges to remove."""
+    """docs with alt (the text's hash where texts share a doc_id), and (doc_id, alt, spans): int64 pairs of merged byte ranges to remove."""
     source = docs.select("doc_id", "text")
     buckets = parts_for(source, 4 << 20)
-    repeated = cut(source.where("doc_id IS NULL").select("doc_id").limit(1).unionByName(source.groupBy("doc_id").count().where("count > 1").select("doc_id")).distinct())
-    if repeated.limit(1).count():
-        kinds = source.join(repeated, source["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi").select("doc_id", F.xxhash64("text").alias("_h")).distinct()
-        kinds = cut(kinds.select(F.col("doc_id").alias("_d"), "_h", (F.row_number().over(Window.partitionBy("doc_id").orderBy("_h")) - 1).alias("alt")))
-        source = source.withColumn("_x", F.xxhash64("text")).join(kinds, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_x") == F.col("_h")), "left").select("doc_id", "text", F.coalesce("alt", F.lit(0)).alias("alt"))
-    else:
-        source = source.withColumn("alt", F.lit(0))
+    repeated = source.where("doc_id IS NULL").select("doc_id").limit(1).unionByName(source.groupBy("doc_id").count().where("count > 1").select("doc_id").limit(1))
+    source = source.withColumn("alt", F.xxhash64("text") if repeated.limit(1).count() else F.lit(0).cast("long"))
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(source, width))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -342,24 +442,24 @@ def spans(docs: DataFrame, width: int = 50) -> tuple[DataFrame, DataFrame]:
                 continue
             text = found.pop("text")
             ids = np.array([NO_ID if i is None else i for i in batch.column(0).to_pylist()], np.int64)
-            found |= {"doc": ids[text], "alt": np.array(batch.column(2).to_pylist(), np.uint16)[text]}
+            found |= {"doc": ids[text], "alt": np.array(batch.column(2).to_pylist(), np.int64)[text]}
             held.append(found)
             n += len(text)
             if n >= 400_000:
-                yield _local({k: np.concatenate([x[k] for x in held]) for k in ANCHOR}, ("h", "left", "right", "whole"), ANCHOR, buckets)
+                yield _local({k: np.concatenate([x[k] for x in held]) for k in ANCHOR}, buckets, frequent.value)
                 held, n = [], 0
         if held:
-            yield _local({k: np.concatenate([x[k] for x in held]) for k in ANCHOR}, ("h", "left", "right", "whole"), ANCHOR, buckets)
+            yield _local({k: np.concatenate([x[k] for x in held]) for k in ANCHOR}, buckets, frequent.value)
 
     row = "bucket int, kind tinyint, data binary"
-    result = "doc_id long, alt int, kind int, spans binary"
+    result = "doc_id long, alt long, kind int, spans binary"
     matched = source.mapInArrow(deal, row).groupBy("bucket").applyInArrow(_match(buckets), row)
     first = cut(matched.groupBy("bucket").applyInArrow(_merge_ranges(width), result))
     asked = first.where(F.col("kind") == ASKED).select(F.col("doc_id").alias("_d"), F.col("alt").alias("_a"), "spans")
     small = (asked.agg(F.sum(F.length("spans") + 40)).first()[0] or 0) <= 64 << 20
     on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("alt") == F.col("_a"))
     second = source.join(F.broadcast(asked) if small else asked, on).select("doc_id", "alt", "text", "spans")
-    ends = second.mapInArrow(_strings(width, buckets), row).groupBy("bucket").applyInArrow(_match_strings(buckets), row).groupBy("bucket").applyInArrow(_merge_ranges(width), result)
+    ends = second.mapInArrow(_windows(width, buckets), row).groupBy("bucket").applyInArrow(_match_windows(width, buckets), row).groupBy("bucket").applyInArrow(_merge_ranges(width), result)
     every = first.where(F.col("kind") == GONE).unionByName(ends)
     merged = F.flatten(F.collect_list(F.array("spans")))
     return source, cut(every.groupBy("doc_id", "alt").agg(merged.alias("spans")))
