@@ -115,15 +115,24 @@ def digest(spans: Column) -> Column:
 
 
 def candidates(tokens: Column, base: Column) -> Column:
-    """array<struct<s, e, v, l1, l2, r1, seed>> of a text's tokens, in order; tokens end with the text's tail."""
+    """array<struct<s, e, v, seed, free (of base spans), l1, l2, r1>> of a text's tokens, in order; tokens end with the text's tail."""
     edge = lambda v: F.regexp_replace(v, r"^[^A-Za-z0-9+(\[]+|[^A-Za-z0-9\])]+$", "")
     lead = lambda v: F.length(F.regexp_extract(v, r"^[^A-Za-z0-9+(\[]*", 0))
     shaped = lambda v: v.rlike("|".join(f"(?:{x})" for x in SHAPES.values()))
     back = lambda t, pattern: F.lower(F.reverse(F.regexp_extract(t, pattern, 1)))
 
     def whole(t: Column, b: Column) -> Column:
+        firsts = F.transform(F.filter(F.sequence(F.lit(0), F.size(b)), lambda i: (i % STEP == 0) & (i < F.size(b))), lambda i: F.get(b, i)["s"])
+        ends = before(F.concat(F.transform(b, lambda x: x["e"]), F.array(F.lit(0))), F.lit(0), lambda a, e: F.greatest(a, e))
+        return let(firsts, lambda f: let(ends, lambda r: placed(t, b, f, r)))
+
+    def placed(t: Column, b: Column, firsts: Column, ends: Column) -> Column:
         at = lambda i: F.get(t, i)
 
+        def index(pos: Column) -> Column:
+            """How many base spans start before pos."""
+            return let(F.size(F.filter(firsts, lambda x: x < pos)), lambda k: F.when(k == 0, 0).otherwise((k - 1) * STEP + F.size(F.filter(F.slice(b, (k - 1) * STEP + 1, F.lit(STEP)), lambda x: x["s"] < pos))))
+
         def run(i: Column, n: Column) -> Column:
             """The n tokens from i on, if one space parts each from the next, without marks at the ends."""
             part = F.slice(t, i + 1, n)
@@ -133,7 +142,7 @@ def candidates(tokens: Column, base: Column) -> Column:
 
         def one(i: Column) -> Column:
             s = at(i)["s"] + lead(at(i)["v"])
-            seed = F.get(F.filter(b, lambda x: (x["s"] >= at(i)["s"]) & (x["s"] < at(i)["e"])), F.lit(0))
+            seed = let(F.get(b, index(at(i)["s"])), lambda x: F.when(x["s"] < at(i)["e"], x))
             sizes = F.sequence(F.lit(MOST), F.lit(1), F.lit(-1))
             runs = F.filter(F.transform(sizes, lambda n: edge(run(i, n))), lambda v: v.isNotNull() & shaped(v))
             own = let(F.coalesce(F.get(runs, F.lit(0)), edge(at(i)["v"])), lambda v: F.struct(s.alias("s"), (s + F.length(v)).alias("e"), v.alias("v"), F.lit(None).cast("int").alias("seed")))
@@ -149,13 +158,14 @@ def candidates(tokens: Column, base: Column) -> Column:
             inside = F.size(F.filter(F.slice(t, i + 2, F.lit(MOST + 2)), lambda y: y["s"] < c["e"]))
             after = let(i + inside + 1, lambda j: F.concat(F.coalesce(at(j)["gap"], F.lit("")), F.coalesce(at(j)["v"], F.lit(""))))
             v = F.coalesce(c["v"], F.array_join(F.transform(F.slice(t, i + 1, inside + 1), lambda y: y["v"]), " "))
-            return F.struct(c["s"].alias("s"), c["e"].alias("e"), v.alias("v"), c["seed"].alias("seed"),
+            alone = let(index(c["s"]), lambda j: (F.get(ends, j) <= c["s"]) & F.coalesce(F.get(b, j)["s"] >= c["e"], F.lit(True)))
+            return F.struct(c["s"].alias("s"), c["e"].alias("e"), v.alias("v"), c["seed"].alias("seed"), alone.alias("free"),
                             back(F.reverse(prior), r"^[ \t-\r]+([^ \t-\r]+)").alias("l1"), back(F.reverse(prior), r"^[ \t-\r]+([^ \t-\r]+[ \t-\r]+[^ \t-\r]+)").alias("l2"),
                             F.lower(F.regexp_extract(after, r"^[ \t-\r]+([^ \t-\r]+)", 1)).alias("r1"))
 
         return let(F.transform(F.sequence(F.lit(0), F.size(t) - 2), one), lambda f: let(free(f), lambda y: F.transform(y, told)))
 
-    none = F.array().cast("array<struct<s:int,e:int,v:string,seed:int,l1:string,l2:string,r1:string>>")
+    none = F.array().cast("array<struct<s:int,e:int,v:string,seed:int,free:boolean,l1:string,l2:string,r1:string>>")
     return let(tokens, lambda t: let(base, lambda b: F.when(F.size(t) > 1, whole(t, b)).otherwise(none)))
 
 
@@ -172,10 +182,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def learn(scanned: DataFrame, *, min_support: int = 3, min_score: float = 0.7) -> DataFrame:
     """doc_id, h, s, k, e of the spans that trusted patterns add."""
-    c = scanned.select("doc_id", "h", "base", F.explode("cand").alias("c")).select("doc_id", "h", "base", "c.*")
-    overlap = F.exists("base", lambda b: (b["s"] < F.col("e")) & (F.col("s") < b["e"]))
+    c = scanned.select("doc_id", "h", F.explode("cand").alias("c")).select("doc_id", "h", "c.*")
     shaped = F.array_compact(F.array(*[F.when(F.col("v").rlike(SHAPES[k]), F.lit(i)) for i, k in enumerate(KINDS)]))
-    c = c.withColumn("free", ~overlap).withColumn("kinds", F.when(F.col("seed").isNotNull(), F.array("seed")).when(F.col("free"), shaped).otherwise(F.array().cast("array<int>")))
+    c = c.withColumn("kinds", F.when(F.col("seed").isNotNull(), F.array("seed")).when(F.col("free"), shaped).otherwise(F.array().cast("array<int>")))
     patterns = F.array_compact(F.array(
         F.when(F.col("l1") != "", F.concat(F.lit("1:"), "l1")), F.when(F.col("l2") != "", F.concat(F.lit("2:"), "l2")),
         F.when((F.col("l1") != "") & (F.col("r1") != ""), F.concat(F.lit("3:"), "l1", F.lit(" _ "), "r1"))))

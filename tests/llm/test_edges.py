@@ -225,6 +225,43 @@ def test_earlier_strings(spark, docs, empty):
     assert earlier.remove(empty).count() == 0
 
 
+def test_suffix_order_decides(spark, docs, monkeypatch):
+    """Without longest earlier matches less is removed; k-grams that count as frequent go another way to the same result."""
+    import numpy as np
+    import pyarrow as pa
+
+    from statuta.llm import words as w
+
+    def result():
+        out = earlier.remove(docs).select("doc_id", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept"))
+        return Counter(tuple(r) for r in out.collect())
+
+    usual = result()
+    monkeypatch.setattr(earlier, "SAMPLE", 1)
+    monkeypatch.setattr(earlier, "FREQUENT", 1)
+    source = docs.select("doc_id", "text", F.lit(0).cast("long").alias("alt"))
+    assert len(earlier._frequent(source, 50)) > 100
+    assert result() == usual
+    monkeypatch.undo()
+    t = w.texts_of(pa.array([r[1] for r in make_rows()[:20]], pa.large_string()))
+    found = earlier.windows(t, 50, [np.array([[0, 10**6]])] * 20)
+    n = sum(max(0, len(r[1].encode()) - 49) for r in make_rows()[:20])
+    assert found["n"].sum() == n  # every string is in one window
+    layout = earlier._layout(50)
+    data = earlier._rows(np.zeros(len(found["h"]), np.int64), found | {"doc": found["text"].astype(np.int64), "alt": np.zeros(len(found["h"]), np.int64)}, layout)
+    table = pa.table({"bucket": [0], "kind": pa.array([0], pa.int8()), "data": pa.array([data[0][1]], pa.binary())})
+    with_order = earlier._match_windows(50, 1)(table).num_rows
+    monkeypatch.setattr(earlier, "longest_previous", lambda strings, doc: np.zeros(len(strings), np.int64))
+    assert earlier._match_windows(50, 1)(table).num_rows < with_order
+
+
+def test_many_texts_without_an_id(spark):
+    frame = spark.range(70_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("a line of text that all of these share, of more than fifty bytes "), F.col("id").cast("string")).alias("text"))
+    one = spark.createDataFrame([(7, "a line of text that all of these share, of more than fifty bytes ")], "doc_id long, text string")
+    out = earlier.remove(frame.unionByName(one)).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("n_removed").alias("lo"), F.max("n_removed").alias("hi"))
+    assert {(r["doc_id"], r["n"], r["lo"], r["hi"]) for r in out.collect()} == {(None, 70_000, 65, 65), (7, 1, 0, 0)}
+
+
 def test_longest_previous():
     import numpy as np
 
@@ -265,6 +302,104 @@ def test_chat(spark):
     assert chat.format_turns(frame.limit(0)).count() == 0
 
 
+def plain_pii(rows):
+    """Base spans, then candidates, patterns and rounds in plain loops; {row: spans that are added}."""
+    from .test_pipeline import PATTERNS, luhn
+
+    def base_of(text):
+        out = []
+        for k, (kind, p) in enumerate(PATTERNS.items()):
+            for m in re.finditer(p, text):
+                digits = re.sub("[^0-9]", "", m[0])
+                if k == 0 or k == 1 and all(int(x) <= 255 for x in m[0].split(".")) or k == 2 and 12 <= len(digits) <= 19 and luhn(digits) or k == 3 and 9 <= len(digits) <= 15:
+                    out.append((m.start(), k, m.end()))
+        return sorted(out)
+
+    kinds_of = lambda v: [k for k, name in enumerate(pii.KINDS) if re.search(pii.SHAPES[name], v)]
+    edge = lambda v: re.sub(r"^[^A-Za-z0-9+(\[]+|[^A-Za-z0-9\])]+$", "", v)
+    places = []
+    for d, text in rows:
+        base = base_of(text)
+        tokens = [m for m in re.finditer(r"[^ \t-\r]+", text) if re.search(r"[0-9@]|[\[(](?:at|dot)[\])]", m[0])]
+        starts = [0] + [m.end() for m in tokens]
+        gap = [text[a : m.start()] for a, m in zip(starts, tokens)] + [text[starts[-1] :]]
+        said, reach = [m[0] for m in tokens] + [""], -1
+        for i, m in enumerate(tokens):
+            seed = next((x for x in base if m.start() <= x[0] < m.end()), None)
+            s = m.start() + len(re.match(r"[^A-Za-z0-9+(\[]*", m[0])[0])
+            runs = [edge(" ".join(said[i : i + n])) for n in range(pii.MOST, 0, -1) if i + n <= len(tokens) and all(g == " " for g in gap[i + 1 : i + n])]
+            v = next((x for x in runs if kinds_of(x)), edge(m[0]))
+            s, e = (seed[0], seed[2]) if seed else (s, s + len(v))
+            if s >= reach and e > s:
+                inside = sum(x.start() < e for x in tokens[i + 1 : i + 3 + pii.MOST])
+                prior = (gap[i - 1] + said[i - 1] if i else "") + gap[i]
+                last = lambda p: (re.search(p + r"[ \t-\r]+\Z", prior) or ["", ""])[1].lower()
+                l1, l2 = last(r"(?<![^ \t-\r])([^ \t-\r]+)"), last(r"(?<![^ \t-\r])([^ \t-\r]+[ \t-\r]+[^ \t-\r]+)")
+                r1 = (re.match(r"[ \t-\r]+([^ \t-\r]+)", gap[i + inside + 1] + said[i + inside + 1]) or ["", ""])[1].lower()
+                v = " ".join(said[i : i + inside + 1]) if seed else v
+                free = not any(x[0] < e and s < x[2] for x in base)
+                p = [x for x in ("1:" + l1 if l1 else "", "2:" + l2 if l2 else "", f"3:{l1} _ {r1}" if l1 and r1 else "") if x]
+                places.append((d, s, e, v, seed[1] if seed else None, free, [seed[1]] if seed else kinds_of(v) if free else [], p))
+            reach = max(reach, e)
+    edges = {}
+    for *_, v, seed, _, ks, ps in places:
+        for p in ps:
+            was = edges.get((p, v), (-1, []))
+            edges[p, v] = (max(was[0], -1 if seed is None else seed), max(was[1], ks))
+    n = Counter(p for p, _ in edges)
+    known = {(v, s): 1.0 for (_, v), (s, _) in edges.items() if s >= 0}
+    while True:
+        got = {}
+        for p, v in edges:
+            for k in range(4):
+                if (v, k) in known:
+                    got.setdefault((p, k), []).append(known[v, k])
+        trusted = {pk: sum(x) / (n[pk[0]] + 0.5) for pk, x in got.items() if len(x) >= 3 and sum(x) / (n[pk[0]] + 0.5) >= 0.7}
+        fresh = {}
+        for (p, v), (s, ks) in edges.items():
+            for k in ks if s < 0 else []:
+                if (p, k) in trusted and (v, k) not in known:
+                    fresh[v, k] = max(fresh.get((v, k), 0), trusted[p, k])
+        if not fresh:
+            break
+        known |= fresh
+    return {(d, s, max((trusted[p, k], -k, k) for p in ps for k in ks if (p, k) in trusted)[2], e) for d, s, e, _, seed, free, ks, ps in places if free and seed is None and any((p, k) in trusted for p in ps for k in ks)}
+
+
+def test_bootstrapping_against_plain_loops(spark):
+    rng = random.Random(12)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    leads = ["call me on", "my phone:", "reach us at", "order no", "dial number", "since", "mail to"]
+    rows = []
+    for i in range(3000):
+        parts = []
+        for _ in range(rng.randint(0, 4)):
+            lead = rng.choice(leads)
+            known = {"call me on": 0.9, "my phone:": 0.7, "dial number": 0.3}.get(lead, 0.1)
+            number = f"+1 ({digits(3)}) {digits(3)}-{digits(4)}" if rng.random() < known else rng.choice([f"({digits(3)}) {digits(3)}-{digits(4)}", digits(4), f"({digits(3)}) {digits(3)}-{digits(4)}, {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(4)} {digits(4)}-05-01"])
+            if lead == "mail to":
+                number = rng.choice([f"a{digits(2)}@b{digits(1)}.org", f"a{digits(2)}@b{digits(1)}.org", f"a{digits(2)}@b{digits(1)}.org", f"john{digits(1)}[at]example[dot]com"])
+            parts.append(f"{random_text(rng, rng.randint(0, 2))} {lead} {number}{rng.choice(['', ',', '.'])} {rng.choice(['today', 'please', ''])}")
+        rows.append((i, " ".join(parts) + rng.choice(["", " end", "\n"])))
+    want = plain_pii(rows)
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r["doc_id"], x["s"], x["k"], x["e"]) for r in found for x in r["spans"] if x not in r["base"]}
+    assert got == want and len(want) > 100 and {k for _, _, k, _ in want} == {0, 3}
+    assert any("[at]" in dict(rows)[d][s:e] for d, s, _, e in want)
+
+
+def test_many_matches_in_one_text(spark):
+    """Work grows with the matches, not with their square."""
+    import time
+
+    frame = spark.createDataFrame([(1, "tel 10.0.0.1, " * 30_000)], "doc_id long, text string")
+    began = time.time()
+    r = pii.find(frame).select(F.size("base").alias("n"), F.element_at("base", -1).alias("b")).first()
+    assert r["n"] == 30_000 and r["b"]["s"] == 14 * 29_999 + 4
+    assert pii.redact(frame).first()["text"] == "tel [IP], " * 30_000
+    assert time.time() - began < 90
+
+
 def plain_schedule(blocks, weights):
     """Every slot goes to the released block of earliest deadline, with fractions."""
     left, used, start, out = {k: n for k, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, {}
@@ -343,36 +478,97 @@ def test_bits_sum_to_one():
     """Probabilities of the 256 bytes after any context add up to one."""
     import numpy as np
 
-    model = mixture.Mixer([np.zeros((1 << b, 2), np.float32) for b in mixture.TABLE_BITS])
+    model = mixture.Mixer([np.zeros(1 << b, np.uint32) for b in mixture.TABLE_BITS])
     t = [0x61626364 << 8 | b for b in range(256)]
-    model.tables[0][:] = np.random.default_rng(0).integers(0, 50, model.tables[0].shape)
-    assert abs((10 ** model.log10(np.array(t, np.uint64))).sum() - 1) < 1e-9
+    rng = np.random.default_rng(0)
+    model.tables[0][:] = 1 << 24 | mixture.coded(rng.integers(0, 50, 1 << 16)) << 12 | mixture.coded(rng.integers(0, 50, 1 << 16))
+    assert abs(model.probability(np.array(t, np.uint64)).sum() - 1) < 1e-9
+
+
+def test_scores_against_a_plain_scorer(spark):
+    """Exact counts, one bit and one byte at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    from statuta.llm.words import texts_of
+
+    rng = random.Random(6)
+    word = ["the", "theory", "of", "offers", "Offer", "é", "more"]
+    texts = [" ".join(rng.choice(word) for _ in range(n)) for n in (300, 200, 90, 0, 1, 40)] + ["again and again " * 12]
+    trained, (grams, bounds) = texts[:3], mixture.strings(texts_of(pa.array(texts, pa.large_string())))
+    every, n = np.unique(grams[: bounds[3]], return_counts=True)
+    model, _ = mixture.train(spark.createDataFrame([(0, bytearray(mixture.packed(every, n)))], "key long, data binary"))
+    counts = Counter()
+    lowered = [bytes(b + 32 if 65 <= b <= 90 else b for b in t.encode()) + b"\0" for t in texts]
+    path = lambda byte, place: (256 | byte) >> (8 - place)
+    past = lambda b, i, k: (b"\0" * k + b[:i])[-k:]
+    for b in lowered[: len(trained)]:
+        for i, byte in enumerate(b):
+            for place in range(8):
+                for k in mixture.ORDERS:
+                    counts[k, past(b, i, k), path(byte, place), byte >> (7 - place) & 1] += 1
+    for b, got in zip(lowered, model.log10(grams, bounds)):
+        total, followed, run, tried, came = 0.0, {}, 0, [0] * 4, [0] * 4
+        for i, byte in enumerate(b):
+            p = 1.0
+            for place in range(8):
+                x, top, seen = [], 0, 0
+                for k in mixture.ORDERS:
+                    n0, n1 = (counts[k, past(b, i, k), path(byte, place), y] for y in (0, 1))
+                    x.append(math.log((n1 + 0.02) / (n0 + 0.02)))
+                    top, seen = (len(x), n0 + n1) if n0 + n1 else (top, seen)
+                gate = place + 8 * (4 * top + sum(seen > y for y in (1.5, 3.5, 15.5)))
+                odds = max(-11.5, min(11.5, sum(float(w) * y for w, y in zip(model.weights[gate], [*x, 0.3]))))
+                at = (odds + 12) * 32 / 24
+                low = min(int(at), 31)
+                one = 0.5 / (1 + math.exp(-odds)) + 0.5 * (model.map[gate, low] * (low + 1 - at) + model.map[gate, low + 1] * (at - low))
+                p *= max(one if byte >> (7 - place) & 1 else 1 - one, 1e-6)
+            context = past(b, i, 5)
+            right = i >= 5 and followed.get(context) == byte
+            if i >= 5 and context in followed:
+                g = min(run, 15) // 4
+                share = 0.3 * (came[g] + 4 * (0.25, 0.6, 0.75, 0.9)[g]) / (tried[g] + 4)
+                p = p * (1 - share) + share * right
+                tried[g], came[g] = tried[g] + 1, came[g] + right
+            followed[context] = byte
+            run = run + 1 if right else 0
+            total += math.log10(p)
+        assert got == pytest.approx(total, rel=2e-3, abs=1e-3)
+
+
+def test_scores_beat_the_base(spark):
+    from .test_pipeline import DATA
+
+    docs = spark.read.parquet(f"{DATA.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    r = mixture.score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert r[0] > r[1]
 
 
 def test_frequent_contexts_keep_their_ratio(spark, monkeypatch):
     import numpy as np
 
     def bucket(grams, counts):
-        data = mixture.planes(np.array(grams, np.uint64)) + mixture.planes(np.array(counts, np.uint64))
-        return spark.createDataFrame([(0, bytearray(data))], "key long, data binary")
+        return spark.createDataFrame([(0, bytearray(mixture.packed(np.array(grams, np.uint64), np.array(counts, np.uint64))))], "key long, data binary")
 
-    # after "aaaa" 2,000,000 times b, 30,000 times c: they differ in the last bit alone
-    b, c = (int.from_bytes(b"aaaa" + x, "big") for x in (b"b", b"c"))
+    # after "aaaaa" 2,000,000 times b, 30,000 times c: they differ in the last bit alone
+    b, c = (int.from_bytes(b"aaaaa" + x, "big") for x in (b"b", b"c"))
     model, _ = mixture.train(bucket([b, c], [2_000_000, 30_000]))
-    votes, _ = model.votes(np.array([b], np.uint64), np.array([256 + 98 >> 1 | 128]))
-    assert abs(votes[0, :4] - math.log(30_000 / 2_000_000)).max() < 0.01
+    votes, _ = model.votes(mixture.contexts(np.array([b], np.uint64)), np.array([256 + 98 >> 1 | 128]), 7)
+    assert abs(votes[:5, 0] - math.log(30_000 / 2_000_000)).max() < 0.01
+    n = np.arange(10**6)
+    assert (mixture._COUNT[mixture.coded(n[:80])] == n[:80]).all() and (abs(mixture._COUNT[mixture.coded(n)] - n) <= 0.003 * n + 0.01).all()
     counts = [10, 1000, 100_000]
-    learned = mixture.Mixer(model.tables), mixture.Mixer(model.tables)
+    learned = [mixture.Mixer(model.tables) for _ in range(2)]
     for m, most in zip(learned, (10**6, 1000)):
-        m.learn(np.array([b, c, c ^ 1 << 8], np.uint64), np.minimum(counts, most))
+        m.learn(np.array([b, c, c ^ 1 << 8], np.uint64), np.minimum(counts, most).astype(np.uint64))
     assert abs(learned[0].weights - learned[1].weights).max() > 1e-4
     # tables have at least two slots for each distinct context, as sampled
-    monkeypatch.setattr(mixture, "TABLE_BITS", (16, 4, 4, 4))
+    monkeypatch.setattr(mixture, "TABLE_BITS", (16, 4, 4, 4, 4))
     monkeypatch.setattr(mixture, "SLICE_BITS", 4)
-    grams = np.unique(np.random.default_rng(5).integers(0, 1 << 40, 60_000, np.uint64))
+    grams = np.unique(np.random.default_rng(5).integers(0, 1 << 48, 60_000, np.uint64))
     sizes = mixture.table_sizes(bucket(grams, np.ones(len(grams))))
     for which, size in list(enumerate(sizes))[1:]:
-        n = len({(int(g) >> 8 & (1 << 8 * which + 8) - 1, int(k)) for _, node, _ in mixture.bits(grams) for g, k in zip(grams, node)})
+        n = len({(int(g) >> 8 & (1 << 8 * mixture.ORDERS[which]) - 1, int(k)) for _, node, _ in mixture.bits(grams) for g, k in zip(grams, node)})
         assert sizes[0] == 16 and 1.6 * n < 1 << size < 5 * n
 
 
@@ -393,3 +589,29 @@ def test_neighbours(spark):
         hit += len({i for _, i, _ in own} & {i for _, i in best})
     assert hit >= 0.9 * 35 and {r["vec_id"] for r in got if r["query_id"] == 0} == {300, 301, 302, 303, 304}
     assert neighbours.nearest(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_neighbours_of_huge_and_tiny_vectors(spark):
+    vec = [[1e200, 1e200], [1e200, 2e200], [1e-200, 0.0], [3.0, -1.0], [5e-324, 5e-324], [1.7e308, 1.7e308]]
+    exact = [[1.0, 1.0], [1.0, 2.0], [1.0, 0.0], [3.0, -1.0], [1.0, 1.0], [1.0, 1.0]]
+    frame = spark.createDataFrame([(50 * i, v) for i, v in enumerate(vec)], "vec_id long, embedding array<double>")
+    cos = lambda a, b: (a[0] * b[0] + a[1] * b[1]) / math.hypot(*a) / math.hypot(*b)
+    got = neighbours.nearest(frame, F.col("vec_id") >= 0).collect()
+    assert len(got) == 30
+    for r in got:
+        assert r["score"] == pytest.approx(cos(exact[r["query_id"] // 50], exact[r["vec_id"] // 50]), abs=1e-12)
+
+
+def test_recall_over_several_shards(spark):
+    """Vectors without any cluster, in eight shards, against brute force."""
+    import numpy as np
+
+    v = np.random.default_rng(3).normal(size=(2000, 48))
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(frame, F.col("vec_id") % 50 == 0, shard_rows=250).collect()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = u[::50] @ u.T
+    near[np.arange(40), np.arange(0, 2000, 50)] = -2
+    best = np.argsort(-near, 1)[:, :5]
+    assert len(got) == 200
+    assert sum(r["vec_id"] in best[r["query_id"] // 50] for r in got) >= 0.95 * 200

@@ -1,5 +1,6 @@
 """The pipeline's rows against a plain version of each stage."""
 
+import random
 import re
 
 import corpus_pipeline
@@ -47,6 +48,40 @@ def test_pipeline(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_classifier", "ngram_jaccard_join", "benchmark_decontamination", "personal_data", "source_mixing"]
 
 
+def test_stages_on_awkward_rows(spark, tmp_path):
+    """Nulls, repeated rows, empty texts and columns that clash with those that stages add; then empty tables."""
+    rng = random.Random(2)
+    base = " ".join(f"w{rng.randint(0, 300)}" for _ in range(80))
+    item = " ".join(f"q{rng.randint(0, 300)}" for _ in range(40))
+    rows = [(1, base), (2, base + " more"), (None, base + " other"), (None, "ask me at 10.1.2.3"), (None, "ask me at 10.1.2.3"), (3, "ask me at 10.1.2.3"), (4, None), (5, ""), (6, "x " + item), (None, "y " + item), (7, "alone here"), (7, "alone here"), (7, "other text")]
+    names = "doc_id long, text string, lang string, source string, n_chars long, h string, spans string, block int, slot int, `_d` int, root int, `_row` int"
+    data = [(d, t, "en", ["a", None][k % 2], None if t is None else len(t), "h", "s", 7, 8, 9, 5, k) for k, (d, t) in enumerate(rows)]
+    for name, frame in {"documents": spark.createDataFrame(data, names), "labels": spark.createDataFrame([(1, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int"), "benchmark": spark.createDataFrame([(1, item), (2, None)], "item_id long, text string")}.items():
+        frame.write.parquet(f"{tmp_path}/some/{name}.parquet")
+        frame.limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    sf_dir = f"{tmp_path}/some"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    plain = {r["_row"]: r for r in docs.collect()}
+    own = lambda frame: {r["_row"] for r in frame.collect()}
+    accepted = stage["quality_classifier"](spark, docs, sf_dir)
+    assert accepted.columns == docs.columns and own(accepted) == set(plain)
+    kept = stage["ngram_jaccard_join"](spark, docs, sf_dir)
+    assert kept.columns == docs.columns and all(r == plain[r["_row"]] for r in kept.collect())
+    # near copies leave document 1, copies one row of the smallest id, rows of one id and text one row; texts without words stay
+    ids = sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect())
+    assert ids == sorted([(1, base), (3, "ask me at 10.1.2.3"), (4, ""), (5, ""), (6, "x " + item), (7, "alone here"), (7, "other text")])
+    clean = stage["benchmark_decontamination"](spark, docs, sf_dir)
+    assert clean.columns == docs.columns and own(clean) == {k for k, (_, t) in enumerate(rows) if item not in (t or "")}
+    redacted_rows = {r["_row"]: r for r in stage["personal_data"](spark, docs, sf_dir).collect()}
+    assert {k: r["text"] for k, r in redacted_rows.items()} == {k: t and t.replace("10.1.2.3", "[IP]") for k, (_, t) in enumerate(rows)}
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) and r["h"] == "h" and r["_d"] == 9 for r in redacted_rows.values())
+    mixed = stage["source_mixing"](spark, docs, sf_dir)
+    assert own(mixed) == set(plain) and all(r["text"] == plain[r["_row"]]["text"] for r in mixed.collect()) and mixed.columns.count("slot") == 1
+    assert corpus_pipeline.run(spark, sf_dir).count() == 6
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_queries_are_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
     assert set(queries.ORACLE) <= set(queries.QUERIES)
