@@ -84,7 +84,7 @@ def letters(words: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray, np.nda
     return buf, bounds, np.bincount(at, minlength=len(own) * SIZE).reshape(len(own), SIZE).astype(np.int32)
 
 
-def _step(count: np.ndarray, child: int, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _step(count: np.ndarray, child: np.ndarray | int, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which visitors may enter a child with that count, and their states after it: 0 nothing spent, 1 the surplus, 2 the deficit too.
 
     A deficit is only spent after the surplus, so that of two vectors of equal sums only one finds the other."""
@@ -146,26 +146,21 @@ def near_pairs(words: list[str], home: np.ndarray) -> tuple[np.ndarray, np.ndarr
     ends = [sum(buf[np.minimum(at + k, len(buf) - 1)].astype(np.int64) << (8 * k) for k in range(3)) for at in (bounds[:-1], np.maximum(bounds[1:] - 3, 0))]
     found: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def verify(who: np.ndarray, them: np.ndarray) -> None:
-        alike = (ends[0][who] == ends[0][them]) | (ends[1][who] == ends[1][them])
-        who, them = who[alike], them[alike]
-        ok = one_edit(buf, bounds, who, them)
-        found.append((who[ok], them[ok]))
-
     def leaf(lo: int, hi: int, depth: int, who: np.ndarray, state: np.ndarray) -> None:
-        """All words of a small part of the trie, with the visitors that reach it, the rest of the vectors at once."""
+        """The words of a small part of the trie with the visitors that reach it: those with an end in common walk the rest of the vectors, then are verified."""
+        them = own[lo:hi]
         for at in range(0, len(who), max(1, AT_ONCE // (hi - lo))):
-            w, s = who[at : at + max(1, AT_ONCE // (hi - lo))], state[at : at + max(1, AT_ONCE // (hi - lo))]
-            may = np.ones((len(w), hi - lo), bool)
-            spent = np.repeat(s[:, None], hi - lo, 1)
+            w, spent = (x[at : at + max(1, AT_ONCE // (hi - lo))] for x in (who, state))
+            i, j = np.nonzero((ends[0][w][:, None] == ends[0][them][None]) | (ends[1][w][:, None] == ends[1][them][None]))
+            a, b, spent = w[i], them[j], spent[i]
             for d in range(depth, SIZE):
-                ok, spent = _step(vectors[w, d][:, None], trie[lo:hi, d][None], spent)
-                may &= ok
-            i, j = np.nonzero(may)
-            a, b, spent = w[i], own[lo + j], spent[i, j]
+                may, spent = _step(vectors[a, d], vectors[b, d], spent)
+                a, b, spent = a[may], b[may], spent[may]
             # equal vectors: the earlier of two words finds the later
             keep = (spent > 0) & (size[b] - size[a] == (spent == 1)) | (spent == 0) & (a < b)
-            verify(a[keep], b[keep])
+            a, b = a[keep], b[keep]
+            ok = one_edit(buf, bounds, a, b)
+            found.append((a[ok], b[ok]))
 
     stack = [(0, len(own), 0, np.arange(len(words)), np.zeros(len(words), np.int8))]
     while stack:
