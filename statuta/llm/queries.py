@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.llm import chat, decontam, earlier, jaccard, mixing, mixture, neighbours, paragraphs, pii, quality, variants
+from statuta.llm import chat, decontam, earlier, jaccard, lexical, mixing, mixture, neighbours, paragraphs, pii, quality, variants
 from statuta.llm.common import fold, read
 
 
@@ -56,11 +56,15 @@ def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.find(read(spark, sf_dir, "documents")).drop("h")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_quality_classifier, op4_ngram_jaccard, op5_nearest_neighbours, op6_lm_score, op7_chat_format, op8_mix_sources, op9_suffix_array_dedup, op10_paragraph_dedup, op12_spelling_variants)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_quality_classifier, op4_ngram_jaccard, op5_nearest_neighbours, op6_lm_score, op7_chat_format, op8_mix_sources, op9_suffix_array_dedup, op10_paragraph_dedup, op11_lexical_search, op12_spelling_variants)}
 ORACLE: dict[str, str] = {}
 ORACLE["op7_chat_format"] = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -85,3 +89,14 @@ b AS (SELECT item_id, len(s) AS n_item, unnest(s) AS s FROM (SELECT item_id, {_S
 SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item AS containment
 FROM d JOIN b USING (s) GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 75 * n_item
 """
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+ORACLE["op11_lexical_search"] = f"""
+WITH d AS (SELECT doc_id, len(t) AS n, t FROM (SELECT doc_id, {_TERMS} AS t FROM documents) WHERE len(t) > 0),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d),
+b AS (SELECT item_id, unnest(list_distinct({_TERMS})) AS term FROM benchmark),
+o AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM b) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM o, s GROUP BY term, docs),
+r AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM b JOIN o USING (term) JOIN f USING (term), s GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 50
+"""

@@ -73,11 +73,11 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, size: int = PIECE) -> I
             start = stop
 
 
-def words(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end byte of each word; first: words of text i are first[i]:first[i + 1]."""
+def words(t: Texts, gap: np.ndarray = _GAP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end byte of each word; first: words of text i are first[i]:first[i + 1]. gap: for each byte value, whether it parts words."""
     if not len(t.buf):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(t.ends), np.int64)
-    inside = ~_GAP[t.buf]
+    inside = ~gap[t.buf]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     cuts = t.ends[:-1][np.diff(t.ends) > 0]
