@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.llm import chat, decontam, earlier, jaccard, lexical, mixing, mixture, neighbours, paragraphs, pii, quality, variants
+from statuta.llm import chat, decontam, earlier, jaccard, lexical, mixing, mixture, neighbours, paragraphs, pii, quality, variants, wrappers
 from statuta.llm.common import fold, read
 
 
@@ -64,7 +64,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_quality_classifier, op4_ngram_jaccard, op5_nearest_neighbours, op6_lm_score, op7_chat_format, op8_mix_sources, op9_suffix_array_dedup, op10_paragraph_dedup, op11_lexical_search, op12_spelling_variants)}
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(read(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_quality_classifier, op4_ngram_jaccard, op5_nearest_neighbours, op6_lm_score, op7_chat_format, op8_mix_sources, op9_suffix_array_dedup, op10_paragraph_dedup, op11_lexical_search, op12_spelling_variants, op13_html_extraction)}
 ORACLE: dict[str, str] = {}
 ORACLE["op7_chat_format"] = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
