@@ -1,8 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the average of learned vectors of its hashed features: words, n-grams of 3 and 4 characters (code points) within words and their
-bounds, and pairs of words as far as they are the same word twice (all such pairs share a bucket, as do all others: what repeats tells
-less than that it does). They are followed by a softmax over the two labels; numpy stochastic gradient descent learns both layers. Fitting uses at most
+A document is the average of learned vectors of its hashed features: words, pairs of neighbouring words, and n-grams of 3 and 4 characters (code points) within
+words and their bounds. A pair is hashed by the difference of its words' hashes; so a word twice is one and the same pair, whatever the word,
+and what is learned of it holds for words never seen. They are followed by a softmax over the two labels; numpy stochastic gradient descent learns both layers. Fitting uses at most
 ``max_train`` labelled documents (those of smallest hash among the rows allowed), whole texts; scoring covers every
 document. As the output is linear in the average, a fitted model scores with one learned number per feature, which
 is what tasks receive (its size is fixed by ``buckets``).
@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 from statuta.llm.common import fold
 from statuta.llm.words import Texts, mix64, pieces, words
 
-BUCKETS = 1 << 16
-#: Buckets of the pattern "the word before again" and of its absence.
-REPEAT = BUCKETS - 2
+BUCKET_BITS = 18
+BUCKETS = 1 << BUCKET_BITS
+_SHIFT = np.uint64(64 - BUCKET_BITS)
+#: Kinds of features, in the order of features().
+KINDS = ("words", "pairs", "3-grams", "4-grams")
 
 
 def _characters(t: Texts, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,11 +54,12 @@ def features(t: Texts) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each kind of feature: the buckets, and the bounds of each text in them."""
     out = []
     hashed, start, end, first = words(t)
-    out.append(((hashed >> np.uint64(48)).astype(np.uint32), first))
-    again = np.zeros(len(hashed), bool)
-    again[1:] = hashed[1:] == hashed[:-1]
-    again[first[:-1][np.diff(first) > 0]] = False
-    out.append((np.where(again, REPEAT, REPEAT + 1).astype(np.uint32), first))
+    out.append(((hashed >> _SHIFT).astype(np.uint32), first))
+    pair = (mix64(hashed[1:] - hashed[:-1] + np.uint64(2)) >> _SHIFT).astype(np.uint32)
+    within = np.ones(len(pair), bool)
+    heads = first[:-1][np.diff(first) > 0]
+    within[heads[heads > 0] - 1] = False
+    out.append((pair[within], np.searchsorted(np.flatnonzero(within), first)))
     code, word = _characters(t, start, end) if len(start) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
     for n in (3, 4):
         m = max(0, len(code) - n + 1)
@@ -64,7 +67,7 @@ def features(t: Texts) -> list[tuple[np.ndarray, np.ndarray]]:
         for k in range(n):
             x = mix64(x * np.uint64(0x9E3779B97F4A7C15) + code[k : m + k])
         within = word[:m] == word[n - 1 :] if m else np.zeros(0, bool)
-        out.append(((x[within] >> np.uint64(48)).astype(np.uint32), np.searchsorted(word[:m][within], first)))
+        out.append(((x[within] >> _SHIFT).astype(np.uint32), np.searchsorted(word[:m][within], first)))
     return out
 
 
@@ -124,12 +127,12 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, *, ma
             kinds, rows = features(t), []
             for i in range(batch.num_rows):
                 at, n = np.unique(np.concatenate([f[b[i] : b[i + 1]] for f, b in kinds]), return_counts=True)
-                rows.append((at.astype(np.uint16).tobytes(), (n / max(1, n.sum())).astype(np.float32).tobytes()))
+                rows.append((at.astype(np.uint32).tobytes(), (n / max(1, n.sum())).astype(np.float32).tobytes()))
             yield pa.record_batch([batch.column(batch.schema.get_field_index("doc_id")), batch.column(batch.schema.get_field_index("y")), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "y", "at", "share"])
 
     found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text").mapInArrow(extract, "doc_id long, y int, at binary, share binary")
     rows = sorted(((r["doc_id"], bytes(r["at"]), bytes(r["share"]), r["y"]) for r in found.toLocalIterator()))[: 2 * max_train]
-    return fit_sgd([(np.frombuffer(a, np.uint16).astype(np.int64), np.frombuffer(s, np.float32), y) for _, a, s, y in rows])
+    return fit_sgd([(np.frombuffer(a, np.uint32).astype(np.int64), np.frombuffer(s, np.float32), y) for _, a, s, y in rows])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
