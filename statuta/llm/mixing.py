@@ -8,7 +8,8 @@ renormalised, and slots count from the phase's start; every document is placed e
 
 A block is ``blocks``-th of the table (or one document, in small tables), so the schedule that the driver makes has at most ``blocks`` slots and one per source,
 whatever the size of the table; it holds a number per source besides. Ranks within a source come from counts per (source, hash bucket), summed up in two
-levels, and a row number within each bucket, so no task holds a whole source or its buckets.
+levels, and a row number within each bucket, so no task holds a whole source or its buckets. Rows are dealt by the hash of all their columns: only rows that are equal in
+every column share a bucket for certain.
 
 Defined cases: a null source is a source of its own; weights not given for a source count as 0, which puts it into
 a last phase after all others, equally weighted; empty table gives no row; repeated rows are placed one after another;
@@ -89,7 +90,7 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, *, k
     planned = spark.createDataFrame(pd.DataFrame(plan, columns=columns), schema) if plan else spark.createDataFrame([], schema)
 
     buckets = max(1, -(-total // bucket_docs))
-    hashed = F.xxhash64(F.col(key), F.lit(8))
+    hashed = F.xxhash64(F.col(key), content, F.lit(8))  # rows of one key, as of none, spread by what else they hold
     at = F.pmod(F.shiftrightunsigned(hashed, 20), F.lit(buckets))
     rows = docs.select(F.struct("*").alias("r"), name.alias("stream"), hashed.alias("_hash"), at.alias("_bucket"), content.alias("_content"))
     sums = cut(rows.groupBy("stream", "_bucket").agg(F.count("*").alias("n")).withColumn("_group", F.floor(F.col("_bucket") / BUCKETS)))

@@ -357,7 +357,7 @@ def _reply(table: pa.Table) -> pa.Table:
     total = np.bincount(at, weights=np.concatenate([p[2] for p in parts]).astype(np.float64), minlength=len(every)).astype(np.int64)
     out, start = [(key, -1, None, int(total.sum()), int((total > 0).sum()))], 0
     for chunk, h, _ in parts:
-        out.append((key, chunk, planes(total[at[start : start + len(h)]].astype(np.uint32)), 0, 0))
+        out.append((key, chunk, planes(total[at[start : start + len(h)]].astype(np.uint64)), 0, 0))
         start += len(h)
     return pa.table({"key": pa.array([o[0] for o in out], pa.int64()), "chunk": pa.array([o[1] for o in out], pa.int64()), "data": pa.array([o[2] for o in out], pa.binary()), "n": pa.array([o[3] for o in out], pa.int64()), "v": pa.array([o[4] for o in out], pa.int64())})
 
@@ -365,7 +365,7 @@ def _reply(table: pa.Table) -> pa.Table:
 def _sum_documents(n_all: int, n_distinct: int):
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table.column("key").to_pylist(), table.column("data").to_pylist(), table.column("kind").to_pylist()), key=lambda r: (r[2], r[0]))
-        counts = np.concatenate([unplanes(d, np.uint32) for _, d, kind in rows if kind == 0]).astype(np.float64)
+        counts = np.concatenate([unplanes(d, np.uint64) for _, d, kind in rows if kind == 0]).astype(np.float64)
         out: dict[str, list] = {k: [] for k in ("doc_id", "h", "n_tokens", "n_known", "base_score")}
         for _, d, kind in rows:
             if kind == 1:

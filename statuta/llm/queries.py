@@ -44,7 +44,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source", F.xxhash64("text").alias("text_hash")))
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -421,7 +421,7 @@ def test_mixing(spark, docs, empty):
     rows = out.orderBy("slot", "pos").collect()
     assert len(rows) == docs.count() and len({(r["slot"], r["pos"]) for r in rows}) == len(rows)
     # against a plain version: documents by bucket and hash within their source, blocks, slots by plain earliest deadline first
-    own = docs.select("doc_id", "text", F.coalesce("source", F.lit(mixing.NULL)).alias("s"), F.xxhash64("doc_id", F.lit(8)).alias("o")).collect()
+    own = docs.select("doc_id", "text", F.coalesce("source", F.lit(mixing.NULL)).alias("s"), F.xxhash64("doc_id", F.xxhash64(*[c for c in docs.columns if c != "block"]), F.lit(8)).alias("o")).collect()
     by = {}
     for r in sorted(own, key=lambda r: ((r["o"] % 2**64 >> 20) % -(-len(own) // 10), r["o"], r["doc_id"] or 0)):
         by.setdefault(r["s"], []).append(r["doc_id"])
@@ -615,3 +615,25 @@ def test_recall_over_several_shards(spark):
     best = np.argsort(-near, 1)[:, :5]
     assert len(got) == 200
     assert sum(r["vec_id"] in best[r["query_id"] // 50] for r in got) >= 0.95 * 200
+
+
+def test_multiples_of_a_vector_tie(spark):
+    """More multiples of the query than an answer or a beam holds: the smallest ids win, whatever the lengths."""
+    rng = random.Random(12)
+    base = [rng.randint(-999, 999) / 64 for _ in range(16)]  # multiples of these are exact
+    rows = [(i, [rng.gauss(0, 1) for _ in range(16)]) for i in range(1, 300)] + [(0, base)] + [(950 + i, [x * (i + 0.5) for x in base]) for i in range(1, 51)]
+    rows += [(2000 + i, [x + 1e-6 * rng.random() for x in base]) for i in range(120)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, shard_rows=200, beam=16).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [951, 952, 953, 954, 955] and all(r["score"] == pytest.approx(1, abs=1e-15) for r in got)
+
+
+def test_mixing_spreads_rows_without_an_id(spark):
+    """Half of the rows have no id: each block of a source still takes rows of a few buckets only, none of most."""
+    rows = [(None if i % 2 else i, "a", f"t{i}") for i in range(4000)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    content = F.xxhash64(F.col("doc_id"), F.xxhash64("doc_id", "source", "text"), F.lit(8))
+    sizes = [r[1] for r in frame.groupBy(F.pmod(F.shiftrightunsigned(content, 20), F.lit(40))).count().collect()]
+    assert max(sizes) <= 3 * sorted(sizes)[len(sizes) // 2]
+    mixed = mixing.mix(frame, bucket_docs=100)
+    assert sorted(r["text"] for r in mixed.collect()) == sorted(t for *_, t in rows)
+    assert mixed.groupBy("slot", "pos").count().where("count > 1").count() == 0
