@@ -622,7 +622,7 @@ def test_multiples_of_a_vector_tie(spark):
     rng = random.Random(12)
     base = [rng.randint(-999, 999) / 64 for _ in range(16)]  # multiples of these are exact
     rows = [(i, [rng.gauss(0, 1) for _ in range(16)]) for i in range(1, 300)] + [(0, base)] + [(950 + i, [x * (i + 0.5) for x in base]) for i in range(1, 51)]
-    rows += [(2000 + i, [x + 1e-6 * rng.random() for x in base]) for i in range(120)]
+    rows += [(2000 + i, [x + 1e-5 * rng.random() for x in base]) for i in range(120)]
     got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, shard_rows=200, beam=16).orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [951, 952, 953, 954, 955] and all(r["score"] == pytest.approx(1, abs=1e-15) for r in got)
 
