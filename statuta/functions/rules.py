@@ -6,12 +6,10 @@ first) before the lines that end a block, so every pattern is linear.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from statuta.functions.text import WHITE, strip
+from statuta.functions.text import LINE_WHITE, WHITE, strip
 
 # Article numbers of the Terms Act and their labels.
 ARTICLES = {
@@ -67,7 +65,7 @@ def clauses(text: Column, longer_than: int = 20) -> Column:
     t = _plain(text)
     numbered = _marked(t, rf"{DIGITS}\.")
     # the first newline of the white space before an article heading, tried once per run of white space
-    article = F.regexp_replace(t, rf"(?<!{WHITE})((?:(?!\n){WHITE})*+)\n({WHITE}*+)(?=제{DIGITS}조)", "$1\x01$2")
+    article = F.regexp_replace(t, rf"(?<!{WHITE})({LINE_WHITE}*+)\n({WHITE}*+)(?=제{DIGITS}조)", "$1\x01$2")
     back = lambda found: F.transform(found, lambda x: F.replace(x, F.lit("\x01"), F.lit("\n")))
     one = _all(numbered, rf"피심인의_약관_제{DIGITS}조[^\x01]*")
     two = _all(numbered, rf"약관_제{DIGITS}조(?:[가-힣]|{WHITE})*+\([^)]*\)[^\x01]*")
@@ -92,46 +90,38 @@ def legal_bases(text: Column) -> Column:
     return _listed(*[_all(t, rf"{law}제{DIGITS}조{paragraph}{item if items else ''}") for law, items in STATUTES])
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value computed once, also where use has it inside a loop over an array."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+# Headings of a block of corrections; _ stands for any white space within the line.
+HEADINGS = ("시정[내명]용", "(?:수정|개선|삭제|변경)_(?:전|후|내용)")
 
 
-def _blocks(t: Column, heading: str) -> Column:
-    """The block after each heading line: the lines up to a blank one, where that ends the text or a numbered line follows; else up to
-    the last line that a numbered one follows. A heading within a block taken starts none."""
-    is_heading = rf"{heading}[^\n]*\z".replace("_", f"{WHITE}*")
-    number = rf"^{WHITE}*{DIGITS}\."
+def _sections(t: Column) -> Column:
+    """Runs of non-empty lines. One that ends the text (at most two line feeds follow), or after whose blank lines a number follows, ends with U+0003.
 
-    def within(lines: Column) -> Column:
-        n = F.size(lines)
-        blanks = F.filter(F.sequence(F.lit(0), n), lambda i: (i == n) | (F.get(lines, i) == ""))
-        numbered = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(lines, i).rlike(number))
-        return _let(blanks, lambda b: _let(numbered, lambda c: taken(lines, n, b, c)))
+    Every pattern consumes the white space that it looks at, so the work is linear in the text, however many blank lines or numbers it has.
+    """
+    ended = F.regexp_replace(t, r"([^\n])\n{1,2}\z", "$1")
+    cut = F.regexp_replace(ended, rf"\n\n{WHITE}*+({DIGITS}\.)?", "\x02$1")
+    return F.split(F.concat(F.regexp_replace(cut, rf"\x02({DIGITS}\.)", "\x03\x02$1"), F.lit("\x03")), "\x02", -1)
 
-    def taken(lines: Column, n: Column, blanks: Column, numbered: Column) -> Column:
-        def at(i: Column) -> Column:
-            stop = F.array_min(F.filter(blanks, lambda b: b > i))
-            rest = n - 1 - stop
-            after = F.array_join(F.slice(lines, stop + 1, F.greatest(n - stop, F.lit(0))), "\n")
-            whole = (rest <= 0) | ((rest == 1) & (F.get(lines, n - 1) == "")) | F.coalesce(after.rlike(number), F.lit(False))
-            last = F.array_max(F.filter(numbered, lambda c: (c > i + 1) & (c < stop)))
-            end = F.when(whole, stop).otherwise(F.coalesce(last, i + 1))
-            return F.struct(i.alias("i"), (end - i - 1).alias("n"), F.array_join(F.slice(lines, i + 2, F.greatest(end - i - 1, F.lit(0))), "\n").alias("text"))
 
-        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(lines, i).rlike(is_heading) & (i < n - 1))
-        return F.filter(F.transform(starts, at), lambda b: b["n"] > 0)
+def _blocks(sections: Column, heading: str) -> Column:
+    """The block after the first heading of each section: to its end where it is marked, else up to its last numbered line.
 
-    begin = F.struct(F.lit(-1).alias("free"), F.array().cast("array<string>").alias("out"))
-    step = lambda s, b: F.when(b["i"] <= s["free"], s).otherwise(F.struct((b["i"] + b["n"]).alias("free"), F.array_append(s["out"], b["text"]).alias("out")))
-    return F.aggregate(_let(F.split(t, "\n", -1), within), begin, step)["out"]
+    A section has one block at most: its later headings lie in the block, or have nothing after them that could be one.
+    """
+    head = heading.replace("_", f"{LINE_WHITE}*")
+    marked = lambda s: F.endswith(s, F.lit("\x03"))
+    within = lambda s: F.when(marked(s), F.rtrim(s, F.lit("\x03"))).otherwise(F.regexp_extract(s, rf"(?s)\A(.*)\n{LINE_WHITE}*+{DIGITS}\.", 1))
+    block = lambda s: F.regexp_extract(within(s), rf"(?s){head}[^\n]*+\n(.+)\z", 1)
+    return F.filter(F.transform(F.filter(sections, lambda s: s.rlike(head)), block), lambda x: x != "")
 
 
 def corrections(text: Column, longer_than: int = 10) -> Column:
     """Corrective actions: blocks after headings, amended wordings, deletions."""
-    t = _plain(text)
-    block = F.when(t.rlike("시정|수정|개선|삭제|변경"), F.concat(_blocks(t, "시정[내명]용"), _blocks(t, "(?:수정|개선|삭제|변경)_(?:전|후|내용)"))).otherwise(F.array().cast("array<string>"))
-    return _listed(block, _all(t, r"「[^」]+」_(?:으로|로)_(?:수정|변경|개정)[^\n]*"), _all(t, r"삭제_(?:한다|하여야|하도록)[^\n]*"), longer_than=longer_than)
+    t = F.translate(_plain(text), "\x02\x03", "")
+    some = t.rlike("|".join(HEADINGS).replace("_", f"{LINE_WHITE}*"))
+    sections = F.when(some, _sections(t)).otherwise(F.array().cast("array<string>"))
+    return _listed(*[_blocks(sections, h) for h in HEADINGS], _all(t, r"「[^」]+」_(?:으로|로)_(?:수정|변경|개정)[^\n]*"), _all(t, r"삭제_(?:한다|하여야|하도록)[^\n]*"), longer_than=longer_than)
 
 
 # Rules as data for the documents of the driver: name and pattern.

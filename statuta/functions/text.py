@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 # The code points that count as white space, as a regular expression class.
 WHITE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same without the line feed, and every other code point.
+LINE_WHITE = WHITE.replace(r"\t-\r", r"\t\x{b}-\r")
+NOT_WHITE = WHITE.replace("[", "[^", 1)
 # Characters that file names may not hold.
 FORBIDDEN = r'[\\/:*?"<>|]'
 NAME_LENGTH = 140
@@ -23,7 +26,7 @@ def normalize(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """No white space at the ends."""
-    return F.regexp_replace(c, rf"^{WHITE}++|(?<!{WHITE}){WHITE}++\z", "")
+    return F.regexp_extract(c, rf"(?s)\A{WHITE}*+(.*{NOT_WHITE})", 1)
 
 
 def composite_key(*parts: Column) -> Column:
@@ -56,8 +59,8 @@ def strip_tags(c: Column) -> Column:
 
 
 def first_truthy(*values: Column) -> Column:
-    """The first value that is neither null, nor empty, nor zero."""
-    return F.coalesce(*[F.when(~v.cast("string").isin("", "0"), v.cast("string")) for v in values])
+    """The first value that is neither null nor empty (P9); numbers of JSON, of which zero does not count, are told apart in functions.json_."""
+    return F.coalesce(*[F.nullif(v.cast("string"), F.lit("")) for v in values])
 
 
 def to_count(c: Column, default: int) -> Column:

@@ -373,9 +373,23 @@ def legal_basis_extract(spark, sf_dir):
     return _listed(spark, sf_dir, rules.legal_bases)
 
 
-@query()
+_ENDED = r"regexp_replace(t, '([^\n])\n{1,2}\z', '\1')"
+_CUT = rf"regexp_replace({_ENDED}, '\n\n{W}*({_N}\.)?', chr(2) || '\1', 'g')"
+_SECTIONS = rf"string_split(regexp_replace({_CUT}, chr(2) || '({_N}\.)', chr(3) || chr(2) || '\1', 'g') || chr(3), chr(2))"
+
+
+def _blocks_sql(heading: str) -> str:
+    head = heading.replace("_", f"{text.LINE_WHITE}*")
+    within = rf"CASE WHEN suffix(s, chr(3)) THEN rtrim(s, chr(3)) ELSE regexp_extract(s, '(?s)\A(.*)\n{text.LINE_WHITE}*{_N}\.', 1) END"
+    return rf"list_filter(list_transform(list_filter({_SECTIONS}, lambda s: regexp_matches(s, '{head}')), lambda s: regexp_extract({within}, '(?s){head}[^\n]*\n(.+)\z', 1)), lambda x: x <> '')"
+
+
+CORRECTIONS_SQL = [*[_blocks_sql(h) for h in rules.HEADINGS], _re(r"「[^」]+」_(?:으로|로)_(?:수정|변경|개정)[^\n]*"), _re(r"삭제_(?:한다|하여야|하도록)[^\n]*")]
+
+
+@query(_listed_sql(CORRECTIONS_SQL, 10))
 def corrective_extract(spark, sf_dir):
-    """E4; its backtracking semantics have no SQL form, tests hold it against a plain line machine."""
+    """E4."""
     return _listed(spark, sf_dir, rules.corrections)
 
 
@@ -423,9 +437,9 @@ def binary_listing(spark, sf_dir):
     return decode.listing(spark, f"{sf_dir}/documents.parquet", "*.parquet").select(F.regexp_extract("path", r"([^/]+)\z", 1).alias("name"), "length")
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS id, lang AS name, sha256(text) AS digest FROM documents WHERE doc_id <> 0 AND doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, lang AS name, sha256(text) AS digest FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def paged_source(spark, sf_dir):
-    """A list in pages as a service sends them, parsed; entries that are there already (labels) and the id 0 (no id to the service) left out, detail bodies joined to the others."""
+    """A list in pages as a service sends them, parsed; entries that are there already (labels) left out, detail bodies joined to the others."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "lang", "text", "doc_id")
     entries = paged.collect(paged.serve(docs.select("id", F.col("lang").alias("name"), "doc_id")), json_.PRECEDENT)
     there = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"))
@@ -512,14 +526,14 @@ def _counted(lists: list[str], longer_than: int, name: str) -> str:
     return f"SELECT doc_id, count(*) AS {name} FROM ({_listed_sql(lists, longer_than)}) GROUP BY doc_id"
 
 
-@query(f"""SELECT d.doc_id, concat(d.doc_id, '.pdf') AS file, CAST(length({DERIVED['legal']}) AS INT) AS n_chars, coalesce(a.n, 0) AS n_clauses, coalesce(b.n, 0) AS n_violations, coalesce(c.n, 0) AS n_bases, 'High' AS risk_level
-FROM documents d LEFT JOIN ({_counted(CLAUSES_SQL, 20, 'n')}) a USING (doc_id) LEFT JOIN ({_counted(VIOLATIONS_SQL, -1, 'n')}) b USING (doc_id) LEFT JOIN ({_counted(BASES_SQL, -1, 'n')}) c USING (doc_id)""")
+@query(f"""SELECT d.doc_id, concat(d.doc_id, '.pdf') AS file, CAST(length({DERIVED['legal']}) AS INT) AS n_chars, coalesce(a.n, 0) AS n_clauses, coalesce(b.n, 0) AS n_violations, coalesce(c.n, 0) AS n_bases, coalesce(e.n, 0) AS n_corrections, 'High' AS risk_level
+FROM documents d LEFT JOIN ({_counted(CLAUSES_SQL, 20, 'n')}) a USING (doc_id) LEFT JOIN ({_counted(VIOLATIONS_SQL, -1, 'n')}) b USING (doc_id) LEFT JOIN ({_counted(BASES_SQL, -1, 'n')}) c USING (doc_id) LEFT JOIN ({_counted(CORRECTIONS_SQL, 10, 'n')}) e USING (doc_id)""")
 def parsed_cases(spark, sf_dir):
-    """Records of decisions from their whole texts; corrections (E4) have no SQL and are counted in corrective_extract."""
+    """Records of decisions from their whole texts."""
     docs = derived(spark, sf_dir, "legal")
     cells = F.create_map(F.lit("번호"), F.col("doc_id").cast("string"))
     found = builders.parsed_cases(docs.select("doc_id", F.lit("").alias("사건명"), cells.alias("셀_데이터"), F.concat("doc_id", F.lit(".pdf")).alias("name"), F.col("legal").alias("text")))
-    return found.select("doc_id", F.col("pdf_파일").alias("file"), F.col("전체_텍스트_길이").alias("n_chars"), *[F.size(c).cast("long").alias(n) for c, n in (("조항_원문", "n_clauses"), ("위반_유형", "n_violations"), ("근거_법령", "n_bases"))], "risk_level")
+    return found.select("doc_id", F.col("pdf_파일").alias("file"), F.col("전체_텍스트_길이").alias("n_chars"), *[F.size(c).cast("long").alias(n) for c, n in (("조항_원문", "n_clauses"), ("위반_유형", "n_violations"), ("근거_법령", "n_bases"), ("시정_내용", "n_corrections"))], "risk_level")
 
 
 @query("""SELECT doc_id, min(page) AS page, arg_min(source, page * 1000000000 + k) AS source FROM (SELECT doc_id, doc_id % 7 AS page, 0 AS k, source FROM documents UNION ALL SELECT doc_id, quality AS page, 1 AS k, 'label' FROM labels) GROUP BY doc_id""".replace("page * 1000000000 + k", "k * 1000000000 + page").replace("min(page) AS page", "arg_min(page, k * 1000000000 + page) AS page"))

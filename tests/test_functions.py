@@ -43,9 +43,16 @@ def test_safe_name(spark, raw, name):
     assert one(spark, text.safe_name(F.col("t")), t=raw) == name
 
 
-def test_first_truthy_skips_empty_and_zero(spark):
+def test_first_truthy_skips_empty(spark):
     assert one(spark, text.first_truthy(F.col("a"), F.col("b")), a="", b="7") == "7"
-    assert one(spark, text.first_truthy(F.col("a"), F.col("b")), a="0", b=None) is None
+    assert one(spark, text.first_truthy(F.col("a"), F.col("b")), a="", b=None) is None
+
+
+@pytest.mark.parametrize("value, want", [('"0"', "0"), ("0", None), ("0.0", None), ("-0", None), ("7", "7"), ("12345678901", "12345678901"), ('""', None), ("null", None), ("false", None), ("true", "True"), ("[]", None), ("{}", None), ('"x"', "x")])
+def test_json_ids_keep_their_types(spark, value, want):
+    """Only a number that is zero is no id; a quoted one is."""
+    pages = spark.createDataFrame([(1, '{"PrecSearch":{"prec":[{"판례일련번호":%s}]}}' % value)], "page long, body string")
+    assert [r["id"] for r in json_.list_entries(pages, json_.PRECEDENT).collect()] == ([] if want is None else [want])
 
 
 def test_malformed_count_raises(spark):
@@ -201,8 +208,8 @@ def block_machine(t, heading):
 
 def test_corrections_against_line_machine(spark):
     rng = random.Random(4)
-    parts = ["시정내용", "가나다라", "2. 다음", "", " 3. 줄", "변경 후 내용", "마바"]
-    texts = ["\n".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    parts = ["시정내용", "가나다라", "2. 다음", "", " 3. 줄", "변경 후 내용", "마바", "", "  ", "4", "\u3000\t"]
+    texts = ["\n".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
     got = listed(spark, texts, lambda c: rules.corrections(c, longer_than=0))
     for t, g in zip(texts, got):
         want = block_machine(t, "시정[내명]용") + block_machine(t, r"(?:수정|개선|삭제|변경)\s*(?:전|후|내용)")
@@ -218,6 +225,23 @@ def test_rules_are_linear(spark):
     assert time.time() - started < 60
 
 
+def test_many_headings_are_linear(spark):
+    lines = ["시정내용 %d" % i if i % 10 < 3 else "가나다라 %d" % i for i in range(100_000)]
+    texts = ["\n".join(lines), "\n".join(x + "\n" * (i % 3 == 0) for i, x in enumerate(lines)), "\n\n".join(lines) + "\n\n\n", " \n\n" * 50_000 + "시정내용\n가\n" + " \n\n" * 50_000]
+    listed(spark, texts[:1], rules.corrections)
+    started = time.time()
+    found = listed(spark, texts, rules.corrections)
+    assert time.time() - started < 10
+    assert found[0] == ["\n".join(lines[1:])] and found[2:] == [[], []]
+
+
+def test_strip_is_linear(spark):
+    started = time.time()
+    raw = [" \n" * 200_000 + "가" + " 나" * 200_000 + "\n " * 200_000, " " * 400_000, "", None, "가"]
+    assert listed(spark, raw, text.strip) == ["가" + " 나" * 200_000, "", "", None, "가"]
+    assert time.time() - started < 10
+
+
 def test_dedup_keeps_lowest_page_and_first_place(spark):
     rows = spark.createDataFrame([("k", 3, 0, "a"), ("k", 1, 1, "b"), ("k", 1, 2, "c"), ("", 1, 3, "d"), ("m", None, 4, "e")], "k string, page int, pos int, v string")
     got = {r["dedup_key"]: (r["v"], r["first_place"]["page"]) for r in records.dedup_lowest_page(rows, F.col("k")).collect()}
