@@ -139,7 +139,7 @@ def board_table(selectors: tuple[tuple[str, str], ...]):
         found = [parse(p) or {"header": None, "rows": None} for p in pages]
         return pd.DataFrame(found, columns=["header", "rows"])
 
-    return read
+    return read.asNondeterministic()  # else filters on what it gives would work it out again
 
 
 def named_cells(header: Column, cells: Column) -> Column:

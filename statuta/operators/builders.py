@@ -10,14 +10,14 @@ from statuta.functions.html import named_cells, with_title
 from statuta.functions.text import or_empty, safe_name, strip
 from statuta.operators.records import by_category
 
-# Categories of contract boards with their board numbers; a board's key is its number and one.
+# Categories of contract boards with their board numbers and keys.
 CATEGORIES = {
-    "표준약관": 201,
-    "표준하도급계약서": 202,
-    "표준가맹계약서": 203,
-    "표준유통거래계약서": 204,
-    "표준대리점거래계약서": 205,
-    "표준비밀유지계약서": 206,
+    "표준약관": ("201", "202"),
+    "표준하도급계약서": ("202", "203"),
+    "표준가맹계약서": ("203", "204"),
+    "표준유통거래계약서": ("204", "205"),
+    "표준대리점거래계약서": ("205", "206"),
+    "표준비밀유지계약서": ("206", "207"),
 }
 # Where files are loaded from, how a file's number shows in a link, and the constants of case records.
 DOWNLOAD_URL = "https://www.ftc.go.kr/www/downloadBbsFile.do"
@@ -29,7 +29,7 @@ OTHERS = "기타"
 
 def registry(spark: SparkSession) -> DataFrame:
     """category, bordCd, key of every category."""
-    return spark.createDataFrame([(k, str(n), str(n + 1), i) for i, (k, n) in enumerate(CATEGORIES.items())], "category string, bordCd string, key string, place int")
+    return spark.createDataFrame([(k, board, key, i) for i, (k, (board, key)) in enumerate(CATEGORIES.items())], "category string, bordCd string, key string, place int")
 
 
 def chosen(spark: SparkSession, category: str | None = None) -> DataFrame:

@@ -60,3 +60,21 @@ def running_total(pages: DataFrame, by: list[str], n: str = "n") -> DataFrame:
 def ordinals(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Numbers from 1 within by."""
     return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+
+
+def gaps(pages: DataFrame, by: list[str], last: Column | None = None) -> DataFrame:
+    """by, first, last of each run of page numbers from 1 that pages lack, up to ``last`` (a column of by; else to the largest page there is).
+
+    Pages that follow one another form islands: page minus row number is the same for all of one. Windows run over islands' ends only.
+    """
+    ranked = pages.select(*by, F.col("page").cast("long").alias("page")).distinct()
+    island = F.col("page") - F.row_number().over(Window.partitionBy(*by).orderBy("page"))
+    islands = ranked.withColumn("_island", island).groupBy(*by, "_island").agg(F.min("page").alias("a"), F.max("page").alias("b"))
+    w = Window.partitionBy(*by).orderBy("a")
+    before = islands.select(*by, (F.coalesce(F.lag("b").over(w), F.lit(0)) + 1).alias("first"), (F.col("a") - 1).alias("last"))
+    found = before.where(F.col("first") <= F.col("last"))
+    if last is None:
+        return found
+    ends = pages.groupBy(*by).agg(F.coalesce(F.max("page"), F.lit(0)).cast("long").alias("b")) if by else pages.agg(F.coalesce(F.max("page"), F.lit(0)).cast("long").alias("b"))
+    after = ends.select(*by, (F.col("b") + 1).alias("first"), last.cast("long").alias("last"))
+    return found.unionByName(after.where(F.col("first") <= F.col("last")))

@@ -228,19 +228,20 @@ def link_extract(spark, sf_dir):
     return found.withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("SELECT l_orderkey, l_linenumber, o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber BETWEEN 1 AND 7")
+@query("SELECT l_orderkey, l_linenumber, o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey ")
 def attachment_explode_join(spark, sf_dir):
     """Orders hold attachments (their line numbers), joined with the files that exist."""
     files = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
-    items = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("n"))
+    most = files.agg(F.coalesce(F.max("l_linenumber"), F.lit(1))).first()[0]
+    items = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("n"))
     return items.join(files, (F.col("o_orderkey") == F.col("l_orderkey")) & (F.col("n") == F.col("l_linenumber"))).select("l_orderkey", "l_linenumber", "o_orderstatus")
 
 
-@query(f"""WITH c AS {d('title')}, f AS (SELECT title, arg_max(concat('/pdf/', doc_id), doc_id) AS path FROM c WHERE doc_id % 3 = 0 GROUP BY title) SELECT doc_id, path FROM c JOIN f USING (title)""")
+@query(f"""WITH c AS {d('title')}, f AS (SELECT title, arg_max(concat('/pdf/', doc_id), doc_id) AS path FROM c JOIN labels USING (doc_id) GROUP BY title) SELECT doc_id, path FROM c JOIN f USING (title)""")
 def title_keyed_join(spark, sf_dir):
-    """J2, A10, Q1 (compatible form): files keyed by title, the last one registered wins."""
+    """J2, A10, Q1 (compatible form): files (of the labelled cases) keyed by title, the last one registered wins."""
     cases = derived(spark, sf_dir, "title")
-    files = cases.where("doc_id % 3 = 0").withColumn("path", F.concat(F.lit("/pdf/"), "doc_id"))
+    files = records.found(cases, table(spark, sf_dir, "labels"), "doc_id").withColumn("path", F.concat(F.lit("/pdf/"), "doc_id"))
     return cases.join(records.last_wins(files, "title", "path", "doc_id"), "title").select("doc_id", "path")
 
 
@@ -446,6 +447,32 @@ def paged_source(spark, sf_dir):
     return records.missing(entries, there, "id").join(docs.select("id", F.sha2("text", 256).alias("digest")), "id").select("id", "name", "digest")
 
 
+@query("""WITH p AS (SELECT DISTINCT source, CAST(floor(doc_id / 20.0) AS BIGINT) + 1 AS page FROM documents JOIN labels USING (doc_id)),
+i AS (SELECT source, min(page) AS a, max(page) AS b FROM (SELECT *, page - row_number() OVER (PARTITION BY source ORDER BY page) AS g FROM p) GROUP BY source, g),
+w AS (SELECT source, coalesce(lag(b) OVER (PARTITION BY source ORDER BY a), 0) + 1 AS first, a - 1 AS last FROM i)
+SELECT * FROM w WHERE first <= last""")
+def page_gaps(spark, sf_dir):
+    """Runs of pages that a store (of the labelled documents, twenty ids to a page) lacks, by source: what a resumed walk asks for."""
+    there = records.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
+    return walk.gaps(there.select("source", (F.floor(F.col("doc_id") / 20.0) + 1).alias("page")), ["source"])
+
+
+@query("""WITH e AS (SELECT doc_id, CAST(floor(doc_id / 10.0) AS BIGINT) + 1 AS page, lang FROM documents)
+SELECT page, row_number() OVER (PARTITION BY page ORDER BY doc_id) - 1 AS pos, CAST(doc_id AS VARCHAR) AS id, lang AS name, CAST(NULL AS VARCHAR) AS error FROM e WHERE page % 14 <> 3
+UNION ALL SELECT DISTINCT page, NULL, NULL, NULL, 'again' FROM e WHERE page % 14 = 3""")
+def resumed_walk(spark, sf_dir):
+    """A list of which every seventh page failed in a first run, and half of these again in a second; each page settles, none after a failed one is lost."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("name"))
+    sent = paged.serve(docs, size=10, total=1 << 60).withColumn("page", F.col("page") + 1)
+    failed = F.col("page") % 7 == 3
+    none = F.lit(None).cast("string")
+    first = sent.select("page", F.when(~failed, F.col("body")).alias("body"), F.when(failed, "once").alias("error"))
+    again = F.col("page") % 14 == 3
+    second = sent.where(failed).select("page", F.when(~again, F.col("body")).alias("body"), F.when(again, "again").otherwise(none).alias("error"))
+    found = paged.entries(paged.settled(first.unionByName(second)), json_.PRECEDENT)
+    return found.withColumn("pos", F.col("pos").cast("long"))
+
+
 _CATEGORY = "CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(builders.CATEGORIES)) + " END"
 _ESCAPED = "replace(replace({}, '&', '&amp;'), '<', '&lt;')"
 _TITLE = "replace(text, chr(10), ' ')"

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import os
 import time
 import urllib.request
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 from pathlib import PurePath
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from statuta.checkpoints import kept
 from statuta.functions.html import CONTRACTS, DECISIONS, board_table, file_of
 from statuta.functions.text import normalize, or_empty, strip
 from statuta.operators import builders, walk
@@ -20,10 +25,15 @@ from statuta.sources.paged import DELAY, TIMEOUT
 FOUND = "id string, name string, content binary, length long, outcome string, error string"
 
 
-def _rows(pages: DataFrame, selectors: tuple, by: list[str]) -> DataFrame:
-    """A row for each body row of each page's table: by, page, pos, header and what the row holds."""
+def _parsed(pages: DataFrame, selectors: tuple, by: list[str]) -> DataFrame:
+    """by, page, header and the rows of each page's table."""
     read = pages.select(*by, "page", board_table(selectors)("html").alias("t"))
-    return read.select(*by, "page", F.col("t.header").alias("header"), F.posexplode("t.rows").alias("pos", "r")).select(*by, "page", "header", "pos", "r.*")
+    return read.select(*by, "page", F.col("t.header").alias("header"), F.col("t.rows").alias("rows"))
+
+
+def _rows(pages: DataFrame, selectors: tuple, by: list[str]) -> DataFrame:
+    """A row for each body row of each page's table: by, page, pos, header and what the row holds. Pages are parsed once: a walk reads its rows twice, for where it ends and for what is on it."""
+    return kept(_parsed(pages, selectors, by)).select(*by, "page", "header", F.posexplode("rows").alias("pos", "r")).select(*by, "page", "header", "pos", "r.*")
 
 
 def _until_repeat(rows: DataFrame, by: list[str], text: Column, most: int, prefix: int = 50) -> DataFrame:
@@ -86,16 +96,71 @@ def downloads(wanted: DataFrame, there: DataFrame, *, suffix: str, delay: float
     return fetched.unionByName(told(old, "skipped")).unionByName(told(new.where(none), "no_file"))
 
 
-def save_files(found: DataFrame, folder: str) -> None:
-    """Writes the contents under their names into a folder that all executors reach; a repeated task writes the same files again."""
+class KeyedFiles(DataSource):
+    """Sink ``keyed_files``: rows (name, content) as files of a folder, a file for each name.
+
+    A task writes into a folder of its own attempt, and nothing under a file's name until the job commits: then each attempt that counts is moved into
+    place, file by file, each replaced as a whole. An attempt that fails, or is not the one that counts, leaves nothing but a folder that abort or the next commit removes.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "keyed_files"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        if {"name", "content"} - set(schema.names):
+            raise ValueError("keyed_files writes rows with a name and a content")
+        return _FilesWriter(self.options["path"])
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    folder: str
+    files: int
 
-    def write(rows: Iterator) -> None:
+
+class _FilesWriter(DataSourceWriter):
+    def __init__(self, path: str) -> None:
+        self.path, self.staging = path if "://" in path else f"file://{os.path.abspath(path)}", f"_staging-{uuid.uuid4().hex}"
+
+    def _folder(self):
         from pyarrow import fs
 
-        system, path = fs.FileSystem.from_uri(folder)
+        return fs.FileSystem.from_uri(self.path)
+
+    def write(self, iterator: Iterator) -> WriterCommitMessage:
+        system, path = self._folder()
+        own, n = f"{path}/{self.staging}/{uuid.uuid4().hex}", 0
+        system.create_dir(own, recursive=True)
+        for row in iterator:
+            if not row["name"] or "/" in row["name"] or row["name"][0] in "._":
+                raise ValueError(f"no name of a file: {row['name']!r}")
+            with system.open_output_stream(f"{own}/{row['name']}") as out:
+                out.write(bytes(row["content"] or b""))
+            n += 1
+        return _Written(own, n)
+
+    def commit(self, messages: list) -> None:
+        from pyarrow import fs
+
+        system, path = self._folder()
         system.create_dir(path, recursive=True)
-        for row in rows:
-            with system.open_output_stream(f"{path}/{row['name']}") as out:
-                out.write(bytes(row["content"]))
+        for m in messages:
+            for info in system.get_file_info(fs.FileSelector(m.folder)) if m is not None else []:
+                system.move(info.path, f"{path}/{info.base_name}")
+        self._clear(system, path)
+
+    def abort(self, messages: list) -> None:
+        self._clear(*self._folder())
 
-    found.where("outcome = 'success'").select("name", "content").foreachPartition(write)
+    def _clear(self, system, path: str) -> None:
+        from pyarrow import fs
+
+        if system.get_file_info(f"{path}/{self.staging}").type != fs.FileType.NotFound:
+            system.delete_dir(f"{path}/{self.staging}")
+
+
+def save_files(found: DataFrame, folder: str) -> None:
+    """Writes the contents under their names into a folder that the driver and all executors reach, whole files or none (K1)."""
+    found.sparkSession.dataSource.register(KeyedFiles)
+    found.where("outcome = 'success'").select("name", "content").write.format("keyed_files").mode("append").save(folder)

@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from statuta.functions import html, json_, rules, text
-from statuta.operators import builders, records
+from statuta.operators import builders, records, walk
 from statuta.sources import boards, decode, paged
 
 
@@ -158,6 +158,77 @@ def test_walk_is_planned_from_the_first_page(spark, service):
     assert paged.read(spark, service + "/list", 3, delay=0.0, concurrency=2).rdd.getNumPartitions() == 2
 
 
+class Failing(BaseHTTPRequestHandler):
+    """A list of 60 entries on six pages; pages in ``down`` answer with an error, so many times each."""
+
+    down: dict = {}
+    total = 60
+
+    def do_GET(self):
+        page = int(dict(urllib.parse.parse_qsl(urllib.parse.urlsplit(self.path).query))["page"])
+        Failing.down[page] = Failing.down.get(page, 0) - 1
+        self.send_response(500 if Failing.down[page] >= 0 else 200)
+        self.end_headers()
+        listed = [{"판례일련번호": i} for i in range(10 * page - 9, min(10 * page, Failing.total) + 1)]
+        self.wfile.write(json.dumps({"PrecSearch": {"prec": listed, "totalCnt": str(Failing.total), "numOfRows": "10"}}).encode())
+
+    def log_message(self, *_):
+        pass
+
+
+@pytest.fixture
+def failing():
+    server = HTTPServer(("127.0.0.1", 0), Failing)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    Failing.down, Failing.total = {}, 60
+    yield f"http://127.0.0.1:{server.server_port}/list"
+    server.shutdown()
+
+
+def told(found):
+    """How many entries, and the pages of error rows."""
+    rows = found.collect()
+    return len({r["id"] for r in rows if r["error"] is None}), sorted(r["page"] for r in rows if r["error"] is not None)
+
+
+@pytest.mark.parametrize("down, want", [({3: 1}, (60, [])), ({3: 99}, (50, [3])), ({1: 99}, (0, [1])), ({6: 99, 2: 99}, (40, [2, 6]))])
+def test_a_failed_page_ends_no_walk(spark, failing, down, want):
+    Failing.down = dict(down)
+    assert told(paged.walk(spark, failing, json_.PRECEDENT, delay=0.0, attempts=2)) == want
+
+
+def test_an_empty_list_is_no_failure(spark, failing):
+    Failing.total = 0
+    assert told(paged.walk(spark, failing, json_.PRECEDENT, delay=0.0)) == (0, [])
+
+
+def test_a_walk_is_resumed_at_what_failed(spark, failing, tmp_path):
+    folder, run = str(tmp_path / "walk"), lambda: told(paged.resume(spark, failing, json_.PRECEDENT, str(tmp_path / "walk"), delay=0.0, attempts=1, concurrency=2))
+    Failing.down = {3: 1, 5: 2}
+    assert run() == (40, [3, 5])
+    assert [tuple(r) for r in walk.gaps(paged.stored(spark, folder).where("body IS NOT NULL"), []).orderBy("first").collect()] == [(3, 3), (5, 5)]
+    calls = dict(Failing.down)
+    assert run() == (50, [5])
+    # pages that were read are not asked for again, but for the first, which tells how long the list is
+    assert {p for p, n in Failing.down.items() if n != calls.get(p)} == {1, 3, 5}
+    Failing.total = 75
+    assert run() == (75, [])
+
+
+def test_a_resumed_walk_starts_with_a_failed_first_page(spark, failing, tmp_path):
+    Failing.down = {1: 2}
+    run = lambda: told(paged.resume(spark, failing, json_.PRECEDENT, str(tmp_path / "walk"), delay=0.0, attempts=1))
+    assert run() == (0, [1])
+    assert run() == (60, [])
+
+
+def test_gaps(spark):
+    pages = spark.createDataFrame([("a", 2), ("a", 3), ("a", 3), ("a", 7), ("b", 1)], "s string, page long")
+    assert sorted(tuple(r) for r in walk.gaps(pages, ["s"]).collect()) == [("a", 1, 1), ("a", 4, 6)]
+    assert sorted(tuple(r) for r in walk.gaps(pages, ["s"], last=F.lit(8)).collect()) == [("a", 1, 1), ("a", 4, 6), ("a", 8, 8), ("b", 2, 8)]
+    assert [tuple(r) for r in walk.gaps(pages.limit(0), [], last=F.lit(2)).collect()] == [(1, 2)]
+
+
 def test_downloads(spark, service, tmp_path):
     wanted = spark.createDataFrame([(str(n), f"name{n}", f"{service}/file?n={n}" if n != 4 else None) for n in range(6)], "id string, name string, url string")
     there = spark.createDataFrame([("name5.hwp",)], "name string")
@@ -169,6 +240,32 @@ def test_downloads(spark, service, tmp_path):
     assert not any("n=5" in x for x in Service.asked)
 
 
+def test_files_are_whole_or_not_there(spark, tmp_path):
+    """A task that breaks off aborts the job: nothing is there under a file's name; a job that runs again replaces whole files."""
+    rows = spark.createDataFrame([(f"n{i}.bin", bytes([i]) * 1000) for i in range(20)], "name string, content binary").repartition(4)
+    spark.dataSource.register(boards.KeyedFiles)
+    save = lambda df: df.write.format("keyed_files").mode("append").save(f"{tmp_path}/files")
+    with pytest.raises(Exception):
+        save(rows.unionByName(spark.createDataFrame([("a/b", b"x")], "name string, content binary")))
+    assert not [x for x in (tmp_path / "files").rglob("*") if x.is_file()]
+    save(rows)
+    save(rows.where("name < 'n12'"))
+    back = spark.read.format("binaryFile").load(f"{tmp_path}/files").select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "content")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    assert not list((tmp_path / "files").glob("_staging*"))
+    with pytest.raises(Exception):
+        rows.select("name").write.format("keyed_files").mode("append").save(f"{tmp_path}/files")
+
+
+def test_boards_are_parsed_once(spark):
+    page = "<table class='p-table'><tbody><tr><td>1</td><td><a href=v>t</a></td><td>d</td><td>r</td><td></td></tr></tbody></table>"
+    pages = spark.createDataFrame([("가", 1, page), ("가", 2, page.replace(">t<", ">u<"))], "category string, page long, html string")
+    python = lambda df: str(df._jdf.queryExecution().executedPlan().toString()).count("ArrowEvalPython")
+    assert python(boards._parsed(pages, html.CONTRACTS, ["category"]).select("*", F.posexplode("rows")).where(F.size("rows") > 0)) == 1
+    found = boards.contract_items(pages)
+    assert python(found) == 0 and found.count() == 2
+
+
 E1 = "피심인의 약관 제3조 고객은 언제나 비용을 전부 부담한다고 정한다\n계속되는 줄\n2. 다음"
 
 
