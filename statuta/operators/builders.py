@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statuta.checkpoints import kept
 from statuta.functions import rules
 from statuta.functions.html import named_cells, with_title
 from statuta.functions.text import or_empty, safe_name, strip
@@ -108,3 +109,19 @@ def save_categories(rows: DataFrame, path: str, category: str = "카테고리")
     """JSON lines of the records in a folder for each category, named by its safe name (K4)."""
     name = F.concat(F.lit("contracts_"), safe_name(category_of(F.col(category))))
     rows.withColumn("_folder", name).repartition("_folder", F.pmod(F.xxhash64(*rows.columns[:1]), F.lit(16))).write.mode("overwrite").partitionBy("_folder").json(path)
+
+
+def merge_categories(rows: DataFrame, path: str, key: str = "파일ID", category: str = "카테고리") -> None:
+    """Adds records to the folders of their categories (K4, Q7): of a key that is there already the new record stays; categories that rows lack are not touched.
+
+    Only the folders of the categories in rows are read, and only these are replaced.
+    """
+    spark = rows.sparkSession
+    new = rows.withColumn("_folder", F.concat(F.lit("contracts_"), safe_name(category_of(F.col(category)))))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    every = new.withColumn("_new", F.lit(1))
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        touched = [r["_folder"] for r in new.select("_folder").distinct().toLocalIterator()]  # a category each
+        every = every.unionByName(spark.read.schema(new.schema).json(path).where(F.col("_folder").isin(touched)).withColumn("_new", F.lit(0)))
+    best = every.groupBy("_folder", key).agg(F.max_by(F.struct(*rows.columns), "_new").alias("_r")).select("_r.*", "_folder")
+    kept(best).repartition("_folder", F.pmod(F.xxhash64(key), F.lit(16))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_folder").json(path)

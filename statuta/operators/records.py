@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,9 +81,28 @@ def envelope_chunks(rows: DataFrame, order: Column, size: int, **metadata: Colum
 
 def load_envelope(spark: SparkSession, path: str, record: str) -> DataFrame:
     """The records of enveloped JSON files (S14, S15): one row each; a file without 사례 gives none. record: the records' fields as DDL."""
-    fields = T.StructType([T.StructField("총_건수", T.LongType()), T.StructField("사례", T.ArrayType(T.StructType.fromDDL(record)))])
-    files = spark.read.schema(fields).option("multiLine", True).json(path)
-    return files.select(F.explode("사례").alias("r")).select("r.*")
+    return envelopes(spark, path, record).where("outcome = 'record'").select("r.*")
+
+
+def envelopes(spark: SparkSession, path: str, record: str) -> DataFrame:
+    """file, outcome, r of enveloped JSON files: a row for each record, and for a file that gives none a row that says why: "empty", or "broken" where it is no JSON."""
+    fields = T.StructType([T.StructField("총_건수", T.LongType()), T.StructField("사례", T.ArrayType(T.StructType.fromDDL(record))), T.StructField("_broken", T.StringType())])
+    files = spark.read.schema(fields).option("multiLine", True).option("columnNameOfCorruptRecord", "_broken").json(path)
+    rows = files.select(F.input_file_name().alias("file"), F.col("_broken").isNotNull().alias("broken"), F.explode_outer("사례").alias("r"))
+    return rows.select("file", F.when(F.col("r").isNotNull(), "record").when(F.col("broken"), "broken").otherwise("empty").alias("outcome"), "r")
+
+
+def large_envelope(spark: SparkSession, path: str, record: str, indent: int = 4) -> DataFrame:
+    """outcome ("record" or "broken") and r of the records of an envelope written with line feeds and an indent, however large: several tasks read one file.
+
+    Within JSON a line feed stands between tokens only, so a line of two indents and a closing brace ends a record and nothing else does (the records are the
+    only list of objects at that depth). The file is a text of which such lines are the separators.
+    """
+    step = " " * 2 * indent
+    parts = spark.read.option("lineSep", f"\n{step}}}").text(path)
+    body = F.concat(F.regexp_extract("value", rf"(?s)\n{step}(\{{\n.*)\z", 1), F.lit("}"))
+    rows = parts.where(F.contains("value", F.lit(f"\n{step}{{\n"))).select(F.from_json(body, T.StructType.fromDDL(record).add("_broken", "string"), {"columnNameOfCorruptRecord": "_broken"}).alias("r"))
+    return rows.select(F.when(F.col("r._broken").isNull(), "record").otherwise("broken").alias("outcome"), F.when(F.col("r._broken").isNull(), F.col("r").dropFields("_broken")).alias("r"))
 
 
 def upsert(rows: DataFrame, there: DataFrame | None, key: str, order: str) -> DataFrame:
@@ -98,6 +117,18 @@ def metrics(rows: DataFrame, step: str, outcome: Column) -> DataFrame:
     return outcomes(rows, outcome).select(F.lit(step).alias("step"), "outcome", "n")
 
 
+def observed(rows: DataFrame, step: str, outcome: Column, kinds: tuple[str, ...]) -> tuple[DataFrame, Observation]:
+    """rows, and what will be known of them once they have been written: how many had each outcome of kinds, or another one (K6, A6). No second scan."""
+    seen = Observation(step)
+    others = F.count_if(~F.coalesce(outcome.isin(*kinds), F.lit(False)))
+    return rows.observe(seen, *[F.count_if(outcome == k).alias(k) for k in kinds], others.alias("other")), seen
+
+
+def observed_metrics(spark: SparkSession, seen: Observation, step: str) -> DataFrame:
+    """step, outcome, n of rows that have been written, from what was observed on the way."""
+    return spark.createDataFrame([(step, k, n) for k, n in seen.get.items() if n], "step string, outcome string, n long")
+
+
 def save(rows: DataFrame, path: str, partition_by: str | None = None) -> None:
     """JSON lines, one folder per category if asked for (K1, K4)."""
     writer = rows.write.mode("overwrite")

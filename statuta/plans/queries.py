@@ -11,9 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from statuta.checkpoints import new_folder
 from statuta.functions import html, json_, rules, text
 from statuta.operators import builders, records, walk
 from statuta.sources import boards, decode, paged
+from statuta.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -573,6 +575,94 @@ def keyed_store(spark, sf_dir):
 
 @query(f"SELECT 'collect' AS step, {_OUTCOME} AS outcome, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 2")
 def run_metrics(spark, sf_dir):
-    """Outcomes of a step as rows of a metrics table."""
+    """Outcomes of a step as rows of a metrics table, observed while its rows are written."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return records.metrics(rows, "collect", F.expr(_OUTCOME))
+    rows, seen = records.observed(rows.select("doc_id", F.expr(_OUTCOME).alias("outcome")), "collect", F.col("outcome"), ("no_pdf", "skipped", "failed", "success"))
+    rows.write.parquet(new_folder(spark, "collected"))
+    return records.observed_metrics(spark, seen, "collect")
+
+
+def _decoded(c: str) -> str:
+    return strip(f"regexp_replace(replace({c}, chr(9), chr(32)), chr(91) || chr(65536) || chr(45) || chr(1114111) || chr(93), chr(63) || chr(63), chr(103))")
+
+
+@query(f"""WITH p AS (SELECT doc_id, i, {_decoded("substr(text, CAST(floor(i * length(text) / 11.0) AS BIGINT) + 1, CAST(floor((i + 1) * length(text) / 11.0) - floor(i * length(text) / 11.0) AS BIGINT))")} AS s FROM documents, (SELECT unnest(range(0, 11)) AS i) WHERE text <> '')
+SELECT doc_id, sha256(coalesce(string_agg(s, chr(10) ORDER BY i) FILTER (s <> ''), '')) AS by_number, sha256(coalesce(string_agg(s, chr(10) ORDER BY CAST(i AS VARCHAR)) FILTER (s <> ''), '')) AS by_name FROM p GROUP BY doc_id""")
+def ole_decode(spark, sf_dir):
+    """Each document as a compound file of eleven sections, every other one packed, decoded in the order of the sections' names and of their numbers."""
+    docs = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.translate("text", "\t", " ").alias("t"))
+    at = lambda i: F.floor(i * F.length("t") / 11.0).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: F.substring("t", at(i) + 1, at(i + 1) - at(i)))
+    made = docs.select("doc_id", decode.to_container(pieces, F.col("doc_id") % 2 == 0).alias("c"))
+    found = made.select("doc_id", decode.document_text("c").alias("a"), decode.document_text_by_number("c").alias("b"))
+    return found.select("doc_id", F.sha2("b.text", 256).alias("by_number"), F.sha2("a.text", 256).alias("by_name"))
+
+
+@query(f"""WITH c AS (SELECT doc_id, {_CATEGORY} AS category, concat(source, ' / ', doc_id) AS title, text FROM documents WHERE doc_id % 5 <> 4),
+t AS (SELECT doc_id, category, title, CASE WHEN doc_id % 5 < 2 THEN '.hwp' WHEN doc_id % 5 = 2 THEN '.hwpx' END AS suffix, CASE WHEN doc_id % 5 < 2 THEN {_decoded('text')} ELSE {norm("regexp_replace(text, '<[^>]+>', '', 'g')")} END AS text FROM c WHERE doc_id % 5 < 3)
+SELECT doc_id AS file_id, category, {safe("concat_ws('_', category, title, CAST(doc_id AS VARCHAR))")} || suffix AS name, sha256(text) AS digest, CAST(length(text) AS INT) AS n_chars FROM t WHERE text <> ''""")
+def reparse_contracts(spark, sf_dir):
+    """Documents as encoded files of a folder (compound files, archives, broken ones, some in two suffixes, some missing), found by the names of their items and parsed to records again."""
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_CATEGORY} AS category", "concat(source, ' / ', doc_id) AS title", "source", "lang", "coalesce(text, '') AS text")
+    name = builders.file_name(F.col("category"), F.col("title"), F.col("doc_id").cast("string"))
+    k = F.col("doc_id") % 5
+    file = lambda suffix, content: F.struct(F.concat(name, F.lit(suffix)).alias("name"), content.alias("content"))
+    ole = decode.to_container(F.array(F.translate("text", "\t", " ")), F.col("doc_id") % 2 == 0)
+    encoded = docs.where("doc_id % 5 <> 4").withColumns({"ole": ole, "archive": decode.to_archive("text")})
+    files = F.when(k == 0, F.array(file(".hwp", F.col("ole")))).when(k == 1, F.array(file(".pdf", F.lit(b"%PDF broken")), file(".hwp", F.col("ole")))).when(k == 2, F.array(file(".zip", F.lit(b"PK no")), file(".hwpx", F.col("archive")))).otherwise(F.array(file(".docx", F.lit(b"PK broken"))))
+    folder = new_folder(spark, "reparse")
+    boards.save_files(encoded.select(F.explode(files).alias("f")).select("f.*", F.lit("success").alias("outcome")), folder)
+    link = F.concat(F.lit(f"/x/{builders.FILE_LINK}.do?atchmnflNo="), F.col("doc_id").cast("string"))
+    items = builders.items(docs.select("category", F.array(F.col("doc_id").cast("string"), "title", "source", "lang", F.lit("")).alias("cells"), F.lit(None).cast("string").alias("title_link"), F.array(link).alias("hrefs")))
+    wanted = items.select("카테고리", "제목", F.explode("첨부파일").alias("f")).select(F.col("f.file_id").alias("file_id"), builders.file_name(F.col("카테고리"), F.col("제목"), F.col("f.file_id")).alias("name"))
+    found = builders.parsed_contracts(items, decode.reparse(spark, folder, wanted))
+    return found.select(F.col("파일ID").cast("long").alias("file_id"), F.col("카테고리").alias("category"), F.col("원본_파일명").alias("name"), F.sha2("추출_텍스트", 256).alias("digest"), F.col("텍스트_길이").alias("n_chars"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'first' ELSE 'second' END AS batch FROM documents")
+def bucketed_store(spark, sf_dir):
+    """A store in buckets by key, filled by two batches (the labelled documents, then all of them); what it holds stays."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels")
+    target = new_folder(spark, "store")
+    first = records.found(docs, labels, "doc_id").withColumn("batch", F.lit("first"))
+    for batch in (first, docs.withColumn("batch", F.lit("second"))):
+        incremental.append_new(batch, target, "doc_id")
+    return incremental.held(spark, target, first.schema).select("doc_id", "batch")
+
+
+@query(f"SELECT doc_id AS file_id, {_CATEGORY} AS category, CASE WHEN {_CATEGORY} = '표준가맹계약서' AND doc_id IN (SELECT doc_id FROM labels) THEN 2 ELSE 1 END AS run FROM documents")
+def merged_categories(spark, sf_dir):
+    """K4, Q7: records by category, one category run again with some of its records: these are replaced, all others stay."""
+    docs = table(spark, sf_dir, "documents").selectExpr("CAST(doc_id AS STRING) AS `파일ID`", f"{_CATEGORY} AS `카테고리`", "doc_id")
+    path = new_folder(spark, "categories")
+    again = records.found(docs.where("`카테고리` = '표준가맹계약서'"), table(spark, sf_dir, "labels"), "doc_id")
+    for run, rows in ((1, docs), (2, again)):
+        builders.merge_categories(rows.drop("doc_id").withColumn("run", F.lit(run)), path)
+    back = spark.read.schema("`파일ID` string, `카테고리` string, run int, _folder string").json(path)
+    return back.select(F.col("파일ID").cast("long").alias("file_id"), F.col("카테고리").alias("category"), "run")
+
+
+@query("""WITH b AS (SELECT event_id, CASE event_id % 10 WHEN 0 THEN substr(props, 1, 3) WHEN 1 THEN '' ELSE props END AS body FROM events),
+o AS (SELECT event_id, body, CASE WHEN body IS NULL OR trim(body) IN ('', 'null', '{}', '[]', '""') THEN 'empty' WHEN NOT json_valid(body) THEN 'malformed' ELSE 'found' END AS outcome FROM b)
+SELECT event_id, outcome, k AS name, CAST(json_extract(body, '$."' || k || '"') AS DOUBLE) AS value FROM (SELECT event_id, body, outcome, unnest(json_keys(body)) AS k FROM o WHERE outcome = 'found')
+UNION ALL SELECT event_id, outcome, NULL, NULL FROM o WHERE outcome <> 'found'""")
+def event_variants(spark, sf_dir):
+    """Bodies of no known schema (the properties of events; some cut off, some empty) as variants, their fields read when asked for."""
+    body = F.expr("CASE event_id % 10 WHEN 0 THEN substr(props, 1, 3) WHEN 1 THEN '' ELSE props END")
+    found = paged.variants(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), body.alias("body")))
+    fields = spark.sql("SELECT id, outcome, f.key AS name, try_variant_get(f.value, '$', 'double') AS value FROM {found}, LATERAL variant_explode_outer(document) AS f", found=found)
+    return fields.select(F.col("id").alias("event_id"), "outcome", "name", "value")
+
+
+@query("""SELECT doc_id, sha256(text) AS digest, 'record' AS outcome FROM documents WHERE doc_id % 11 <> 5 UNION ALL SELECT NULL, NULL, 'broken' FROM documents WHERE doc_id % 11 = 5""")
+def large_envelopes(spark, sf_dir):
+    """Documents as an envelope with line feeds and indents, a few broken, in files that several tasks can read; back to records."""
+    field = lambda name, value, end=",": F.concat(F.lit(f'            "{name}": '), value, F.lit(f"{end}\n"))
+    text = F.regexp_extract(F.to_json(F.struct(F.col("text").alias("x"))), r'(?s)\A\{"x":(.*)\}\z', 1)
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    bad = F.when(F.col("doc_id") % 11 == 5, " x").otherwise("")
+    record = F.concat(F.lit('    "총_건수": 1,\n    "사례": [\n        {\n'), field("doc_id", F.concat(F.col("doc_id").cast("string"), bad)), field("text", text, ""), F.lit("        }\n    ]"))
+    path = new_folder(spark, "envelopes")
+    docs.select(F.concat(F.lit("{\n"), record, F.lit("\n}")).alias("value")).write.text(path)
+    back = records.large_envelope(spark, path, "doc_id long, text string")
+    return back.select("r.doc_id", F.sha2("r.text", 256).alias("digest"), "outcome")

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import os
-import time
+import re
 import urllib.request
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import PurePath
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -21,6 +20,7 @@ from statuta.functions.text import normalize, or_empty, strip
 from statuta.operators import builders, walk
 from statuta.sources.decode import LEAST_BYTES
 from statuta.sources.paged import DELAY, TIMEOUT
+from statuta.sources.pacing import paced
 
 FOUND = "id string, name string, content binary, length long, outcome string, error string"
 
@@ -74,25 +74,21 @@ def downloads(wanted: DataFrame, there: DataFrame, *, suffix: str, delay: float
     """Files of wanted (id, name without suffix, url; a null or empty url has none) that are not there (name with suffix): rows of FOUND.
 
     outcome: skipped (there already), no_file (no url), failed (an error, or under ``least`` bytes: the content goes, F6), success. A file that the
-    server names with another suffix takes that. At most ``concurrency`` calls run at once, with a pause after each (R2).
+    server names with another suffix takes that. At most ``concurrency`` calls to a host run at once, with a pause after each (R2).
     """
     named = wanted.withColumn("name", F.concat("name", F.lit(suffix)))
     old, new = named.join(there.select("name"), "name", "left_semi"), named.join(there.select("name"), "name", "left_anti")
     none = F.coalesce(F.col("url"), F.lit("")) == ""
     told = lambda rows, outcome: rows.select("id", "name", F.lit(None).cast("binary").alias("content"), F.lit(None).cast("long").alias("length"), F.lit(outcome).alias("outcome"), F.lit(None).cast("string").alias("error"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                content, other, error = fetch_file(row.url, timeout=timeout)
-                name = row.name if not other or other == suffix else str(PurePath(row.name).with_suffix(other))
-                good = content is not None and len(content) >= least
-                out.append((row.id, name, content if good else None, len(content) if content is not None else None, "success" if good else "failed", error))
-                time.sleep(delay)
-            yield pd.DataFrame(out, columns=["id", "name", "content", "length", "outcome", "error"]).astype({"length": "Int64"})
-
-    fetched = new.where(~none).select("id", "name", "url").repartition(concurrency).mapInPandas(run, FOUND)
+    def call(row: tuple) -> tuple:
+        content, other, error = fetch_file(row[2], timeout=timeout)
+        name = row[1] if not other or other == suffix else str(PurePath(row[1]).with_suffix(other))
+        good = content is not None and len(content) >= least
+        return row[0], name, content if good else None, len(content) if content is not None else -1, "success" if good else "failed", error
+
+    fetched = paced(new.where(~none).select("id", "name", "url"), call, FOUND, delay=delay, in_flight=concurrency)
+    fetched = fetched.withColumn("length", F.nullif("length", F.lit(-1)))
     return fetched.unionByName(told(old, "skipped")).unionByName(told(new.where(none), "no_file"))
 
 
@@ -121,7 +117,7 @@ class _Written(WriterCommitMessage):
 
 class _FilesWriter(DataSourceWriter):
     def __init__(self, path: str) -> None:
-        self.path, self.staging = path if "://" in path else f"file://{os.path.abspath(path)}", f"_staging-{uuid.uuid4().hex}"
+        self.path, self.staging = re.sub(r"^file:/(?!/)", "file:///", path) if re.match(r"[a-z][a-z0-9+.-]*:/", path) else f"file://{os.path.abspath(path)}", f"_staging-{uuid.uuid4().hex}"
 
     def _folder(self):
         from pyarrow import fs

@@ -1,4 +1,4 @@
-"""Office documents from binary columns: record streams, archives of XML sections, PDF through an optional library.
+"""Office documents from binary columns: record streams, archives of XML sections, compound files, PDF through an optional library; and from folders of them.
 
 Decoders are Arrow UDFs over the binaryFile source; each gives struct<text, error> and never raises.
 """
@@ -18,6 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from statuta.checkpoints import kept
+from statuta.operators import records
+
 # Suffixes of attachments, in the order in which they are tried, and the least size of a file.
 EXTENSIONS = (".hwp", ".hwpx", ".pdf", ".doc", ".docx", ".zip")
 LEAST_BYTES = 100
@@ -25,6 +28,8 @@ LEAST_BYTES = 100
 PARAGRAPH_TAG = 67
 UNIT_TEXT = {13: "\n", 30: " ", 31: "­"}
 WITH_DATA = frozenset({1, 2, 3, 9, 10, 11, 12, *range(14, 24)})
+# Fixed values of compound files: the first bytes, and sector numbers that stand for an end and for none.
+OLE_MAGIC, END, FREE = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", 0xFFFFFFFE, 0xFFFFFFFF
 DECODED = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
 
 
@@ -70,14 +75,20 @@ def stream_text(data: bytes, compat: bool = True) -> str:
     return "\n".join(out)
 
 
-def inflated(data: bytes) -> bytes:
-    """Raw deflate, or with a header, or the bytes as they are."""
+def unpacked(data: bytes) -> bytes | None:
+    """Raw deflate, or with a header; null where it is neither."""
     for bits in (-15, 15):
         try:
             return zlib.decompress(data, bits)
         except zlib.error:
             continue
-    return data
+    return None
+
+
+def inflated(data: bytes) -> bytes:
+    """As unpacked, or the bytes as they are."""
+    found = unpacked(data)
+    return data if found is None else found
 
 
 def sections_text(data: bytes) -> str:
@@ -91,10 +102,61 @@ def sections_text(data: bytes) -> str:
     return "\n".join(out)
 
 
+def container_streams(data: bytes) -> dict[tuple[str, ...], bytes]:
+    """The streams of a compound file by their paths: chains of sectors through the allocation table, small streams in sectors of their own kind within one stream."""
+    at = lambda kind, place: struct.unpack_from("<" + kind, data, place)[0]
+    if data[:8] != OLE_MAGIC:
+        raise ValueError("not a compound file")
+    size, small = 1 << at("H", 0x1E), 1 << at("H", 0x20)
+    sector = lambda n: data[(n + 1) * size : (n + 2) * size]
+    numbers = lambda raw: np.frombuffer(raw[: len(raw) // 4 * 4], "<u4")
+
+    def chain(table: np.ndarray, n: int) -> list[int]:
+        out: list[int] = []
+        while n < len(table) and len(out) <= len(table):
+            out.append(n)
+            n = int(table[n])
+        if len(out) > len(table):
+            raise ValueError("a chain of sectors has no end")
+        return out
+
+    listed, more = [*numbers(data[0x4C:0x200])], at("I", 0x44)
+    for _ in range(at("I", 0x48)):
+        if more >= END:
+            break
+        part = numbers(sector(more))
+        listed += [*part[:-1]]
+        more = int(part[-1])
+    table = numbers(b"".join(sector(int(n)) for n in listed if n < END))
+    whole = lambda n: b"".join(sector(x) for x in chain(table, n))
+    names, small_table = whole(at("I", 0x30)), numbers(whole(at("I", 0x3C))) if at("I", 0x40) else np.zeros(0, "<u4")
+    entry = [names[i : i + 128] for i in range(0, len(names) - 127, 128)]
+    of = lambda e, kind, place: struct.unpack_from("<" + kind, entry[e], place)[0]
+    within = whole(of(0, "I", 0x74))[: of(0, "Q", 0x78) & 0xFFFFFFFF]
+    found: dict[tuple[str, ...], bytes] = {}
+    todo, seen = [(of(0, "I", 0x4C), ())], set()
+    while todo:
+        e, path = todo.pop()
+        if e >= len(entry) or e in seen:
+            continue
+        seen.add(e)
+        own = (*path, entry[e][: max(0, of(e, "H", 0x40) - 2)].decode("utf-16-le", "replace"))
+        todo += [(of(e, "I", 0x44), path), (of(e, "I", 0x48), path)]
+        if entry[e][0x42] == 1:
+            todo.append((of(e, "I", 0x4C), own))
+        elif entry[e][0x42] == 2:
+            start, n = of(e, "I", 0x74), of(e, "Q", 0x78) if size > 512 else of(e, "I", 0x78)
+            raw = whole(start) if n >= at("I", 0x38) else b"".join(within[x * small : (x + 1) * small] for x in chain(small_table, start))
+            if len(raw) < n:
+                raise ValueError(f"stream {'/'.join(own)} is cut off")
+            found[own] = raw[:n]
+    return found
+
+
 def container_text(data: bytes, compat: bool = True) -> str:
-    """A document by its first bytes: archive, PDF, or OLE container; the latter two need their optional libraries.
+    """A document by its first bytes: archive, compound file, or PDF through an optional library.
 
-    compat: the sections of a container in the order of its directory, else by number (Q13).
+    compat: the sections of a compound file by name, else by number (Q13). A section that should be packed and can not be unpacked is left out (F11).
     """
     if data[:2] == b"PK":
         return sections_text(data)
@@ -103,16 +165,76 @@ def container_text(data: bytes, compat: bool = True) -> str:
 
         with pdfplumber.open(io.BytesIO(data)) as pdf:
             return "\n".join(t for t in (page.extract_text() for page in pdf.pages) if t)
-    if data[:4] == b"\xd0\xcf\x11\xe0":
-        import olefile
-
-        with olefile.OleFileIO(io.BytesIO(data)) as ole:
-            packed = bool(ole.openstream("FileHeader").read()[36] & 1)
-            names = [n for n in ole.listdir() if n[0] == "BodyText"]  # F11
-            names = names if compat else sorted(names, key=lambda n: (len(n[-1]), n[-1]))
-            found = [stream_text(inflated(s) if packed else s, compat) for s in (ole.openstream(n).read() for n in names)]
-        return "\n".join(x for x in found if x)
-    raise ValueError("unsupported")
+    if data[:8] != OLE_MAGIC:
+        raise ValueError("unsupported")
+    streams = container_streams(data)
+    packed = bool(streams[("FileHeader",)][36] & 1)
+    names = sorted((n for n in streams if n[0] == "BodyText" and len(n) > 1), key=lambda n: n if compat else (len(n[-1]), n[-1]))
+    found = [stream_text(s, compat) for n in names if (s := unpacked(streams[n]) if packed else streams[n]) is not None]
+    return "\n".join(x for x in found if x)
+
+
+def container_of(streams: dict[tuple[str, ...], bytes]) -> bytes:
+    """A compound file of these streams, for sinks and tests."""
+    size = 512 if sum(map(len, streams.values())) < 4 << 20 else 4096
+    sectors: list[bytes] = []
+    links: list[int] = []
+
+    def put(raw: bytes) -> int:
+        """Adds a chain of sectors; gives its first."""
+        if not raw:
+            return END
+        first, n = len(sectors), -(-len(raw) // size)
+        sectors.extend(raw[i * size : (i + 1) * size].ljust(size, b"\0") for i in range(n))
+        links.extend([*range(first + 1, first + n), END])
+        return first
+
+    within, small_links = b"", []
+    entries: list[list] = [["Root Entry", 5, FREE, FREE, FREE, END, 0]]
+    folders: dict[tuple[str, ...], list[int]] = {(): []}
+    for path in sorted(streams, key=lambda p: (len(p), len(p[-1]), p[-1].upper())):
+        for k in range(1, len(path)):
+            if path[:k] not in folders:
+                folders[path[:k]] = []
+                folders[path[: k - 1]].append(len(entries))
+                entries.append([path[k - 1], 1, FREE, FREE, FREE, 0, 0])
+        raw = streams[path]
+        if len(raw) >= 4096:
+            start = put(raw)
+        elif raw:
+            start, n = len(small_links), -(-len(raw) // 64)
+            small_links += [*range(start + 1, start + n), END]
+            within += raw.ljust(n * 64, b"\0")
+        else:
+            start = END
+        folders[path[:-1]].append(len(entries))
+        entries.append([path[-1], 2, FREE, FREE, FREE, start, len(raw)])
+    at_of = {p: 0 if not p else next(i for i in folders[p[:-1]] if entries[i][0] == p[-1] and entries[i][1] == 1) for p in folders}
+    for path, kids in folders.items():
+        kids = sorted(kids, key=lambda i: (len(entries[i][0]), entries[i][0].upper()))
+        if kids:
+            entries[at_of[path]][4] = kids[0]
+        for a, b in zip(kids, kids[1:]):
+            entries[a][3] = b
+    entries[0][5], entries[0][6] = put(within), len(within)
+    small_first = put(np.array(small_links, "<u4").tobytes().ljust(-(-len(small_links) * 4 // size) * size, b"\xff"))
+    packed = b"".join(e[0].encode("utf-16-le").ljust(64, b"\0") + struct.pack("<HBBIII16sIQQIQ", 2 * len(e[0]) + 2, e[1], 1, e[2], e[3], e[4], b"", 0, 0, 0, e[5], e[6]) for e in entries)
+    names_first, empty = put(packed), b"\0" * 64 + struct.pack("<HBBIII16sIQQIQ", 0, 0, 0, FREE, FREE, FREE, b"", 0, 0, 0, 0, 0)
+    if rest := -len(packed) % size:
+        sectors[-1] = sectors[-1][:-rest] + empty * (rest // 128)
+    each, tables = size // 4, 1
+    while tables * each < len(sectors) + tables:
+        tables += 1
+    if tables > 109:
+        raise ValueError("too large for a table in the header")
+    table = np.full(tables * each, FREE, "<u4")
+    table[: len(links)] = links
+    first = len(sectors)
+    table[first : first + tables] = 0xFFFFFFFD
+    head = OLE_MAGIC + b"\0" * 16 + struct.pack("<HHHHH6sIIIIIIIIII", 0x3E, 3 if size == 512 else 4, 0xFFFE, size.bit_length() - 1, 6, b"", 0 if size == 512 else -(-len(packed) // size), tables, names_first, 0, 4096, small_first, -(-len(small_links) * 4 // size), END, 0, 0)[:-4]
+    listed = np.full(109, FREE, "<u4")
+    listed[:tables] = range(first, first + tables)
+    return (head + listed.tobytes()).ljust(size, b"\0") + b"".join(sectors) + table.tobytes()
 
 
 def _safely(decode: Callable[[bytes], str], data: bytes | None) -> dict:
@@ -137,6 +259,12 @@ def document_text(contents: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_safely(container_text, x) for x in contents], columns=["text", "error"])
 
 
+@F.pandas_udf(DECODED)
+def document_text_by_number(contents: pd.Series) -> pd.DataFrame:
+    """As document_text, sections in the order of their numbers."""
+    return pd.DataFrame([_safely(lambda b: container_text(b, False), x) for x in contents], columns=["text", "error"])
+
+
 def record(text: str) -> bytes:
     """A paragraph record, for sinks and tests."""
     data = text.replace("\n", "\r").encode("utf-16-le")
@@ -162,3 +290,33 @@ def to_archive(texts: pd.Series) -> pd.Series:
         return out.getvalue()
 
     return texts.map(pack)
+
+
+@F.pandas_udf(T.BinaryType())
+def to_container(sections: pd.Series, packed: pd.Series) -> pd.Series:
+    """A compound file with a section of one paragraph for each text."""
+
+    def pack(texts: list, squeezed: bool) -> bytes:
+        head = (b"HWP Document File".ljust(36, b"\0") + bytes([1 if squeezed else 0])).ljust(256, b"\0")
+        body = {("BodyText", f"Section{i}"): zlib.compress(record(x or ""))[2:-4] if squeezed else record(x or "") for i, x in enumerate(texts)}
+        return container_of({("FileHeader",): head, ("DocInfo",): b"x" * 5000, **body})
+
+    return pd.Series([pack(x, bool(p)) for x, p in zip(sections, packed)])
+
+
+def reparse(spark: SparkSession, folder: str, wanted: DataFrame, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
+    """file_id, name, text, error of the files that folder has for wanted (file_id, name without suffix): parsing again without fetching.
+
+    Of a file's suffixes the first in order counts. The folder is listed without contents; only files that are matched are read. The names of these pass
+    the driver, which holds the listing of any file scan.
+    """
+    there = spark.read.format("binaryFile").load(folder).select("path", F.regexp_extract("path", r"([^/]+)\z", 1).alias("file"))
+    there = there.select("path", "file", F.regexp_extract("file", r"(\.[^.]*)\z", 1).alias("extension"))
+    there = there.withColumn("name", F.expr("substr(file, 1, length(file) - length(extension))"))
+    best = records.best_extension(wanted, there, "name", extensions)
+    found = kept(best.select("file_id", "path"))
+    paths = [r["path"] for r in found.select("path").distinct().toLocalIterator()]
+    if not paths:
+        return found.select("file_id", F.lit("").alias("name"), F.lit("").alias("text"), F.lit("").alias("error")).limit(0)
+    read = spark.read.format("binaryFile").load(paths).select("path", document_text("content").alias("t"))
+    return read.join(found, "path").select("file_id", F.regexp_extract("path", r"([^/]+)\z", 1).alias("name"), "t.text", "t.error")

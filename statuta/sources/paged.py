@@ -21,6 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from statuta.checkpoints import kept
 from statuta.functions.json_ import Envelope, counts, items, list_entries
 from statuta.operators.walk import gaps, until_count
+from statuta.sources.pacing import paced
 
 # Timeout in seconds, attempts, and pause between calls.
 TIMEOUT, ATTEMPTS, DELAY = 30.0, 3, 1.0
@@ -104,17 +105,18 @@ class _StreamReader(_Pages, DataSourceStreamReader):
 
 
 def details(ids: DataFrame, url: str, *, param: str = "ID", delay: float = DELAY, attempts: int = ATTEMPTS, timeout: float = TIMEOUT, concurrency: int = 1) -> DataFrame:
-    """id, body, error of each id's detail document (S3, S6, S9); at most ``concurrency`` calls at once (R2)."""
-
-    def run(batches):
-        for pdf in batches:
-            got = []
-            for i in pdf["id"]:
-                got.append(fetch(f"{url}?{urllib.parse.urlencode({param: i})}", timeout=timeout, attempts=attempts, delay=delay))
-                time.sleep(delay)
-            yield pdf[["id"]].assign(body=[b for b, _ in got], error=[e for _, e in got])
-
-    return ids.select("id").repartition(concurrency).mapInPandas(run, "id string, body string, error string")
+    """id, body, error of each id's detail document (S3, S6, S9); at most ``concurrency`` calls at once (R2). ids: id, and url where each has its own."""
+    base = F.col("url") if "url" in ids.columns else F.lit(url)
+    wanted = ids.select("id", F.concat(base, F.lit(f"?{param}="), F.url_encode(F.col("id").cast("string"))).alias("url"))
+    return paced(wanted, lambda row: (row[0], *fetch(row[1], timeout=timeout, attempts=attempts, delay=delay)), "id string, body string, error string", delay=delay, in_flight=concurrency)
+
+
+def variants(details: DataFrame) -> DataFrame:
+    """id, outcome, document of detail bodies (id, body): each body as it is, read on demand (X17). outcome: found, empty (no body, or an empty one), malformed."""
+    document = F.try_parse_json("body")
+    empty = F.coalesce(F.trim("body"), F.lit("")).isin("", "null", "{}", "[]", '""')
+    told = F.when(empty, "empty").when(document.isNull(), "malformed").otherwise("found")
+    return details.select("id", told.alias("outcome"), F.when(~empty, document).alias("document"))
 
 
 def read(spark: SparkSession, url: str, pages: int = 1, **options: object) -> DataFrame:
