@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from statuta.checkpoints import kept
 from statuta.functions import rules
 from statuta.functions.html import named_cells, with_title
-from statuta.functions.text import or_empty, safe_name, strip
-from statuta.operators.records import by_category
+from statuta.functions.text import case_identifier, or_empty, safe_name, strip
+from statuta.operators.records import by_category, last_wins
 
 # Categories of contract boards with their board numbers and keys.
 CATEGORIES = {
@@ -68,6 +68,17 @@ def cases(rows: DataFrame) -> DataFrame:
     return rows.select(*rest, title.alias("사건명"), with_title(named_cells(F.col("header"), F.col("cells")), title).alias("셀_데이터"), "pdf_info", F.lit(SOURCE).alias("출처"), F.lit(CASE_CATEGORY).alias("카테고리"), F.col("page").alias("수집_페이지"))
 
 
+def case_files(cases: DataFrame, files: DataFrame, compat_title_key: bool = False) -> DataFrame:
+    """cases with the path of their file (S21, J2, X5, Q1): files (name without suffix, path, title, ord) are found by the case's own identifier; cases without a file go.
+
+    cases: 사건번호, 의결번호, 사건명, ord. compat_title_key: files are known by title alone, the last one registered for all cases of a title.
+    """
+    if compat_title_key:
+        return cases.join(last_wins(files.withColumnRenamed("title", "사건명"), "사건명", "path", "ord"), "사건명")
+    name = case_identifier(F.col("사건번호"), F.col("의결번호"), F.col("사건명"), F.col("ord"))
+    return cases.withColumn("name", name).join(files.groupBy("name").agg(F.max_by("path", "ord").alias("path")), "name")
+
+
 def parsed_contracts(listed: DataFrame, texts: DataFrame) -> DataFrame:
     """A record for each attachment whose file gave a text (P6, F7); listed: items; texts: file_id, name, text."""
     files = listed.select("제목", "카테고리", "담당부서", "등록일", F.explode("첨부파일").alias("f")).select("제목", "카테고리", "담당부서", "등록일", F.col("f.file_id").alias("file_id"))

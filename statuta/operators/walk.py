@@ -78,3 +78,25 @@ def gaps(pages: DataFrame, by: list[str], last: Column | None = None) -> DataFra
     ends = pages.groupBy(*by).agg(F.coalesce(F.max("page"), F.lit(0)).cast("long").alias("b")) if by else pages.agg(F.coalesce(F.max("page"), F.lit(0)).cast("long").alias("b"))
     after = ends.select(*by, (F.col("b") + 1).alias("first"), last.cast("long").alias("last"))
     return found.unionByName(after.where(F.col("first") <= F.col("last")))
+
+
+def pending(rows: DataFrame, wanted: DataFrame, key: str = "key", file: str = "has_file") -> DataFrame:
+    """key, outcome, page of each wanted key (J4): a walk over the pages in order takes a key at the first row that shows it; it ends when none is pending, or before the first page without rows.
+
+    rows: page (from 1), pos, key, has_file. outcome: success, failed (its row has no file), pending (the walk ended before). Every page up to there is walked, however many there are.
+    """
+    listed = rows.select("page").distinct()
+    whole = listed.withColumn("_n", F.row_number().over(Window.orderBy("page"))).where("_n = page").select("page")
+    shown = rows.join(wanted.select(key).distinct(), key, "left_semi").join(whole, "page", "left_semi")
+    place = F.struct("page", "pos")
+    first = shown.groupBy(key).agg(F.min_by(file, place).alias("_file"), F.min("page").alias("page"))
+    told = F.when(F.col("page").isNull(), "pending").when(F.col("_file"), "success").otherwise("failed")
+    return wanted.select(key).distinct().join(first, key, "left").select(key, told.alias("outcome"), "page")
+
+
+def shrinking(outcomes: DataFrame) -> DataFrame:
+    """page, n_success, n_failed, n_left: what is still pending after each page on which something was taken."""
+    by_page = outcomes.groupBy("page").agg(F.count_if(F.col("outcome") == "success").alias("n_success"), F.count_if(F.col("outcome") == "failed").alias("n_failed"), F.count("*").alias("_n"))
+    total = F.sum("_n").over(Window.partitionBy())
+    taken = F.sum(F.when(F.col("page").isNotNull(), F.col("_n"))).over(Window.orderBy(F.col("page").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
+    return by_page.select("page", "n_success", "n_failed", (total - taken).alias("n_left")).where("page IS NOT NULL")

@@ -666,3 +666,34 @@ def large_envelopes(spark, sf_dir):
     docs.select(F.concat(F.lit("{\n"), record, F.lit("\n}")).alias("value")).write.text(path)
     back = records.large_envelope(spark, path, "doc_id long, text string")
     return back.select("r.doc_id", F.sha2("r.text", 256).alias("digest"), "outcome")
+
+
+@query("""WITH p AS (SELECT doc_id % 1000 AS key, CAST(floor(doc_id / 10.0) AS BIGINT) + 1 AS page, doc_id AS i, doc_id % 4 <> 0 AS has FROM documents),
+c AS (SELECT page FROM (SELECT DISTINCT page FROM p) QUALIFY row_number() OVER (ORDER BY page) = page),
+s AS (SELECT key, min(page) AS page, arg_min(has, i) AS has FROM p JOIN c USING (page) JOIN (SELECT DISTINCT doc_id AS key FROM labels) USING (key) GROUP BY key),
+w AS (SELECT count(DISTINCT doc_id) AS n FROM labels),
+g AS (SELECT page, count(*) FILTER (has) AS n_success, count(*) FILTER (NOT has) AS n_failed, count(*) AS n FROM s GROUP BY page)
+SELECT page, n_success, n_failed, CAST(w.n - sum(g.n) OVER (ORDER BY page ROWS UNBOUNDED PRECEDING) AS BIGINT) AS n_left FROM g, w""")
+def pending_walk(spark, sf_dir):
+    """Labelled ids pending on a list of documents of ten to a page (an id shows wherever its last three digits do); what is left after each page."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    rows = docs.select((F.floor(F.col("doc_id") / 10.0) + 1).cast("long").alias("page"), F.col("doc_id").alias("pos"), (F.col("doc_id") % 1000).alias("key"), (F.col("doc_id") % 4 != 0).alias("has_file"))
+    return walk.shrinking(walk.pending(rows, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"))))
+
+
+@query(f"""WITH c AS (SELECT doc_id, {safe(f"coalesce(nullif(concat_ws(' | ', nullif({strip('case_no')}, ''), nullif({strip('decision_no')}, ''), nullif({strip('title')}, '')), ''), concat('case_', doc_id))", "concat('case_', doc_id)")} AS name FROM {d('case_no', 'decision_no', 'title')}),
+f AS (SELECT name, arg_max(concat('/pdf/', doc_id), doc_id) AS path FROM c JOIN (SELECT DISTINCT doc_id FROM labels) USING (doc_id) GROUP BY name) SELECT doc_id, path FROM c JOIN f USING (name)""")
+def case_files(spark, sf_dir):
+    """S21, J2, X5, Q1 (default form): files (of the labelled cases) are found by the case's identifier, so cases of one title keep their own."""
+    rows = derived(spark, sf_dir, "case_no", "decision_no", "title")
+    cases = rows.select("doc_id", F.col("case_no").alias("사건번호"), F.col("decision_no").alias("의결번호"), F.col("title").alias("사건명"), F.col("doc_id").alias("ord"))
+    named = cases.select("doc_id", text.case_identifier(F.col("사건번호"), F.col("의결번호"), F.col("사건명"), F.col("ord")).alias("name"), F.col("사건명").alias("title"), "ord")
+    files = records.found(named, table(spark, sf_dir, "labels"), "doc_id").withColumn("path", F.concat(F.lit("/pdf/"), "doc_id")).drop("doc_id")
+    return builders.case_files(cases, files).select("doc_id", "path")
+
+
+@query("SELECT count(*) AS n_entries, count(DISTINCT k) AS n_ids, count(*) - count(DISTINCT k) AS n_again, 0 AS n_failed FROM (SELECT doc_id // 3 AS k FROM documents)")
+def list_report(spark, sf_dir):
+    """A list that shows most ids several times; how many entries, ids, and repeats it has."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 3).cast("string").alias("id"), F.col("lang").alias("name"))
+    return paged.report(paged.entries(paged.settled(paged.serve(docs, total=1 << 60).withColumn("page", F.col("page") + 1).withColumn("error", F.lit(None).cast("string"))), json_.PRECEDENT))

@@ -195,3 +195,10 @@ def serve(listed: DataFrame, size: int = 100, root: str = "PrecSearch", name: st
 def collect(pages: DataFrame, envelope: Envelope) -> DataFrame:
     """The entries of fetched pages, one per id, at its first place (Q12)."""
     return list_entries(pages, envelope).groupBy("id").agg(F.min_by("name", F.struct("page", "pos")).alias("name"))
+
+
+def report(found: DataFrame) -> DataFrame:
+    """n_entries, n_ids, n_again, n_failed of a list's entries (Q12): an id that is listed again counts as skipped; failed pages are told apart."""
+    by = found.groupBy("id").agg(F.count("*").alias("n"))
+    return by.agg(F.coalesce(F.sum(F.when(F.col("id").isNotNull(), F.col("n"))), F.lit(0)).alias("n_entries"), F.count("id").alias("n_ids"), F.coalesce(F.sum(F.when(F.col("id").isNotNull(), F.col("n") - 1)), F.lit(0)).alias("n_again"),
+                  F.coalesce(F.sum(F.when(F.col("id").isNull(), F.col("n"))), F.lit(0)).alias("n_failed"))

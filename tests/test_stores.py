@@ -11,7 +11,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from statuta.operators import builders, records
+from statuta.operators import builders, records, walk
 from statuta.sources import boards, decode, paged
 from statuta.streaming import incremental
 
@@ -171,3 +171,28 @@ def test_only_matched_files_are_read(spark, tmp_path):
     assert sorted(Path(f).name for f in found.inputFiles() if Path(f.removeprefix("file://")).parent == tmp_path) == ["a.hwp", "b.zip"]
     assert {r["file_id"]: (r["name"], r["text"], bool(r["error"])) for r in found.collect()} == {"1": ("a.hwp", "", True), "2": ("b.zip", "", True)}
     assert decode.reparse(spark, str(tmp_path), wanted.limit(0)).count() == 0
+
+
+def test_a_pending_walk_ends_at_a_missing_page(spark):
+    rows = spark.createDataFrame([(1, 0, "a", True), (1, 1, "b", False), (2, 0, "a", False), (2, 1, "c", True), (4, 0, "d", True)], "page long, pos int, key string, has_file boolean")
+    wanted = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("e",), ("a",)], "key string")
+    found = walk.pending(rows, wanted)
+    assert sorted(map(tuple, found.collect())) == [("a", "success", 1), ("b", "failed", 1), ("c", "success", 2), ("d", "pending", None), ("e", "pending", None)]
+    assert [tuple(r) for r in walk.shrinking(found).orderBy("page").collect()] == [(1, 1, 1, 3), (2, 1, 0, 2)]
+    assert walk.shrinking(walk.pending(rows.limit(0), wanted)).count() == 0
+
+
+def test_cases_of_one_title_keep_their_files(spark):
+    cases = spark.createDataFrame([("1", "", "같은 제목", 1), ("2", "", "같은 제목", 2), ("3", "", "다른", 3)], "`사건번호` string, `의결번호` string, `사건명` string, ord long")
+    files = spark.createDataFrame([("1_|_같은_제목", "/1", "같은 제목", 1), ("1___같은_제목", "/1", "같은 제목", 1), ("2___같은_제목", "/2", "같은 제목", 2)], "name string, path string, title string, ord long")
+    of = lambda compat: sorted((r["ord"], r["path"]) for r in builders.case_files(cases, files, compat).collect())
+    assert of(False) == [(1, "/1"), (2, "/2")] and of(True) == [(1, "/2"), (2, "/2")]
+
+
+def test_listing_gives_exact_sizes(spark, tmp_path):
+    for n in (0, 99, 100, 5000):
+        (tmp_path / f"f{n}.hwp").write_bytes(b"x" * n)
+    (tmp_path / "f.txt").write_bytes(b"x" * 500)
+    found = decode.listing(spark, str(tmp_path), "*.hwp")
+    assert sorted((Path(r["path"]).name, r["length"]) for r in found.collect()) == [("f100.hwp", 100), ("f5000.hwp", 5000)]
+    assert "content" not in found._jdf.queryExecution().executedPlan().toString()
