@@ -6,6 +6,8 @@ first) before the lines that end a block, so every pattern is linear.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,8 +66,10 @@ def clauses(text: Column, longer_than: int = 20) -> Column:
     """Clause texts: up to a numbered line, or up to the next article heading."""
     t = _plain(text)
     numbered = _marked(t, rf"{DIGITS}\.")
-    # the first newline of the white space before an article heading, tried once per run of white space
-    article = F.regexp_replace(t, rf"(?<!{WHITE})({LINE_WHITE}*+)\n({WHITE}*+)(?=제{DIGITS}조)", "$1\x01$2")
+    # the first newline of the white space before an article heading; where blank lines may repeat, tried once for each run of white space
+    heading = rf"(?=제{DIGITS}조)"
+    once = F.regexp_replace(t, rf"(?<!{WHITE})({LINE_WHITE}*+)\n({WHITE}*+){heading}", "$1\x01$2")
+    article = F.when(t.rlike(rf"\n{LINE_WHITE}*+\n"), once).otherwise(F.regexp_replace(t, rf"\n({WHITE}*+){heading}", "\x01$1"))
     back = lambda found: F.transform(found, lambda x: F.replace(x, F.lit("\x01"), F.lit("\n")))
     one = _all(numbered, rf"피심인의_약관_제{DIGITS}조[^\x01]*")
     two = _all(numbered, rf"약관_제{DIGITS}조(?:[가-힣]|{WHITE})*+\([^)]*\)[^\x01]*")
@@ -90,6 +94,11 @@ def legal_bases(text: Column) -> Column:
     return _listed(*[_all(t, rf"{law}제{DIGITS}조{paragraph}{item if items else ''}") for law, items in STATUTES])
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 # Headings of a block of corrections; _ stands for any white space within the line.
 HEADINGS = ("시정[내명]용", "(?:수정|개선|삭제|변경)_(?:전|후|내용)")
 
@@ -118,10 +127,14 @@ def _blocks(sections: Column, heading: str) -> Column:
 
 def corrections(text: Column, longer_than: int = 10) -> Column:
     """Corrective actions: blocks after headings, amended wordings, deletions."""
-    t = F.translate(_plain(text), "\x02\x03", "")
-    some = t.rlike("|".join(HEADINGS).replace("_", f"{LINE_WHITE}*"))
-    sections = F.when(some, _sections(t)).otherwise(F.array().cast("array<string>"))
-    return _listed(*[_blocks(sections, h) for h in HEADINGS], _all(t, r"「[^」]+」_(?:으로|로)_(?:수정|변경|개정)[^\n]*"), _all(t, r"삭제_(?:한다|하여야|하도록)[^\n]*"), longer_than=longer_than)
+
+    def found(t: Column) -> Column:
+        some = t.rlike("|".join(HEADINGS).replace("_", f"{LINE_WHITE}*"))
+        sections = F.when(some, _sections(t)).otherwise(F.array().cast("array<string>"))
+        blocks = _let(sections, lambda s: F.concat(*[_blocks(s, h) for h in HEADINGS]))
+        return _listed(blocks, _all(t, r"「[^」]+」_(?:으로|로)_(?:수정|변경|개정)[^\n]*"), _all(t, r"삭제_(?:한다|하여야|하도록)[^\n]*"), longer_than=longer_than)
+
+    return _let(F.translate(_plain(text), "\x02\x03", ""), found)
 
 
 # Rules as data for the documents of the driver: name and pattern.
