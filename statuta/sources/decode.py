@@ -304,15 +304,23 @@ def to_container(sections: pd.Series, packed: pd.Series) -> pd.Series:
     return pd.Series([pack(x, bool(p)) for x, p in zip(sections, packed)])
 
 
+def stems(spark: SparkSession, folder: str) -> DataFrame:
+    """path, name without suffix, extension of a folder's files, not read; none where there is no folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], "path string, name string, extension string")
+    there = spark.read.format("binaryFile").load(folder).select("path", F.regexp_extract("path", r"([^/]+)\z", 1).alias("file"))
+    there = there.withColumn("extension", F.regexp_extract("file", r"(\.[^.]*)\z", 1))
+    return there.select("path", F.expr("substr(file, 1, length(file) - length(extension))").alias("name"), "extension")
+
+
 def reparse(spark: SparkSession, folder: str, wanted: DataFrame, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
     """file_id, name, text, error of the files that folder has for wanted (file_id, name without suffix): parsing again without fetching.
 
     Of a file's suffixes the first in order counts. The folder is listed without contents; only files that are matched are read. The names of these pass
     the driver, which holds the listing of any file scan.
     """
-    there = spark.read.format("binaryFile").load(folder).select("path", F.regexp_extract("path", r"([^/]+)\z", 1).alias("file"))
-    there = there.select("path", "file", F.regexp_extract("file", r"(\.[^.]*)\z", 1).alias("extension"))
-    there = there.withColumn("name", F.expr("substr(file, 1, length(file) - length(extension))"))
+    there = stems(spark, folder)
     best = records.best_extension(wanted, there, "name", extensions)
     found = kept(best.select("file_id", "path"))
     paths = [r["path"] for r in found.select("path").distinct().toLocalIterator()]
