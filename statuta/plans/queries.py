@@ -692,7 +692,7 @@ def case_files(spark, sf_dir):
     return builders.case_files(cases, files).select("doc_id", "path")
 
 
-@query("SELECT count(*) AS n_entries, count(DISTINCT k) AS n_ids, count(*) - count(DISTINCT k) AS n_again, 0 AS n_failed FROM (SELECT doc_id // 3 AS k FROM documents)")
+@query("SELECT count(*) AS n_entries, count(DISTINCT k) AS n_ids, count(*) - count(DISTINCT k) AS n_again, CAST(0 AS BIGINT) AS n_failed FROM (SELECT doc_id // 3 AS k FROM documents)")
 def list_report(spark, sf_dir):
     """A list that shows most ids several times; how many entries, ids, and repeats it has."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 3).cast("string").alias("id"), F.col("lang").alias("name"))
