@@ -49,11 +49,11 @@ ENDS = {t: (frozenset(a.split()), frozenset(b.split())) for t, (a, b) in ENDS.it
 NO_TEXT = frozenset("aside dialog fieldset footer form menu nav search".split())
 NO_TEXT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 NO_TEXT_WORDS = frozenset(
-    "ad ads adsense adslot advert advertisement advertising adverts alert alerts aside banner breadcrumb breadcrumbs colophon comment commentform commentlist comments consent cookie cookiebar cookies copyright crumbs "
+    "ad ads adsbygoogle adsense adslot advert advertisement advertising adverts alert alerts aside banner breadcrumb breadcrumbs colophon comment commentform commentlist comments consent cookie cookiebar cookies copyright crumbs "
     "discussion disqus footer form gdpr header hidden login masthead menu menus modal nav navbar navigation newsletter notice notices notification notifications overlay pager pagination paging paywall popular popup promo "
     "promoted promotion recommended register related replies reply respond search share sharebar sharing sidebar signin signup skiplink social sponsor sponsored subscribe subscription tagcloud toast toolbar topbar trending widget widgets".split()
 )
-ARTICLE_WORDS = frozenset("article articlebody blogpost content entry maincontent post postbody story text".split())
+ARTICLE_WORDS = frozenset("article articlebody blogpost content entry main maincontent post postbody story text".split())
 #: Depth to which elements are told apart, neighbours that repeat as a group at most, and items of an element beyond which their order is given up.
 DEEP, PERIOD, ITEMS = 100, 6, 48
 OPTIONAL, REPEATED, TEXT = 1, 2, 4
@@ -395,6 +395,15 @@ def labelled(items: list, bodies: int, pages: int, same_on: int = 4) -> list:
         """Whether there is a first-level heading."""
         return not x[3] and (x[0].startswith("h1") or any(heads(y) for y in x[2] or []))
 
+    def inner(x: list) -> list:
+        """The innermost element named for content that holds most of x and its heading."""
+        while there := [z for y in x[2] for z in outermost(y, "content", True)]:
+            most = max(there, key=lambda z: weight(z, True))
+            if weight(most, True) < 0.75 * weight(x, True) or heads(x) and not heads(most):
+                break
+            x = most
+        return x
+
     root = ["", 0, items, None]
     total = weight(root)
     roots: list = []
@@ -403,6 +412,7 @@ def labelled(items: list, bodies: int, pages: int, same_on: int = 4) -> list:
             there = [(weight(x, wanted != "content"), x) for x in outermost(root, wanted)]
             if there and sum(w for w, _ in there) >= max(least * total, 1):
                 roots = [x for w, x in there if 4 * w >= max(w for w, _ in there)]
+                roots = roots if wanted == "article" else [inner(x) for x in roots]
     if not roots and total:
         here = root
         while True:

@@ -192,6 +192,28 @@ def test_wrappers(spark):
     assert wrappers.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+LAYOUTS = {
+    "content in content": ("<div id=content><div class='post-content'><h1>T {i}</h1><p>A long text of page {i}, with all that it says and more.</p></div><div class=z9>Also {i} here</div></div>", "T {i}\n\nA long text of page {i}, with all that it says and more."),
+    "heading outside": ("<div id=main><h1>T {i}</h1><div class='entry-content'><p>A long text of page {i}, with all that it says and more.</p></div></div>", "T {i}\n\nA long text of page {i}, with all that it says and more."),
+    "comments and boxes": ("<main><h1>T {i}</h1><p>Text {i} <span class=share-box>share</span> goes on.</p><div class='related-posts'>no {i}</div><ins class=adsbygoogle>no</ins><div class=newsletterSignup>no {i}</div><ol class=commentlist><li>no {i}</ol></main><div id=cookie-banner>no</div>", "T {i}\n\nText {i} goes on."),
+    "menu in the article": ("<article><ul><li><a href=1>One {i}</a><li><a href=2>Two {i}</a><li><a href=3>Three {i}</a></ul><h2>T {i}</h2><ol><li>first {i}<li>second {i}</ol></article>", "T {i}\n\nfirst {i}\n\nsecond {i}"),
+    "two articles": ("<div><article><h2>A {i}</h2><p>text {i}</article><article><h2>B {i}</h2><p>text of {i}</article></div><aside>no</aside>", "A {i}\n\ntext {i}\n\nB {i}\n\ntext of {i}"),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_layouts(name):
+    page, want = LAYOUTS[name]
+    merger = wrappers.Merger(4)
+    pages = ["<header>Site<nav>a</nav></header>" + page.replace("{i}", str(i)) + "<footer>f</footer>" for i in range(6)]
+    for i, p in enumerate(pages):
+        merger.add("h", wrappers.expression(wrappers.Page(p).root.kids), 1, [i])
+    ((_, items, n, bodies),) = merger.results()
+    wrapper = wrappers._loaded(wrappers._bare(wrappers.labelled(items, len(bodies), n)))
+    for i, p in enumerate(pages):
+        assert wrappers.text_of(p, wrapper) == wrappers.text_of(p, None) == want.replace("{i}", str(i))
+
+
 def test_merging_in_groups_gives_the_same_texts(spark):
     rows = [(i, "http://h.example/", board(i)) for i in range(40)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(10)
