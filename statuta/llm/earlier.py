@@ -45,6 +45,8 @@ RANGE = {"doc": np.int64, "alt": np.int64, "lo": np.uint32, "n": np.uint32, "kin
 #: Strings of a window at most, and windows of an anchor's strings; a sample's share of texts, and what makes a k-gram frequent in it.
 STEP, CLASSES = 8, 4
 SAMPLE, FREQUENT, FREQUENT_SHARE = 64, 64, 1 << 20
+#: Bytes of text that a task works on at once.
+AT_ONCE = 1 << 19
 GONE, ASKED = 0, 1
 NO_ID = np.iinfo(np.int64).max
 
@@ -353,7 +355,7 @@ def _windows(width: int, buckets: int):
             rows = [(b, 0, d) for b, d in _rows((x["h"][own] % np.uint64(buckets)).astype(np.int64), _take(x, own), layout)]
             return _batch(rows + (_back(_take(x, np.flatnonzero(gone)), GONE, buckets) if gone.any() else []))
 
-        for batch, t in pieces(batches, "text"):
+        for batch, t in pieces(batches, "text", AT_ONCE):
             ids, alts, open_ = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "alt", "spans"))
             found = windows(t, width, [np.frombuffer(x, np.int64).reshape(-1, 2) for x in open_])
             if found is None:
@@ -413,7 +415,7 @@ def _frequent(source: DataFrame, width: int) -> np.ndarray:
     """Hashes of the k-grams that are anchors in very many texts, as a sample shows them: at most FREQUENT_SHARE of them. It decides only which way an anchor goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in pieces(batches, "text"):
+        for _, t in pieces(batches, "text", AT_ONCE):
             found = anchors(t, width)
             if found is not None:
                 every = np.unique(np.stack([found["h"], found["text"].astype(np.uint64)], 1), axis=0)[:, 0].view(np.int64)
@@ -436,7 +438,7 @@ def spans(docs: DataFrame, width: int = 50) -> tuple[DataFrame, DataFrame]:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         n = 0
-        for batch, t in pieces(batches, "text"):
+        for batch, t in pieces(batches, "text", AT_ONCE):
             found = anchors(t, width)
             if found is None:
                 continue
@@ -445,7 +447,7 @@ def spans(docs: DataFrame, width: int = 50) -> tuple[DataFrame, DataFrame]:
             found |= {"doc": ids[text], "alt": np.array(batch.column(2).to_pylist(), np.int64)[text]}
             held.append(found)
             n += len(text)
-            if n >= 400_000:
+            if n >= 250_000:
                 yield _local({k: np.concatenate([x[k] for x in held]) for k in ANCHOR}, buckets, frequent.value)
                 held, n = [], 0
         if held:
@@ -485,7 +487,7 @@ def remove(docs: DataFrame, width: int = 50) -> DataFrame:
     joined = source.join(F.broadcast(found) if small else found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("alt") == F.col("_a")), "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, t in pieces(batches, "text"):
+        for batch, t in pieces(batches, "text", AT_ONCE):
             out: dict[str, list] = {k: [] for k in ("kept", "n_bytes", "n_removed", "n_spans", "removed")}
             for i, parts in enumerate(batch.column(2).to_pylist()):
                 own, gone = t.buf[t.ends[i] : t.ends[i + 1]], _union(parts)

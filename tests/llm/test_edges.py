@@ -39,7 +39,7 @@ def make_rows():
         for _ in range(rng.randint(0, 3)):
             t[rng.randrange(len(t))] = f"x{rng.randint(0, 99)}"
         rows.append([i, " ".join(t)])
-    rows += [[60, None], [61, ""], [62, " \n\t "], [63, "only three words"], [64, "Only three  words"], [65, "long " * 20_000], [66, base[0].upper()], [67, base[1] + "\n" + base[2]], [1, rows[1][1]], [1, rows[1][1]], [None, base[3]], [None, None]]
+    rows += [[60, None], [61, ""], [62, " \n\t "], [63, "only three words"], [64, "Only three  words"], [65, "long " * 20_000], [68, " ".join(f"d{i}x{i * 7919 % 10007}" for i in range(12_000))], [66, base[0].upper()], [67, base[1] + "\n" + base[2]], [1, rows[1][1]], [1, rows[1][1]], [None, base[3]], [None, None]]
     return [(d, t, ["a", "b", None][k % 3], "x", "y", 7, 1, "z", 5, 6) for k, (d, t) in enumerate(rows)]
 
 
