@@ -9,7 +9,7 @@ to the term's part) times (the summed weights of the item's terms whose bitmaps
 above. The documents of largest bounds are scored exactly; the k-th of their scores is a floor that the k-th of all can not lie under. Every document whose bound
 reaches it is scored exactly from its text; all others are provably not among the best k.
 
-The index is a table in the shared folder, about a tenth of the texts; documents meet their items by broadcast of keys while these are few, else in a join.
+The index is a table in the shared folder, about a quarter of the texts; documents meet their items by broadcast of keys while these are few, else in a join.
 Items come in blocks of at most ``block_items``, with one pass over the documents for each block. Terms are told apart by 64-bit hashes.
 
 Defined cases: null and empty texts, and items, have no terms and no rows; repeated documents rank each by itself, by text hash where doc_id is equal or null (null ids last);
