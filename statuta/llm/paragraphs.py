@@ -1,13 +1,18 @@
 """Substring dedup by paragraph MinHash banding.
 
-Paragraphs of a text are of two kinds:
+Paragraphs of a text are of three kinds:
 
 * lines: each line with at least ``min_words`` words. Distinct lines (by their sets of 5-word shingles) get MinHash signatures; bands and
   rows are tuned so that a pair at the threshold collides with at least ``recall``; colliding lines join on their band; pairs are
   verified by exact Jaccard similarity of shingle sets; components of the links are clusters.
 * passages: ``passage_words`` words in a row, wherever they stand in lines. They begin at each shingle of least hash among ``reach`` shingles in a
   row, so any repeated run of passage_words + reach + 3 words (50) holds one whole passage that begins alike in all its copies.
-  Passages of equal shingles are a cluster; runs that differ in a word show by the passages beside it.
+  Passages of equal shingles are a cluster.
+* stretches: ``stretch_words`` words in a row of a line that is too long to be alike to them as a whole. They begin at each shingle that is the least
+  of those up to ``apart`` places away, so copies of a passage choose alike wherever they stand, and stretches of a text overlap too little to be
+  alike. They go through the same bands (fewer of them: a word of a long copy is in two or three stretches), the same exact Jaccard similarity and the same
+  components as lines, so copies with a word changed here and there are found inside long lines. With the numbers given, a word changed every 40
+  words leaves a similarity of 0.756; beyond one change in 39 words a copy is none.
 
 Within a cluster the first paragraph by (doc_id, start) stays, later ones are removed.
 
@@ -15,7 +20,8 @@ A band bucket of many lines gives a star around its member of smallest hash firs
 component are paired in blocks, not listed: see ``jaccard``, whose verification and block products this module shares.
 
 Defined cases: null and empty texts have no paragraph; lines of fewer words, and lines without words, are kept; passages of fewer than
-``variety`` changes from shingle to shingle (one word over and over) are no paragraphs; a paragraph repeated within a document counts like one
+``variety`` changes from shingle to shingle (one word over and over) are no paragraphs, nor are stretches with a shingle that came before, in them or
+as many places before them; lines and stretches that are alike are one cluster; a paragraph repeated within a document counts like one
 in another; rows of equal doc_id and text share their fate; null doc_ids come last and are told apart by their texts; empty tables give no row; extra columns are ignored.
 """
 
@@ -35,7 +41,8 @@ from statuta.llm.jaccard import _meet, dealing, resolve
 from statuta.llm.packets import Dealer, gathered, planes, runs, unplanes
 from statuta.llm.words import Texts, mix64, pieces, shingles, words
 
-LINE, PASSAGE = 0, 1
+LINE, PASSAGE, STRETCH = 0, 1, 2
+STRETCH_WORDS = 40
 #: Paragraphs of a cluster that counts as large.
 LARGE = 100_000
 #: What a piece of the table tells of each paragraph; row is the row's place in the piece.
@@ -58,9 +65,11 @@ class Lines:
         hashed, start, _, _ = worded or words(t)
         edges = np.append(np.searchsorted(start, begin), len(hashed))
         found, bounds = shingles(hashed, edges)
+        # of all lines, as they stand: shingles, where each line's begin, and its first word
+        self.every, self.bounds, self.edges = found, bounds, edges
         kept = np.flatnonzero(np.diff(edges) >= max(min_words, 1))
         stop = np.minimum(np.append(begin[1:], len(t.buf)), t.ends[doc + 1])
-        self.doc, self.start, self.stop = doc[kept], begin[kept], stop[kept]
+        self.kept, self.doc, self.start, self.stop = kept, doc[kept], begin[kept], stop[kept]
         self.stop = self.stop - (t.buf[self.stop - 1] == 10)
         self.words, size = np.diff(edges)[kept], np.diff(bounds)[kept]
         line = np.repeat(np.arange(len(kept)), size)
@@ -102,6 +111,40 @@ def passages(t: Texts, worded: tuple, length: int, reach: int, variety: int) ->
     return text, start[word], end[word + length - 1], mix64(sums[at + span] - sums[at] + np.uint64(1) + (np.uint64(1) << np.uint64(40))).view(np.int64)
 
 
+class Stretches:
+    """Stretches of long lines: text, first and end byte, shingles (a sorted row each) and class."""
+
+    def __init__(self, t: Texts, worded: tuple, lines: Lines, length: int, apart: int, hundredths: int):
+        _, first, last, _ = worded
+        span, found, bounds = max(length - 4, 1), lines.every, lines.bounds
+        # the whole line has every shingle of its stretches: it must have too many more to be alike
+        long = np.flatnonzero((100 * span < hundredths * lines.sizes) & (np.diff(bounds)[lines.kept] >= span)) if length >= 5 else np.zeros(0, np.int64)
+        size = np.diff(bounds)[lines.kept[long]]
+        line = np.repeat(np.arange(len(long)), size)
+        place = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size)
+        found = found[place + np.repeat(bounds[lines.kept[long]], size)]
+        # lines with apart places between them, so that what is least does not depend on neighbours
+        spread = np.full(len(found) + apart * (len(long) + 1), np.iinfo(np.uint64).max, np.uint64)
+        own = np.arange(len(found)) + apart * (line + 1)
+        spread[own] = found
+        low, far, reach = spread, 1, 2 * apart + 1
+        while 2 * far <= reach and len(found):
+            low, far = np.minimum(low[:-far], low[far:]), 2 * far
+        if far < reach and len(found):
+            low = np.minimum(low[: len(low) - (reach - far)], low[reach - far :])
+        at = np.flatnonzero((place + span <= size[line]) & (low[own - apart] == found)) if len(found) else np.zeros(0, np.int64)
+        order = np.argsort(found, kind="stable")
+        before = np.full(len(found), -1, np.int64)
+        same = found[order[1:]] == found[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+        whole = at[:, None] + np.arange(span)
+        at = at[(before[whole].max(1, initial=-1) < np.maximum(at - span, at - place[at]))]
+        self.found = np.sort(found[at[:, None] + np.arange(span)], axis=1)
+        word = lines.edges[lines.kept[long[line[at]]]] + place[at]
+        self.doc, self.start, self.stop = lines.doc[long[line[at]]], first[word], last[word + length - 1]
+        self.classes = mix64(mix64(self.found.reshape(-1)).reshape(len(at), span).sum(1, dtype=np.uint64) + np.uint64(span)).view(np.int64)
+
+
 def _listed(ids: pa.Array, hashes: pa.Array, kind: int, columns: dict[str, np.ndarray]) -> tuple:
     data = np.array([len(ids)], np.int64).tobytes() + np.array([-1 if i is None else i for i in ids.to_pylist()], np.int64).tobytes()
     data += np.array([i is None for i in ids.to_pylist()], np.uint8).tobytes() + hashes.to_numpy().tobytes()
@@ -171,14 +214,20 @@ def _repeated(table: pa.Table) -> pa.Table:
     return pa.table({"c": pa.array(c[starts[twice]])})
 
 
-def find(docs: DataFrame, *, min_words: int = 1, hundredths: int = 75, recall: float = 0.9999, passage_words: int = 25, reach: int = 22, variety: int = 8) -> DataFrame:
-    """A row for each paragraph of a cluster of two or more: doc_id, h (the text's hash), start and end (bytes of the text), n_words, first_doc_id, first_start, n_copies, removed. passage_words=0 leaves passages out."""
+def find(docs: DataFrame, *, min_words: int = 1, hundredths: int = 75, recall: float = 0.9999, passage_words: int = 25, reach: int = 22, variety: int = 8, stretch_words: int | None = None, apart: int = 8, stretch_recall: float = 0.99) -> DataFrame:
+    """A row for each paragraph of a cluster of two or more: doc_id, h (the text's hash), start and end (bytes of the text), n_words, first_doc_id, first_start, n_copies, removed. passage_words=0 leaves passages out and, where stretch_words is not given (40 otherwise), stretches; stretch_words=0 leaves out stretches alone."""
+    if stretch_words is None:
+        stretch_words = STRETCH_WORDS if passage_words else 0
+    span = stretch_words - 4
+    if stretch_words and 100 * (span - apart - 1) >= hundredths * (span + apart + 1):
+        raise ValueError("stretches that begin so near to each other would be alike: let apart be larger")
     bands, rows = tune(hundredths / 100, recall)
+    fewer, _ = tune(hundredths / 100, stretch_recall)
     source = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     blocks = parts_for(source, 4 << 20)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of paragraphs by pieces (kind and data) and the bands of distinct lines (bucket, token, row, size)."""
+        """Rows of paragraphs by pieces (kind and data) and the bands of distinct lines and stretches (bucket, token, row, size)."""
         names = ["kind", "data", "bucket", "token", "row", "size"]
         dealer, done = Dealer(names[3:]), set()
 
@@ -189,40 +238,44 @@ def find(docs: DataFrame, *, min_words: int = 1, hundredths: int = 75, recall: f
         for batch, t in pieces(batches, "text"):
             worded = words(t)
             lines = Lines(t, min_words, worded)
+            wide = Stretches(t, worded, lines, stretch_words, apart, hundredths)
             text, start, end, c = passages(t, worded, passage_words, reach, variety)
             each = {LINE: {"row": lines.doc, "start": lines.start - t.ends[lines.doc], "size": lines.stop - lines.start, "words": lines.words, "shingles": lines.sizes, "c": lines.classes},
-                    PASSAGE: {"row": text, "start": start - t.ends[text], "size": end - start, "words": np.full(len(c), passage_words), "shingles": np.full(len(c), passage_words - 4), "c": c}}
+                    PASSAGE: {"row": text, "start": start - t.ends[text], "size": end - start, "words": np.full(len(c), passage_words), "shingles": np.full(len(c), passage_words - 4), "c": c},
+                    STRETCH: {"row": wide.doc, "start": wide.start - t.ends[wide.doc], "size": wide.stop - wide.start, "words": np.full(len(wide.doc), stretch_words), "shingles": np.full(len(wide.doc), span), "c": wide.classes}}
             listed = [_listed(batch.column(0), batch.column(1), kind, x) for kind, x in each.items() if len(x["c"])]
             if listed:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in listed], pa.int8()), pa.array([d for _, d in listed], pa.binary()), *(pa.nulls(len(listed), k) for k in (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names)
             # a set of k differs from any other by one of k + 1 at least: smaller ones are alike only if equal, which classes tell
-            linked, picked = 100 * lines.sizes >= hundredths * (lines.sizes + 1), []
+            linked = np.concatenate([100 * lines.sizes >= hundredths * (lines.sizes + 1), np.ones(len(wide.doc), bool)])
+            classes, sizes = np.concatenate([lines.classes, wide.classes]), np.concatenate([lines.sizes, np.full(len(wide.doc), span)])
+            chosen = np.zeros(len(classes), bool)
             for i in np.flatnonzero(linked).tolist():
-                own = int(lines.classes[i])
+                own = int(classes[i])
                 if own in done:
                     continue
                 if len(done) < 500_000:
                     done.add(own)
-                picked.append(i)
-            if not picked:
-                continue
-            chosen = np.zeros(len(lines.sizes), bool)
-            chosen[picked] = True
-            classes, sizes = lines.classes[chosen], lines.sizes[chosen]
-            at, every = np.cumsum(sizes) - sizes, lines.found[np.repeat(chosen, lines.sizes)]
+                chosen[i] = True
+            every = np.concatenate([lines.found, wide.found.reshape(-1)])[np.repeat(chosen, sizes)]
+            classes, sizes, line = classes[chosen], sizes[chosen], int(chosen[: len(lines.sizes)].sum())
+            at = np.cumsum(sizes) - sizes
             for b in range(bands):
-                key = np.full(len(at), b + 1, np.uint64)
+                n = len(at) if b < fewer else line
+                if not n:
+                    continue
+                key, some = np.full(n, b + 1, np.uint64), every[: at[n - 1] + sizes[n - 1]]
                 for r in range(rows):
-                    key = mix64(key * np.uint64(31) + np.minimum.reduceat(permuted(every, b * rows + r), at))
-                yield from dealt(dealer.add((key % np.uint64(blocks)).astype(np.int32), key, classes, sizes.astype(np.int32)))
+                    key = mix64(key * np.uint64(31) + np.minimum.reduceat(permuted(some, b * rows + r), at[:n]))
+                yield from dealt(dealer.add((key % np.uint64(blocks)).astype(np.int32), key, classes[:n], sizes[:n].astype(np.int32)))
         yield from dealt(dealer.flush())
 
     scanned = cut(source.mapInArrow(scan, "kind tinyint, data binary, bucket int, token binary, row binary, size binary"))
     met = cut(scanned.where("bucket IS NOT NULL").select("bucket", "token", "row", "size").groupBy("bucket").applyInArrow(lambda x: _meet(x, hundredths), "a long, b long, g long, n int"))
     table = scanned.where("kind IS NOT NULL").select("kind", "data")
-    lines = table.where(F.col("kind") == LINE).mapInArrow(_rows, UNITS)
-    deal = dealing(source, lines, lambda t: _line_sets(t, min_words))
-    roots = resolve(met, lines.select("c", "n", F.lit(None).cast("binary").alias("hist")), deal, hundredths)
+    compared = table.where(F.col("kind") != PASSAGE).mapInArrow(_rows, UNITS)
+    deal = dealing(source, compared, lambda t: _sets(t, min_words, stretch_words, apart, hundredths))
+    roots = resolve(met, compared.select("c", "n", F.lit(None).cast("binary").alias("hist")), deal, hundredths)
     twice = table.mapInArrow(_classes(blocks), "bucket int, c binary, many binary").groupBy("bucket").applyInArrow(_repeated, "c long")
     clustered = cut(twice.join(roots.withColumnRenamed("node", "c"), "c", "full").select("c", F.coalesce("root", "c").alias("root")))
     few = clustered.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -238,11 +291,16 @@ def find(docs: DataFrame, *, min_words: int = 1, hundredths: int = 75, recall: f
     return out.select("doc_id", "h", "start", "end", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), "n_copies", (order != F.col("first")).alias("removed"))
 
 
-def _line_sets(t: Texts, min_words: int) -> list[dict[int, np.ndarray]]:
-    lines = Lines(t, min_words)
+def _sets(t: Texts, min_words: int, stretch_words: int, apart: int, hundredths: int) -> list[dict[int, np.ndarray]]:
+    """The sets of each text's lines and stretches by their classes."""
+    worded = words(t)
+    lines = Lines(t, min_words, worded)
+    wide = Stretches(t, worded, lines, stretch_words, apart, hundredths)
     out: list[dict[int, np.ndarray]] = [{} for _ in range(len(t.ends) - 1)]
     for doc, c, s, n in zip(lines.doc.tolist(), lines.classes.tolist(), lines.begin.tolist(), lines.sizes.tolist()):
         out[doc][c] = lines.found[s : s + n]
+    for doc, c, own in zip(wide.doc.tolist(), wide.classes.tolist(), wide.found):
+        out[doc][c] = own
     return out
 
 

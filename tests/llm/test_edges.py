@@ -204,6 +204,80 @@ def test_passages_in_long_lines(spark, tmp_path):
     assert all(cleaned[d] == t for d, t in rows if d < 20 or d == 90) and all(len(words(cleaned[d])) < len(words(t)) - 24 for d, t in rows if 20 <= d < 40)
 
 
+def stretches_of(text, length, apart):
+    """(start, end) of the stretches of a line, by plain loops over its shingles and their hashes."""
+    import numpy as np
+
+    from statuta.llm import words as hashing
+
+    data = text.encode()
+    t = hashing.Texts(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    hashed, first, last, bounds = hashing.words(t)
+    found = hashing.shingles(hashed, bounds)[0].tolist()
+    span, out = length - 4, []
+    if 100 * span >= 75 * len(set(found)):
+        return out
+    for p in range(len(found) - span + 1):
+        own = found[p : p + span]
+        if found[p] == min(found[max(0, p - apart) : p + apart + 1]) and len(set(own)) == span and not set(own) & set(found[max(0, p - span) : p]):
+            out.append((int(first[p]), int(last[p + length - 1])))
+    return out
+
+
+def test_stretches_of_long_lines(spark):
+    rng = random.Random(12)
+    base = [random_text(rng, n).split() for n in (90, 130, 260, 60, 47)]
+
+    def changed(w, every):
+        return [f"new{rng.randint(0, 10**9)}" if i % every == every - 1 else x for i, x in enumerate(w)]
+
+    rows = []
+    for d in range(24):
+        parts = [random_text(rng, rng.randint(0, 60)), " ".join(changed(base[d % 5], rng.choice([30, 40, 55, 1000]))), random_text(rng, rng.randint(0, 60))]
+        rows.append((d, rng.choice([" ", " ", "\n", " \t é "]).join(parts)))
+    rows += [(30, " ".join(base[0] + base[0] + base[0])), (31, " ".join(base[4] * 6)), (32, "one word " * 90), (33, ""), (34, None), (35, " ".join(base[3]) + "\n" + " ".join(base[3][:45]))]
+    every = []
+    for d, t in rows:
+        at = 0
+        for x in (t or "").split("\n"):
+            if words(x):
+                every.append((d, at, at + len(x.encode()), x))
+                every += [(d, at + s, at + e, x.encode()[s:e].decode()) for s, e in stretches_of(x, 40, 8)]
+            at += len(x.encode()) + 1
+    sets = [shingles(x) for *_, x in every]
+    roots = groups(every, lambda i, j: 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]))
+    size = Counter(roots)
+    first = {r: min((d, s) for (d, s, _, _), q in zip(every, roots) if q == r) for r in size}
+    want = {(d, s, e, len(words(x)), *first[r], size[r], (d, s) != first[r]) for (d, s, e, x), r in zip(every, roots) if size[r] > 1}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {tuple(r) for r in paragraphs.find(frame, passage_words=0, stretch_words=40, stretch_recall=0.9999999).drop("h").collect()}
+    assert got == want and sum(w[3] == 40 and w[7] for w in want) > 20
+    assert paragraphs.find(frame, passage_words=0).where("n_words = 40").count() == 0
+    with pytest.raises(ValueError):
+        paragraphs.find(frame, apart=3)
+
+
+def test_near_passages_in_long_lines(spark):
+    rng = random.Random(13)
+    own = lambda n: [f"u{rng.randint(0, 10**12)}" for _ in range(n)]
+    rows, place = [], {}
+    for i in range(60):
+        shared, every = own(120), (40, 60)[i % 2]
+        for k in (0, 1):
+            head, there = own(rng.randint(200, 400)), [x if not k or j % every != every - 1 else own(1)[0] for j, x in enumerate(shared)]
+            rows.append((2 * i + k, " ".join(head + there + own(300))))
+            place[2 * i + k] = (len(" ".join(head)) + 1, len(" ".join(head)) + 1 + len(" ".join(there)))
+    rows += [(1000 + i, " ".join(own(700))) for i in range(20)]
+    gone = {d: set() for d, _ in rows}
+    for r in paragraphs.find(spark.createDataFrame(rows, "doc_id long, text string")).where("removed").collect():
+        gone[r["doc_id"]].update(range(r["start"], r["end"]))
+    copies = [2 * i + 1 for i in range(60)]
+    assert not any(gone[d] for d, _ in rows if d not in copies)  # first copies and texts of their own stay whole
+    share = [len(gone[d] & set(range(*place[d]))) / (place[d][1] - place[d][0]) for d in copies]
+    assert sum(x > 0.5 for x in share) >= 57 and sum(share) / 60 > 0.87
+    assert all(len(gone[d] - set(range(*place[d]))) < 15 * 14 for d in copies)  # a stretch may reach over an end by some words
+
+
 def test_earlier_strings(spark, docs, empty):
     rows = [(r[0], r[1]) for r in make_rows()]
     first, far = {}, 2**63
