@@ -27,6 +27,7 @@ in another; rows of equal doc_id and text share their fate; null doc_ids come la
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from statuta.llm.common import BROADCAST_ROWS, cut, parts_for
+from statuta.llm.common import BROADCAST_ROWS, cut, parts_for, shared_folder
 from statuta.llm.decontam import permuted
 from statuta.llm.jaccard import _meet, dealing, resolve
 from statuta.llm.packets import Dealer, gathered, planes, runs, unplanes
@@ -214,6 +215,19 @@ def _repeated(table: pa.Table) -> pa.Table:
     return pa.table({"c": pa.array(c[starts[twice]])})
 
 
+def _wide(table: pa.Table) -> pa.Table:
+    """Bands with the types that ``_meet`` takes."""
+    token, size = gathered(table, "token", np.uint32).astype(np.uint64), gathered(table, "size", np.uint32).astype(np.int32)
+    return pa.table({"token": pa.array([token.tobytes()], pa.binary()), "row": pa.array([gathered(table, "row", np.int64).tobytes()], pa.binary()), "size": pa.array([size.tobytes()], pa.binary())})
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: as a checkpoint, but its columns are compressed."""
+    path = f"{shared_folder(df.sparkSession)}/paragraphs-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def find(docs: DataFrame, *, min_words: int = 1, hundredths: int = 75, recall: float = 0.9999, passage_words: int = 25, reach: int = 22, variety: int = 8, stretch_words: int | None = None, apart: int = 8, stretch_recall: float = 0.99) -> DataFrame:
     """A row for each paragraph of a cluster of two or more: doc_id, h (the text's hash), start and end (bytes of the text), n_words, first_doc_id, first_start, n_copies, removed. passage_words=0 leaves passages out and, where stretch_words is not given (40 otherwise), stretches; stretch_words=0 leaves out stretches alone."""
     if stretch_words is None:
@@ -226,15 +240,8 @@ def find(docs: DataFrame, *, min_words: int = 1, hundredths: int = 75, recall: f
     source = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     blocks = parts_for(source, 4 << 20)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of paragraphs by pieces (kind and data) and the bands of distinct lines and stretches (bucket, token, row, size)."""
-        names = ["kind", "data", "bucket", "token", "row", "size"]
-        dealer, done = Dealer(names[3:]), set()
-
-        def dealt(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for x in found:
-                yield pa.RecordBatch.from_arrays([pa.nulls(x.num_rows, pa.int8()), pa.nulls(x.num_rows, pa.binary()), *x.columns], names)
-
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The paragraphs of each piece, a row for each kind."""
         for batch, t in pieces(batches, "text"):
             worded = words(t)
             lines = Lines(t, min_words, worded)
@@ -243,9 +250,17 @@ def find(docs: DataFrame, *, min_words: int = 1, hundredths: int = 75, recall: f
             each = {LINE: {"row": lines.doc, "start": lines.start - t.ends[lines.doc], "size": lines.stop - lines.start, "words": lines.words, "shingles": lines.sizes, "c": lines.classes},
                     PASSAGE: {"row": text, "start": start - t.ends[text], "size": end - start, "words": np.full(len(c), passage_words), "shingles": np.full(len(c), passage_words - 4), "c": c},
                     STRETCH: {"row": wide.doc, "start": wide.start - t.ends[wide.doc], "size": wide.stop - wide.start, "words": np.full(len(wide.doc), stretch_words), "shingles": np.full(len(wide.doc), span), "c": wide.classes}}
-            listed = [_listed(batch.column(0), batch.column(1), kind, x) for kind, x in each.items() if len(x["c"])]
-            if listed:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in listed], pa.int8()), pa.array([d for _, d in listed], pa.binary()), *(pa.nulls(len(listed), k) for k in (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names)
+            kinds = [_listed(batch.column(0), batch.column(1), kind, x) for kind, x in each.items() if len(x["c"])]
+            if kinds:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kinds], pa.int8()), pa.array([d for _, d in kinds], pa.binary())], ["kind", "data"])
+
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The bands of distinct lines and stretches, dealt to buckets: half of the band's hash, class and size."""
+        dealer, done = Dealer(["token", "row", "size"]), set()
+        for _, t in pieces(batches, "text"):
+            worded = words(t)
+            lines = Lines(t, min_words, worded)
+            wide = Stretches(t, worded, lines, stretch_words, apart, hundredths)
             # a set of k differs from any other by one of k + 1 at least: smaller ones are alike only if equal, which classes tell
             linked = np.concatenate([100 * lines.sizes >= hundredths * (lines.sizes + 1), np.ones(len(wide.doc), bool)])
             classes, sizes = np.concatenate([lines.classes, wide.classes]), np.concatenate([lines.sizes, np.full(len(wide.doc), span)])
@@ -267,12 +282,14 @@ def find(docs: DataFrame, *, min_words: int = 1, hundredths: int = 75, recall: f
                 key, some = np.full(n, b + 1, np.uint64), every[: at[n - 1] + sizes[n - 1]]
                 for r in range(rows):
                     key = mix64(key * np.uint64(31) + np.minimum.reduceat(permuted(some, b * rows + r), at[:n]))
-                yield from dealt(dealer.add((key % np.uint64(blocks)).astype(np.int32), key, classes[:n], sizes[:n].astype(np.int32)))
-        yield from dealt(dealer.flush())
+                # the bucket comes from the lower half, so in it the upper half tells bands apart
+                low, high = (key & np.uint64(0xFFFFFFFF)) % np.uint64(blocks), (key >> np.uint64(32)).astype(np.uint32)
+                yield from dealer.add(low.astype(np.int32), high, classes[:n], sizes[:n].astype(np.uint32))
+        yield from dealer.flush()
 
-    scanned = cut(source.mapInArrow(scan, "kind tinyint, data binary, bucket int, token binary, row binary, size binary"))
-    met = cut(scanned.where("bucket IS NOT NULL").select("bucket", "token", "row", "size").groupBy("bucket").applyInArrow(lambda x: _meet(x, hundredths), "a long, b long, g long, n int"))
-    table = scanned.where("kind IS NOT NULL").select("kind", "data")
+    table = written(source.mapInArrow(listed, "kind tinyint, data binary"))
+    dealt = source.mapInArrow(banded, "bucket int, token binary, row binary, size binary")
+    met = written(dealt.groupBy("bucket").applyInArrow(lambda x: _meet(_wide(x), hundredths), "a long, b long, g long, n int"))
     compared = table.where(F.col("kind") != PASSAGE).mapInArrow(_rows, UNITS)
     deal = dealing(source, compared, lambda t: _sets(t, min_words, stretch_words, apart, hundredths))
     roots = resolve(met, compared.select("c", "n", F.lit(None).cast("binary").alias("hist")), deal, hundredths)
