@@ -38,11 +38,11 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from statuta.llm.common import BROADCAST_ROWS, cut, parts_for, shared_folder
 from statuta.llm.decontam import permuted
-from statuta.llm.jaccard import _meet, dealing, resolve
+from statuta.llm.jaccard import _meet, dealing, histogram, resolve
 from statuta.llm.packets import Dealer, gathered, planes, runs, unplanes
 from statuta.llm.words import Texts, mix64, pieces, shingles, words
 
-LINE, PASSAGE, STRETCH = 0, 1, 2
+LINE, PASSAGE, STRETCH, HISTOGRAM = 0, 1, 2, 3
 STRETCH_WORDS = 40
 #: Paragraphs of a cluster that counts as large.
 LARGE = 100_000
@@ -145,6 +145,12 @@ class Stretches:
         self.doc, self.start, self.stop = lines.doc[long[line[at]]], first[word], last[word + length - 1]
         self.classes = mix64(mix64(self.found.reshape(-1)).reshape(len(at), span).sum(1, dtype=np.uint64) + np.uint64(span)).view(np.int64)
 
+    def histograms(self, bins: int) -> np.ndarray:
+        """Counts of each stretch's hashes in bins by their first bits, as ``jaccard.histogram`` has them."""
+        k = len(self.found)
+        place = (self.found >> np.uint64(64 - (bins.bit_length() - 1))).astype(np.int64) + np.arange(k)[:, None] * bins
+        return np.minimum(np.bincount(place.reshape(-1), minlength=k * bins), 255).astype(np.uint8)
+
 
 def _listed(ids: pa.Array, hashes: pa.Array, kind: int, columns: dict[str, np.ndarray]) -> tuple:
     data = np.array([len(ids)], np.int64).tobytes() + np.array([-1 if i is None else i for i in ids.to_pylist()], np.int64).tobytes()
@@ -215,6 +221,19 @@ def _repeated(table: pa.Table) -> pa.Table:
     return pa.table({"c": pa.array(c[starts[twice]])})
 
 
+def _histograms(span: int, bins: int):
+    """Classes of stretches with their histograms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(batch.schema.get_field_index("data")).to_pylist():
+                k = len(data) // (8 + bins)
+                hists = [data[8 * k + bins * i : 8 * k + bins * (i + 1)] for i in range(k)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data[: 8 * k], np.int64)), pa.array(np.full(k, span, np.int32)), pa.array(hists, pa.binary())], ["c", "n", "hist"])
+
+    return run
+
+
 def _wide(table: pa.Table) -> pa.Table:
     """Bands with the types that ``_meet`` takes."""
     token, size = gathered(table, "token", np.uint32).astype(np.uint64), gathered(table, "size", np.uint32).astype(np.int32)
@@ -237,6 +256,7 @@ def find(docs: DataFrame, *, min_words: int = 1, hundredths: int = 75, recall: f
         raise ValueError("stretches that begin so near to each other would be alike: let apart be larger")
     bands, rows = tune(hundredths / 100, recall)
     fewer, _ = tune(hundredths / 100, stretch_recall)
+    bins = len(histogram(np.zeros(max(span, 1), np.uint64)))
     source = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     blocks = parts_for(source, 4 << 20)
 
@@ -251,6 +271,8 @@ def find(docs: DataFrame, *, min_words: int = 1, hundredths: int = 75, recall: f
                     PASSAGE: {"row": text, "start": start - t.ends[text], "size": end - start, "words": np.full(len(c), passage_words), "shingles": np.full(len(c), passage_words - 4), "c": c},
                     STRETCH: {"row": wide.doc, "start": wide.start - t.ends[wide.doc], "size": wide.stop - wide.start, "words": np.full(len(wide.doc), stretch_words), "shingles": np.full(len(wide.doc), span), "c": wide.classes}}
             kinds = [_listed(batch.column(0), batch.column(1), kind, x) for kind, x in each.items() if len(x["c"])]
+            if len(wide.doc):
+                kinds.append((HISTOGRAM, wide.classes.tobytes() + wide.histograms(bins).tobytes()))
             if kinds:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kinds], pa.int8()), pa.array([d for _, d in kinds], pa.binary())], ["kind", "data"])
 
@@ -287,12 +309,16 @@ def find(docs: DataFrame, *, min_words: int = 1, hundredths: int = 75, recall: f
                 yield from dealer.add(low.astype(np.int32), high, classes[:n], sizes[:n].astype(np.uint32))
         yield from dealer.flush()
 
-    table = written(source.mapInArrow(listed, "kind tinyint, data binary"))
+    scanned = written(source.mapInArrow(listed, "kind tinyint, data binary"))
+    table = scanned.where(F.col("kind") != HISTOGRAM)
     dealt = source.mapInArrow(banded, "bucket int, token binary, row binary, size binary")
     met = written(dealt.groupBy("bucket").applyInArrow(lambda x: _meet(_wide(x), hundredths), "a long, b long, g long, n int"))
     compared = table.where(F.col("kind") != PASSAGE).mapInArrow(_rows, UNITS)
     deal = dealing(source, compared, lambda t: _sets(t, min_words, stretch_words, apart, hundredths))
-    roots = resolve(met, compared.select("c", "n", F.lit(None).cast("binary").alias("hist")), deal, hundredths)
+    # histograms of stretches discard candidates before their sets travel; lines go without
+    lines_only = table.where(F.col("kind") == LINE).mapInArrow(_rows, UNITS).select("c", "n", F.lit(None).cast("binary").alias("hist"))
+    hists = scanned.where(F.col("kind") == HISTOGRAM).mapInArrow(_histograms(span, bins), "c long, n int, hist binary")
+    roots = resolve(met, lines_only.unionByName(hists), deal, hundredths)
     twice = table.mapInArrow(_classes(blocks), "bucket int, c binary, many binary").groupBy("bucket").applyInArrow(_repeated, "c long")
     clustered = cut(twice.join(roots.withColumnRenamed("node", "c"), "c", "full").select("c", F.coalesce("root", "c").alias("root")))
     few = clustered.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
