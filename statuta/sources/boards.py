@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import re
 import urllib.request
 import uuid
 from collections.abc import Iterator
@@ -12,13 +10,13 @@ from pathlib import PurePath
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from statuta.checkpoints import kept
 from statuta.functions.html import CONTRACTS, DECISIONS, board_table, file_of
 from statuta.functions.text import normalize, or_empty, strip
 from statuta.operators import builders, walk
-from statuta.sources.decode import LEAST_BYTES
+from statuta.sources.decode import LEAST_BYTES, file_uri
 from statuta.sources.paged import DELAY, TIMEOUT
 from statuta.sources.pacing import paced
 
@@ -103,7 +101,7 @@ class KeyedFiles(DataSource):
     def name(cls) -> str:
         return "keyed_files"
 
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         if {"name", "content"} - set(schema.names):
             raise ValueError("keyed_files writes rows with a name and a content")
         return _FilesWriter(self.options["path"])
@@ -115,9 +113,9 @@ class _Written(WriterCommitMessage):
     files: int
 
 
-class _FilesWriter(DataSourceWriter):
+class _FilesWriter(DataSourceArrowWriter):
     def __init__(self, path: str) -> None:
-        self.path, self.staging = re.sub(r"^file:/(?!/)", "file:///", path) if re.match(r"[a-z][a-z0-9+.-]*:/", path) else f"file://{os.path.abspath(path)}", f"_staging-{uuid.uuid4().hex}"
+        self.path, self.staging = file_uri(path), f"_staging-{uuid.uuid4().hex}"
 
     def _folder(self):
         from pyarrow import fs
@@ -128,12 +126,13 @@ class _FilesWriter(DataSourceWriter):
         system, path = self._folder()
         own, n = f"{path}/{self.staging}/{uuid.uuid4().hex}", 0
         system.create_dir(own, recursive=True)
-        for row in iterator:
-            if not row["name"] or "/" in row["name"] or row["name"][0] in "._":
-                raise ValueError(f"no name of a file: {row['name']!r}")
-            with system.open_output_stream(f"{own}/{row['name']}") as out:
-                out.write(bytes(row["content"] or b""))
-            n += 1
+        for batch in iterator:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content")):
+                if not name or "/" in name or name[0] in "._":
+                    raise ValueError(f"no name of a file: {name!r}")
+                with system.open_output_stream(f"{own}/{name}") as out:
+                    out.write(content.as_py() or b"")
+                n += 1
         return _Written(own, n)
 
     def commit(self, messages: list) -> None:

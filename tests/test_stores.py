@@ -196,3 +196,21 @@ def test_listing_gives_exact_sizes(spark, tmp_path):
     found = decode.listing(spark, str(tmp_path), "*.hwp")
     assert sorted((Path(r["path"]).name, r["length"]) for r in found.collect()) == [("f100.hwp", 100), ("f5000.hwp", 5000)]
     assert "content" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("scanned", [1000, 3])
+def test_any_number_of_files_is_parsed_again(spark, tmp_path, monkeypatch, scanned):
+    """More files than a scan may have are opened by tasks; names are no patterns, and no driver lists the folder."""
+    text = lambda n: decode.container_of({("FileHeader",): bytes(256), ("BodyText", "Section0"): decode.record(n)})
+    names = ["a [1]", "b{2}", "c*", "d?e", "f%20g", "h\\i", "가", "j.k"]
+    for n in names:
+        (tmp_path / f"{n}.hwp").write_bytes(text(n))
+        (tmp_path / f"{n}.zip").write_bytes(b"PK")
+    (tmp_path / "a b1.hwp").write_bytes(b"not wanted")
+    (tmp_path / "broken.pdf").write_bytes(b"?")
+    monkeypatch.setattr(decode, "SCANNED", scanned)
+    monkeypatch.delattr(decode, "stems")
+    wanted = spark.createDataFrame([(str(i), n) for i, n in enumerate([*names, names[0], "broken", "none", "가" * 140, "", None])], "file_id string, name string")
+    found = decode.reparse(spark, str(tmp_path), wanted)
+    assert {r["file_id"]: (r["name"], r["text"], bool(r["error"])) for r in found.collect()} == {**{str(i): (f"{n}.hwp", n, False) for i, n in enumerate([*names, names[0]])}, "9": ("broken.pdf", "", True)}
+    assert (scanned > 3) == any(f.endswith("broken.pdf") for f in found.inputFiles())
