@@ -214,3 +214,21 @@ def test_any_number_of_files_is_parsed_again(spark, tmp_path, monkeypatch, scann
     found = decode.reparse(spark, str(tmp_path), wanted)
     assert {r["file_id"]: (r["name"], r["text"], bool(r["error"])) for r in found.collect()} == {**{str(i): (f"{n}.hwp", n, False) for i, n in enumerate([*names, names[0]])}, "9": ("broken.pdf", "", True)}
     assert (scanned > 3) == any(f.endswith("broken.pdf") for f in found.inputFiles())
+
+
+def test_units_of_a_paragraph():
+    """Every unit, each with data or none after it."""
+    units = decode.np.arange(1, 1 << 16, dtype="<u2")
+    plain = units[(units >= 32) & ((units < 0xD800) | (units > 0xDFFF)) & (units != 0xFFFD)]
+    assert decode.paragraph(plain.tobytes()) == "".join(map(chr, plain))
+    assert decode.paragraph(decode.np.array([13, 30, 31, 5, 9, *range(65, 71), 65, 66, 0xD83D, 0xDE00], "<u2").tobytes()) == "\n \xadAB??"
+    assert decode.paragraph(decode.np.array([9, 1, 1, 1, 1, 1, 1, 65, 0xD83D, 0xDE00, 0xD83D], "<u2").tobytes(), compat=False) == "A😀?"
+
+
+def test_decoders_take_rows_by_the_hundred(spark):
+    """What a worker holds does not grow with its partition: no decoder is an Arrow UDF, of which a batch has ten thousand rows."""
+    made = spark.range(3).select(decode.to_container(F.array(F.lit("a"), F.lit(None).cast("string")), F.lit(True)).alias("c"), decode.to_records(F.lit("b")).alias("s"), decode.to_archive(F.lit("d")).alias("z"))
+    found = made.select(decode.document_text("c").alias("c"), decode.document_text_by_number("c").alias("n"), decode.body_text("s").alias("s"), decode.archive_text("z").alias("z"))
+    assert found.select("c.text", "n.text", "s.text", "z.text").first()[:] == ("a", "a", "b", "d")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "Arrow" not in plan
