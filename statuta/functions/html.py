@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import html.parser
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from statuta.functions.text import first_match, normalize, or_empty
 
@@ -20,11 +22,12 @@ CALL_MARKUP = rf"{CALL}\(\s*{QUOTED}\s*,\s*{QUOTED}"
 #: The last column of a contract row that is text; links of the next one are attachments.
 ATTACHMENTS = 4
 
+#: Pages whose rows are held as objects at a time.
+PAGES = 16
 _STRING = T.StringType()
 _ELEMENT = T.StructType([T.StructField(n, _STRING) for n in ("onclick", "doc_id", "doc_sn")])
-_ROW = T.StructType([T.StructField("cells", T.ArrayType(_STRING)), T.StructField("link", _STRING), T.StructField("title_link", _STRING), T.StructField("hrefs", T.ArrayType(_STRING)),
-                     T.StructField("elements", T.ArrayType(_ELEMENT)), T.StructField("hidden", T.ArrayType(_STRING)), T.StructField("html", _STRING)])
-TABLE = T.StructType([T.StructField("header", T.ArrayType(_STRING)), T.StructField("rows", T.ArrayType(_ROW))])
+ROW = T.StructType([T.StructField("cells", T.ArrayType(_STRING)), T.StructField("link", _STRING), T.StructField("title_link", _STRING), T.StructField("hrefs", T.ArrayType(_STRING)),
+                    T.StructField("elements", T.ArrayType(_ELEMENT)), T.StructField("hidden", T.ArrayType(_STRING)), T.StructField("html", _STRING)])
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -114,12 +117,13 @@ class _Tables(html.parser.HTMLParser):
                     what[1]["title_link"] += data
 
 
-def board_table(selectors: tuple[tuple[str, str], ...]):
+def board_table(selectors: tuple[tuple[str, str], ...], fields: tuple[str, ...] = tuple(ROW.names)):
     """page -> struct<header, rows>: the table of the first place that has one with body rows; of each place only its first table is tried.
 
-    No table gives null. A row has the texts of its cells, of its first link and of the first link in its second cell, the links of its fifth cell,
-    its links, buttons and hidden inputs, and its markup.
+    No table gives null. A row has those of ``fields``: the texts of its cells, of its first link and of the first link in its second cell, the links of its fifth cell,
+    its links, buttons and hidden inputs, and its markup. A worker holds a batch as bytes; of ``PAGES`` pages at a time it makes rows, and gives them out.
     """
+    kind_of = T.StructType([T.StructField("header", T.ArrayType(_STRING)), T.StructField("rows", T.ArrayType(T.StructType([ROW[n] for n in fields])))])
 
     def at(table: dict, kind: str, name: str) -> bool:
         return name in table["around"] if kind == "#" else not name or name in table["class"]
@@ -131,13 +135,16 @@ def board_table(selectors: tuple[tuple[str, str], ...]):
         for kind, name in selectors:
             table = next((t for t in reader.tables if at(t, kind, name)), None)
             if table is not None and table["rows"]:
-                return {"header": [" ".join(h.split()) for h in table["header"]], "rows": [{k: r[k] for k in _ROW.names} for r in table["rows"]]}
+                return {"header": [" ".join(h.split()) for h in table["header"]], "rows": [{k: r[k] for k in fields} for r in table["rows"]]}
         return None
 
-    @F.pandas_udf(TABLE)
-    def read(pages: pd.Series) -> pd.DataFrame:
-        found = [parse(p) or {"header": None, "rows": None} for p in pages]
-        return pd.DataFrame(found, columns=["header", "rows"])
+    kind_of_rows = to_arrow_type(kind_of)
+
+    @F.arrow_udf(kind_of)
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for at in range(0, len(batch), PAGES):
+                yield pa.array([parse(p) or {"header": None, "rows": None} for p in batch[at : at + PAGES].to_pylist()], kind_of_rows)
 
     return read.asNondeterministic()  # else filters on what it gives would work it out again
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from statuta.checkpoints import kept
-from statuta.functions.html import CONTRACTS, DECISIONS, board_table, file_of
+from statuta.functions.html import CONTRACTS, DECISIONS, ROW, board_table, file_of
 from statuta.functions.text import normalize, or_empty, strip
 from statuta.operators import builders, walk
 from statuta.sources.decode import LEAST_BYTES, file_uri
@@ -23,15 +23,19 @@ from statuta.sources.pacing import paced
 FOUND = "id string, name string, content binary, length long, outcome string, error string"
 
 
-def _parsed(pages: DataFrame, selectors: tuple, by: list[str]) -> DataFrame:
+# What the two kinds of boards are read for.
+OF_CONTRACTS, OF_DECISIONS = ("cells", "title_link", "hrefs"), ("cells", "link", "elements", "hidden", "html")
+
+
+def _parsed(pages: DataFrame, selectors: tuple, by: list[str], fields: tuple[str, ...] = tuple(ROW.names)) -> DataFrame:
     """by, page, header and the rows of each page's table."""
-    read = pages.select(*by, "page", board_table(selectors)("html").alias("t"))
+    read = pages.select(*by, "page", board_table(selectors, fields)("html").alias("t"))
     return read.select(*by, "page", F.col("t.header").alias("header"), F.col("t.rows").alias("rows"))
 
 
-def _rows(pages: DataFrame, selectors: tuple, by: list[str]) -> DataFrame:
+def _rows(pages: DataFrame, selectors: tuple, by: list[str], fields: tuple[str, ...]) -> DataFrame:
     """A row for each body row of each page's table: by, page, pos, header and what the row holds. Pages are parsed once: a walk reads its rows twice, for where it ends and for what is on it."""
-    return kept(_parsed(pages, selectors, by)).select(*by, "page", "header", F.posexplode("rows").alias("pos", "r")).select(*by, "page", "header", "pos", "r.*")
+    return kept(_parsed(pages, selectors, by, fields)).select(*by, "page", "header", F.posexplode("rows").alias("pos", "r")).select(*by, "page", "header", "pos", "r.*")
 
 
 def _until_repeat(rows: DataFrame, by: list[str], text: Column, most: int, prefix: int = 50) -> DataFrame:
@@ -43,7 +47,7 @@ def _until_repeat(rows: DataFrame, by: list[str], text: Column, most: int, prefi
 
 def contract_items(pages: DataFrame, most: int = 50) -> DataFrame:
     """Items of contract boards (S10, P1) from pages: category, page (from 1), html."""
-    rows = _rows(pages, CONTRACTS, ["category"])
+    rows = _rows(pages, CONTRACTS, ["category"], OF_CONTRACTS)
     first = strip(F.array_join("cells", "\t"))
     kept = walk.until_sentinel(_until_repeat(rows, ["category"], first, most), ["category"])
     return builders.items(kept.select("category", "page", "pos", F.transform("cells", strip).alias("cells"), strip(F.col("title_link")).alias("title_link"), "hrefs"))
@@ -51,7 +55,7 @@ def contract_items(pages: DataFrame, most: int = 50) -> DataFrame:
 
 def case_records(pages: DataFrame, most: int = 250) -> DataFrame:
     """Case records of decision lists (S11, P5) from pages: board, page (from 1), html."""
-    rows = _rows(pages, DECISIONS, ["board"])
+    rows = _rows(pages, DECISIONS, ["board"], OF_DECISIONS)
     rows = rows.withColumns({"cells": F.transform("cells", normalize), "link": normalize(or_empty(F.col("link")))})
     kept = _until_repeat(walk.without_sentinel(rows), ["board"], F.col("link"), most, prefix=1 << 30)
     info = file_of(F.col("elements"), F.col("hidden"), F.col("html"))

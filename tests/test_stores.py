@@ -11,6 +11,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from statuta.functions import html
 from statuta.operators import builders, records, walk
 from statuta.sources import boards, decode, paged
 from statuta.streaming import incremental
@@ -221,7 +222,7 @@ def test_units_of_a_paragraph():
     units = decode.np.arange(1, 1 << 16, dtype="<u2")
     plain = units[(units >= 32) & ((units < 0xD800) | (units > 0xDFFF)) & (units != 0xFFFD)]
     assert decode.paragraph(plain.tobytes()) == "".join(map(chr, plain))
-    assert decode.paragraph(decode.np.array([13, 30, 31, 5, 9, *range(65, 71), 65, 66, 0xD83D, 0xDE00], "<u2").tobytes()) == "\n \xadAB??"
+    assert decode.paragraph(decode.np.array([13, 30, 31, 5, 9, *range(65, 71), 65, 66, 0xD83D, 0xDE00], "<u2").tobytes()) == "\n\xa0\xadAB??"
     assert decode.paragraph(decode.np.array([9, 1, 1, 1, 1, 1, 1, 65, 0xD83D, 0xDE00, 0xD83D], "<u2").tobytes(), compat=False) == "A😀?"
 
 
@@ -232,3 +233,13 @@ def test_decoders_take_rows_by_the_hundred(spark):
     assert found.select("c.text", "n.text", "s.text", "z.text").first()[:] == ("a", "a", "b", "d")
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" in plan and "Arrow" not in plan
+
+
+def test_boards_give_rows_out_by_the_piece(spark):
+    """What a worker makes of a batch of pages does not grow with the batch, and rows have only what their board is read for."""
+    page = "<table><tr><td>1</td><td><a href=v>t</a></td></tr></table>"
+    pages = decode.pa.array([*[page] * 40, None])
+    found = [x.to_pylist() for x in html.board_table(html.CONTRACTS, boards.OF_CONTRACTS).func(iter([pages, pages[:0], pages[:1]]))]
+    assert sum(map(len, found)) == 42 and max(map(len, found)) <= html.PAGES and found[-1][0]["rows"] == [{"cells": ["1", "t"], "title_link": "t", "hrefs": []}]
+    rows = spark.range(0, 50, 1, 1).select(F.lit("a").alias("board"), F.col("id").alias("page"), F.concat(F.lit(page), "id").alias("html"))
+    assert boards._parsed(rows, html.CONTRACTS, ["board"], boards.OF_CONTRACTS).where("size(rows) = 1").count() == 50
