@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import urllib.request
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import PurePath
 
@@ -33,9 +33,10 @@ def _parsed(pages: DataFrame, selectors: tuple, by: list[str], fields: tuple[str
     return read.select(*by, "page", F.col("t.header").alias("header"), F.col("t.rows").alias("rows"))
 
 
-def _rows(pages: DataFrame, selectors: tuple, by: list[str], fields: tuple[str, ...]) -> DataFrame:
-    """A row for each body row of each page's table: by, page, pos, header and what the row holds. Pages are parsed once: a walk reads its rows twice, for where it ends and for what is on it."""
-    return kept(_parsed(pages, selectors, by, fields)).select(*by, "page", "header", F.posexplode("rows").alias("pos", "r")).select(*by, "page", "header", "pos", "r.*")
+def _rows(pages: DataFrame, selectors: tuple, by: list[str], fields: tuple[str, ...], change: Callable[[Column], Column] = lambda r: r) -> DataFrame:
+    """A row for each body row of each page's table: by, page, pos, header and what the row holds, after ``change``. Pages are parsed once: a walk reads its rows twice, for where it ends and for what is on it."""
+    read = _parsed(pages, selectors, by, fields).withColumn("rows", F.transform("rows", change))
+    return kept(read).select(*by, "page", "header", F.posexplode("rows").alias("pos", "r")).select(*by, "page", "header", "pos", "r.*")
 
 
 def _until_repeat(rows: DataFrame, by: list[str], text: Column, most: int, prefix: int = 50) -> DataFrame:
@@ -55,8 +56,7 @@ def contract_items(pages: DataFrame, most: int = 50) -> DataFrame:
 
 def case_records(pages: DataFrame, most: int = 250) -> DataFrame:
     """Case records of decision lists (S11, P5) from pages: board, page (from 1), html."""
-    rows = _rows(pages, DECISIONS, ["board"], OF_DECISIONS)
-    rows = rows.withColumns({"cells": F.transform("cells", normalize), "link": normalize(or_empty(F.col("link")))})
+    rows = _rows(pages, DECISIONS, ["board"], OF_DECISIONS, lambda r: r.withField("cells", F.transform(r["cells"], normalize)).withField("link", normalize(or_empty(r["link"]))))
     kept = _until_repeat(walk.without_sentinel(rows), ["board"], F.col("link"), most, prefix=1 << 30)
     info = file_of(F.col("elements"), F.col("hidden"), F.col("html"))
     return builders.cases(kept.select("board", "pos", "page", "header", "cells", "link", info.alias("pdf_info")))
