@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from statuta.functions.text import LINE_WHITE, WHITE, strip
+from statuta.functions.text import LINE_WHITE, WHITE, let, strip
 
 # Article numbers of the Terms Act and their labels.
 ARTICLES = {
@@ -94,11 +94,6 @@ def legal_bases(text: Column) -> Column:
     return _listed(*[_all(t, rf"{law}제{DIGITS}조{paragraph}{item if items else ''}") for law, items in STATUTES])
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 # Headings of a block of corrections; _ stands for any white space within the line.
 HEADINGS = ("시정[내명]용", "(?:수정|개선|삭제|변경)_(?:전|후|내용)")
 
@@ -131,10 +126,10 @@ def corrections(text: Column, longer_than: int = 10) -> Column:
     def found(t: Column) -> Column:
         some = t.rlike("|".join(HEADINGS).replace("_", f"{LINE_WHITE}*"))
         sections = F.when(some, _sections(t)).otherwise(F.array().cast("array<string>"))
-        blocks = _let(sections, lambda s: F.concat(*[_blocks(s, h) for h in HEADINGS]))
+        blocks = let(sections, lambda s: F.concat(*[_blocks(s, h) for h in HEADINGS]))
         return _listed(blocks, _all(t, r"「[^」]+」_(?:으로|로)_(?:수정|변경|개정)[^\n]*"), _all(t, r"삭제_(?:한다|하여야|하도록)[^\n]*"), longer_than=longer_than)
 
-    return _let(F.translate(_plain(text), "\x02\x03", ""), found)
+    return let(F.translate(_plain(text), "\x02\x03", ""), found)
 
 
 # Rules as data for the documents of the driver: name and pattern.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,12 +15,24 @@ NOT_WHITE = WHITE.replace("[", "[^", 1)
 # Characters that file names may not hold.
 FORBIDDEN = r'[\\/:*?"<>|]'
 NAME_LENGTH = 140
+#: Code points of a text that are looked at first for its name.
+NAME_START = 4 * NAME_LENGTH
 
 
 def or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def filled(value: Column, default: Column) -> Column:
+    """value, or default where it is null or empty. F.nullif would work value out twice, and so 2^n times at n levels."""
+    return let(value, lambda v: F.when(v != "", v).otherwise(default))
+
+
 def normalize(c: Column) -> Column:
     """White space runs become one space; none at the ends."""
     return F.regexp_replace(F.regexp_replace(c, f"{WHITE}+", " "), "^ | $", "")
@@ -31,21 +45,35 @@ def strip(c: Column) -> Column:
 
 def composite_key(*parts: Column) -> Column:
     """Non-empty parts joined by ' | ' (X3)."""
-    return F.concat_ws(" | ", *[F.nullif(p, F.lit("")) for p in parts])
+    return F.array_join(F.filter(F.array(*parts), lambda p: p != ""), " | ")
+
+
+def _spaced(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(c, FORBIDDEN, "_"), f"{WHITE}+", "_")
+
+
+def _named(start: Column, whole: Column) -> Column:
+    """The name of a start of a text where it decides the name, else that of the whole text.
+
+    A start's characters become a start of the text's; once one that no end loses stands at the last place of a name or after it, what follows changes nothing.
+    """
+    led = F.regexp_replace(_spaced(start), "^[._]+", "")
+    decided = lambda x: F.substring(x, NAME_LENGTH, NAME_START).rlike("[^._]")
+    full = F.substring(F.regexp_replace(_spaced(whole), r"^[._]+|[._]+\z", ""), 1, NAME_LENGTH)
+    return let(led, lambda x: F.when(decided(x), F.substring(x, 1, NAME_LENGTH)).otherwise(full))
 
 
 def safe_name(c: Column, default: Column | str = "unknown") -> Column:
     """A file name: forbidden characters and white space runs become underscores, none of '._' at the ends, then at most 140 characters."""
-    spaced = F.regexp_replace(F.regexp_replace(c, FORBIDDEN, "_"), f"{WHITE}+", "_")
-    cut = F.substring(F.regexp_replace(spaced, r"^[._]+|[._]+\z", ""), 1, NAME_LENGTH)
-    return F.coalesce(F.nullif(cut, F.lit("")), F.lit(default) if isinstance(default, str) else default)
+    return filled(_named(F.substring(c, 1, NAME_START), c), F.lit(default) if isinstance(default, str) else default)
 
 
 def case_identifier(number: Column, decision: Column, title: Column, ordinal: Column) -> Column:
     """The stripped parts as a safe name; case_<ordinal> where all are empty or nothing is left."""
     fallback = F.concat(F.lit("case_"), ordinal.cast("string"))
-    key = composite_key(*[strip(or_empty(p)) for p in (number, decision, title)])
-    return safe_name(F.coalesce(F.nullif(key, F.lit("")), fallback), fallback)
+    key = lambda t: filled(composite_key(*[strip(or_empty(p)) for p in (number, decision, t)]), fallback)
+    # a title's start gives a start of the key, but for white space at its end
+    return filled(_named(key(F.substring(title, 1, NAME_START)), key(title)), fallback)
 
 
 def first_match(c: Column, pattern: str, group: int = 1) -> Column:

@@ -390,3 +390,24 @@ def test_paged_source_retries(spark):
     assert sorted(r["id"] for r in json_.list_entries(pages, json_.INTERPRETATION).collect()) == ["1", "2", "3"]
     assert [r["error"] for r in paged.details(spark.createDataFrame([("1",)], "id string"), url, delay=0.0).collect()] == [None]
     server.shutdown()
+
+
+def test_names_of_long_texts(spark):
+    """What decides a name is looked at first; the name is that of the whole text."""
+    PY_WHITE, rng = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]", random.Random(5)
+    long = ["", " " * 700 + "a", "_" * 700 + "b.", "a" * 139 + "_" * 600, "a" * 139 + "_" * 600 + "z", "a" * 140 + "." * 900, "ab" + " " * 800 + "c" * 300, "가 " * 500, "😀" * 600, "x" * 138 + " ._", None, "./" * 400 + "n" * 200]
+    long += ["".join(rng.choice("a _./|\n\u3000") * rng.choice((1, 1, 2, 150, 600)) for _ in range(rng.randrange(12))) for _ in range(400)]
+
+    def name(t, default="unknown"):
+        t = re.sub(rf"{PY_WHITE}+", "_", re.sub(r'[\\/:*?"<>|]', "_", t))
+        return re.sub(r"\A[._]+|[._]+\Z", "", t)[:140] or default
+
+    def case(number, title):
+        key = " | ".join(x for x in (re.sub(rf"\A{PY_WHITE}+|{PY_WHITE}+\Z", "", p or "") for p in (number, title)) if x)
+        return name(key or "case_7", "case_7")
+
+    frame = spark.createDataFrame([(i, t, rng.choice(["", "  ", "3 호 ", None, "q" * 600])) for i, t in enumerate(long)], "i int, t string, n string")
+    rows = frame.select("*", text.safe_name(F.col("t")).alias("a"), text.case_identifier(F.col("n"), F.lit(""), F.col("t"), F.lit(7)).alias("b")).collect()
+    assert [(r["a"], r["b"]) for r in rows] == [(name(r["t"]) if r["t"] is not None else "unknown", case(r["n"], r["t"])) for r in rows]
+    cut = frame.select(text._named(F.substring("t", 1, text.NAME_START), F.lit(None).cast("string")).alias("a")).where("a IS NOT NULL")
+    assert cut.count() > 20  # those need no look at the rest
