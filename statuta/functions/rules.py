@@ -49,8 +49,7 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def _listed(*found: Column, longer_than: int = -1) -> Column:
-    every = F.transform(F.concat(*found), strip)
-    return F.array_distinct(F.filter(every, lambda x: F.length(x) > longer_than))
+    return let(F.transform(F.concat(*found), strip), lambda every: F.array_distinct(F.filter(every, lambda x: F.length(x) > longer_than)))
 
 
 def _plain(text: Column) -> Column:
@@ -64,34 +63,37 @@ def _marked(text: Column, stop: str) -> Column:
 
 def clauses(text: Column, longer_than: int = 20) -> Column:
     """Clause texts: up to a numbered line, or up to the next article heading."""
-    t = _plain(text)
-    numbered = _marked(t, rf"{DIGITS}\.")
     # the first newline of the white space before an article heading; where blank lines may repeat, tried once for each run of white space
     heading = rf"(?=제{DIGITS}조)"
-    once = F.regexp_replace(t, rf"(?<!{WHITE})({LINE_WHITE}*+)\n({WHITE}*+){heading}", "$1\x01$2")
-    article = F.when(t.rlike(rf"\n{LINE_WHITE}*+\n"), once).otherwise(F.regexp_replace(t, rf"\n({WHITE}*+){heading}", "\x01$1"))
     back = lambda found: F.transform(found, lambda x: F.replace(x, F.lit("\x01"), F.lit("\n")))
-    one = _all(numbered, rf"피심인의_약관_제{DIGITS}조[^\x01]*")
-    two = _all(numbered, rf"약관_제{DIGITS}조(?:[가-힣]|{WHITE})*+\([^)]*\)[^\x01]*")
-    three = _all(article, rf"제{DIGITS}조_[(（][^)）]*[)）][^\x01]*")
-    return _listed(back(one), back(two), back(three), longer_than=longer_than)
+
+    def article(t: Column) -> Column:
+        once = F.regexp_replace(t, rf"(?<!{WHITE})({LINE_WHITE}*+)\n({WHITE}*+){heading}", "$1\x01$2")
+        return F.when(t.rlike(rf"\n{LINE_WHITE}*+\n"), once).otherwise(F.regexp_replace(t, rf"\n({WHITE}*+){heading}", "\x01$1"))
+
+    def found(t: Column) -> Column:
+        of_numbered = lambda x: F.concat(_all(x, rf"피심인의_약관_제{DIGITS}조[^\x01]*"), _all(x, rf"약관_제{DIGITS}조(?:[가-힣]|{WHITE})*+\([^)]*\)[^\x01]*"))
+        return F.concat(back(let(_marked(t, rf"{DIGITS}\."), of_numbered)), back(_all(article(t), rf"제{DIGITS}조_[(（][^)）]*[)）][^\x01]*")))
+
+    return _listed(let(_plain(text), found), longer_than=longer_than)
 
 
 def violations(text: Column) -> Column:
     """Phrases that name a kind of violation, then the labels of the Terms Act's articles 6 to 14 as cited."""
-    t = _plain(text)
-    found = [_all(t, p) for p in PHRASES]
-    numbers = _all(t, rf"{TERMS_ACT}제({DIGITS})조", 1)
     labels = F.create_map(*[F.lit(x) for pair in ARTICLES.items() for x in pair])
-    named = F.transform(F.filter(numbers, lambda n: n.isin(*ARTICLES)), lambda n: F.concat(F.lit("약관규제법 제"), n, F.lit("조 - "), F.element_at(labels, n)))
-    return _listed(*found, named)
+
+    def found(t: Column) -> Column:
+        numbers = F.filter(_all(t, rf"{TERMS_ACT}제({DIGITS})조", 1), lambda n: n.isin(*ARTICLES))
+        named = F.transform(numbers, lambda n: F.concat(F.lit("약관규제법 제"), n, F.lit("조 - "), F.element_at(labels, n)))
+        return F.concat(*[_all(t, p) for p in PHRASES], named)
+
+    return _listed(let(_plain(text), found))
 
 
 def legal_bases(text: Column) -> Column:
     """Citations of five statutes with article, paragraph and item."""
-    t = _plain(text)
     paragraph, item = rf"(?:_제{DIGITS}항)?", rf"(?:_제{DIGITS}호)?"
-    return _listed(*[_all(t, rf"{law}제{DIGITS}조{paragraph}{item if items else ''}") for law, items in STATUTES])
+    return _listed(let(_plain(text), lambda t: F.concat(*[_all(t, rf"{law}제{DIGITS}조{paragraph}{item if items else ''}") for law, items in STATUTES])))
 
 
 # Headings of a block of corrections; _ stands for any white space within the line.

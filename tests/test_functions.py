@@ -411,3 +411,10 @@ def test_names_of_long_texts(spark):
     assert [(r["a"], r["b"]) for r in rows] == [(name(r["t"]) if r["t"] is not None else "unknown", case(r["n"], r["t"])) for r in rows]
     cut = frame.select(text._named(F.substring("t", 1, text.NAME_START), F.lit(None).cast("string")).alias("a")).where("a IS NOT NULL")
     assert cut.count() > 20  # those need no look at the rest
+
+
+@pytest.mark.parametrize("rule", [rules.clauses, rules.violations, rules.legal_bases])
+def test_a_rule_prepares_its_text_once(spark, rule):
+    """Spark does not share what stands within its array functions: each mention would be worked out again."""
+    plan = spark.createDataFrame([("a",)], "t string").select(rule(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("coalesce(t#") == 1
