@@ -105,36 +105,49 @@ def _needed(n: int, hundredths: int) -> int:
     return -(-hundredths * n // 100)
 
 
+def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The pairs, a row each, copies left out (save where two pairs have one key, which ``resolve`` sees to)."""
+    order = np.argsort(mix64(a.view(np.uint64)) * np.uint64(31) + b.view(np.uint64))
+    a, b = a[order], b[order]
+    fresh = np.ones(len(a), bool)
+    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return np.stack([a[fresh], b[fresh]], 1)
+
+
 def _meet(table: pa.Table, hundredths: int) -> pa.Table:
     """Pairs (a of the smaller hash, a star's centre) and large groups of the rows that meet in a column of this block. Group rows have b null, pairs g null."""
     token, row, size = gathered(table, "token", np.uint64), gathered(table, "row", np.int64), gathered(table, "size", np.int32)
-    order = np.lexsort((row, token))
+    order = np.argsort(token)
+    starts, ends = runs(token[order])
+    order = order[np.repeat(ends - starts > 1, ends - starts)]  # most columns have one row, which meets none
+    order = order[np.lexsort((row[order], token[order]))]
     token, row, size = token[order], row[order], size[order]
     fresh = np.ones(len(token), bool)
     fresh[1:] = (token[1:] != token[:-1]) | (row[1:] != row[:-1])
     token, row, size = token[fresh], row[fresh], size[fresh]
     starts, ends = runs(token)
-    many = ends - starts > 1
-    pairs, groups, seen = [], [], set()
-    for s, e in zip(starts[many], ends[many]):
-        r, n = row[s:e], size[s:e]
-        key = r.tobytes()
+    hashed = mix64(row.view(np.uint64))
+    left, right, groups, seen = [], [], [], set()
+    for k in range(2, SMALL + 1):
+        i, j = np.triu_indices(k, 1)
+        at = starts[ends - starts == k][:, None]
+        i, j = (at + i).reshape(-1), (at + j).reshape(-1)
+        swap = hashed[i] > hashed[j]
+        left.append(np.where(swap, j, i))
+        right.append(np.where(swap, i, j))
+    large = ends - starts > SMALL
+    for s, e in zip(starts[large].tolist(), ends[large].tolist()):
+        key = row[s:e].tobytes()
         if key in seen:
             continue
         seen.add(key)
-        if len(r) <= SMALL:
-            i, j = np.triu_indices(len(r), 1)
-            h = mix64(r.view(np.uint64))
-            i, j = np.where(h[i] <= h[j], i, j), np.where(h[i] <= h[j], j, i)
-        else:
-            lead = np.argmin(mix64(r.view(np.uint64)))
-            j = np.delete(np.arange(len(r)), lead)
-            i = np.full(len(j), lead)
-            g = int(np.bitwise_xor.reduce(mix64(r.view(np.uint64))).view(np.int64))
-            groups.append((np.full(len(r), g), r, n))
-        ok = 100 * np.minimum(n[i], n[j]) >= hundredths * np.maximum(n[i], n[j])
-        pairs.append(np.stack([r[i], r[j]], 1)[ok])
-    pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+        lead = s + int(np.argmin(hashed[s:e]))
+        right.append(np.delete(np.arange(s, e), lead - s))
+        left.append(np.full(e - s - 1, lead))
+        groups.append((np.full(e - s, np.bitwise_xor.reduce(hashed[s:e]).view(np.int64)), row[s:e], size[s:e]))
+    i, j = np.concatenate(left), np.concatenate(right)
+    ok = 100 * np.minimum(size[i], size[j]).astype(np.int64) >= hundredths * np.maximum(size[i], size[j]).astype(np.int64)
+    pairs = _distinct(row[i[ok]], row[j[ok]])
     g, r, n = (np.concatenate(x) for x in zip(*groups)) if groups else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
     k = len(pairs)
     return pa.table({"a": pa.array(np.concatenate([pairs[:, 0], r])), "b": pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(r), pa.int64())]), "g": pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(g)]), "n": pa.concat_arrays([pa.nulls(k, pa.int32()), pa.array(n)])})
@@ -282,7 +295,7 @@ def extracted(sets: Callable[[Texts], list[dict[int, np.ndarray]]]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()  # rows that are known by the same id and text come once a task
-        for batch, t in pieces(batches, "text"):
+        for batch, t in pieces(batches, "text", 1 << 18):
             want, out = batch.column(batch.schema.get_field_index("_want")).to_pylist(), []
             for known, asked in zip(sets(t), want):
                 for x in asked:
@@ -302,9 +315,12 @@ PLACED = "p long, q long, c long, first boolean, set binary"
 
 def dealing(source: DataFrame, owners: DataFrame, sets: Callable[[Texts], list[dict[int, np.ndarray]]]) -> Callable[[DataFrame], DataFrame]:
     """A function that takes (c, p, q, first) and gives the rows of PLACED. source: doc_id, h, text; owners: c, doc_id, h of rows that have c."""
-    owner = owners.groupBy("c").agg(F.min(F.struct(F.isnull("doc_id").alias("u"), "doc_id", "h")).alias("o")).select("c", F.col("o.doc_id").alias("_d"), F.col("o.h").alias("_h"))
 
     def deal(places: DataFrame) -> DataFrame:
+        wanted = cut(places.select("c").distinct())
+        few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        held = owners.join(F.broadcast(wanted) if few else wanted, "c", "left_semi")  # before rows are sorted for their groups
+        owner = held.groupBy("c").agg(F.min(F.struct(F.isnull("doc_id").alias("u"), "doc_id", "h")).alias("o")).select("c", F.col("o.doc_id").alias("_d"), F.col("o.h").alias("_h"))
         to = places.groupBy("c").agg(F.collect_list(F.struct("p", "q", "first")).alias("to"))
         chosen = cut(to.join(owner, "c").groupBy("_d", "_h").agg(F.collect_list(F.struct("c", "to")).alias("_want")))
         n = chosen.agg(F.coalesce(F.sum(F.aggregate("_want", F.lit(1), lambda k, x: k + 1 + F.size(x["to"]))), F.lit(0))).first()[0]

@@ -48,7 +48,7 @@ class Dealer:
 def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of runs of equal values."""
     starts = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
-    return starts, np.append(starts[1:], len(sorted_keys))
+    return starts, np.append(starts[1:], len(sorted_keys))[: len(starts)]
 
 
 def planes(a: np.ndarray) -> bytes:

@@ -44,6 +44,8 @@ from statuta.llm.words import Texts, mix64, pieces, shingles, words
 
 LINE, PASSAGE, STRETCH, HISTOGRAM = 0, 1, 2, 3
 STRETCH_WORDS = 40
+#: Bytes of text worked on at once: what is made of them stays in a processor's cache.
+PIECE = 1 << 18
 #: Paragraphs of a cluster that counts as large.
 LARGE = 100_000
 #: What a piece of the table tells of each paragraph; row is the row's place in the piece.
@@ -55,6 +57,22 @@ def tune(threshold: float, recall: float, least_rows: int = 2) -> tuple[int, int
     return int(np.ceil(np.log(1 - recall) / np.log(1 - threshold**least_rows))), least_rows
 
 
+class Seen:
+    """Classes that a task has met lately, in a table of fixed size, a place for each remainder."""
+
+    def __init__(self, bits: int = 20):
+        self.held, self.mask = ~np.arange(1 << bits), (1 << bits) - 1  # no class of that place
+
+    def fresh(self, classes: np.ndarray) -> np.ndarray:
+        """Which of these are new: of equal ones the first, unless the table has it. A class that another has displaced is new again."""
+        at = classes & self.mask
+        out = np.zeros(len(classes), bool)
+        out[np.unique(classes, return_index=True)[1]] = True
+        out &= self.held[at] != classes
+        self.held[at[out]] = classes[out]
+        return out
+
+
 class Lines:
     """The lines of some texts that are long enough: text, bytes, word count and shingles of each."""
 
@@ -75,7 +93,8 @@ class Lines:
         self.words, size = np.diff(edges)[kept], np.diff(bounds)[kept]
         line = np.repeat(np.arange(len(kept)), size)
         found = found[np.arange(len(line)) + np.repeat(bounds[kept] - np.cumsum(size) + size, size)]
-        found = found[np.lexsort((found, line))]
+        order = np.argsort(found)  # then by line: of small integers, which is a count
+        found = found[order[np.argsort((line.astype(np.uint16) if len(kept) < 1 << 16 else line)[order], kind="stable")]]
         new = np.ones(len(found), bool)
         new[1:] = (found[1:] != found[:-1]) | (line[1:] != line[:-1])
         # the distinct shingles line by line, where each line's begin, how many they are, and their class
@@ -91,17 +110,19 @@ def passages(t: Texts, worded: tuple, length: int, reach: int, variety: int) ->
     found, bounds = shingles(hashed, first)
     span = length - 4
     none = np.zeros(0, np.int64)
-    if length < 5 or len(found) < max(span, reach):
+    if length < 5 or len(found) < span:
         return none, none, none, none
-    # the upper half of the hash, then the later place: equal runs choose alike
-    low = (found & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - np.arange(len(found), dtype=np.uint64))
+    # the upper half of the hash, then the later place: equal runs choose alike; with reach places between texts, so that none depends on its neighbours
+    own = np.arange(len(found)) + reach * (np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) + 1)
+    low = np.full(own[-1] + reach + 1, np.iinfo(np.uint64).max, np.uint64)
+    low[own] = (found & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - np.arange(len(found), dtype=np.uint64))
     far = 1
     while 2 * far <= reach:
         low = np.minimum(low[:-far], low[far:])
         far *= 2
     if far < reach:
         low = np.minimum(low[: len(low) - (reach - far)], low[reach - far :])
-    at = np.unique(np.uint64(0xFFFFFFFF) - (low & np.uint64(0xFFFFFFFF))).astype(np.int64)
+    at = np.unique(np.uint64(0xFFFFFFFF) - (low[low < np.iinfo(np.uint64).max] & np.uint64(0xFFFFFFFF))).astype(np.int64)
     at = at[at + span <= len(found)]
     text = np.searchsorted(bounds, at, "right") - 1
     changes = np.concatenate([[0], np.cumsum(found[1:] != found[:-1])])
@@ -134,7 +155,10 @@ class Stretches:
         if far < reach and len(found):
             low = np.minimum(low[: len(low) - (reach - far)], low[reach - far :])
         at = np.flatnonzero((place + span <= size[line]) & (low[own - apart] == found)) if len(found) else np.zeros(0, np.int64)
-        order = np.argsort(found, kind="stable")
+        order = np.argsort(found)
+        same = np.flatnonzero(found[order[1:]] == found[order[:-1]])
+        order = order[np.union1d(same, same + 1)]  # of shingles that occur again, by their places
+        order = order[np.lexsort((order, found[order]))]
         before = np.full(len(found), -1, np.int64)
         same = found[order[1:]] == found[order[:-1]]
         before[order[1:][same]] = order[:-1][same]
@@ -262,7 +286,7 @@ def find(docs: DataFrame, *, min_words: int = 1, hundredths: int = 75, recall: f
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The paragraphs of each piece, a row for each kind."""
-        for batch, t in pieces(batches, "text"):
+        for batch, t in pieces(batches, "text", PIECE):
             worded = words(t)
             lines = Lines(t, min_words, worded)
             wide = Stretches(t, worded, lines, stretch_words, apart, hundredths)
@@ -278,22 +302,16 @@ def find(docs: DataFrame, *, min_words: int = 1, hundredths: int = 75, recall: f
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The bands of distinct lines and stretches, dealt to buckets: half of the band's hash, class and size."""
-        dealer, done = Dealer(["token", "row", "size"]), set()
-        for _, t in pieces(batches, "text"):
+        dealer, seen = Dealer(["token", "row", "size"]), Seen()
+        for _, t in pieces(batches, "text", PIECE):
             worded = words(t)
             lines = Lines(t, min_words, worded)
             wide = Stretches(t, worded, lines, stretch_words, apart, hundredths)
             # a set of k differs from any other by one of k + 1 at least: smaller ones are alike only if equal, which classes tell
             linked = np.concatenate([100 * lines.sizes >= hundredths * (lines.sizes + 1), np.ones(len(wide.doc), bool)])
             classes, sizes = np.concatenate([lines.classes, wide.classes]), np.concatenate([lines.sizes, np.full(len(wide.doc), span)])
-            chosen = np.zeros(len(classes), bool)
-            for i in np.flatnonzero(linked).tolist():
-                own = int(classes[i])
-                if own in done:
-                    continue
-                if len(done) < 500_000:
-                    done.add(own)
-                chosen[i] = True
+            chosen = linked.copy()
+            chosen[linked] = seen.fresh(classes[linked])
             every = np.concatenate([lines.found, wide.found.reshape(-1)])[np.repeat(chosen, sizes)]
             classes, sizes, line = classes[chosen], sizes[chosen], int(chosen[: len(lines.sizes)].sum())
             at = np.cumsum(sizes) - sizes

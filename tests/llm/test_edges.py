@@ -711,3 +711,50 @@ def test_mixing_spreads_rows_without_an_id(spark):
     mixed = mixing.mix(frame, bucket_docs=100)
     assert sorted(r["text"] for r in mixed.collect()) == sorted(t for *_, t in rows)
     assert mixed.groupBy("slot", "pos").count().where("count > 1").count() == 0
+
+
+def test_passages_do_not_depend_on_neighbours():
+    import numpy as np
+
+    from statuta.llm import words as hashing
+
+    rng = random.Random(14)
+    texts = [random_text(rng, n).encode() for n in (60, 25, 24, 33, 90, 3, 51, 400)]
+
+    def chosen(some):
+        t = hashing.Texts(np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)]))
+        found = paragraphs.passages(t, hashing.words(t), 25, 22, 8)
+        return {(some[i], int(s - t.ends[i]), int(e - t.ends[i]), int(c)) for i, s, e, c in zip(*found)}
+
+    alone = set().union(*(chosen([x]) for x in texts))
+    assert chosen(texts) == alone == chosen(texts[::-1]) and len(alone) > 20
+
+
+def test_meeting_rows_and_seen_classes():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(15)
+    token, row = rng.integers(0, 300, 3000).astype(np.uint64), rng.integers(0, 200, 3000)
+    token, row = np.concatenate([token, np.full(30, 400, np.uint64), np.arange(500, 900, dtype=np.uint64)]), np.concatenate([row, np.arange(30), np.arange(400)])
+    size = (10 + row % 7).astype(np.int32)
+    columns = {"token": token, "row": row.astype(np.int64), "size": size}
+    met = jaccard._meet(pa.table({k: pa.array([v[:1000].tobytes(), v[1000:].tobytes()], pa.binary()) for k, v in columns.items()}), 75).to_pylist()
+    held, pairs, groups = {}, set(), set()
+    for t, r in zip(token.tolist(), row.tolist()):
+        held.setdefault(t, set()).add(r)
+    h = lambda r: int(jaccard.mix64(np.array([r], np.uint64))[0])
+    for rows in held.values():
+        lead = [min(rows, key=h)] if len(rows) > jaccard.SMALL else rows
+        pairs |= {(a, b) for a in lead for b in rows if h(a) < h(b) and 100 * min(10 + a % 7, 10 + b % 7) >= 75 * max(10 + a % 7, 10 + b % 7)}
+        groups |= {frozenset(rows)} if len(rows) > jaccard.SMALL else set()
+    by = {}
+    for r in met:
+        by.setdefault(r["g"], []).append(r["a"])
+    assert sorted((r["a"], r["b"]) for r in met if r["b"] is not None) == sorted(pairs)
+    assert {frozenset(v) for k, v in by.items() if k is not None} == groups and all(len(v) == len(set(v)) for k, v in by.items() if k is not None)
+    alone = {k: pa.array([v[-400:].tobytes()], pa.binary()) for k, v in columns.items()}
+    assert jaccard._meet(pa.table(alone), 75).num_rows == 0
+    seen = paragraphs.Seen(4)
+    assert seen.fresh(np.array([0, 5, 0, -1, 21])).tolist() == [True, True, False, True, True]
+    assert not seen.fresh(np.array([0, -1])).any() and seen.held.nbytes == 128
