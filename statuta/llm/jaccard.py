@@ -318,7 +318,7 @@ def dealing(source: DataFrame, owners: DataFrame, sets: Callable[[Texts], list[d
 
     def deal(places: DataFrame) -> DataFrame:
         wanted = cut(places.select("c").distinct())
-        few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        few = wanted.limit(BROADCAST_ROWS // 8 + 1).count() <= BROADCAST_ROWS // 8
         held = owners.join(F.broadcast(wanted) if few else wanted, "c", "left_semi")  # before rows are sorted for their groups
         owner = held.groupBy("c").agg(F.min(F.struct(F.isnull("doc_id").alias("u"), "doc_id", "h")).alias("o")).select("c", F.col("o.doc_id").alias("_d"), F.col("o.h").alias("_h"))
         to = places.groupBy("c").agg(F.collect_list(F.struct("p", "q", "first")).alias("to"))
@@ -358,9 +358,14 @@ def resolve(met: DataFrame, classes: DataFrame, deal: Callable[[DataFrame], Data
     # groups that share rows make one cluster, so each row is dealt once per block of its cluster
     clusters = components(open_rows.select("a", "b")).withColumnsRenamed({"node": "a", "root": "g"})
     clusters = cut(clusters.join(classes.withColumnRenamed("c", "a"), "a"))
-    sizes = clusters.groupBy("g").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("k"))
-    spread = open_rows.select("a", "root").distinct().join(clusters, "a").join(sizes, "g").withColumn("blk", F.pmod(F.xxhash64("a"), "k").cast("int"))
-    every = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    # rows of a cluster's largest component (main) need no look at one another: their blocks meet those of other rows only
+    rows = cut(open_rows.select("a", "root").distinct().join(clusters, "a"))
+    main = rows.groupBy("g", "root").count().groupBy("g").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+    rows = rows.join(main, "g").withColumn("main", F.col("root") == F.col("main"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = rows.groupBy("g", "main").agg(blocks.alias("k")).groupBy("g").agg(*(F.sum(F.when(F.col("main") == x, F.col("k")).otherwise(0)).cast("int").alias(k) for k, x in (("km", True), ("k", False))))
+    spread = rows.join(sizes, "g").withColumn("blk", F.when(F.col("main"), F.pmod(F.xxhash64("a"), "km")).otherwise(F.col("km") + F.pmod(F.xxhash64("a"), "k")).cast("int"))
+    every = spread.where("k > 0").withColumn("other", F.explode(F.sequence(F.when(F.col("main"), F.col("km")).otherwise(0), F.col("km") + F.col("k") - 1)))
     dealt = every.select("g", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "a", "root", "n", "hist", "k")
     possible = dealt.where("hist IS NOT NULL").groupBy("g", "i", "j").applyInArrow(_partners(hundredths), "g long, i int, j int, a long")
     dealt = cut(possible.unionByName(dealt.where("hist IS NULL").select("g", "i", "j", "a")))

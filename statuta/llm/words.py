@@ -89,14 +89,16 @@ def words(t: Texts, gap: np.ndarray = _GAP) -> tuple[np.ndarray, np.ndarray, np.
     end = np.flatnonzero(stops) + 1
     if not len(start):
         return np.zeros(0, np.uint64), start, end, np.zeros(len(t.ends), np.int64)
-    at = np.flatnonzero(inside)
     length = end - start
     offset = np.cumsum(length) - length
-    place = at - np.repeat(start, length)
-    low, high = place & 63, place >> 6
-    value = _BYTE_OF[t.buf[at]] * _PLACE[low]
-    far = high > 0
-    if far.any():
+    own = t.buf[inside]
+    place = np.arange(len(own)) - np.repeat(offset, length)
+    if length.max() <= 64:
+        value = _BYTE_OF[own] * _PLACE[place]
+    else:
+        low, high = place & 63, place >> 6
+        value = _BYTE_OF[own] * _PLACE[low]
+        far = high > 0
         value[far] = mix64(value[far] + high[far].astype(np.uint64) * _STEP)
     hashed = mix64(np.add.reduceat(value, offset) + length.astype(np.uint64) * _STEP)
     return hashed, start, end, np.searchsorted(start, t.ends)
