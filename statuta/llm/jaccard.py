@@ -11,7 +11,7 @@ the matrix (a class). Work goes in these steps:
 4. pairs whose overlap the sets' histograms bound below what the sizes ask for are discarded. Each set left is dealt once to every block it is
    needed in, straight from its text: the block of a star holds the star's centre and its members in a row, and their overlap counts accumulate
    over the centre's columns, so memory is a batch; links give components. Groups that still hold several components are multiplied out in
-   blocks of rows: histograms first, then the rows that have a possible partner; a block pair accumulates overlap counts column by
+   blocks of rows (those of the largest component meet only blocks of others): histograms first, then the rows that have a possible partner; a block pair accumulates overlap counts column by
    column and keeps a spanning forest of the links found, so no pair is lost and no group is held or listed whole;
 5. components of all links give each document the smallest doc_id it reaches.
 
