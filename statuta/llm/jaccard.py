@@ -3,15 +3,16 @@
 Two documents link when the Jaccard similarity of their sets of 5-word shingles is at least 0.75. Documents of equal sets are one row of
 the matrix (a class). Work goes in these steps:
 
-1. one pass over the texts gives each document's class and a count sketch (of fixed size) of how many documents hold a shingle;
-2. columns are ordered rare first by the sketch. A link of sets x and y needs an overlap of 0.75 * max(|x|, |y|), so it shows among the
+1. one pass over the texts gives each document's class and two count sketches (of fixed size): how many documents hold a shingle, and how often a word occurs;
+2. columns are ordered rare first: by the count that a shingle's words foresee, and by what its slot of the sketch has beyond the usual load of
+   slots. In a large corpus all slots are full of other shingles; the words still tell which shingles meet by chance. A link of sets x and y needs an overlap of 0.75 * max(|x|, |y|), so it shows among the
    first |x| - ceil(0.75 |x|) + 1 columns of each; only these entries are dealt to column blocks;
 3. each block of columns finds the rows that meet in a column. Few rows give all pairs within the size bound 0.75 * max <= min; many rows give a
    star around the row of smallest hash, and the group itself is kept;
 4. pairs whose overlap the sets' histograms bound below what the sizes ask for are discarded. Each set left is dealt once to every block it is
    needed in, straight from its text: the block of a star holds the star's centre and its members in a row, and their overlap counts accumulate
    over the centre's columns, so memory is a batch; links give components. Groups that still hold several components are multiplied out in
-   blocks of rows (those of the largest component meet only blocks of others): histograms first, then the rows that have a possible partner; a block pair accumulates overlap counts column by
+   blocks of rows (those of the largest component meet only blocks of others), one by one or, where that deals fewer rows, all that share rows at once: histograms first, then the rows that have a possible partner; a block pair accumulates overlap counts column by
    column and keeps a spanning forest of the links found, so no pair is lost and no group is held or listed whole;
 5. components of all links give each document the smallest doc_id it reaches.
 
@@ -22,6 +23,7 @@ null where there is none; an empty table gives no row; extra columns are ignored
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -35,16 +37,20 @@ from statuta.llm.components import components
 from statuta.llm.packets import Dealer, gathered, runs
 from statuta.llm.words import Texts, mix64, pieces, shingles, words
 
-SKETCH_BITS, SLICE_BITS = 22, 18
+SKETCH_BITS, SLICE_BITS, WORD_BITS = 22, 18, 20
 #: Rows that meet in a column and are paired at once; groups of more get a star, and blocks if need be.
 SMALL = 8
+#: Bits of a column's number that tell how rare it is; the others are its hash.
+RANK_BITS = 10
 #: Rows and shingles of a block of a large group, and shingles of a star's block.
 BLOCK, BLOCK_SHINGLES, STAR_SHINGLES = 256, 1 << 19, 1 << 22
+#: Rows that a task deals to blocks.
+DEALT_ROWS = 50_000
 
 
-def sets_of(t, n: int = 5) -> Iterator[np.ndarray]:
+def sets_of(t, n: int = 5, worded: tuple | None = None) -> Iterator[np.ndarray]:
     """The sorted distinct shingles of each text."""
-    hashed, _, _, first = words(t)
+    hashed, _, _, first = worded or words(t)
     found, bounds = shingles(hashed, first, n)
     for i in range(len(bounds) - 1):
         yield np.unique(found[bounds[i] : bounds[i + 1]])
@@ -73,12 +79,33 @@ def _slot(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def _word_slot(hashed: np.ndarray) -> np.ndarray:
+    """Words have their slots after those of shingles."""
+    return (hashed >> np.uint64(64 - WORD_BITS)).astype(np.int64) + (1 << SKETCH_BITS)
+
+
+def columns_of(t, n: int, level: np.ndarray, base: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The set of each text and its columns, rare first: numbers that begin with the rank, equal for equal shingles. base: the rank of a count of one."""
+    hashed, _, _, first = words(t)
+    found, bounds = shingles(hashed, first, n)
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    at = np.arange(len(found)) - bounds[text] + first[text]
+    sums = np.concatenate([[0], np.cumsum(level[_word_slot(hashed)], dtype=np.int64)])
+    foreseen = sums[np.minimum(at + n, first[text + 1])] - sums[at]
+    seen = level[_slot(found)].astype(np.int64)
+    rank = np.minimum(np.maximum(foreseen, np.where(seen > 0, seen + base, 0)), (1 << RANK_BITS) - 1).astype(np.uint64)
+    columns = (rank << np.uint64(64 - RANK_BITS)) | (found >> np.uint64(RANK_BITS))
+    for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        yield np.unique(found[s:e]), np.unique(columns[s:e])
+
+
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "h", "n", "c", "hist", "slice", "counts"]
-    sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+    sketch = np.zeros((1 << SKETCH_BITS) + (1 << WORD_BITS), np.uint32)
     for batch, t in pieces(batches, "text"):
-        sizes, classes, seen, hists = [], [], [], []
-        for s in sets_of(t):
+        worded = words(t)
+        sizes, classes, seen, hists = [], [], [_word_slot(worded[0])], []
+        for s in sets_of(t, worded=worded):
             sizes.append(len(s))
             classes.append(class_of(s))
             seen.append(_slot(s))
@@ -86,19 +113,24 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.add.at(sketch, np.concatenate(seen), 1)
         k = len(sizes)
         yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), batch.column(batch.schema.get_field_index("h")), pa.array(sizes, pa.int32()), pa.array(classes, pa.int64()), pa.array(hists, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
-    for i in range(1 << (SKETCH_BITS - SLICE_BITS)):
+    for i in range(len(sketch) >> SLICE_BITS):
         part = sketch[i << SLICE_BITS : (i + 1) << SLICE_BITS]
         if part.any():
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([i], pa.int32()), pa.array([zlib.compress(part.astype(np.uint32).tobytes(), 1)], pa.binary())], names)
 
 
 def _levels(table: pa.Table) -> pa.Table:
-    """Counts of a slice added up, as steps of a quarter of a doubling."""
-    total = np.zeros(1 << SLICE_BITS, np.uint64)
+    """Counts of a slice added up, as steps of a quarter of a doubling: of words as they are, of shingles what is beyond the load and the noise of slots."""
+    i, total = table.column("slice")[0].as_py(), np.zeros(1 << SLICE_BITS, np.uint64)
     for x in table.column("counts"):
         total += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
-    level = np.minimum(255, np.round(4 * np.log2(1.0 + total))).astype(np.uint8)
-    return pa.table({"slice": pa.array([table.column("slice")[0].as_py()], pa.int32()), "level": pa.array([level.tobytes()], pa.binary())})
+    if i < 1 << (SKETCH_BITS - SLICE_BITS):
+        load = float(np.median(total))
+        steps = np.log2(1 + np.where(total > load + 4 * np.sqrt(load), total - max(load, 1.0), 0).clip(0))
+    else:
+        steps = np.log2(np.maximum(total, 1))
+    level = np.minimum(255, np.round(4 * steps)).astype(np.uint8)
+    return pa.table({"slice": pa.array([i], pa.int32()), "level": pa.array([level.tobytes()], pa.binary()), "total": pa.array([int(total.sum())], pa.int64())})
 
 
 def _needed(n: int, hundredths: int) -> int:
@@ -221,12 +253,16 @@ def _bounded(hundredths: int):
 
 
 def _partners(hundredths: int):
-    """Of a block pair the rows that have a possible partner of another component."""
+    """Of a block pair, what joins the rows that their histograms leave alike (a and b), and the rows that may link with one that has no histogram, or have none (a; b is null)."""
 
     def run(table: pa.Table) -> pa.Table:
-        hists, root, n = table.column("hist").to_pylist(), table.column("root").to_numpy(), table.column("n").to_numpy().astype(np.int64)
-        bins, some = np.array([len(h) for h in hists]), np.zeros(len(hists), bool)
-        for size in np.unique(bins).tolist():
+        hists, root, n, a = table.column("hist").to_pylist(), table.column("root").to_numpy(), table.column("n").to_numpy().astype(np.int64), table.column("a").to_numpy()
+        bins, label = np.array([len(h or b"") for h in hists]), np.arange(len(hists))
+        bare, left, right = np.flatnonzero(bins == 0), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        fits = (root[bare][:, None] != root) & (100 * np.minimum(n[bare][:, None], n) >= hundredths * np.maximum(n[bare][:, None], n))
+        direct = fits.any(0)
+        direct[bare] |= fits.any(1)
+        for size in np.unique(bins[bins > 0]).tolist():
             # linked sets differ by a third in size at most, so their bins by a factor of two
             own, above = np.flatnonzero(bins == size), np.flatnonzero(bins == 2 * size)
             at = np.concatenate([own, above])
@@ -234,10 +270,17 @@ def _partners(hundredths: int):
             if len(above):
                 x = np.concatenate([x, _halved(np.frombuffer(b"".join(hists[i] for i in above), np.uint8).reshape(len(above), 2 * size))])
             for k, i in enumerate(own):
-                ok = (root[at] != root[i]) & _alike(x, x[k], n[at], n[i], hundredths)
-                some[i] |= ok.any()
-                some[at[ok]] = True
-        return table.select(["g", "i", "j", "a"]).filter(pa.array(some))
+                met = at[(root[at] != root[i]) & _alike(x, x[k], n[at], n[i], hundredths)]
+                far, first = np.unique(label[met], return_index=True)
+                first, far = first[far != label[i]], far[far != label[i]]
+                if len(far):
+                    left.append(np.full(len(far), a[i]))
+                    right.append(a[met[first]])
+                    label[np.isin(label, np.append(far, label[i]))] = min(label[i], far[0])
+        left, right = np.concatenate(left), np.concatenate(right)
+        g, i, j = (table.column(k)[0].as_py() for k in ("g", "i", "j"))
+        m = len(left) + int(direct.sum())
+        return pa.table({"g": pa.array([g] * m, pa.int64()), "i": pa.array([i] * m, pa.int32()), "j": pa.array([j] * m, pa.int32()), "a": pa.array(np.concatenate([left, a[direct]])), "b": pa.concat_arrays([pa.array(right), pa.nulls(int(direct.sum()), pa.int64())])})
 
     return run
 
@@ -330,6 +373,33 @@ def dealing(source: DataFrame, owners: DataFrame, sets: Callable[[Texts], list[d
     return deal
 
 
+def _sizes(rows: DataFrame, own: list[str]) -> DataFrame:
+    """For each group (own) of rows (a, root, n) its largest component (main), the blocks of that (km) and of other rows (k), and how many rows are dealt to their pairs (cost).
+
+    Rows of the main component need no look at one another: their blocks meet those of other rows only.
+    """
+    by_root = rows.groupBy(*own, "root").agg(F.count("*").alias("count"), F.sum("n").alias("n"))
+    groups = by_root.groupBy(*own).agg(F.max(F.struct("count", "root", "n")).alias("m"), F.sum("count").alias("count"), F.sum("n").alias("n"))
+    blocks = lambda count, n: F.ceil(F.greatest(count / BLOCK, n / BLOCK_SHINGLES)).cast("int")
+    main, rest = F.col("m.count"), F.col("count") - F.col("m.count")
+    several = blocks(F.col("count"), F.col("n")) > 1  # else all rows are in one block
+    sizes = groups.where(rest > 0).select(*own, F.when(several, F.col("m.root")).alias("main"), F.when(several, blocks(main, F.col("m.n"))).otherwise(0).alias("km"), F.when(several, blocks(rest, F.col("n") - F.col("m.n"))).otherwise(1).alias("k"),
+                                          F.when(several, main).otherwise(0).alias("count"), F.when(several, rest).otherwise(F.col("count")).alias("rest"))
+    return sizes.select(*own, "main", "km", "k", (F.col("count") * F.col("k") + F.col("rest") * (F.col("km") + F.col("k"))).alias("cost"))
+
+
+def _blocked(rows: DataFrame, sizes: DataFrame, own: list[str], more: DataFrame | None = None) -> DataFrame:
+    """g, i, j, a, root, n: rows dealt to the pairs of blocks that _sizes has; more: columns to add by a."""
+    parts = -(-(sizes.agg(F.sum("cost")).first()[0] or 0) // DEALT_ROWS)
+    main = F.coalesce(F.col("root") == F.col("main"), F.lit(False))
+    blk = F.when(main, F.pmod(F.xxhash64("a"), "km")).otherwise(F.col("km") + F.pmod(F.xxhash64("a"), "k")).cast("int")
+    spread = rows.join(sizes, own)
+    spread = (spread.join(more, "a") if more is not None else spread).withColumn("blk", blk)
+    spread = spread.repartition(parts, "a", "g") if parts > 1 else spread
+    every = spread.withColumn("other", F.explode(F.sequence(F.when(main, F.col("km")).otherwise(0), F.col("km") + F.col("k") - 1)))
+    return every.select("g", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "a", "root", "n", *(x for x in (more.columns if more is not None else []) if x != "a"))
+
+
 def resolve(met: DataFrame, classes: DataFrame, deal: Callable[[DataFrame], DataFrame], hundredths: int) -> DataFrame:
     """node, root of all links among the candidates of ``_meet``; classes: c, n (its shingles) and hist (null: none kept)."""
     pairs = cut(met.where("b IS NOT NULL").select("a", "b").distinct())
@@ -352,23 +422,23 @@ def resolve(met: DataFrame, classes: DataFrame, deal: Callable[[DataFrame], Data
     # groups that hold several components still: in blocks of rows, all pairs of blocks
     labelled = groups.join(roots.withColumnRenamed("node", "a"), "a", "left").select("g", "a", F.coalesce("root", "a").alias("root"))
     mixed = labelled.groupBy("g").agg(F.min("a").alias("b"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("g", "b")
-    open_rows = cut(labelled.join(mixed, "g").select("a", "b", "root"))
+    open_rows = cut(labelled.join(mixed, "g").select("g", "a", "b", "root"))
     if not open_rows.limit(1).count():
         return roots
-    # groups that share rows make one cluster, so each row is dealt once per block of its cluster
-    clusters = components(open_rows.select("a", "b")).withColumnsRenamed({"node": "a", "root": "g"})
-    clusters = cut(clusters.join(classes.withColumnRenamed("c", "a"), "a"))
-    # rows of a cluster's largest component (main) need no look at one another: their blocks meet those of other rows only
-    rows = cut(open_rows.select("a", "root").distinct().join(clusters, "a"))
-    main = rows.groupBy("g", "root").count().groupBy("g").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-    rows = rows.join(main, "g").withColumn("main", F.col("root") == F.col("main"))
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    sizes = rows.groupBy("g", "main").agg(blocks.alias("k")).groupBy("g").agg(*(F.sum(F.when(F.col("main") == x, F.col("k")).otherwise(0)).cast("int").alias(k) for k, x in (("km", True), ("k", False))))
-    spread = rows.join(sizes, "g").withColumn("blk", F.when(F.col("main"), F.pmod(F.xxhash64("a"), "km")).otherwise(F.col("km") + F.pmod(F.xxhash64("a"), "k")).cast("int"))
-    every = spread.where("k > 0").withColumn("other", F.explode(F.sequence(F.when(F.col("main"), F.col("km")).otherwise(0), F.col("km") + F.col("k") - 1)))
-    dealt = every.select("g", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "a", "root", "n", "hist", "k")
-    possible = dealt.where("hist IS NOT NULL").groupBy("g", "i", "j").applyInArrow(_partners(hundredths), "g long, i int, j int, a long")
-    dealt = cut(possible.unionByName(dealt.where("hist IS NULL").select("g", "i", "j", "a")))
+    # groups that share rows make one cluster, in which each row is dealt once per block; where the groups one by one deal fewer rows, they stay apart
+    clusters = components(open_rows.select("a", "b")).withColumnsRenamed({"node": "a", "root": "cluster"})
+    narrow = cut(open_rows.select("g", "a", "root").join(clusters, "a").join(classes.select(F.col("c").alias("a"), "n"), "a"))
+    own = ["cluster", "whole", "g"]
+    rows = narrow.withColumn("whole", F.lit(False)).unionByName(narrow.withColumns({"whole": F.lit(True), "g": F.col("cluster")}).distinct())
+    sizes = _sizes(rows, own)
+    costs = sizes.groupBy("cluster").agg(*(F.sum(F.when(F.col("whole") == x, F.col("cost"))).alias(k) for k, x in (("one", True), ("each", False))))
+    sizes = sizes.join(costs, "cluster").where(F.col("whole") == (F.col("one") <= F.col("each"))).select(*own, "main", "km", "k", "cost")
+    hists = classes.select(F.col("c").alias("a"), "hist")
+    possible = cut(_blocked(rows, cut(sizes), own, hists).groupBy("g", "i", "j").applyInArrow(_partners(hundredths), "g long, i int, j int, a long, b long"))
+    # what histograms join are the groups whose sets meet; a set goes once to each block that it is needed in
+    families = components(possible.where("b IS NOT NULL").select("a", "b")).withColumnsRenamed({"node": "a", "root": "g"})
+    rows = cut(narrow.select("a", "root", "n").distinct().join(families, "a"))
+    dealt = _blocked(rows, cut(_sizes(rows, ["g"])), ["g"]).select("g", "i", "j", "a").unionByName(possible.where("b IS NULL").select("g", "i", "j", "a"))
     places = dealt.select(F.col("a").alias("c"), F.col("g").alias("p"), (F.col("i").cast("long") * (1 << 31) + F.col("j")).alias("q"), F.lit(False).alias("first"))
     more = deal(places).groupBy("p", "q").applyInArrow(_multiply(hundredths), "a long, b long")
     return cut(components(links.unionByName(more)))
@@ -380,28 +450,30 @@ def classified(docs: DataFrame, hundredths: int = 75, n: int = 5) -> DataFrame:
     source = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     first = cut(source.mapInArrow(_first_pass, "doc_id long, h long, n int, c long, hist binary, slice int, counts binary"))
     rows = first.where("slice IS NULL").select("doc_id", "h", "n", "c")
-    sliced = first.where("slice IS NOT NULL").select("slice", "counts").groupBy("slice").applyInArrow(_levels, "slice int, level binary")
-    level = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for r in sliced.collect():  # 2 ** SKETCH_BITS bytes, whatever the input
+    sliced = first.where("slice IS NOT NULL").select("slice", "counts").groupBy("slice").applyInArrow(_levels, "slice int, level binary, total long")
+    level, total = np.zeros((1 << SKETCH_BITS) + (1 << WORD_BITS), np.uint8), 1
+    for r in sliced.collect():  # 5 MB, whatever the input
         level[r["slice"] << SLICE_BITS : (r["slice"] + 1) << SLICE_BITS] = np.frombuffer(r["level"], np.uint8)
-    shared = spark.sparkContext.broadcast(level)
+        total += r["total"] if r["slice"] >= 1 << (SKETCH_BITS - SLICE_BITS) else 0
+    # a shingle is foreseen total * product(count of word / total) times
+    shared = spark.sparkContext.broadcast((level, round(4 * (n - 1) * math.log2(total))))
     blocks = parts_for(source, 4 << 20)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, dealer, done = shared.value, Dealer(["token", "row", "size"]), set()
+        (level, base), dealer, done = shared.value, Dealer(["token", "row", "size"]), set()
         for _, t in pieces(batches, "text"):
             tokens, rows, sizes = [], [], []
-            for s in sets_of(t, n):
+            for s, columns in columns_of(t, n, level, base):
                 c = class_of(s)
-                if not len(s) or c in done:
+                # sets that differ from one of so few by a shingle are not alike
+                if 100 * len(s) < hundredths * (len(s) + 1) or c in done:
                     continue
                 if len(done) < 200_000:
                     done.add(c)
                 k = len(s) - _needed(len(s), hundredths) + 1
-                order = np.argsort(level[_slot(s)], kind="stable")[:k]  # s is sorted: ties go by hash
-                tokens.append(s[order])
-                rows.append(np.full(k, c, np.int64))
-                sizes.append(np.full(k, len(s), np.int32))
+                tokens.append(columns[:k])
+                rows.append(np.full(len(tokens[-1]), c, np.int64))
+                sizes.append(np.full(len(tokens[-1]), len(s), np.int32))
             if tokens:
                 token = np.concatenate(tokens)
                 yield from dealer.add(((token & np.uint64(0xFFFFFFFF)) % np.uint64(blocks)).astype(np.int32), token, np.concatenate(rows), np.concatenate(sizes))

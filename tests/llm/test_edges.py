@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -758,3 +759,57 @@ def test_meeting_rows_and_seen_classes():
     seen = paragraphs.Seen(4)
     assert seen.fresh(np.array([0, 5, 0, -1, 21])).tolist() == [True, True, False, True, True]
     assert not seen.fresh(np.array([0, -1])).any() and seen.held.nbytes == 128
+
+
+def test_small_open_groups_stay_apart(spark, tmp_path, monkeypatch):
+    """Groups of twelve rows that form a chain: dealt one by one they cost a row each, as one cluster a row for each block of it."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    partners = jaccard._partners(75)
+
+    def counted(table):
+        (tmp_path / f"{table.column('g')[0].as_py()}-{table.column('i')[0].as_py()}-{table.column('j')[0].as_py()}").write_text(str(table.num_rows))
+        return partners(table)
+
+    monkeypatch.setattr(jaccard, "_partners", lambda hundredths: counted)
+    sets = {c: np.sort(jaccard.mix64(np.arange(40, dtype=np.uint64) + np.uint64(1000 * c))) for c in range(1, 551)}
+    sets[30] = np.sort(np.append(sets[25][:38], sets[30][:2]))  # the only link, within the third group
+    chain = [(10 * g + k, 10 * g, g + 1, 40) for g in range(54) for k in range(1, 13)]
+    met = spark.createDataFrame([(a, None, g, n) for a, _, g, n in chain], "a long, b long, g long, n int")
+    classes = spark.createDataFrame([(c, 40, bytearray(jaccard.histogram(s))) for c, s in sets.items()], "c long, n int, hist binary")
+    table = spark.createDataFrame([(c, s.tobytes()) for c, s in sets.items()], "c long, set binary")
+    roots = jaccard.resolve(met, classes, lambda places: places.join(table, "c").select("p", "q", "c", "first", "set"), 75)
+    assert {r["node"]: r["root"] for r in roots.collect()} == {25: 25, 30: 25}
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) == len(chain)
+
+
+def test_open_group_of_rows_with_and_without_histogram(spark):
+    """A line (no histogram) and a stretch that meet in a large group only are compared, too."""
+    own = lambda c: np.sort(jaccard.mix64(np.arange(36, dtype=np.uint64) + np.uint64(1000 * c)))
+    sets = {c: own(c) for c in range(1, 11)}
+    sets[2] = np.sort(np.append(sets[1][:34], sets[2][:2]))
+    met = spark.createDataFrame([(c, None, 7, 36) for c in sets], "a long, b long, g long, n int")
+    classes = spark.createDataFrame([(c, 36, None if c % 2 else bytearray(jaccard.histogram(s))) for c, s in sets.items()], "c long, n int, hist binary")
+    table = spark.createDataFrame([(c, s.tobytes()) for c, s in sets.items()], "c long, set binary")
+    roots = jaccard.resolve(met, classes, lambda places: places.join(table, "c").select("p", "q", "c", "first", "set"), 75)
+    assert {r["node"]: r["root"] for r in roots.collect()} == {1: 1, 2: 1}
+
+
+def test_columns_foreseen_by_their_words(spark):
+    """Where all slots are full of other shingles, words tell which shingle is rare."""
+    level = np.zeros((1 << jaccard.SKETCH_BITS) + (1 << jaccard.WORD_BITS), np.uint8)
+    t = jaccard.Texts(np.frombuffer(b"of of of of of rare one two three four", np.uint8), np.array([0, 38]))
+    level[jaccard._word_slot(jaccard.words(t)[0][:5])] = 100
+    (s, columns), = jaccard.columns_of(t, 5, level, 400)
+    found, _ = jaccard.shingles(jaccard.words(t)[0], jaccard.words(t)[3])
+    tail = columns & np.uint64((1 << 54) - 1)
+    assert len(s) == len(columns) == 6 and tail[-1] == found[0] >> np.uint64(10) and tail[0] == found[5] >> np.uint64(10)
+    level[jaccard._slot(found[5:6])] = 120  # what stands out of the slots' load goes last
+    assert (list(jaccard.columns_of(t, 5, level, 400))[0][1] & np.uint64((1 << 54) - 1))[-1] == found[5] >> np.uint64(10)
+
+
+def test_components_in_steps(spark, monkeypatch):
+    rng = random.Random(3)
+    links = spark.createDataFrame([(rng.randint(0, 200), rng.randint(0, 200)) for _ in range(130)] + [(i, i + 1) for i in range(1000, 1030)], "a long, b long")
+    few = {tuple(r) for r in components.components(links).collect()}
+    monkeypatch.setattr(components, "FEW", 0)
+    assert {tuple(r) for r in components.components(links).collect()} == few
