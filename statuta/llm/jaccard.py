@@ -400,8 +400,8 @@ def _blocked(rows: DataFrame, sizes: DataFrame, own: list[str], more: DataFrame
     return every.select("g", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "a", "root", "n", *(x for x in (more.columns if more is not None else []) if x != "a"))
 
 
-def resolve(met: DataFrame, classes: DataFrame, deal: Callable[[DataFrame], DataFrame], hundredths: int) -> DataFrame:
-    """node, root of all links among the candidates of ``_meet``; classes: c, n (its shingles) and hist (null: none kept)."""
+def resolve(met: DataFrame, classes: DataFrame, deal: Callable[[DataFrame], DataFrame], hundredths: int, whole_blocks: int = 0) -> DataFrame:
+    """node, root of all links among the candidates of ``_meet``; classes: c, n (its shingles) and hist (null: none kept). Clusters of at most whole_blocks blocks are compared as a whole, which finds links that bands have missed."""
     pairs = cut(met.where("b IS NOT NULL").select("a", "b").distinct())
     groups = cut(met.where("g IS NOT NULL").select("g", "a").distinct())
     wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).union(groups.select("a")).distinct()
@@ -431,8 +431,8 @@ def resolve(met: DataFrame, classes: DataFrame, deal: Callable[[DataFrame], Data
     own = ["cluster", "whole", "g"]
     rows = narrow.withColumn("whole", F.lit(False)).unionByName(narrow.withColumns({"whole": F.lit(True), "g": F.col("cluster")}).distinct())
     sizes = _sizes(rows, own)
-    costs = sizes.groupBy("cluster").agg(*(F.sum(F.when(F.col("whole") == x, F.col("cost"))).alias(k) for k, x in (("one", True), ("each", False))))
-    sizes = sizes.join(costs, "cluster").where(F.col("whole") == (F.col("one") <= F.col("each"))).select(*own, "main", "km", "k", "cost")
+    costs = sizes.groupBy("cluster").agg(*(F.sum(F.when(F.col("whole") == x, F.col("cost"))).alias(k) for k, x in (("one", True), ("each", False))), F.max(F.when(F.col("whole"), F.col("km") + F.col("k"))).alias("blocks"))
+    sizes = sizes.join(costs, "cluster").where(F.col("whole") == ((F.col("one") <= F.col("each")) | (F.col("blocks") <= whole_blocks))).select(*own, "main", "km", "k", "cost")
     hists = classes.select(F.col("c").alias("a"), "hist")
     possible = cut(_blocked(rows, cut(sizes), own, hists).groupBy("g", "i", "j").applyInArrow(_partners(hundredths), "g long, i int, j int, a long, b long"))
     # what histograms join are the groups whose sets meet; a set goes once to each block that it is needed in

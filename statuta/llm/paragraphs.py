@@ -46,6 +46,8 @@ LINE, PASSAGE, STRETCH, HISTOGRAM = 0, 1, 2, 3
 STRETCH_WORDS = 40
 #: Bytes of text worked on at once: what is made of them stays in a processor's cache.
 PIECE = 1 << 18
+#: Blocks of an open cluster whose rows all meet, in one group or not.
+WHOLE = 16
 #: Paragraphs of a cluster that counts as large.
 LARGE = 100_000
 #: What a piece of the table tells of each paragraph; row is the row's place in the piece.
@@ -336,7 +338,7 @@ def find(docs: DataFrame, *, min_words: int = 1, hundredths: int = 75, recall: f
     # histograms of stretches discard candidates before their sets travel; lines go without
     lines_only = table.where(F.col("kind") == LINE).mapInArrow(_rows, UNITS).select("c", "n", F.lit(None).cast("binary").alias("hist"))
     hists = scanned.where(F.col("kind") == HISTOGRAM).mapInArrow(_histograms(span, bins), "c long, n int, hist binary")
-    roots = resolve(met, lines_only.unionByName(hists), deal, hundredths)
+    roots = resolve(met, lines_only.unionByName(hists), deal, hundredths, WHOLE)
     twice = table.mapInArrow(_classes(blocks), "bucket int, c binary, many binary").groupBy("bucket").applyInArrow(_repeated, "c long")
     clustered = cut(twice.join(roots.withColumnRenamed("node", "c"), "c", "full").select("c", F.coalesce("root", "c").alias("root")))
     few = clustered.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
